@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The suffixes that make a link an image link
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg"]
@@ -112,7 +113,7 @@ def album_title(html: Column, key: Column) -> Column:
     return F.when(html.rlike(pattern), named).otherwise(key)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _ascii_only(text: pa.Array) -> pa.Array:
     plain = pc.utf8_normalize(text, form="NFKD")
     return pc.replace_substring_regex(plain, pattern=r"[^\x00-\x7F]", replacement="")

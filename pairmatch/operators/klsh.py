@@ -5,14 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pairmatch.functions.arrow import to_lists, to_matrix
-from pairmatch.functions.bands import BandLayout
 from pairmatch.functions.names import number_of_str
+from pairmatch.operators.hashing import HashModel
 
 # the sample and its p x p kernel are the only things the driver ever holds
 MAX_SAMPLE = 2000
@@ -48,7 +45,7 @@ def inverse_sqrt(k: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class KLSHModel:
+class KLSHModel(HashModel):
     """Everything needed to hash a vector: sample, kernel means and weights."""
 
     sample: np.ndarray
@@ -73,37 +70,6 @@ class KLSHModel:
     def hash_bits(self, x: np.ndarray) -> np.ndarray:
         return (self.kernel(x) @ self.weights > 0).astype(np.int8)
 
-    def layout(self, rows: int) -> BandLayout:
-        return BandLayout(self.bits, rows)
-
-    def transform(self, df: DataFrame, vec: str = "vec", out: str = "bits") -> DataFrame:
-        """Add the 0/1 hash bits; one matrix product per Arrow batch."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
-
-        @F.arrow_udf(T.ArrayType(T.ByteType()))
-        def to_bits(column: pa.Array) -> pa.Array:
-            x, present = to_matrix(column, shared.value.dim)
-            return to_lists(shared.value.hash_bits(x), present, pa.int8())
-
-        return df.withColumn(out, to_bits(F.col(vec)))
-
-    def signatures(
-        self, df: DataFrame, layout: BandLayout, id_col: str = "id", vec: str = "vec"
-    ) -> DataFrame:
-        """(id, sig): the bits packed by ``layout``, a few words per vector."""
-        if layout.bits != self.bits:
-            raise ValueError(f"the model has {self.bits} bits, the layout {layout.bits}")
-        shared = df.sparkSession.sparkContext.broadcast(self)
-
-        @F.arrow_udf(T.ArrayType(T.LongType()))
-        def to_words(column: pa.Array) -> pa.Array:
-            x, present = to_matrix(column, shared.value.dim)
-            return to_lists(layout.pack(shared.value.hash_bits(x)), present, pa.int64())
-
-        return df.select(F.col(id_col).alias("id"), to_words(F.col(vec)).alias("sig")).where(
-            F.col("sig").isNotNull()
-        )
-
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the model as a one-row parquet table."""
         row = (
