@@ -54,10 +54,10 @@ select event_id as ord, concat('t3_', cast(event_id % 701 as string)) as post_fu
 from events
 """
 
-# posts that were fetched: two of three
+# posts that were fetched: those of one event type
 VIEWS["posts"] = """
 select distinct concat('t3_', cast(event_id % 701 as string)) as post_id
-from events where event_id % 701 % 3 <> 0
+from events where event_type = (select min(event_type) from events)
 """
 
 VIEWS["assets"] = """
@@ -69,7 +69,7 @@ from (select vec_id, embedding, cast(floor(vec_id / 4) as bigint) as post, vec_i
 where not (post % 11 = 5 and k > 0)
 """
 
-# some twenty drawn candidates for every fifth vector, met by equality
+# some twenty drawn candidates for every vector, met by equality
 VIEWS["pairs"] = """
 select query_id, cand_id,
   case when draw % 10 = 0 then cast(1.0 as double)
@@ -84,7 +84,7 @@ from (
     from (
       select query_id, {R:concat('pair-', cast(query_id as string), '-', cast(k as string))}
           % (select max(vec_id) + 1 from embeddings) as drawn
-      from (select vec_id as query_id, {SEQ:20} as k from embeddings where vec_id % 5 = 0) s
+      from (select vec_id as query_id, {SEQ:20} as k from embeddings) s
     ) d join embeddings c on c.vec_id = d.drawn
   ) p where query_id <> cand_id
 ) r
@@ -100,7 +100,7 @@ from (
          else concat('t3_p', cast({R:concat('np-', cast(vec_id as string), '-', cast(k as string))} % 97 as string))
     end as other
   from (select vec_id, filename, post_id, {SEQ:6} as k from assets where filename like '%\\_%\\_%' {ESC}) s
-) c join (select vec_id, post_id from assets where vec_id % 4 = 0) p on p.post_id = c.other
+) c join (select vec_id, post_id from assets where filename not like '%\\_%\\_%' {ESC}) p on p.post_id = c.other
 """
 
 VIEWS["albums"] = """
@@ -115,7 +115,7 @@ from pages
 
 VIEWS["splices"] = """
 select vec_id, embedding, concat('Tp_D_CND_M_N_ani0', cast(100 + vec_id % 37 as string), '_sec0', cast(100 + vec_id % 41 as string), '_0', cast(vec_id as string), '.tif') as sp_name
-from embeddings where vec_id % 3 = 1
+from embeddings
 """
 
 VIEWS["originals"] = """
@@ -124,12 +124,12 @@ select vec_id, au_name, embedding from (
     select vec_id, embedding,
       case when vec_id % 2 = 0 then concat('Au_ani_0', cast(100 + vec_id % 37 as string), '.jpg')
            else concat('Au_sec_0', cast(100 + vec_id % 41 as string), '.jpg') end as au_name
-    from embeddings where vec_id % 3 = 0) a) b
+    from embeddings) a) b
 where vec_id = kept
 """
 
 VIEWS["qvec"] = """
-select vec_id, {NUDGED} as embedding from embeddings where vec_id % 5 = 0
+select vec_id, {NUDGED} as embedding from embeddings
 """
 
 # views that read other views
@@ -181,10 +181,22 @@ def view_sql(*names: str) -> str:
     return ",\n".join(f"{name} as ({duckdb_sql(VIEWS[name])})" for name in ordered)
 
 
+# given schemas save a look into the files
+_SCHEMAS = {
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a derived view as a DataFrame."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        reader = spark.read
+        if name in _SCHEMAS:
+            reader = reader.schema(_SCHEMAS[name])
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
     text = render(VIEWS[name], _SPARK_MARKS)
     for other in [*_USES.get(name, []), *BASE_TABLES]:
         if re.search(rf"\b(?:from|join) {other}\b", text):

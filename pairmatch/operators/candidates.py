@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmatch.functions.arrow import to_matrix
 from pairmatch.functions.bands import BandLayout
 from pairmatch.lineage import cut_lineage
 from pairmatch.operators.ordering import number_rows
@@ -20,24 +20,40 @@ COPIES_PER_ROW = 64
 
 
 def copy_groups(signed: DataFrame, copies_per_row: int = COPIES_PER_ROW) -> DataFrame:
-    """(sig, ids): rows with equal signatures folded together before anything is joined.
+    """(sig, ids): rows with equal signatures folded together before anything is shuffled.
 
-    A signature with many copies becomes several rows of about ``copies_per_row`` ids each,
-    chosen by a hash of the id, so no list grows with the size of its group.
+    Folding happens inside each Arrow batch, so it costs no shuffle and a list never holds
+    more than ``copies_per_row`` ids.  Copies that fill a third of the table shrink by about
+    that factor; a signature may still come in several rows.
     """
-    pieces = (
-        signed.groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .where(F.col("_copies") > copies_per_row)
-        .select("sig", F.ceil(F.col("_copies") / copies_per_row).alias("_pieces"))
-    )
-    return (
-        signed.join(pieces, "sig", "left")
-        .withColumn("_piece", F.pmod(F.xxhash64("id"), F.coalesce("_pieces", F.lit(1))))
-        .groupBy("sig", "_piece")
-        .agg(F.collect_list("id").alias("ids"))
-        .select("sig", "ids")
+    id_type = signed.schema["id"].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            sig, ids = batch.column("sig"), batch.column("id")
+            words = sig.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            order = np.lexsort(words.T)
+            ordered = words[order]
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+            begin = np.flatnonzero(fresh)
+            place = np.arange(len(order)) - begin[np.cumsum(fresh) - 1]
+            starts = np.flatnonzero(place % copies_per_row == 0)
+            ends = np.append(starts, len(order)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays(
+                [sig.take(pa.array(order[starts])), lists], ["sig", "ids"]
+            )
+
+    schema = T.StructType(
+        [
+            T.StructField("sig", T.ArrayType(T.LongType())),
+            T.StructField("ids", T.ArrayType(id_type)),
+        ]
     )
+    return signed.select("id", "sig").mapInArrow(fold, schema)
 
 
 def band_rows(groups: DataFrame, layout: BandLayout) -> DataFrame:
@@ -147,6 +163,8 @@ def permutation_candidates(
     """
     reach = 2 * n_perm
     block = 2 * reach
+    # the sort samples its input before it reads it; signatures are cheaper to read twice
+    index, queries = cut_lineage(index), cut_lineage(queries)
     # equal queries have equal windows: look each signature up once
     wanted = queries.select("sig").distinct()
     placed = cut_lineage(

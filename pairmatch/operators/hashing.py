@@ -34,14 +34,18 @@ class HashModel(ABC):
 
     def transform(self, df: DataFrame, vec: str = "vec", out: str = "bits") -> DataFrame:
         """Add the 0/1 hash bits; one matrix product per Arrow batch."""
+        return df.withColumn(out, self._rows_of(df, vec, "hash_bits", T.ByteType(), pa.int8()))
+
+    def _rows_of(self, df, vec, method, spark_type, arrow_type):
+        """Column with the row of a matrix method for each vector."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.arrow_udf(T.ArrayType(T.ByteType()))
-        def to_bits(column: pa.Array) -> pa.Array:
+        @F.arrow_udf(T.ArrayType(spark_type))
+        def to_rows(column: pa.Array) -> pa.Array:
             x, present = to_matrix(column, shared.value.dim)
-            return to_lists(shared.value.hash_bits(x), present, pa.int8())
+            return to_lists(getattr(shared.value, method)(x), present, arrow_type)
 
-        return df.withColumn(out, to_bits(F.col(vec)))
+        return to_rows(F.col(vec))
 
     def signatures(
         self, df: DataFrame, layout: BandLayout, id_col: str = "id", vec: str = "vec"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmatch.functions.names import number_of_str
 from pairmatch.operators.hashing import HashModel
@@ -62,10 +64,17 @@ class KLSHModel(HashModel):
     def dim(self) -> int:
         return self.sample.shape[1]
 
+    def raw_kernel(self, x: np.ndarray) -> np.ndarray:
+        return rbf_kernel(x, self.sample, self.gamma)
+
     def kernel(self, x: np.ndarray) -> np.ndarray:
         """Centered kernel of vectors against the sample."""
-        raw = rbf_kernel(x, self.sample, self.gamma)
-        return center_kernel(raw, self.column_means, self.grand_mean)
+        return center_kernel(self.raw_kernel(x), self.column_means, self.grand_mean)
+
+    def kernel_rows(self, df: DataFrame, vec: str = "vec", centered: bool = True) -> DataFrame:
+        """Adds ``kernel``: each vector's kernel with every sample row."""
+        method = "kernel" if centered else "raw_kernel"
+        return df.withColumn("kernel", self._rows_of(df, vec, method, T.DoubleType(), pa.float64()))
 
     def hash_bits(self, x: np.ndarray) -> np.ndarray:
         return (self.kernel(x) @ self.weights > 0).astype(np.int8)

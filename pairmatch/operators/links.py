@@ -19,31 +19,27 @@ def typed_links(links: DataFrame, apply_typo_fix: bool = False) -> DataFrame:
     """
     link = F.col("link")
     hosted = fx.is_host(link)
-    image = fx.has_extension(link)
-    album = hosted & ~image & fx.is_album_link(link)
-    bare = hosted & ~image & ~fx.is_album_link(link) & fx.not_gif(link)
-
-    def entry(condition, link_type, rank, target):
-        return F.when(
-            condition,
-            F.struct(
-                F.lit(link_type).alias("link_type"),
-                F.lit(rank).alias("class_rank"),
-                target.alias("link"),
-            ),
-        )
 
-    classes = F.array_compact(
-        F.array(
-            entry(bare, "image", 0, fx.rewrite_no_ext_link(link)),
-            entry(image, "image", 1, fx.fix_typo_extension(link, apply_typo_fix)),
-            entry(link.contains(fx.UPLOAD_HOST), "image", 2, fx.append_upload_ext(link)),
-            entry(album, "imgur_album", 0, link),
+    def entry(link_type, rank, target):
+        return F.struct(
+            F.lit(link_type).alias("link_type"),
+            F.lit(rank).alias("class_rank"),
+            target.alias("link"),
         )
+
+    # image, album and bare links exclude each other; only an upload comes on top
+    main = (
+        F.when(fx.has_extension(link), entry("image", 1, fx.fix_typo_extension(link, apply_typo_fix)))
+        .when(hosted & fx.is_album_link(link), entry("imgur_album", 0, link))
+        .when(hosted & fx.not_gif(link), entry("image", 0, fx.rewrite_no_ext_link(link)))
+    )
+    upload = F.when(
+        link.contains(fx.UPLOAD_HOST), entry("image", 2, fx.append_upload_ext(link))
     )
     return (
         links.where(link.isNotNull())
-        .select(F.explode(classes).alias("t"), "name", "post_id", "ord")
+        .select(F.explode(F.array(main, upload)).alias("t"), "name", "post_id", "ord")
+        .where(F.col("t").isNotNull())
         .select("t.link_type", "t.class_rank", "t.link", "name", "post_id", "ord")
     )
 

@@ -88,3 +88,9 @@ def center_channels(t):
     return centered.select("origin", F.posexplode("vec").alias("i", "v")).withColumn(
         "v", F.round("v", 3)
     )
+
+
+@query("", "select count(*) as n from embeddings where vec_id % 7 <> 3")
+def count_done(t):
+    """How many pictures came through the preparation."""
+    return im.prepare_images(_pictures(t), 2).agg(F.count(F.lit(1)).alias("n"))

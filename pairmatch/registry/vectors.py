@@ -6,7 +6,6 @@ it finds by Newton-Schulz iteration instead of an eigendecomposition.
 
 from __future__ import annotations
 
-import tempfile
 from functools import partial
 
 from pyspark.sql import Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions import vectors as fv
 from pairmatch.functions.bands import BandLayout, split_bands
+from pairmatch.lineage import scratch_path
 from pairmatch.operators import assets as at
 from pairmatch.operators import candidates as cd
 from pairmatch.operators import klsh as kl
@@ -71,11 +71,11 @@ steps(n, y, z) as (
   select 0, a, one from start
   union all
   select n + 1, {product('y', 'h')}, {product('h', 'z')} from (
-    select n, y, z, list_transform({product('z', 'y')}, lambda r, i: list_transform(r,
-      lambda v, j: 0.5 * ((case when i = j then 3.0::double else 0.0::double end) - v))) as h
-    from steps where n < 40) x),
+    select n, y, z, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+      0.5 * ((case when i = j then 3.0::double else 0.0::double end) - (v + m[j][i]) / 2))) as h
+    from (select n, y, z, {product('z', 'y')} as m from steps where n < 16) x) x),
 root as (
-  select i, z[i + 1] as r from steps, (select unnest(range(0, {p})) as i) where n = 40),
+  select i, z[i + 1] as r from steps, (select unnest(range(0, {p})) as i) where n = 16),
 picks as (
   select distinct bit, {{R:concat('{seed}-pick-', cast(bit as string), '-', cast(k as string))}} % {p} as pick
   from (select unnest(range(0, {b})) as bit) b, (select unnest(range(0, {t})) as k) k),
@@ -135,16 +135,35 @@ def sample_rows(t):
     return kl.sample_rows(_index(t), "id", 100, seed=3).select("id")
 
 
-@query(
-    "qvec",
-    """select i, j, round(k, 9) as k from kern""",
-    _KLSH,
-)
+_KERNEL_CTE = f"""{_KLSH},
+kernels as (
+  select id, unnest(kx) as raw, unnest(list_transform(kx, lambda v, i: v - ms[i] - km + g)) as centered,
+    unnest(range(0, {P})) as i
+  from (select *, list_avg(kx) as km
+        from (select id, ms, g, list_transform(ss, lambda s: exp(-power(list_distance(x, s), 2) / 64.0::double)) as kx
+              from (select id, list_transform(vec, lambda v: v::double) as x from idx) v, centers, grand) a) b)"""
+
+
+@query("qvec", "select id, i, round(raw, 6) as k from kernels", _KERNEL_CTE)
 def rbf_kernel(t):
+    rows = _model(t).kernel_rows(_index(t), centered=False)
+    return rows.select("id", F.posexplode("kernel").alias("i", "k")).withColumn("k", F.round("k", 6))
+
+
+@query("qvec", "select id, i, round(centered, 6) as k from kernels", _KERNEL_CTE)
+def center_kernel(t):
+    rows = _model(t).kernel_rows(_index(t))
+    return rows.select("id", F.posexplode("kernel").alias("i", "k")).withColumn("k", F.round("k", 6))
+
+
+@query("qvec", "select i, round(m, 9) as column_mean, round(g, 9) as grand_mean from means, grand", _KLSH)
+def kernel_means(t):
     model = _model(t)
-    raw = kl.rbf_kernel(model.sample, model.sample, model.gamma)
-    rows = [(i, j, float(raw[i, j])) for i in range(P) for j in range(P)]
-    return t.spark.createDataFrame(rows, "i long, j long, k double").withColumn("k", F.round("k", 9))
+    rows = [(i, float(m), model.grand_mean) for i, m in enumerate(model.column_means)]
+    means = t.spark.createDataFrame(rows, "i long, column_mean double, grand_mean double")
+    return means.select(
+        "i", F.round("column_mean", 9).alias("column_mean"), F.round("grand_mean", 9).alias("grand_mean")
+    )
 
 
 @query("qvec", "select bit, i, round(w, 6) as w from weight", _KLSH)
@@ -196,7 +215,7 @@ def union_candidates(t):
 @query("qvec", "select query_id, cand_id from cand", _CAND)
 def probe_index(t):
     index, queries, layout = _signed(t)
-    path = tempfile.mkdtemp(prefix="pairmatch-index-") + "/bands"
+    path = scratch_path(t.spark, "bands")
     store.write_band_index(index, layout, path)
     return probe_stored(queries, store.load_band_index(t.spark, path), layout)
 
