@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,14 @@ class HashModel(ABC):
         return to_rows(F.col(vec))
 
     def signatures(
-        self, df: DataFrame, layout: BandLayout, id_col: str = "id", vec: str = "vec"
+        self,
+        df: DataFrame,
+        layout: BandLayout,
+        id_col: str = "id",
+        vec: str = "vec",
+        keep: Sequence[str] = (),
     ) -> DataFrame:
-        """(id, sig): the bits packed by ``layout``, a few words per vector."""
+        """(id, sig, …): the bits packed by ``layout``, a few words per vector."""
         if layout.bits != self.bits:
             raise ValueError(f"the model has {self.bits} bits, the layout {layout.bits}")
         shared = df.sparkSession.sparkContext.broadcast(self)
@@ -62,5 +68,5 @@ class HashModel(ABC):
 
         # vectors are filtered first: a filter on the signature would hash every row twice
         return df.where(F.col(vec).isNotNull()).select(
-            F.col(id_col).alias("id"), to_words(F.col(vec)).alias("sig")
+            F.col(id_col).alias("id"), to_words(F.col(vec)).alias("sig"), *keep
         )

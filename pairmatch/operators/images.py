@@ -65,7 +65,8 @@ def _map_images(
                     continue
                 names.append(row.origin)
                 values.append(value)
-            yield pd.DataFrame({"origin": names, out: values})
+            if names:
+                yield pd.DataFrame({"origin": names, out: values})
 
     raw = images.select(*[F.col(c).alias(c.split(".")[-1]) for c in _RAW])
     return raw.mapInPandas(run, f"origin string, {out} array<float>")

@@ -18,24 +18,8 @@ def candidate_counts(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     return _for_all(queries, per_query)
 
 
-def match_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
-    """The same from groups of copies and (query_id, truth_id), without writing out pairs.
-
-    A query meets each group of candidates once, so the sizes of the groups add up.
-    """
-    per_query = (
-        matches.select(F.explode("query_ids").alias("query_id"), "cand_ids")
-        .join(truth, "query_id", "left")
-        .groupBy("query_id")
-        .agg(
-            F.sum(F.size("cand_ids")).alias("n_candidates"),
-            F.count_if(F.array_contains("cand_ids", F.col("truth_id"))).alias("hits"),
-        )
-    )
-    return _for_all(truth, per_query)
-
-
 def _for_all(queries: DataFrame, per_query: DataFrame) -> DataFrame:
+    """A row for every query, zeros where it had no candidate."""
     return queries.select("query_id").join(per_query, "query_id", "left").na.fill(
         0, ["n_candidates", "hits"]
     )
@@ -99,6 +83,11 @@ def ranking_metrics(ranked: DataFrame, mode: str = "cp", k: int = 3, top: int =
     relevant candidate enter mrr_all and precision, each with a zero; a mean over none is
     null.
     """
+    return summarize_ranks(query_ranks(ranked, k), mode, k, top)
+
+
+def summarize_ranks(per_query: DataFrame, mode: str = "cp", k: int = 3, top: int = 4) -> DataFrame:
+    """``ranking_metrics`` from (first_rank, mean_reciprocal, top_hits) of each query."""
     if mode not in ("pc", "cp"):
         raise ValueError(f"unknown mode {mode!r}")
     first = F.col("first_rank")
@@ -112,7 +101,7 @@ def ranking_metrics(ranked: DataFrame, mode: str = "cp", k: int = 3, top: int =
         (100.0 * F.try_divide(F.count_if(first == r), F.count(first))).alias(f"pct_rank_{r}")
         for r in range(1, top + 1)
     ]
-    return query_ranks(ranked, k).agg(
+    return per_query.agg(
         F.count(F.lit(1)).alias("n_queries"),
         F.avg(reciprocal).alias("mrr"),
         F.avg(every).alias("mrr_all"),

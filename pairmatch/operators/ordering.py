@@ -8,10 +8,14 @@ is its place inside its partition plus the rows in the partitions before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmatch.lineage import cut_lineage
 
@@ -35,20 +39,70 @@ def number_rows(
     sorted_rows = cut_lineage(
         df.orderBy(*_columns(order)).withColumn("_at", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_at", _ROW_BITS)
+    placed = sorted_rows.withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return (
+        _with_offset(placed, F.count(F.lit(1)))
+        .withColumn(name, F.col("_offset") + inside + F.lit(start).cast("bigint"))
+        .drop("_at", "_part", "_offset")
+    )
+
+
+def _with_offset(placed: DataFrame, size: Column) -> DataFrame:
+    """Adds ``_offset``: the sizes of all partitions before the row's own."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: small by construction, so the window and broadcast are too
     offsets = (
-        sorted_rows.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_size"))
+        placed.groupBy("_part")
+        .agg(size.alias("_size"))
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.join(F.broadcast(offsets), "_part")
+
+
+def running_total(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str | Column],
+    weight: str,
+    name: str = "before",
+) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over the rows of the group that come earlier.
+
+    Like ``rank_within`` it runs over the range-partitioned order of the whole table, so a
+    group may be spread over many tasks.
+    """
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, so_far = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            weights = batch.column(weight).to_numpy(zero_copy_only=False)
+            ends = so_far + np.cumsum(weights)
+            columns = [
+                *batch.columns,
+                pa.array(ends - weights, pa.int64()),
+                pa.array(np.full(len(weights), part), pa.int64()),
+            ]
+            if len(weights):
+                so_far = int(ends[-1])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_before", "_part"])
+
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_part", T.LongType())]
+    )
+    placed = cut_lineage(
+        df.orderBy(*_columns([*group, *order])).mapInArrow(accumulate, schema)
+    )
+    totals = (
+        _with_offset(placed, F.sum(weight))
+        .withColumn("_before", F.col("_before") + F.col("_offset"))
+        .drop("_part", "_offset")
+    )
+    firsts = totals.groupBy(*group).agg(F.min("_before").alias("_first"))
     return (
-        sorted_rows.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + inside + F.lit(start).cast("bigint"))
-        .drop("_at", "_part", "_offset")
+        totals.join(firsts, list(group))
+        .withColumn(name, F.col("_before") - F.col("_first"))
+        .drop("_before", "_first")
     )
 
 

@@ -1,4 +1,4 @@
-"""The whole retrieval: hash, find candidates, label, score, rank and measure."""
+"""The whole retrieval: hash, find candidates, score, rank and measure."""
 
 from __future__ import annotations
 
@@ -6,22 +6,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
 from pairmatch.functions.vectors import squared_l2
 from pairmatch.lineage import cut_lineage
-from pairmatch.operators.candidates import band_matches, pairs_of
-from pairmatch.operators.klsh import KLSH, KLSHModel
-from pairmatch.operators.metrics import (
-    match_counts,
-    rank_candidates,
-    ranking_metrics,
-    retrieval_stats,
-    topk,
+from pairmatch.operators.copies import (
+    copy_sets,
+    memberships,
+    places_in_set,
+    set_matches,
+    signed_rows,
 )
-from pairmatch.operators.pairs import NEGATIVE, POSITIVE, attach_payload
+from pairmatch.operators.klsh import KLSH, KLSHModel
+from pairmatch.operators.metrics import retrieval_stats, summarize_ranks
+from pairmatch.operators.ordering import running_total
+from pairmatch.operators.pairs import NEGATIVE, POSITIVE
 
 
 def closeness(a: Column, b: Column) -> Column:
@@ -34,7 +35,9 @@ class Retrieval:
     """A retrieval whose stages are computed once, when first asked for.
 
     ``index`` and ``queries`` are (id, vec), ``truth`` is (query_id, truth_id) with one row
-    per query.
+    per query.  Candidates are searched, scored and ranked between distinct vectors; copies
+    enter as weights.  Among equal scores, distinct vectors go by their smallest id and
+    copies by their own.
     """
 
     model: KLSHModel
@@ -44,43 +47,138 @@ class Retrieval:
     truth: DataFrame
     score: Callable[[Column, Column], Column] = closeness
 
+    @cached_property
+    def _index_rows(self) -> DataFrame:
+        return cut_lineage(signed_rows(self.index, self.model, self.layout))
+
+    @cached_property
+    def _query_rows(self) -> DataFrame:
+        return cut_lineage(signed_rows(self.queries, self.model, self.layout))
+
+    @cached_property
+    def _index_sets(self) -> DataFrame:
+        return cut_lineage(copy_sets(self._index_rows))
+
+    @cached_property
+    def _query_sets(self) -> DataFrame:
+        return cut_lineage(copy_sets(self._query_rows))
+
     @cached_property
     def matches(self) -> DataFrame:
-        """Groups of copies that share a band."""
-        return cut_lineage(
-            band_matches(
-                self.model.signatures(self.index, self.layout),
-                self.model.signatures(self.queries, self.layout),
-                self.layout,
+        """(query_gid, cand_gid, copies): pairs of distinct vectors that share a band."""
+        return cut_lineage(set_matches(self._index_sets, self._query_sets, self.layout))
+
+    @cached_property
+    def _queries_with_truth(self) -> DataFrame:
+        """(query_id, query_gid, truth_id, truth_gid, found): whether the original shares a band.
+
+        Whether it does can be read off the two signatures, without looking at candidates.
+        """
+        queries = memberships(self._query_rows, self._query_sets).select(
+            F.col("id").alias("query_id"), F.col("gid").alias("query_gid"), F.col("sig").alias("query_sig")
+        )
+        originals = memberships(self._index_rows, self._index_sets).select(
+            F.col("id").alias("truth_id"), F.col("gid").alias("truth_gid"), F.col("sig").alias("truth_sig")
+        )
+        shared = self.layout.first_shared_band(F.col("query_sig"), F.col("truth_sig"))
+        return (
+            queries.join(self.truth, "query_id", "left")
+            .join(originals, "truth_id", "left")
+            .select(
+                "query_id", "query_gid", "truth_id", "truth_gid",
+                (F.col("truth_gid").isNotNull() & shared.isNotNull()).alias("found"),
             )
         )
 
+    def counts(self) -> DataFrame:
+        """(query_id, n_candidates, hits) of every query."""
+        per_set = self.matches.groupBy("query_gid").agg(F.sum("copies").alias("n_candidates"))
+        return self._queries_with_truth.join(per_set, "query_gid", "left").select(
+            "query_id",
+            F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+            F.when(F.col("found"), 1).otherwise(0).alias("hits"),
+        )
+
+    def stats(self) -> DataFrame:
+        """Share of queries with candidates, mean candidates and recall."""
+        return retrieval_stats(self.counts())
+
     @cached_property
     def scored(self) -> DataFrame:
-        """(query_id, cand_id, label, score) for every candidate pair."""
-        pairs = attach_payload(pairs_of(self.matches), self.queries, self.index)
-        is_truth = F.col("cand_id") == F.col("truth_id")
+        """(query_gid, cand_gid, copies, score): every candidate pair of distinct vectors."""
+        queries = self.queries.select(F.col("id").alias("query_gid"), F.col("vec").alias("query_vec"))
+        index = self.index.select(F.col("id").alias("cand_gid"), F.col("vec").alias("cand_vec"))
         return cut_lineage(
-            pairs.join(self.truth, "query_id", "left").select(
-                "query_id",
-                "cand_id",
-                F.when(is_truth, POSITIVE).otherwise(NEGATIVE).alias("label"),
+            self.matches.join(queries, "query_gid")
+            .join(index, "cand_gid")
+            .select(
+                "query_gid", "cand_gid", "copies",
                 self.score(F.col("query_vec"), F.col("cand_vec")).alias("score"),
             )
         )
 
-    def stats(self) -> DataFrame:
-        """Share of queries with candidates, mean candidates and recall; no pair is written out."""
-        return retrieval_stats(match_counts(self.matches, self.truth))
+    def query_ranks(self, k: int = 3) -> DataFrame:
+        """(query_id, first_rank, mean_reciprocal, top_hits) of queries with candidates."""
+        ahead = running_total(
+            self.scored, ["query_gid"], [F.desc("score"), F.asc("cand_gid")], "copies", "ahead"
+        ).select("query_gid", F.col("cand_gid").alias("truth_gid"), "ahead")
+        places = places_in_set(memberships(self._index_rows, self._index_sets)).withColumnRenamed(
+            "id", "truth_id"
+        )
+        some = self.matches.select("query_gid").distinct()
+        first = F.col("ahead") + F.coalesce("place", F.lit(0)) + 1
+        return (
+            self._queries_with_truth.join(some, "query_gid", "left_semi")
+            .join(ahead, ["query_gid", "truth_gid"], "left")
+            .join(places, "truth_id", "left")
+            .select("query_id", first.alias("first_rank"))
+            .select(
+                "query_id",
+                "first_rank",
+                (1.0 / F.col("first_rank")).alias("mean_reciprocal"),
+                F.when(F.col("first_rank") <= k, 1).otherwise(0).alias("top_hits"),
+            )
+        )
 
-    def ranked(self) -> DataFrame:
-        return rank_candidates(self.scored)
+    def metrics(self, mode: str = "cp", k: int = 3) -> DataFrame:
+        return summarize_ranks(self.query_ranks(k), mode, k)
 
     def top(self, k: int = 10) -> DataFrame:
-        return topk(self.scored, k)
-
-    def metrics(self, mode: str = "cp") -> DataFrame:
-        return ranking_metrics(self.ranked(), mode)
+        """(query_id, cand_id, label, score, rank): the best ``k`` candidates of every query.
+
+        The best k ids are among the k first ids of the k best distinct vectors, so every
+        step keeps at most that many and each task drops the rest before its shuffle.
+        """
+        best = Window.partitionBy("query_gid").orderBy(F.desc("score"), "cand_gid")
+        sets = self.scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+        by_id = Window.partitionBy("gid").orderBy("id")
+        members = (
+            memberships(self._index_rows, self._index_sets)
+            .select(F.col("gid"), F.col("id"))
+            .withColumn("_m", F.row_number().over(by_id))
+            .where(F.col("_m") <= k)
+            .select(F.col("gid").alias("cand_gid"), F.col("id").alias("cand_id"))
+        )
+        within = Window.partitionBy("query_gid").orderBy(F.desc("score"), "cand_gid", "cand_id")
+        listed = (
+            sets.select("query_gid", "cand_gid", "score")
+            .join(members, "cand_gid")
+            .withColumn("rank", F.row_number().over(within))
+            .where(F.col("rank") <= k)
+        )
+        return (
+            self._queries_with_truth.select("query_id", "query_gid", "truth_id")
+            .join(listed, "query_gid")
+            .select(
+                "query_id",
+                "cand_id",
+                F.when(F.col("cand_id") == F.col("truth_id"), POSITIVE)
+                .otherwise(NEGATIVE)
+                .alias("label"),
+                "score",
+                "rank",
+            )
+        )
 
 
 def retrieve(

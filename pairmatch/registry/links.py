@@ -327,7 +327,12 @@ def extension_counts(t):
     return al.extension_counts(al.album_images(t["albums"]))
 
 
-@query()
+# the letters of these texts differ from plain ones by accents only
+@query(
+    "",
+    """select doc_id, trim(regexp_replace(strip_accents(text), '[^A-Za-z0-9_\\s\\-.)(]', '', 'g'),
+         chr(9) || chr(10) || chr(12) || chr(13) || ' ') as slug from documents""",
+)
 def slugify(t):
     return t["documents"].select("doc_id", fx.slugify(F.col("text")).alias("slug"))
 

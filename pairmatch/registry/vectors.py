@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions import vectors as fv
@@ -35,11 +34,14 @@ _IDX = "idx as (select vec_id as id, embedding as vec from embeddings)"
 _QRY = "qry as (select vec_id as id, embedding as vec from qvec)"
 
 
-def _klsh_cte(p=P, t=T, b=B, seed=SEED, sources=f"{_IDX}, {_QRY}"):
+def _klsh_cte(p=P, t=T, b=B, seed=SEED, sources=f"{_IDX}, {_QRY}", rounds=16):
     square = "power(list_distance({0}, {1}), 2)"
 
-    def product(x, y):
-        return f"list_transform({x}, lambda u: list_transform({y}, lambda v: list_dot_product(u, v)))"
+    def columns(m):
+        return f"list_transform(range(1, {p} + 1), lambda j: list_transform({m}, lambda r: r[j]))"
+
+    def product(x, y_columns):
+        return f"list_transform({x}, lambda u: list_transform({y_columns}, lambda v: list_dot_product(u, v)))"
 
     def hashed(name, source):
         return f"""{name} as (
@@ -60,27 +62,30 @@ kern as (
   select a.i, b.i as j, exp(-{square.format('a.s', 'b.s')} / 64.0::double) as k from samp a, samp b),
 means as (select i, avg(k) as m from kern group by i),
 grand as (select avg(k) as g from kern),
+centered as (
+  select kern.i, kern.j, k - a.m - b.m + g as k
+  from kern join means a on kern.i = a.i join means b on kern.j = b.i, grand),
+scale as (select sqrt(sum(k * k)) as size from centered),
 start as (
   select list(r order by i) as a,
     list_transform(range(0, {p}), lambda i: list_transform(range(0, {p}),
       lambda j: case when i = j then 1.0::double else 0.0::double end)) as one
-  from (select kern.i, list(k - a.m - b.m + g + 1.0::double / {p} order by kern.j) as r
-        from kern join means a on kern.i = a.i join means b on kern.j = b.i, grand
-        group by kern.i) x),
+  from (select i, list(k / size + 1.0::double / {p} order by j) as r from centered, scale group by i) x),
 steps(n, y, z) as (
   select 0, a, one from start
   union all
-  select n + 1, {product('y', 'h')}, {product('h', 'z')} from (
-    select n, y, z, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
-      0.5 * ((case when i = j then 3.0::double else 0.0::double end) - (v + m[j][i]) / 2))) as h
-    from (select n, y, z, {product('z', 'y')} as m from steps where n < 16) x) x),
+  select n + 1, {product('y', 'hc')}, {product('h', 'zc')} from (
+    select n, y, h, zc, {columns('h')} as hc from (
+      select n, y, zc, list_transform({product('z', 'yc')}, lambda r, i: list_transform(r,
+        lambda v, j: 0.5 * ((case when i = j then 3.0::double else 0.0::double end) - v))) as h
+      from (select n, y, z, {columns('y')} as yc, {columns('z')} as zc from steps where n < {rounds}) x) x) x),
 root as (
-  select i, z[i + 1] as r from steps, (select unnest(range(0, {p})) as i) where n = 16),
+  select i, z[i + 1] as r from steps, (select unnest(range(0, {p})) as i) where n = {rounds}),
 picks as (
   select distinct bit, {{R:concat('{seed}-pick-', cast(bit as string), '-', cast(k as string))}} % {p} as pick
   from (select unnest(range(0, {b})) as bit) b, (select unnest(range(0, {t})) as k) k),
 weight as (
-  select bit, i, sum(r[pick + 1] - 1.0::double / {p}) as w from picks, root group by bit, i),
+  select bit, i, sum((r[pick + 1] - 1.0::double / {p}) / sqrt(size)) as w from picks, root, scale group by bit, i),
 weights as (
   select list(w order by bit) as ws from (
     select bit, list(w order by i) as w from weight group by bit) x),
@@ -207,8 +212,7 @@ def band_candidates(t):
 
 @query("qvec", "select query_id, count(*) as n from cand group by query_id", _CAND)
 def union_candidates(t):
-    index, queries, layout = _signed(t)
-    counts = mt.match_counts(cd.band_matches(index, queries, layout), _truth(t))
+    counts = _retrieval(t).counts()
     return counts.where("n_candidates > 0").select("query_id", F.col("n_candidates").alias("n"))
 
 
@@ -238,16 +242,12 @@ def _rounded(df):
     _STATS_CTE,
 )
 def retrieval_stats_pc(t):
-    index, queries, layout = _signed(t)
-    counts = mt.match_counts(cd.band_matches(index, queries, layout), _truth(t))
-    return _rounded(mt.retrieval_stats(counts, "pc"))
+    return _rounded(_retrieval(t).stats())
 
 
 @query("qvec", f"select {_STATS} from counts", _STATS_CTE)
 def retrieval_stats_unlabelled(t):
-    index, queries, layout = _signed(t)
-    counts = mt.match_counts(cd.band_matches(index, queries, layout), _truth(t))
-    return _rounded(mt.retrieval_stats(counts, None))
+    return _rounded(mt.retrieval_stats(_retrieval(t).counts(), None))
 
 
 _ASSET_SOURCES = """
@@ -470,11 +470,11 @@ def retrieve_metrics(t):
     return _rounded(figures.select("n_queries", "mrr", *[f"pct_rank_{r}" for r in range(1, 5)]))
 
 
-@query()
+@query(
+    "qvec",
+    f"select {_STATS}, round(100.0::double * count(*) filter (where hits > 0) / count(*), 6) as pct_found from counts",
+    _STATS_CTE.replace(_CAND, f"{_klsh_cte(300, 30, 180, 0, rounds=20)}, {_bands_cte(20, 9)}"),
+)
 def retrieve_default_hash(t):
     """The retrieval with the usual 180 bits in bands of nine."""
-    return _retrieval_stats_of(run_retrieval(_index(t), _queries(t), _truth(t)))
-
-
-def _retrieval_stats_of(found):
-    return _rounded(found.stats())
+    return _rounded(run_retrieval(_index(t), _queries(t), _truth(t)).stats())
