@@ -45,9 +45,8 @@ def memberships(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def places_in_set(members: DataFrame) -> DataFrame:
-    """(id, place): 0-based place of an id among its copies; ids without copies are left out."""
-    several = members.where(F.col("copies") > 1).select("gid", "id")
-    return rank_within(several, ["gid"], ["id"], "place").select(
+    """(id, place): 0-based place of each id among the copies of its vector."""
+    return rank_within(members.select("gid", "id"), ["gid"], ["id"], "place").select(
         "id", (F.col("place") - 1).alias("place")
     )
 

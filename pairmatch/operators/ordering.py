@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,45 @@ def _with_offset(placed: DataFrame, size: Column) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part")
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    here, last = column.slice(1), column.slice(0, len(column) - 1)
+    differs = pc.fill_null(pc.not_equal(here, last), False)
+    return np.asarray(pc.or_(differs, pc.xor(pc.is_null(here), pc.is_null(last))))
+
+
+def _totals_in_partition(group: list[str], weight: str):
+    """Task function: running sums per group inside a sorted partition."""
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, so_far, leading = None, 0, True
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            fresh = np.zeros(batch.num_rows, dtype=bool)
+            for name in group:
+                fresh[1:] |= _changes(batch.column(name))
+            first = [batch.column(name)[0].as_py() for name in group]
+            fresh[0] = last is not None and first != last
+            weights = batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(weights) - weights
+            # what was summed up before the group of each row began in this batch
+            starts = np.flatnonzero(fresh)
+            nth = np.cumsum(fresh)
+            base = np.concatenate([[-so_far], before[starts]])[nth]
+            leads = leading & (nth == 0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(before - base), pa.array(np.full(len(nth), part)), pa.array(leads)],
+                [*batch.schema.names, "_before", "_part", "_lead"],
+            )
+            last = [batch.column(name)[-1].as_py() for name in group]
+            so_far = int(before[-1] - base[-1] + weights[-1])
+            leading = bool(leads[-1])
+
+    return accumulate
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -69,57 +109,47 @@ def running_total(
 ) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows of the group that come earlier.
 
-    Like ``rank_within`` it runs over the range-partitioned order of the whole table, so a
-    group may be spread over many tasks.
+    The table is range partitioned on group and order, so a hot group is spread over many
+    tasks, and each task sums up what it holds.  Only the group a partition starts with can
+    have rows in earlier partitions, so what is carried over is a table with one row per
+    partition and is broadcast; nothing is shuffled or joined by group.
     """
-
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, so_far = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            weights = batch.column(weight).to_numpy(zero_copy_only=False)
-            ends = so_far + np.cumsum(weights)
-            columns = [
-                *batch.columns,
-                pa.array(ends - weights, pa.int64()),
-                pa.array(np.full(len(weights), part), pa.int64()),
-            ]
-            if len(weights):
-                so_far = int(ends[-1])
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_before", "_part"])
-
+    group = list(group)
     schema = T.StructType(
-        [*df.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_part", T.LongType())]
+        [
+            *df.schema.fields,
+            T.StructField("_before", T.LongType()),
+            T.StructField("_part", T.LongType()),
+            T.StructField("_lead", T.BooleanType()),
+        ]
     )
     placed = cut_lineage(
-        df.orderBy(*_columns([*group, *order])).mapInArrow(accumulate, schema)
+        df.orderBy(*_columns([*group, *order])).mapInArrow(_totals_in_partition(group, weight), schema)
     )
-    totals = (
-        _with_offset(placed, F.sum(weight))
-        .withColumn("_before", F.col("_before") + F.col("_offset"))
-        .drop("_part", "_offset")
+    key = F.struct(*group)
+    # at most one key per partition
+    leads = placed.where("_lead").select(key.alias("_key")).distinct()
+    sums = (
+        placed.join(F.broadcast(leads), key.eqNullSafe(F.col("_key")))
+        .groupBy("_key", "_part")
+        .agg(F.sum(weight).alias("_sum"))
     )
-    firsts = totals.groupBy(*group).agg(F.min("_before").alias("_first"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(
+        F.col("_key"), F.col("_part").alias("_p"), F.sum("_sum").over(earlier).alias("_carried")
+    ).where("_carried is not null")
     return (
-        totals.join(firsts, list(group))
-        .withColumn(name, F.col("_before") - F.col("_first"))
-        .drop("_before", "_first")
+        placed.join(
+            F.broadcast(carried), (F.col("_part") == F.col("_p")) & key.eqNullSafe(F.col("_key")), "left"
+        )
+        .withColumn(name, F.col("_before") + F.coalesce("_carried", F.lit(0)))
+        .drop("_before", "_part", "_lead", "_key", "_p", "_carried")
     )
 
 
 def rank_within(
     df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank"
 ) -> DataFrame:
-    """Add ``name``: 1-based position of each row in its group, like ``row_number``.
-
-    Works on the whole-table positions, so a hot group costs no single large task.  The
-    join back is on one row per group, which adaptive skew handling can split.
-    """
-    numbered = number_rows(df, [*group, *order], "_n")
-    firsts = numbered.groupBy(*group).agg(F.min("_n").alias("_first"))
-    matched = numbered.alias("a").join(
-        firsts.alias("f"),
-        [F.col(f"a.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group],
-    )
-    return matched.select(
-        "a.*", (F.col("a._n") - F.col("f._first") + 1).alias(name)
-    ).drop("_n")
+    """Add ``name``: 1-based position of each row in its group, like ``row_number``."""
+    counted = running_total(df.withColumn("_one", F.lit(1)), group, order, "_one", "_earlier")
+    return counted.withColumn(name, F.col("_earlier") + 1).drop("_one", "_earlier")

@@ -77,7 +77,10 @@ class Retrieval:
         queries = memberships(self._query_rows, self._query_sets).select(
             F.col("id").alias("query_id"), F.col("gid").alias("query_gid"), F.col("sig").alias("query_sig")
         )
-        originals = memberships(self._index_rows, self._index_sets).select(
+        wanted = self.truth.select(F.col("truth_id").alias("id"))
+        originals = memberships(
+            self._index_rows.join(wanted, "id", "left_semi"), self._index_sets
+        ).select(
             F.col("id").alias("truth_id"), F.col("gid").alias("truth_gid"), F.col("sig").alias("truth_sig")
         )
         shared = self.layout.first_shared_band(F.col("query_sig"), F.col("truth_sig"))
@@ -90,6 +93,11 @@ class Retrieval:
             )
         )
 
+    def _copies_of(self, gids: DataFrame) -> DataFrame:
+        """(id, gid, sig, copies) of the index rows in those of the sets that have copies."""
+        several = self._index_sets.where(F.col("copies") > 1).join(gids, "gid", "left_semi")
+        return memberships(self._index_rows, several)
+
     def counts(self) -> DataFrame:
         """(query_id, n_candidates, hits) of every query."""
         per_set = self.matches.groupBy("query_gid").agg(F.sum("copies").alias("n_candidates"))
@@ -122,9 +130,8 @@ class Retrieval:
         ahead = running_total(
             self.scored, ["query_gid"], [F.desc("score"), F.asc("cand_gid")], "copies", "ahead"
         ).select("query_gid", F.col("cand_gid").alias("truth_gid"), "ahead")
-        places = places_in_set(memberships(self._index_rows, self._index_sets)).withColumnRenamed(
-            "id", "truth_id"
-        )
+        originals = self._queries_with_truth.select(F.col("truth_gid").alias("gid"))
+        places = places_in_set(self._copies_of(originals)).withColumnRenamed("id", "truth_id")
         some = self.matches.select("query_gid").distinct()
         first = F.col("ahead") + F.coalesce("place", F.lit(0)) + 1
         return (
@@ -153,16 +160,20 @@ class Retrieval:
         sets = self.scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
         by_id = Window.partitionBy("gid").orderBy("id")
         members = (
-            memberships(self._index_rows, self._index_sets)
-            .select(F.col("gid"), F.col("id"))
+            self._copies_of(sets.select(F.col("cand_gid").alias("gid")))
+            .select("gid", "id")
             .withColumn("_m", F.row_number().over(by_id))
             .where(F.col("_m") <= k)
-            .select(F.col("gid").alias("cand_gid"), F.col("id").alias("cand_id"))
+            .select(F.col("gid").alias("cand_gid"), F.col("id").alias("member"))
         )
         within = Window.partitionBy("query_gid").orderBy(F.desc("score"), "cand_gid", "cand_id")
         listed = (
-            sets.select("query_gid", "cand_gid", "score")
-            .join(members, "cand_gid")
+            sets.join(members, "cand_gid", "left")
+            .select(
+                "query_gid", "cand_gid", "score",
+                # a vector without copies is named by its only id
+                F.coalesce("member", "cand_gid").alias("cand_id"),
+            )
             .withColumn("rank", F.row_number().over(within))
             .where(F.col("rank") <= k)
         )

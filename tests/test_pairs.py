@@ -65,6 +65,31 @@ def test_running_total(spark):
     assert len(got) == len(rows)
 
 
+def test_running_total_of_a_group_over_many_partitions(spark):
+    """Partitions that hold one group only, and groups that end where a partition does."""
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sizes = {"a": 1, "b": 150, "c": 3, None: 120, "e": 40}
+        rows = [(g, i, (i * 7) % 5) for g, n in sizes.items() for i in range(n)]
+        df = spark.createDataFrame(rows, "g string, i int, w int").repartition(4)
+        got = running_total(df, ["g"], ["i"], "w").collect()
+        assert len(got) == len(rows)
+        for g, n in sizes.items():
+            mine = sorted((r for r in got if r.g == g), key=lambda r: r.i)
+            assert [r.before for r in mine] == [sum((j * 7) % 5 for j in range(i)) for i in range(n)]
+        two = running_total(df.withColumn("h", F.col("i") % 2), ["g", "h"], ["i"], "w").collect()
+        for r in two:
+            assert r.before == sum((j * 7) % 5 for j in range(r.i % 2, r.i, 2))
+        ranks = rank_within(df, ["g"], [F.desc("i")]).collect()
+        assert all(r["rank"] == sizes[r.g] - r.i for r in ranks)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_results_do_not_depend_on_shuffle_partitions(spark):
     df, _ = scored_pairs(spark)
     results = []
