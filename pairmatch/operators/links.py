@@ -78,8 +78,9 @@ def block_links(links: DataFrame, blocked: Sequence[str] = tuple(fx.BLOCKED_LINK
 
 def subtract_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` that ``right`` does not have; duplicates on the left stay."""
-    same = [left[c].eqNullSafe(right[c]) for c in left.columns]
-    return left.join(right, same, "left_anti")
+    known = right.select(*[F.col(c).alias(f"_{c}") for c in left.columns]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns]
+    return left.join(known, same, "left_anti")
 
 
 def direct_replies(comments: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Baseline: random hyperplanes, one table, nearest rows of the query's bucket."""
+"""Random hyperplanes: the hash and the search of the plain baseline."""
 
 from __future__ import annotations
 
@@ -6,13 +6,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import WORD_BITS, BandLayout
 from pairmatch.functions.names import number_of_str
-from pairmatch.functions.vectors import squared_l2
-from pairmatch.operators.candidates import band_candidates
 from pairmatch.operators.hashing import HashModel
 from pairmatch.operators.skew import ROWS_PER_SPLIT, split_join
 
@@ -48,19 +46,17 @@ def random_projection_lsh(bits: int = 300, dim: int = 960, seed: int = 0) -> Hyp
     return HyperplaneModel(hyperplanes(bits, dim, seed))
 
 
-def bucket_candidates(
-    index: DataFrame,
-    queries: DataFrame,
+def near_matches(
+    index_sets: DataFrame,
+    query_sets: DataFrame,
     layout: BandLayout,
-    radius: int = 0,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """(query_id, cand_id) with equal signatures, or with at most one different bit."""
-    if radius == 0:
-        return band_candidates(index, queries, layout, rows_per_split)
-    if radius != 1:
-        raise ValueError("radius must be 0 or 1")
-    # probe the query's own bucket and the ones a single bit away: still an equi-join
+    """(query_gid, cand_gid, copies): distinct vectors whose bits differ in one place at most.
+
+    Each query probes its own bucket and the ones a single bit away, so this is an equi-join
+    like any other.
+    """
     flipped = F.transform(
         "sig",
         lambda word, i: F.when(
@@ -74,51 +70,16 @@ def bucket_candidates(
         for word, shift, size in layout.places(band)
         for i in range(size)
     ]
-    probes = queries.select(
-        F.col("id").alias("query_id"),
+    probes = query_sets.select(
+        F.col("gid").alias("query_gid"),
         "sig",
         F.explode(F.array(F.lit(None).cast("int"), *[F.lit(f) for f in flips])).alias("flip"),
-    ).select("query_id", F.when(F.col("flip").isNull(), F.col("sig")).otherwise(flipped).alias("sig"))
+    ).select("query_gid", F.when(F.col("flip").isNull(), F.col("sig")).otherwise(flipped).alias("sig"))
     return split_join(
         probes,
-        index.select("sig", F.col("id").alias("cand_id")),
+        index_sets.select("sig", F.col("gid").alias("cand_gid"), "copies"),
         ["sig"],
-        left_id=["query_id"],
-        right_id=["cand_id"],
+        left_id=["query_gid"],
+        right_id=["cand_gid"],
         rows_per_split=rows_per_split,
-    ).select("query_id", "cand_id")
-
-
-def nearest_in_bucket(
-    candidates: DataFrame, index: DataFrame, queries: DataFrame, k: int = 5
-) -> DataFrame:
-    """(query_id, cand_id, distance, rank): the ``k`` candidates nearest to each query.
-
-    ``index`` and ``queries`` are (id, vec).  The rank limit is applied in every task before
-    the shuffle, so a query with very many candidates sends on only ``k`` per task.
-    """
-    scored = (
-        candidates.join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv")), "query_id")
-        .join(index.select(F.col("id").alias("cand_id"), F.col("vec").alias("cv")), "cand_id")
-        .select("query_id", "cand_id", squared_l2(F.col("qv"), F.col("cv")).alias("distance"))
-    )
-    order = Window.partitionBy("query_id").orderBy("distance", "cand_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def lsh_baseline(
-    index: DataFrame,
-    queries: DataFrame,
-    bits: int = 300,
-    k: int = 5,
-    seed: int = 0,
-    radius: int = 0,
-) -> DataFrame:
-    """Top ``k`` bucket neighbours of every query; both inputs are (id, vec)."""
-    dim = len(index.where(F.col("vec").isNotNull()).select("vec").first()["vec"])
-    model = random_projection_lsh(bits, dim, seed)
-    layout = model.layout(bits)
-    found = bucket_candidates(
-        model.signatures(index, layout), model.signatures(queries, layout), layout, radius
-    )
-    return nearest_in_bucket(found, index, queries, k)
+    ).select("query_gid", "cand_gid", "copies")

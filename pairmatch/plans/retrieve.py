@@ -19,7 +19,8 @@ from pairmatch.operators.copies import (
     set_matches,
     signed_rows,
 )
-from pairmatch.operators.klsh import KLSH, KLSHModel
+from pairmatch.operators.hashing import HashModel
+from pairmatch.operators.klsh import KLSH
 from pairmatch.operators.metrics import retrieval_stats, summarize_ranks
 from pairmatch.operators.ordering import running_total
 from pairmatch.operators.pairs import NEGATIVE, POSITIVE
@@ -35,17 +36,25 @@ class Retrieval:
     """A retrieval whose stages are computed once, when first asked for.
 
     ``index`` and ``queries`` are (id, vec), ``truth`` is (query_id, truth_id) with one row
-    per query.  Candidates are searched, scored and ranked between distinct vectors; copies
-    enter as weights.  Among equal scores, distinct vectors go by their smallest id and
-    copies by their own.
+    per query, or None.  Candidates are searched, scored and ranked between distinct
+    vectors; copies enter as weights.  Among equal scores, distinct vectors go by their
+    smallest id and copies by their own.
     """
 
-    model: KLSHModel
+    model: HashModel
     layout: BandLayout
     index: DataFrame
     queries: DataFrame
-    truth: DataFrame
+    truth: DataFrame | None = None
     score: Callable[[Column, Column], Column] = closeness
+    search: Callable[[DataFrame, DataFrame, BandLayout], DataFrame] = set_matches
+
+    def __post_init__(self) -> None:
+        if self.truth is None:
+            id_type = self.index.schema["id"].dataType
+            self.truth = self.queries.select(
+                F.col("id").alias("query_id"), F.lit(None).cast(id_type).alias("truth_id")
+            )
 
     @cached_property
     def _index_rows(self) -> DataFrame:
@@ -65,8 +74,8 @@ class Retrieval:
 
     @cached_property
     def matches(self) -> DataFrame:
-        """(query_gid, cand_gid, copies): pairs of distinct vectors that share a band."""
-        return cut_lineage(set_matches(self._index_sets, self._query_sets, self.layout))
+        """(query_gid, cand_gid, copies): pairs of distinct vectors found by the search."""
+        return cut_lineage(self.search(self._index_sets, self._query_sets, self.layout))
 
     @cached_property
     def _queries_with_truth(self) -> DataFrame:
@@ -195,7 +204,7 @@ class Retrieval:
 def retrieve(
     index: DataFrame,
     queries: DataFrame,
-    truth: DataFrame,
+    truth: DataFrame | None = None,
     p: int = 300,
     t: int = 30,
     b: int = 180,

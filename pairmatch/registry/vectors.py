@@ -19,6 +19,7 @@ from pairmatch.operators import klsh as kl
 from pairmatch.operators import lsh as ls
 from pairmatch.operators import metrics as mt
 from pairmatch.operators import pairs as pr
+from pairmatch.plans.baseline import lsh_baseline
 from pairmatch.plans.retrieve import retrieve as run_retrieval
 from pairmatch.registry.base import register
 from pairmatch.sources import store
@@ -387,13 +388,13 @@ _NEAREST = "select query_id, cand_id, round(distance, 6) as distance, rank from
 
 @query("qvec", _NEAREST, _lsh_cte(0))
 def lsh_topk(t):
-    found = ls.lsh_baseline(_index(t), _queries(t), LSH_BITS, 5, LSH_SEED)
+    found = lsh_baseline(_index(t), _queries(t), LSH_BITS, 5, LSH_SEED)
     return found.withColumn("distance", F.round("distance", 6))
 
 
 @query("qvec", _NEAREST, _lsh_cte(1))
 def lsh_topk_radius(t):
-    found = ls.lsh_baseline(_index(t), _queries(t), LSH_BITS, 5, LSH_SEED, radius=1)
+    found = lsh_baseline(_index(t), _queries(t), LSH_BITS, 5, LSH_SEED, radius=1)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -404,7 +405,7 @@ def lsh_topk_radius(t):
     _lsh_cte(0),
 )
 def baseline_recall(t):
-    found = ls.lsh_baseline(_index(t), _queries(t), LSH_BITS, 5, LSH_SEED)
+    found = lsh_baseline(_index(t), _queries(t), LSH_BITS, 5, LSH_SEED)
     return _rounded(mt.recall(found, _truth(t)))
 
 

@@ -10,6 +10,7 @@ from pairmatch.operators import candidates as cd
 from pairmatch.operators import klsh as kl
 from pairmatch.operators import lsh as ls
 from pairmatch.operators.skew import split_join
+from pairmatch.plans.baseline import lsh_baseline
 from pairmatch.sources import store
 from pairmatch.streaming.probe import probe_index
 
@@ -230,7 +231,7 @@ def test_lsh_baseline_matches_brute_force(spark, radius):
         dist = {c: ((np.array(vecs[c]) - np.array(qvecs[q])) ** 2).sum() for c in inside}
         best = sorted(inside, key=lambda c: (dist[c], c))[:3]
         expected |= {(q, c, r + 1) for r, c in enumerate(best)}
-    got = ls.lsh_baseline(df, qdf, bits=5, k=3, seed=1, radius=radius)
+    got = lsh_baseline(df, qdf, bits=5, k=3, seed=1, radius=radius)
     assert {(r.query_id, r.cand_id, r["rank"]) for r in got.collect()} == expected
 
 
@@ -238,7 +239,8 @@ def test_lsh_probes_reach_past_one_word(spark):
     layout = BandLayout(70, 70)
     bits = np.zeros((2, 70), dtype=np.uint8)
     bits[1, 66] = 1
-    rows = [(i, s) for i, s in enumerate(layout.pack(bits).tolist())]
-    signed = spark.createDataFrame(rows, "id long, sig array<bigint>")
-    assert pairs_in(ls.bucket_candidates(signed, signed, layout, 1)) == {(0, 0), (0, 1), (1, 0), (1, 1)}
-    assert pairs_in(ls.bucket_candidates(signed, signed, layout, 0)) == {(0, 0), (1, 1)}
+    rows = [(i, s, 1) for i, s in enumerate(layout.pack(bits).tolist())]
+    sets = spark.createDataFrame(rows, "gid long, sig array<bigint>, copies long")
+    for rows_per_split in (100, 1):
+        found = ls.near_matches(sets, sets, layout, rows_per_split)
+        assert pairs_in(found.select("query_gid", "cand_gid")) == {(0, 0), (0, 1), (1, 0), (1, 1)}
