@@ -12,7 +12,10 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add this package to the application's Python files, once per application."""
+    """Add this package to the application's Python files, once per application.
+
+    The archive is made on the driver and Spark sends it to every executor.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

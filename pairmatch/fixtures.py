@@ -1,8 +1,9 @@
 """Inputs for checks and benchmarks, derived from the given tables.
 
-Every view has one SQL text for Spark and DuckDB.  Three marks differ between the two:
-``{R:x}`` is the 32-bit number of the string x, ``{SEQ:n}`` a row for each of 0 to n-1,
-and ``{NUDGED}`` the embedding with a small shift that depends on row and element.
+Every view has one SQL text for Spark and DuckDB.  A few marks differ between the two:
+``{R:x}`` is the 32-bit number of the string x and ``{W:x}`` its 60-bit number,
+``{SEQ:n}`` a row for each of 0 to n-1, ``{NUDGED}`` the embedding with a small shift that
+depends on row and element, and ``{ESC}`` names the escape character of a pattern.
 """
 
 from __future__ import annotations
@@ -137,12 +138,14 @@ _USES = {"name_pairs": ["assets"]}
 
 _SPARK_MARKS = {
     "R": "cast(conv(substring(md5({x}),1,8),16,10) as bigint)",
+    "W": "cast(conv(substring(md5({x}),1,15),16,10) as bigint)",
     "SEQ": "explode(sequence(0, {x} - 1))",
     "NUDGED": "transform(embedding, (x, i) -> cast(x as double) + 0.05D * (((vec_id * 31 + i * 17) % 11) - 5) / 5.0D)",
     "ESC": "",
 }
 _DUCKDB_MARKS = {
     "R": "cast(('0x' || substr(md5({x}),1,8)) as bigint)",
+    "W": "cast(('0x' || substr(md5({x}),1,15)) as bigint)",
     "SEQ": "unnest(range(0, {x}))",
     "NUDGED": "list_transform(embedding, lambda x, i: cast(x as double) + 0.05::double * (((vec_id * 31 + (i - 1) * 17) % 11) - 5) / 5.0::double)",
     "ESC": "escape '\\'",
@@ -153,7 +156,7 @@ def render(text: str, marks: dict[str, str]) -> str:
     """SQL with its marks replaced for one engine."""
     out = []
     at = 0
-    for found in re.finditer(r"\{(R|SEQ|NUDGED|ESC)(:)?", text):
+    for found in re.finditer(r"\{(R|W|SEQ|NUDGED|ESC)(:)?", text):
         if found.start() < at:
             continue
         depth, end = 1, found.end()

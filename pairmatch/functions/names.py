@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def number_of(text: Column) -> Column:
-    """A 32-bit number derived from a string: the same in Python, Spark and plain SQL."""
-    return F.conv(F.substring(F.md5(text.cast("string")), 1, 8), 16, 10).cast("bigint")
+def number_of(text: Column, digits: int = 8) -> Column:
+    """A number of so many hex digits from a string: the same in Python, Spark and plain SQL.
+
+    Eight digits make 32 bits; fifteen are the most that fit a signed 64-bit number.
+    """
+    return F.conv(F.substring(F.md5(text.cast("string")), 1, digits), 16, 10).cast("bigint")
 
 
 def number_of_str(text: str) -> int:

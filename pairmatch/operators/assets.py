@@ -119,7 +119,8 @@ def make_training_pairs(
     )
 
     def drawn(kind):
-        return number_of(F.concat(F.lit(f"{seed}-{kind}-"), F.col("filename")))
+        # wide enough to reach every post of a very large table
+        return number_of(F.concat(F.lit(f"{seed}-{kind}-"), F.col("filename")), 15)
 
     # 1..n without i: go on from i by 1 to n-1 places, in a circle
     other = 1 + F.pmod(F.col("i") + F.pmod(drawn("sibling"), F.col("n") - 1), F.col("n"))

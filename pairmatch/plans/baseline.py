@@ -11,6 +11,10 @@ from pairmatch.operators.lsh import near_matches, random_projection_lsh
 from pairmatch.plans.retrieve import Retrieval
 
 
+def _by_distance(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("score", -squared_l2(F.col("query_vec"), F.col("cand_vec")))
+
+
 def lsh_baseline(
     index: DataFrame,
     queries: DataFrame,
@@ -33,7 +37,7 @@ def lsh_baseline(
         model.layout(bits),
         index,
         queries,
-        score=lambda a, b: -squared_l2(a, b),
+        scorer=_by_distance,
         search=near_matches if radius else set_matches,
     )
     return found.top(k).select("query_id", "cand_id", (-F.col("score")).alias("distance"), "rank")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
@@ -26,9 +26,9 @@ from pairmatch.operators.ordering import running_total
 from pairmatch.operators.pairs import NEGATIVE, POSITIVE
 
 
-def closeness(a: Column, b: Column) -> Column:
-    """exp(-|a - b|^2): a score that needs no training."""
-    return F.exp(-squared_l2(a, b))
+def by_closeness(pairs: DataFrame) -> DataFrame:
+    """Adds ``score`` exp(-|a - b|^2), which needs no training."""
+    return pairs.withColumn("score", F.exp(-squared_l2(F.col("query_vec"), F.col("cand_vec"))))
 
 
 @dataclass
@@ -38,7 +38,9 @@ class Retrieval:
     ``index`` and ``queries`` are (id, vec), ``truth`` is (query_id, truth_id) with one row
     per query, or None.  Candidates are searched, scored and ranked between distinct
     vectors; copies enter as weights.  Among equal scores, distinct vectors go by their
-    smallest id and copies by their own.
+    smallest id and copies by their own.  ``search`` finds pairs of distinct vectors and
+    ``scorer`` adds ``score`` to pairs with ``query_vec`` and ``cand_vec``, by an expression
+    or a trained model.
     """
 
     model: HashModel
@@ -46,7 +48,7 @@ class Retrieval:
     index: DataFrame
     queries: DataFrame
     truth: DataFrame | None = None
-    score: Callable[[Column, Column], Column] = closeness
+    scorer: Callable[[DataFrame], DataFrame] = by_closeness
     search: Callable[[DataFrame, DataFrame, BandLayout], DataFrame] = set_matches
 
     def __post_init__(self) -> None:
@@ -125,14 +127,8 @@ class Retrieval:
         """(query_gid, cand_gid, copies, score): every candidate pair of distinct vectors."""
         queries = self.queries.select(F.col("id").alias("query_gid"), F.col("vec").alias("query_vec"))
         index = self.index.select(F.col("id").alias("cand_gid"), F.col("vec").alias("cand_vec"))
-        return cut_lineage(
-            self.matches.join(queries, "query_gid")
-            .join(index, "cand_gid")
-            .select(
-                "query_gid", "cand_gid", "copies",
-                self.score(F.col("query_vec"), F.col("cand_vec")).alias("score"),
-            )
-        )
+        pairs = self.matches.join(queries, "query_gid").join(index, "cand_gid")
+        return cut_lineage(self.scorer(pairs).select("query_gid", "cand_gid", "copies", "score"))
 
     def query_ranks(self, k: int = 3) -> DataFrame:
         """(query_id, first_rank, mean_reciprocal, top_hits) of queries with candidates."""
@@ -210,8 +206,8 @@ def retrieve(
     b: int = 180,
     r: int = 9,
     seed: int = 0,
-    score: Callable[[Column, Column], Column] = closeness,
+    scorer: Callable[[DataFrame], DataFrame] = by_closeness,
 ) -> Retrieval:
     """Fit the hash on the index and set up the retrieval of all queries."""
     model = KLSH(p, t, b, seed).fit(index)
-    return Retrieval(model, model.layout(r), index, queries, truth, score)
+    return Retrieval(model, model.layout(r), index, queries, truth, scorer)

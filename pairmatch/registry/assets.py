@@ -167,7 +167,7 @@ posts as (
 ),
 kids as (
   select r.post_id, r.filename, r.rn - 1 as i, p.parent, p.n, p.k,
-    {R:concat('7-sibling-', r.filename)} as hs, {R:concat('7-negative-', r.filename)} as hn,
+    {W:concat('7-sibling-', r.filename)} as hs, {W:concat('7-negative-', r.filename)} as hn,
     (select count(*) from posts) as total
   from roles r join posts p on r.post_id = p.post_id where r.role = 'child'
 ),

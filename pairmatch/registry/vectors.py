@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairmatch.functions import vectors as fv
@@ -19,6 +20,8 @@ from pairmatch.operators import klsh as kl
 from pairmatch.operators import lsh as ls
 from pairmatch.operators import metrics as mt
 from pairmatch.operators import pairs as pr
+from pairmatch.operators import scoring as sc
+from pairmatch.operators.ordering import rank_within
 from pairmatch.plans.baseline import lsh_baseline
 from pairmatch.plans.retrieve import retrieve as run_retrieval
 from pairmatch.registry.base import register
@@ -330,8 +333,6 @@ def permute_bits(t):
 
 @query("qvec", "select perm, id, pos - 1 as place from placed", _PERM_CTE)
 def sort_by_bits(t):
-    from pairmatch.operators.ordering import rank_within
-
     model = kl.KLSH(P, T, PERM_BITS, SEED).fit(_index(t))
     layout = model.layout(PERM_BITS)
     keys = cd.sort_keys(model.signatures(_index(t), layout), layout, N_PERM, 2)
@@ -441,19 +442,36 @@ ranked as (
 per_query as (select query_id, min(case when label = 1 then rank end) as first_rank from ranked group by query_id)"""
 
 
-def _retrieval(t):
-    return run_retrieval(_index(t), _queries(t), _truth(t), P, T, B, R, SEED)
+def _retrieval(t, **options):
+    return run_retrieval(_index(t), _queries(t), _truth(t), P, T, B, R, SEED, **options)
 
 
-@query(
-    "qvec",
-    "select query_id, cand_id, cast(label as double) as label, round(score, 6) as score, rank from ranked where rank <= 10",
-    _SCORED_CTE,
-)
+_TOP = """select query_id, cand_id, cast(label as double) as label, round(score, 6) as score, rank
+  from ranked where rank <= 10"""
+
+
+@query("qvec", _TOP, _SCORED_CTE)
 def retrieve(t):
     return _retrieval(t).top(10).withColumn("score", F.round("score", 6))
 
 
+def _closeness():
+    def predict(a, b):
+        return np.exp(-((a - b) ** 2).sum(axis=1))
+
+    return predict
+
+
+@query("qvec", _TOP, _SCORED_CTE)
+def retrieve_with_model(t):
+    """The candidates scored in batches by a model of the two vectors."""
+    def scorer(pairs):
+        doubles = pairs.withColumn("cand_vec", F.col("cand_vec").cast("array<double>"))
+        return sc.score_pairs(doubles, _closeness, dim=64)
+
+    return _retrieval(t, scorer=scorer).top(10).withColumn("score", F.round("score", 6))
+
+
 _SHARES = ", ".join(
     f"round(100.0::double * count(*) filter (where first_rank = {r}) / count(first_rank), 6) as pct_rank_{r}"
     for r in range(1, 5)
