@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.operators.ordering import number_rows
+from pairmatch.operators.skew import split_join
 
 BATCH_SIZE = 10_000
 # What a label means
@@ -102,25 +105,35 @@ def relevant_positions(packed: DataFrame) -> DataFrame:
     )
 
 
-def _related(queries: DataFrame, candidates: DataFrame, match: str) -> DataFrame:
-    """(query_id, cand_id, …) of related names, by equi-join."""
+def _looked_up_stems(queries: DataFrame, candidates: DataFrame, match: str) -> DataFrame:
+    """(query_id, i, key): the stems that would make a candidate positive for the query.
+
+    For ``contains`` these are the parts of the query's own name that can be a stem at all:
+    parts that begin like every stem does and are as long as some stem.  So containment is
+    looked up by equality.
+    """
     if match == "exact":
-        keyed = queries.select("query_id", "i", F.col("stem").alias("key"))
-    elif match == "contains":
-        # every part of the query's own name, so the candidate's stem is looked up by equality
-        ends = F.sequence(F.col("at"), F.length("name"))
-        keyed = (
-            queries.where(F.length("name") > 0)
-            .select("query_id", "i", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-            .select("query_id", "i", "name", "at", F.explode(ends).alias("to"))
-            .select(
-                "query_id", "i", F.expr("substring(name, at, to - at + 1)").alias("key")
-            )
-            .distinct()
-        )
-    else:
+        return queries.select("query_id", "i", F.col("stem").alias("key"))
+    if match != "contains":
         raise ValueError(f"unknown match {match!r}")
-    return keyed.join(candidates.select("cand_id", "position", F.col("stem").alias("key")), "key")
+    # one row: two names, and as many lengths as there are different ones
+    low, high, lengths = candidates.agg(
+        F.min("stem"), F.max("stem"), F.collect_set(F.length("stem"))
+    ).first()
+    begin = os.path.commonprefix([low or "", high or ""])
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    name = F.col("name")
+    starts = F.filter(
+        F.sequence(F.lit(1), F.length(name) + 1),
+        lambda at: F.substring(name, at, F.lit(len(begin))) == F.lit(begin),
+    )
+
+    def parts(at):
+        fitting = F.filter(sizes, lambda n: at + n - 1 <= F.length(name))
+        return F.transform(fitting, lambda n: F.substring(name, at, n))
+
+    keys = F.array_distinct(F.flatten(F.transform(starts, parts)))
+    return queries.select("query_id", "i", F.explode(keys).alias("key"))
 
 
 def exhaustive_index(
@@ -132,7 +145,8 @@ def exhaustive_index(
     order, so pair number and batch follow from the two positions.  Returned are the range
     of every query (query_id, n_pairs, start_batch, start_slot, end_batch, end_slot,
     n_relevant) and the positive pairs (query_id, cand_id, position, batch, slot, label);
-    every other pair in a query's range is negative.
+    every other pair in a query's range is negative.  The ranges count candidates by stem
+    and never list positive pairs, of which one popular stem can have very many.
     """
     placed = number_rows(
         candidates.select(F.col("id").alias("cand_id"), "name", "stem"), ["name", "cand_id"], "position"
@@ -141,10 +155,17 @@ def exhaustive_index(
     ordered = number_rows(
         queries.select(F.col("id").alias("query_id"), "name", "stem"), ["name", "query_id"], "i"
     )
+    keyed = _looked_up_stems(ordered, placed, match)
     first = F.col("i") * F.lit(total)
-    related = _related(ordered, placed, match)
+
     n = first + F.col("position")
-    positives = related.select(
+    positives = split_join(
+        keyed,
+        placed.select("cand_id", "position", F.col("stem").alias("key")),
+        ["key"],
+        left_id=["query_id"],
+        right_id=["cand_id"],
+    ).select(
         "query_id",
         "cand_id",
         "position",
@@ -152,7 +173,9 @@ def exhaustive_index(
         F.pmod(n, F.lit(size)).alias("slot"),
         F.lit(POSITIVE).alias("label"),
     )
-    relevant = related.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+
+    per_stem = placed.groupBy(F.col("stem").alias("key")).agg(F.count(F.lit(1)).alias("held"))
+    relevant = keyed.join(per_stem, "key").groupBy("query_id").agg(F.sum("held").alias("n_relevant"))
     ranges = ordered.join(relevant, "query_id", "left").select(
         "query_id",
         F.lit(total).cast("bigint").alias("n_pairs"),

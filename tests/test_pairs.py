@@ -250,6 +250,19 @@ def test_exhaustive_index_equals_the_product(spark, mode, match):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_exhaustive_index_with_stems_that_share_no_beginning(spark):
+    names = [(0, "ab_ab_x", "zz"), (1, "q", "q"), (2, "abc", "c"), (3, "", "")]
+    stems = [(10, "n1", "ab"), (11, "n2", "c"), (12, "n3", "ab"), (13, "n4", "x"), (14, "n5", "q"), (15, "n6", "")]
+    queries = spark.createDataFrame(names, "id long, name string, stem string")
+    candidates = spark.createDataFrame(stems, "id long, name string, stem string")
+    ranges, positives = pr.exhaustive_index(queries, candidates)
+    expected = {(q, c) for q, name, _ in names for c, _, stem in stems if stem in name}
+    assert {(r.query_id, r.cand_id) for r in positives.collect()} == expected
+    assert {r.query_id: r.n_relevant for r in ranges.collect()} == {
+        q: sum(a == q for a, _ in expected) for q, _, _ in names
+    }
+
+
 def test_label_pairs_by_part_and_exact(spark):
     pairs = spark.createDataFrame(
         [("t3_p12_1.jpg", "t3_p12", "t3_p1"), ("t3_p12_1.jpg", "t3_p12", "t3_p12"), ("t3_p2_1.jpg", "t3_p2", "t3_p1")],
