@@ -11,7 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmatch.lineage import cut_lineage
+from pairmatch.lineage import cut_lineage, scratch_path
+
+def stored(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once into a Parquet table in the session's shared checkpoint folder and reads it back."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 _CACHED_WORDS = 1_000_000
 

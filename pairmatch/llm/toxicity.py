@@ -248,3 +248,15 @@ def score(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores below ``threshold``, with all their columns, whatever their names."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [lexicon.score(t) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
