@@ -7,12 +7,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage, scratch_path
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Computes ``df`` once into a Parquet table in the session's shared checkpoint folder and reads it back."""
     path = scratch_path(df.sparkSession, "table")
@@ -20,24 +23,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_CACHED_WORDS = 1_000_000
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for up to a million words at a time."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _CACHED_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_PIECE = 1 << 20
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+# a random value for each byte, the same for A-Z as for a-z
+_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
+_VALUES[0x41:0x5B] = _VALUES[0x61:0x7B]
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -84,6 +75,52 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
         return scramble((sums[length:] - sums[:-length]) * inverses[:count] + np.uint64(length))
 
 
+def _hashed(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in some text, and where they begin; no word crosses the positions ``rows``."""
+    solid = ~_SPACES[data]
+    before = np.zeros(len(data) + 1, bool)
+    before[1:] = solid
+    before[rows] = False
+    after = np.zeros(len(data) + 1, bool)
+    after[:-1] = solid
+    after[rows] = False
+    begins = np.flatnonzero(solid & ~before[:-1])
+    ends = np.flatnonzero(solid & ~after[1:]) + 1
+    powers, inverses = _power_tables(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
+        return scramble((sums[ends] - sums[begins]) * inverses[begins] + (ends - begins).astype(np.uint64)), begins
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a column, and the edges of each text's words among them.
+
+    Words are what stands between ASCII white space, with A-Z in lower case; a null text has none.
+    The bytes are hashed in pieces of about a megabyte, cut between words.
+    """
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    start, end = int(offsets[0]), int(offsets[-1])
+    hashes, begins = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    while start < end:
+        stop = min(end, start + _PIECE)
+        while stop < end:  # up to the next white space or text
+            gap = np.flatnonzero(_SPACES[data[stop : stop + 4096]])
+            row = offsets[np.searchsorted(offsets, stop)]
+            stop = min(int(row), stop + (int(gap[0]) if len(gap) else 4096), end)
+            if len(gap) or stop == row:
+                break
+        rows = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, "right")] - start
+        found, at = _hashed(data[start:stop], rows)
+        hashes.append(found)
+        begins.append(at + start)
+        start = stop
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's long."""
     return np.ascontiguousarray(values).view(np.int64)
@@ -96,7 +133,7 @@ def lists(values: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` has about ``most`` bytes of text in each, one row at least."""
     for batch in batches:
         start, held = 0, 0

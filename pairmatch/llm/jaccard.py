@@ -1,16 +1,16 @@
 """Join of documents by the Jaccard similarity of their word n-grams, with signature trees.
 
 1. Documents with the same set are folded into one node, so copies never meet each other.
-2. Each set is dealt to its prefix keys: with a threshold of t, two sets that link share one of the first
-   n - ceil(t n) + 1 n-grams in any common order.  Frequent n-grams come last in that order.
+2. Each set is dealt to its prefix keys: with a threshold of t, two sets that link share at least l of their
+   first n - ceil(t n) + l n-grams in any common order.  Frequent n-grams come last in that order.
 3. Hubs: sets that share much of their prefix with the smallest id of a key are compared with it, which joins
    large groups of near copies by a few links each instead of all pairs.
 4. Trees: sets of one key that aren't joined yet go into a tree.  A node holds the OR of the token bitmaps
    below it, their range of sizes and the most n-grams that share bits; pairs of nodes are traversed from the root,
    and a pair is dropped if its highest possible overlap is too small.
-5. What is left is verified on whole sets, and links become components.
+5. Pairs that are left in l keys or more are verified on whole sets, and links become components.
 
-Steps 2 and 4 lose nothing, so the components are exact; step 3 only saves work.
+Steps 2, 4 and 5 lose nothing, so the components are exact; step 3 only saves work.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import WordHashes, components, lists, lower_words, scramble, signed, small_batches, window_hashes
+from pairmatch.llm.common import components, lists, scramble, signed, small_batches, stored, window_hashes, word_hashes
 
 BITS = 1024
 _LONGS = BITS // 64
@@ -34,20 +34,34 @@ PIECE = 20_000
 _PAIRS_AT_ONCE = 100_000
 
 
-def shingles(text: str | None, length: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``length`` words; of all words if there are fewer."""
-    words = hashes.of(lower_words(text))
-    return np.unique(window_hashes(words, max(1, min(length, len(words)))))
+def shingle_sets(column: pa.Array, length: int) -> list[np.ndarray]:
+    """For each text, sorted hashes of its distinct runs of ``length`` words; of all words if there are fewer."""
+    words, edges = word_hashes(column)
+    runs = window_hashes(words, length)
+    out = []
+    for start, end in zip(edges, edges[1:], strict=False):
+        if end - start >= length:
+            found = np.sort(runs[start : end - length + 1])
+            found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+        else:
+            found = window_hashes(words[start:end], end - start) if end > start else words[:0]
+        out.append(found)
+    return out
 
 
 def set_id(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) - 2**63
 
 
+def least_shared(n):
+    """How many prefix keys two sets share at least if they link, the smaller of which has ``n`` n-grams."""
+    return 1 + n // 64
+
+
 def prefix(members: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
     """The first n-grams of the set in the common order: frequent ones last, else by hash."""
     n = len(members)
-    size = n - (percent * n + 99) // 100 + 1 if n else 0
+    size = n - (percent * n + 99) // 100 + least_shared(n) if n else 0
     if len(frequent) and n:
         at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
         often = frequent[at] == members
@@ -65,8 +79,7 @@ class SignatureTree:
     """Sets in order of size under nodes of ``FANOUT`` children, with leaves of ``LEAF`` sets."""
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, slots: np.ndarray):
-        surplus = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        one = {"low": sizes, "high": sizes, "bits": bits, "surplus": surplus, "group": groups, "slot": slots}
+        one = self.leaves(sizes, bits, groups, slots)
         self.levels = [one]
         width = LEAF
         while len(one["low"]) > 1:
@@ -83,15 +96,17 @@ class SignatureTree:
             self.levels.append(one)
             width = FANOUT
 
-    def pairs(self, percent: int, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of sets, by place, that may link and aren't in one group yet.
+    @staticmethod
+    def leaves(sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, slots: np.ndarray) -> dict:
+        surplus = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        return {"low": sizes, "high": sizes, "bits": bits, "surplus": surplus, "group": groups, "slot": slots}
 
-        crossing: only pairs of sets from different slots.
-        """
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of sets, by place, that may link, aren't in one group yet and have different slots or slot -2."""
         left = right = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             level = self.levels[depth]
-            found = [self._able(level, left[i : i + _PAIRS_AT_ONCE], right[i : i + _PAIRS_AT_ONCE], percent, crossing, depth)
+            found = [able(level, left[i : i + _PAIRS_AT_ONCE], right[i : i + _PAIRS_AT_ONCE], percent)
                      for i in range(0, len(left), _PAIRS_AT_ONCE)]
             keep = np.concatenate(found) if found else np.empty(0, bool)
             left, right = left[keep], right[keep]
@@ -99,25 +114,6 @@ class SignatureTree:
                 left, right = self._children(left, right, len(self.levels[depth - 1]["low"]), LEAF if depth == 1 else FANOUT)
         return left, right
 
-    @staticmethod
-    def _able(level: dict, left: np.ndarray, right: np.ndarray, percent: int, crossing: bool, depth: int) -> np.ndarray:
-        low = np.maximum(level["low"][left], level["low"][right])
-        high = np.minimum(level["high"][left], level["high"][right])
-        able = 100 * high >= percent * low
-        group = level["group"]
-        able &= (group[left] != group[right]) | (group[left] == -1) if depth else group[left] != group[right]
-        if crossing:
-            slot = level["slot"]
-            able &= (slot[left] != slot[right]) | (slot[left] == -1)
-        at = np.flatnonzero(able)
-        a, b = left[at], right[at]
-        shared = np.bitwise_count(level["bits"][a] & level["bits"][b]).sum(axis=1, dtype=np.int64)
-        most = shared + np.minimum(level["surplus"][a], level["surplus"][b])
-        # |a and b| >= percent |a or b| with |a or b| = |a| + |b| - |a and b|, and no more than the smaller size
-        wanted = percent * (level["low"][a] + level["low"][b])
-        able[at] = ((100 + percent) * most >= wanted) & (100 * most >= percent * low[at])
-        return able
-
     @staticmethod
     def _children(left: np.ndarray, right: np.ndarray, below: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         one, two = np.divmod(np.arange(width * width), width)
@@ -127,6 +123,23 @@ class SignatureTree:
         return a[keep], b[keep]
 
 
+def able(level: dict, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of nodes, or of sets, can hold a pair that links and is wanted."""
+    low = np.maximum(level["low"][left], level["low"][right])
+    high = np.minimum(level["high"][left], level["high"][right])
+    keep = 100 * high >= percent * low
+    for mark in (level["group"], level["slot"]):
+        keep &= (mark[left] != mark[right]) | (mark[left] < 0)
+    at = np.flatnonzero(keep)
+    a, b = left[at], right[at]
+    shared = np.bitwise_count(level["bits"][a] & level["bits"][b]).sum(axis=1, dtype=np.int64)
+    most = shared + np.minimum(level["surplus"][a], level["surplus"][b])
+    # |a and b| >= percent |a or b| with |a or b| = |a| + |b| - |a and b|, and no more than the smaller size
+    wanted = percent * (level["low"][a] + level["low"][b])
+    keep[at] = ((100 + percent) * most >= wanted) & (100 * most >= percent * low[at])
+    return keep
+
+
 def _same(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The value that a run shares, -1 if it has several."""
     low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
@@ -135,9 +148,9 @@ def _same(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _first_pass(length: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = WordHashes(), np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
         for batch in small_batches(batches, "text"):
-            sets = [shingles(t, length, hashes) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text"), length)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_id(s) for s in sets], pa.int64()),
@@ -150,10 +163,9 @@ def _first_pass(length: int, percent: int):
 
 def _second_pass(length: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), frequent.value
+        last = frequent.value
         for batch in small_batches(batches, "text"):
-            sets = [shingles(t, length, hashes) for t in batch.column("text").to_pylist()]
-            sets = [s for s in sets if len(s)]
+            sets = [s for s in shingle_sets(batch.column("text"), length) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  lists([signed(prefix(s, percent, last)) for s in sets], pa.int64()),
@@ -166,9 +178,8 @@ def _second_pass(length: int, percent: int, frequent):
 
 def _whole_sets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in small_batches(batches, "text"):
-            sets = [shingles(t, length, hashes) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text"), length)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["sid", "members"],
@@ -195,41 +206,66 @@ def _verified(percent: int):
 def _tree_join(percent: int):
     """Task function: rows sorted by key and grid cell; yields candidate pairs of each cell."""
 
-    def cell(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def cells(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
-        sizes, sid, group, slot = (rows.column(c).to_numpy() for c in ("n", "sid", "component", "slot"))
-        order = np.lexsort((sid, sizes))
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, _LONGS)[order]
-        crossing = len(rows) > 0 and rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
-        # -1 marks mixed nodes, so groups are numbered from 0
-        groups = np.unique(group[order], return_inverse=True)[1].astype(np.int64)
-        left, right = SignatureTree(sizes[order], bits, groups, slot[order].astype(np.int64)).pairs(percent, crossing)
-        a, b = sid[order][left], sid[order][right]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        key, x, y, slot, sid, sizes, group = (rows.column(c).to_numpy() for c in _CELL[:-1])
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, _LONGS)
+        # marks: below 0 for what is mixed or doesn't matter
+        slot = np.where(x == y, -2, slot).astype(np.int64)
+        group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        start = np.flatnonzero(fresh)
+        count = np.diff(np.append(start, len(key)))
+        # cells of one leaf, all at once
+        small = np.repeat(count <= LEAF, count)
+        cell = np.repeat(np.arange(len(start)), count)
+        level = SignatureTree.leaves(sizes, bits, group, slot)
+        lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for apart in range(1, LEAF):
+            left = np.flatnonzero(small[:-apart] & (cell[:-apart] == cell[apart:])) if apart < len(cell) else cell[:0]
+            left = left[able(level, left, left + apart, percent)]
+            lefts.append(left)
+            rights.append(left + apart)
+        for at in np.flatnonzero(count > LEAF):
+            own = np.arange(start[at], start[at] + count[at])
+            own = own[np.lexsort((sid[own], sizes[own]))]
+            left, right = SignatureTree(sizes[own], bits[own], group[own], slot[own]).pairs(percent)
+            lefts.append(own[left])
+            rights.append(own[right])
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        a, b = sid[left], sid[right]
+        wanted = least_shared(np.minimum(sizes[left], sizes[right]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(wanted)], ["a", "b", "wanted"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        held: list[pa.RecordBatch] = []  # whole cells, and the beginning of the last one
         for batch in batches:
             marks = [np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "x", "y")]
             changes = np.zeros(max(0, batch.num_rows - 1), bool)
             for mark in marks:
                 changes |= np.diff(mark) != 0
-            edges = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
-            for start, end in zip(edges, edges[1:], strict=False):
-                if start == end:
-                    continue
-                here = tuple(int(m[start]) for m in marks)
-                if here != now and held:
-                    yield cell(held)
+            last = int(np.flatnonzero(changes)[-1]) + 1 if changes.any() else 0
+            if held and batch.num_rows and last == 0:
+                here = tuple(int(m[0]) for m in marks)
+                if tuple(held[-1].column(c)[-1].as_py() for c in ("key", "x", "y")) != here:
+                    yield cells(held)
                     held = []
-                now = here
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield cell(held)
+            if last:
+                yield cells([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if any(b.num_rows for b in held):
+            yield cells(held)
 
     return run
 
 
+_CELL = ["key", "x", "y", "slot", "sid", "n", "component", "bits"]
+
+
 def _frequent_keys(sets: DataFrame) -> np.ndarray:
     """Keys of the most sets: all above a count that at most ``FREQUENT`` keys reach.
 
@@ -262,13 +298,16 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     first = cut_lineage(
         texts.mapInArrow(_first_pass(length, percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>")
     )
-    frequent = spark.sparkContext.broadcast(_frequent_keys(first.select("sid", "keys").dropDuplicates(["sid"])))
-    sets = cut_lineage(
+    frequent = spark.sparkContext.broadcast(_frequent_keys(first))
+    sets = stored(
         texts.mapInArrow(_second_pass(length, percent, frequent), "sid bigint, n bigint, keys array<bigint>, bits binary")
         .dropDuplicates(["sid"])
     )
     holders = first.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    # most keys belong to one set only; from here on there are just the others
     dealt = sets.select("sid", "n", F.explode("keys").alias("key"))
+    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    dealt = stored(dealt.join(several, "key").select("key", "sid", "n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs)
@@ -295,7 +334,7 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
         .where("sid <> hub")
         .groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "n")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .where(4 * F.col("shared") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .where(4 * F.col("shared") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + F.floor(F.col("n") / 64) + 1)
         .select("a", "b")
     )
     joined = cut_lineage(verify(near))
@@ -324,9 +363,12 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     candidates = (
         placed.repartition("key", "x", "y")
         .sortWithinPartitions("key", "x", "y")
-        .select("key", "x", "y", "slot", "sid", "n", "component", "bits")
-        .mapInArrow(_tree_join(percent), "a bigint, b bigint")
-        .distinct()
+        .select(*_CELL)
+        .mapInArrow(_tree_join(percent), "a bigint, b bigint, wanted bigint")
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.min("wanted").alias("wanted"))
+        .where("shared >= wanted")
+        .select("a", "b")
     )
     return first.select("doc_id", "n", "sid"), joined.union(verify(candidates))
 

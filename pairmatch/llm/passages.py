@@ -19,45 +19,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.llm.common import WordHashes, lower_words, scramble, signed, small_batches, stored, window_hashes
+from pairmatch.llm.common import scramble, signed, small_batches, stored, window_hashes, word_hashes
 
 GRAM = 8
 SPAN = 32
-_PIECE = 1 << 16
+_POSITION_BITS = 28
 
 
 def chosen_positions(words: np.ndarray) -> np.ndarray:
-    """For each run of SPAN neighbouring grams, the position of its minimiser, the first if several tie."""
+    """For each run of SPAN neighbouring grams, the position of its minimiser, the first if several tie.
+
+    The low bits of a hash give way to the position, so that one minimum finds both.
+    """
     grams = scramble(window_hashes(words, GRAM))
     count = len(grams) - SPAN + 1
     if count <= 0:
         return np.empty(0, np.int64)
-    out = np.empty(count, np.int64)
-    for start in range(0, count, _PIECE):  # bounded memory for very long texts
-        part = grams[start : start + _PIECE + SPAN - 1]
-        views = np.lib.stride_tricks.sliding_window_view(part, SPAN)
-        out[start : start + len(views)] = views.argmin(axis=1) + np.arange(start, start + len(views))
-    return out
-
-
+    low = np.uint64((1 << _POSITION_BITS) - 1)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while width < SPAN:  # minima over 2, 4, ... neighbours
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return (least & low).astype(np.int64)
 
 
 def _cores(min_words: int):
     core = min_words - SPAN + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in small_batches(batches, "text"):
             rows, places, keys = [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                words = hashes.of(lower_words(text))
-                if len(words) < min_words:
-                    continue
-                # the passages that begin in the last min_words words aren't whole
-                at = np.unique(chosen_positions(words)[: len(words) - min_words + 1])
+            words, edges = word_hashes(batch.column("text"))
+            chosen, cores = chosen_positions(words), window_hashes(words, core)
+            for row, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+                # the last passage that is whole begins min_words before the end
+                at = chosen[start : max(start, end - min_words + 1)]
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
                 rows.append(np.full(len(at), row))
-                places.append(at)
-                keys.append(window_hashes(words, core)[at])
+                places.append(at - start)
+                keys.append(cores[at])
             rows = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(rows), batch.column("version").take(rows),
@@ -71,18 +72,18 @@ def _cores(min_words: int):
 
 def _extended(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in small_batches(batches, "text", 2 << 20):
+        for batch in small_batches(batches, "text"):
             rows, places, keys = [], [], []
             positions = batch.column("positions")
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                words = hashes.of(lower_words(text))
-                held = np.unique(np.asarray(positions[row].values))
-                chosen = chosen_positions(words)[: len(words) - min_words + 1]
-                at = np.flatnonzero(np.isin(chosen, held))
+            words, edges = word_hashes(batch.column("text"))
+            chosen, runs = chosen_positions(words), window_hashes(words, min_words)
+            wanted = np.zeros(len(words) + 1, bool)
+            for row, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+                wanted[np.asarray(positions[row].values) + start] = True
+                at = start + np.flatnonzero(wanted[chosen[start : max(start, end - min_words + 1)]])
                 rows.append(np.full(len(at), row))
-                places.append(at)
-                keys.append(window_hashes(words, min_words)[at])
+                places.append(at - start)
+                keys.append(runs[at])
             rows = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(rows), batch.column("version").take(rows),
