@@ -23,6 +23,39 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_FILTER_BITS = 25
+_FOLDED = (1 << _FILTER_BITS) - 1
+
+
+def id_filter(ids: DataFrame, column: str):
+    """Broadcast of a bitmap of 4 MB, whatever the number of ids, that ``may_hold`` looks ids up in.
+
+    It keeps most of the texts nobody asks for from being shuffled to an exact join, which has to
+    follow: with tens of millions of ids it lets all texts pass.
+    """
+    spot = F.col(column).bitwiseXOR(F.shiftrightunsigned(column, _FILTER_BITS)).bitwiseAND(F.lit(_FOLDED).cast("bigint"))
+    words = (
+        ids.where(F.col(column).isNotNull())
+        .select(F.shiftright(spot, 6).alias("word"), F.expr("1L").alias("one"), spot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        .select("word", F.expr("shiftleft(one, bit)").alias("mask"))
+        .groupBy("word")
+        .agg(F.bit_or("mask").alias("mask"))
+        .collect()
+    )
+    bitmap = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    for row in words:
+        bitmap[row.word] = row.mask
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def may_hold(bitmap: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Which ids may be in the filter; null ids always may."""
+    values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(np.uint64)
+    spot = (values ^ (values >> np.uint64(_FILTER_BITS))) & np.uint64(_FOLDED)
+    found = (bitmap.view(np.uint64)[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)
+    return pc.or_(pa.array(found.astype(bool)), pc.is_null(ids))
+
+
 _PIECE = 1 << 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -3,8 +3,8 @@
 1. Documents with the same set are folded into one node, so copies never meet each other.
 2. Each set is dealt to its prefix keys: with a threshold of t, two sets that link share at least l of their
    first n - ceil(t n) + l n-grams in any common order.  Frequent n-grams come last in that order.
-3. Hubs: sets that share much of their prefix with the smallest id of a key are compared with it, which joins
-   large groups of near copies by a few links each instead of all pairs.
+3. Hubs: a set is compared with two of those that have the smallest id of one of its keys and share much of
+   its prefix, which joins large groups of near copies by a few links each instead of all pairs.
 4. Trees: sets of one key that aren't joined yet go into a tree.  A node holds the OR of the token bitmaps
    below it, their range of sizes and the most n-grams that share bits; pairs of nodes are traversed from the root,
    and a pair is dropped if its highest possible overlap is too small.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import components, lists, scramble, signed, small_batches, stored, window_hashes, word_hashes
+from pairmatch.llm.common import components, id_filter, lists, may_hold, scramble, signed, small_batches, stored, window_hashes, word_hashes
 
 BITS = 1024
 _LONGS = BITS // 64
@@ -176,9 +176,10 @@ def _second_pass(length: int, percent: int, frequent):
     return run
 
 
-def _whole_sets(length: int):
+def _whole_sets(length: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
+            batch = batch.filter(may_hold(wanted.value, batch.column("doc_id")))
             sets = shingle_sets(batch.column("text"), length)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -311,13 +312,9 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        docs = needed.join(holders, "sid").select(F.col("doc_id").alias("holder")).distinct()
-        whole = (
-            texts.join(docs, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-            .mapInArrow(_whole_sets(length), "sid bigint, members binary")
-            .dropDuplicates(["sid"])
-        )
+        needed = pairs.select("a").union(pairs.select("b")).distinct().join(holders, F.col("a") == F.col("sid"))
+        wanted = id_filter(needed, "doc_id")
+        whole = texts.mapInArrow(_whole_sets(length, wanted), "sid bigint, members binary").dropDuplicates(["sid"])
         return (
             pairs.join(whole.select(F.col("sid").alias("a"), F.col("members").alias("one")), "a")
             .join(whole.select(F.col("sid").alias("b"), F.col("members").alias("two")), "b")
@@ -325,16 +322,19 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
             .mapInArrow(_verified(percent), "a bigint, b bigint")
         )
 
-    # hubs: sets of similar size that share a quarter of their prefix
+    # hubs: of the sets of similar size that share a quarter of the prefix, the smallest and the nearest
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9))
     banded = dealt.withColumn("band", band)
     hubs = banded.groupBy("key", "band").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     near = (
         banded.join(hubs, ["key", "band"])
         .where("sid <> hub")
-        .groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "n")
+        .groupBy("hub", "sid", "n")
         .agg(F.count(F.lit(1)).alias("shared"))
         .where(4 * F.col("shared") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + F.floor(F.col("n") / 64) + 1)
+        .groupBy("sid")
+        .agg(F.min("hub").alias("least"), F.max_by("hub", F.struct("shared", "hub")).alias("most"))
+        .select(F.col("sid").alias("b"), F.explode(F.array_distinct(F.array("least", "most"))).alias("a"))
         .select("a", "b")
     )
     joined = cut_lineage(verify(near))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.llm.common import scramble, signed, small_batches, stored, window_hashes, word_hashes
+from pairmatch.lineage import cut_lineage
+from pairmatch.llm.common import id_filter, may_hold, scramble, signed, small_batches, stored, window_hashes, word_hashes
 
 GRAM = 8
 SPAN = 32
@@ -142,9 +143,18 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     # keys are mostly different, so a count is all that moves besides them
     suffixes = stored(texts.mapInArrow(_cores(min_words), "doc bigint, version bigint, at int, core bigint"))
     shared = suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    held = suffixes.join(shared, "core").groupBy("doc", "version").agg(F.collect_list("at").alias("positions"))
+    held = cut_lineage(
+        suffixes.join(shared, "core").groupBy("doc", "version").agg(F.collect_list("at").alias("positions"))
+    )
+    wanted = id_filter(held, "doc")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(may_hold(wanted.value, batch.column("doc")))
+
     windows = stored(
-        texts.join(held, ["doc", "version"])
+        texts.mapInArrow(asked, texts.schema)
+        .join(held, ["doc", "version"])
         .select("doc", "version", "text", "positions")
         .mapInArrow(_extended(min_words), "doc bigint, version bigint, at int, passage bigint")
     )
