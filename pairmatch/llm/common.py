@@ -108,9 +108,9 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
         return scramble((sums[length:] - sums[:-length]) * inverses[:count] + np.uint64(length))
 
 
-def _hashed(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, rows: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in some text, and where they begin; no word crosses the positions ``rows``."""
-    solid = ~_SPACES[data]
+    solid = ~spaces[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = solid
     before[rows] = False
@@ -126,11 +126,11 @@ def _hashed(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return scramble((sums[ends] - sums[begins]) * inverses[begins] + (ends - begins).astype(np.uint64)), begins
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in a column, and the edges of each text's words among them.
 
     Words are what stands between ASCII white space, with A-Z in lower case; a null text has none.
-    The bytes are hashed in pieces of about a megabyte, cut between words.
+    ``spaces`` marks the bytes that part words.  The bytes are hashed in pieces of about a megabyte, cut between words.
     """
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -141,13 +141,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while start < end:
         stop = min(end, start + _PIECE)
         while stop < end:  # up to the next white space or text
-            gap = np.flatnonzero(_SPACES[data[stop : stop + 4096]])
+            gap = np.flatnonzero(spaces[data[stop : stop + 4096]])
             row = offsets[np.searchsorted(offsets, stop)]
             stop = min(int(row), stop + (int(gap[0]) if len(gap) else 4096), end)
             if len(gap) or stop == row:
                 break
         rows = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, "right")] - start
-        found, at = _hashed(data[start:stop], rows)
+        found, at = _hashed(data[start:stop], rows, spaces)
         hashes.append(found)
         begins.append(at + start)
         start = stop

@@ -19,17 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.llm.common import small_batches
+from pairmatch.llm.common import lists, signed, small_batches, window_hashes, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 64
 _DENSE = 8_000_000
-_SPACES = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
-
-
-def passage_words(text: str | None) -> list[bytes]:
-    """Words in lower case without ASCII punctuation."""
-    return text.encode().lower().translate(_SPACES).split() if text else []
+# words are parted by ASCII white space, punctuation and signs
+_SPACES = np.array([b in b" \t\n\r\v\f" or (33 <= b < 127 and not chr(b).isalnum()) for b in range(256)])
 
 
 def question_and_answer(text: str | None) -> tuple[str, str]:
@@ -42,10 +38,9 @@ def question_and_answer(text: str | None) -> tuple[str, str]:
     return (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, "")
 
 
-def grams(words: list[bytes], length: int) -> set[tuple[bytes, ...]]:
-    """Runs of ``length`` words, or of all words if there are fewer."""
-    length = min(length, len(words))
-    return {tuple(words[i : i + length]) for i in range(len(words) - length + 1)} if length else set()
+def grams(words: np.ndarray, length: int) -> np.ndarray:
+    """Distinct runs of ``length`` words, or the run of all words if there are fewer, as hashes."""
+    return np.unique(window_hashes(words, min(length, len(words)))) if len(words) else words
 
 
 class Impacts:
@@ -80,28 +75,27 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 class ItemIndex:
     """Block-max inverted index of some items; ``df`` and ``n``, ``mean`` are over all items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], df: dict[bytes, int], n: int, mean: float):
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: dict[int, int], n: int, mean: float):
         items = sorted(items, key=lambda i: (len(i[1]) + len(i[2]), i[0]))
         self.ids = [i[0] for i in items]
-        self.questions = [grams(q, 5) for _, q, _ in items]
-        self.answers = [grams(a, 3) for _, _, a in items]
-        self.vocabulary: dict[bytes, int] = {}
+        self.wanted = [((grams(q, 5), min(5, len(q))), (grams(a, 3), min(3, len(a)))) for _, q, a in items]
+        self.words = np.unique(np.concatenate([w for _, q, a in items for w in (q, a)]))
         terms, columns, values = [], [], []
         self.longest = 1
         for column, (_, question, answer) in enumerate(items):
-            words = question + answer
+            words = np.concatenate([question, answer])
             self.longest = max(self.longest, len(words))
             scores = {}
-            for word, times in Counter(words).items():
+            for word, times in Counter(words.tolist()).items():
                 idf = np.log(1 + (n - df[word] + 0.5) / (df[word] + 0.5))
                 scores[word] = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(words) / mean))
             own = sum(scores.values())
             for word, value in scores.items():
-                terms.append(self.vocabulary.setdefault(word, len(self.vocabulary)))
+                terms.append(int(np.searchsorted(self.words, np.uint64(word))))
                 columns.append(column)
                 values.append(value / own)
         terms, columns, values = np.array(terms, np.int64), np.array(columns, np.int64), np.array(values)
-        self.n_items, self.n_terms = len(items), len(self.vocabulary)
+        self.n_items, self.n_terms = len(items), len(self.words)
         self.n_blocks = -(-self.n_items // BLOCK)
         self.item = Impacts(terms, columns, values, self.n_terms, self.n_items)
         order = np.lexsort((columns, terms))
@@ -133,9 +127,15 @@ class ItemIndex:
         total -= np.repeat(total[start] - self.highest[terms[start]], count)
         opens = total >= least  # the pivot: weaker terms can't reach the threshold without one of these
         at, owner = _spread(self.block_start[terms[opens]], self.block_count[terms[opens]])
-        pairs = np.unique(rank[opens][owner] * self.n_blocks + self.blocks[at])
-        rows, blocks = pairs // self.n_blocks, pairs % self.n_blocks
-        keep = self._total(self.block, start, count, terms, rows, blocks) >= least
+        if self.block.dense is not None and self.n_blocks <= 64:
+            open_blocks = np.zeros((len(start), self.n_blocks), bool)
+            open_blocks[rank[opens][owner], self.blocks[at]] = True
+            rows, blocks = np.nonzero(open_blocks)
+            keep = np.add.reduceat(self.block.dense[terms], start, axis=0)[rows, blocks] >= least
+        else:
+            pairs = np.unique(rank[opens][owner] * self.n_blocks + self.blocks[at])
+            rows, blocks = pairs // self.n_blocks, pairs % self.n_blocks
+            keep = self._total(self.block, start, count, terms, rows, blocks) >= least
         rows, blocks = rows[keep], blocks[keep]
         width = np.minimum(BLOCK, self.n_items - blocks * BLOCK)
         items, owner = _spread(blocks * BLOCK, width)
@@ -159,49 +159,52 @@ class ItemIndex:
         return out
 
 
-def passages(words: int, size: int) -> list[tuple[int, int]]:
-    """Windows of ``size`` words that overlap by half, so each run of size / 2 words lies in one."""
-    step = max(1, size // 2)
-    last = max(0, -(-(words - size) // step)) if words > size else 0
-    return [(i * step, min(words, i * step + size)) for i in range(last + 1)] if words else []
+def passages(words: np.ndarray, edges: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of 2 * step words that overlap by half, so each run of ``step`` words lies in one.
+
+    For words of several texts: the text and the first word of each window, then (window, place) for
+    every word, in one or two windows each.
+    """
+    size = np.diff(edges)
+    count = np.where(size > 2 * step, -(-(size - 2 * step) // step) + 1, np.minimum(size, 1))
+    base = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(size)), count)
+    begin = edges[:-1][text] + (np.arange(len(text)) - base[text]) * step
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(words))
+    nth = (place - edges[:-1][row]) // step
+    windows, places = [], []
+    for at in (nth, nth - 1):
+        inside = (at >= 0) & (at < count[row])
+        windows.append(base[row[inside]] + at[inside])
+        places.append(place[inside])
+    return text, begin, np.concatenate(windows), np.concatenate(places)
 
 
 def _search(index: ItemIndex, threshold: float, overlap: float):
-    size = 2 * index.longest
+    step = index.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = index.vocabulary
-        for batch in small_batches(batches, "text", 4 << 20):
-            docs, spans, windows, terms, texts = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                words = passage_words(text)
-                texts.append(words)
-                known = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
-                for begin, end in passages(len(words), size):
-                    found = np.unique(known[begin:end])
-                    found = found[found >= 0]
-                    if len(found):
-                        windows.append(np.full(len(found), len(spans)))
-                        terms.append(found)
-                        docs.append(row)
-                        spans.append((begin, end))
+        for batch in small_batches(batches, "text"):
+            words, edges = word_hashes(batch.column("text"), _SPACES)
+            text, begin, windows, places = passages(words, edges, step)
+            known = np.minimum(np.searchsorted(index.words, words), index.n_terms - 1)
+            held = (index.words[known] == words)[places]
+            pairs = np.unique(windows[held] * index.n_terms + known[places[held]])
             best: dict[tuple[int, int], tuple] = {}
-            if windows:
-                for window, item, score in zip(
-                    *(v.tolist() for v in index.retrieve(np.concatenate(windows), np.concatenate(terms), threshold)),
-                    strict=True,
-                ):
-                    begin, end = spans[window]
-                    passage = texts[docs[window]][begin:end]
-                    shares = []
-                    for wanted, length in ((index.questions[item], 5), (index.answers[item], 3)):
-                        length = len(next(iter(wanted))) if wanted else length
-                        shares.append(len(wanted & grams(passage, length)) / len(wanted) if wanted else 1.0)
-                    if min(shares) >= overlap:
-                        key = (docs[window], item)
-                        found = (round(score, 6), *(round(s, 6) for s in shares), begin)
-                        if key not in best or (found[:3], -begin) > (best[key][:3], -best[key][3]):
-                            best[key] = found
+            found = index.retrieve(pairs // index.n_terms, pairs % index.n_terms, threshold)
+            for window, item, score in zip(*(v.tolist() for v in found), strict=True):
+                row, first = int(text[window]), int(begin[window])
+                passage = words[first : min(first + 2 * step, int(edges[row + 1]))]
+                shares = [
+                    float(np.isin(wanted, grams(passage, length)).mean()) if len(wanted) else 1.0
+                    for wanted, length in index.wanted[item]
+                ]
+                if min(shares) >= overlap:
+                    key, start = (row, item), first - int(edges[row])
+                    here = (round(score, 6), *(round(s, 6) for s in shares), start)
+                    if key not in best or (here[:3], -start) > (best[key][:3], -best[key][3]):
+                        best[key] = here
             keys = sorted(best)
             columns = list(zip(*(best[k] for k in keys), strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -247,20 +250,20 @@ def find_leaks(
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item in batch.to_pylist():
-                both = question_and_answer(item["question"]) if split else (item["question"], item["answer"])
-                rows.append({"item_id": item["item_id"], "shard": item["shard"],
-                             "q": passage_words(both[0]), "a": passage_words(both[1])})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                ("item_id", pa.int64()), ("shard", pa.int64()),
-                ("q", pa.list_(pa.binary())), ("a", pa.list_(pa.binary()))]))
+            both = list(zip(*(batch.column(c).to_pylist() for c in ("question", "answer")), strict=True))
+            if split:
+                both = [question_and_answer(q) for q, _ in both]
+            parts = []
+            for side in (0, 1):
+                words, edges = word_hashes(pa.array([b[side] for b in both], pa.string()), _SPACES)
+                parts.append(lists([signed(words[i:j]) for i, j in zip(edges, edges[1:], strict=False)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("shard"), *parts], ["item_id", "shard", "q", "a"])
 
     total = source.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
     parsed = source.withColumn(
         "shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)).cast("bigint")
-    ).mapInArrow(words_of, "item_id bigint, shard bigint, q array<binary>, a array<binary>")
+    ).mapInArrow(words_of, "item_id bigint, shard bigint, q array<bigint>, a array<bigint>")
     parsed = parsed.where("size(q) + size(a) > 0")
     n, mean = parsed.agg(F.count(F.lit(1)), F.avg(F.size("q") + F.size("a"))).first()
     terms = parsed.select("shard", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
@@ -270,11 +273,11 @@ def find_leaks(
     for shard in range(shards if n else 0):
         own = parsed.where(F.col("shard") == shard)
         # one shard: its bytes are bounded
-        rows = [(r.item_id, [bytes(w) for w in r.q], [bytes(w) for w in r.a]) for r in own.collect()]
+        rows = [(r.item_id, *(np.array(w, np.int64).view(np.uint64) for w in (r.q, r.a))) for r in own.collect()]
         counts = df.join(terms.where(F.col("shard") == shard).select("term").distinct(), "term", "left_semi").collect()
         if not rows:
             continue
-        index = ItemIndex(rows, {bytes(r.term): r.df for r in counts}, n, float(mean))
+        index = ItemIndex(rows, {r.term % 2**64: r.df for r in counts}, n, float(mean))
         shipped = spark.sparkContext.broadcast(index)
         found = found.union(texts.mapInArrow(_with(shipped, threshold, overlap), _FOUND))
     return found
