@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pairmatch.llm.common import lists, signed, small_batches, window_hashes, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCK = 8
 _DENSE = 8_000_000
 # words are parted by ASCII white space, punctuation and signs
 _SPACES = np.array([b in b" \t\n\r\v\f" or (33 <= b < 127 and not chr(b).isalnum()) for b in range(256)])
