@@ -75,13 +75,13 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 class ItemIndex:
     """Block-max inverted index of some items; ``df`` and ``n``, ``mean`` are over all items."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: dict[int, int], n: int, mean: float):
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: dict[int, int], n: int, mean: float, longest: int = 1):
         items = sorted(items, key=lambda i: (len(i[1]) + len(i[2]), i[0]))
         self.ids = [i[0] for i in items]
         self.wanted = [((grams(q, 5), min(5, len(q))), (grams(a, 3), min(3, len(a)))) for _, q, a in items]
         self.words = np.unique(np.concatenate([w for _, q, a in items for w in (q, a)]))
         terms, columns, values = [], [], []
-        self.longest = 1
+        self.longest = longest
         for column, (_, question, answer) in enumerate(items):
             words = np.concatenate([question, answer])
             self.longest = max(self.longest, len(words))
@@ -265,7 +265,8 @@ def find_leaks(
         "shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)).cast("bigint")
     ).mapInArrow(words_of, "item_id bigint, shard bigint, q array<bigint>, a array<bigint>")
     parsed = parsed.where("size(q) + size(a) > 0")
-    n, mean = parsed.agg(F.count(F.lit(1)), F.avg(F.size("q") + F.size("a"))).first()
+    words = F.size("q") + F.size("a")
+    n, mean, longest = parsed.agg(F.count(F.lit(1)), F.avg(words), F.max(words)).first()
     terms = parsed.select("shard", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
@@ -277,7 +278,7 @@ def find_leaks(
         counts = df.join(terms.where(F.col("shard") == shard).select("term").distinct(), "term", "left_semi").collect()
         if not rows:
             continue
-        index = ItemIndex(rows, {r.term % 2**64: r.df for r in counts}, n, float(mean))
+        index = ItemIndex(rows, {r.term % 2**64: r.df for r in counts}, n, float(mean), longest)
         shipped = spark.sparkContext.broadcast(index)
         found = found.union(texts.mapInArrow(_with(shipped, threshold, overlap), _FOUND))
     return found

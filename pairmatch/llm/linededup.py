@@ -127,9 +127,18 @@ def remove_repeated_lines(documents: DataFrame, min_lines: int = 2, long_words:
     gone = gone.groupBy("doc", "version").agg(F.array_sort(F.collect_list("line")).alias("_gone"))
     lines = F.split("text", "\n")
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
+    # one element that holds both arrays, so that the text is split once and not for every piece
+    held = F.array(F.struct(lines.alias("lines"), edges.alias("edges")))
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_gone")),
-        lambda j: F.slice(lines, F.get(edges, j) + 2, F.get(edges, j + 1) - F.get(edges, j) - 1),
+        held,
+        lambda h: F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.size(h["edges"]) - 2),
+                lambda j: F.slice(
+                    h["lines"], F.get(h["edges"], j) + 2, F.get(h["edges"], j + 1) - F.get(h["edges"], j) - 1
+                ),
+            )
+        ),
     )
     names = documents.columns
     joined = _doc(documents.withColumn("text", F.col("text").cast("string"))).join(

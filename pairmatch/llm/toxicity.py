@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import small_batches
+from pairmatch.llm.common import signed, small_batches, window_hashes, word_hashes
 
 # fixed values: look-alikes outside Latin, then signs that stand for letters; i, l, 1, ! and | fold alike
 LOOK_ALIKES = dict(zip("аеорсухіѕјԁӏԛɡαονρικ", "aeopcyxisjdlqgaovpik", strict=True))
@@ -105,6 +105,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of three neighbouring words of each text; 0 for a text with fewer."""
+    for batch in small_batches(batches, "text"):
+        words, edges = word_hashes(batch.column("text"))
+        runs = window_hashes(words, 3)
+        least = [runs[i : j - 2].min() if j - i > 2 else 0 for i, j in zip(edges, edges[1:], strict=False)]
+        sketch = signed(np.array(least, np.uint64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), pa.array(sketch)], ["doc_id", "toxic", "sketch"]
+        )
+
+
 _COUNTS = ["clean", "toxic", "clean_times", "toxic_times"]
 
 
@@ -157,12 +169,11 @@ def learn(
     )
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     # copies of a text would make all its words look telling, so one of those with the same least hash of
-    # a longer word stays; the sample's size bounds both broadcasts
-    longer = F.filter(F.split("text", r"\s+"), lambda word: F.length(word) >= 6)
-    sketch = F.array_min(F.transform(longer, lambda word: F.xxhash64(word)))
+    # three words stays; the sample's size bounds both broadcasts
     rows = (
         texts.join(F.broadcast(rows), "doc_id")
-        .groupBy("toxic", F.coalesce(sketch, F.xxhash64("text")).alias("sketch")).agg(F.min("doc_id").alias("doc_id"))
+        .mapInArrow(_sketches, "doc_id bigint, toxic int, sketch bigint")
+        .groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id"))
         .select("doc_id", "toxic")
     )
     chosen = cut_lineage(texts.join(F.broadcast(rows), "doc_id").select("text", "toxic"))
