@@ -50,40 +50,61 @@ def _pixels(row) -> np.ndarray:
 _RAW = ["origin", "image.height", "image.width", "image.nChannels", "image.data"]
 
 
+_AT_ONCE = 32
+
+
 def _map_images(
     images: DataFrame, fn: Callable[[np.ndarray], np.ndarray], out: str
 ) -> DataFrame:
-    """(origin, out): ``fn`` over each image; an image it cannot handle is left out."""
+    """(origin, out, error): ``fn`` over each image, or why its bytes could not be handled.
+
+    Bytes that don't fit the image's shape, and a ValueError or ArithmeticError of ``fn``, are failures
+    of the image; any other error is one of the program and ends the job.  Results leave the task
+    ``_AT_ONCE`` images at a time, whatever their size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, values = [], []
-            for row in batch.itertuples(index=False):
-                try:
-                    value = np.asarray(fn(_pixels(row)), dtype=np.float32).ravel()
-                except Exception:  # a broken image must not stop the job
-                    continue
-                names.append(row.origin)
-                values.append(value)
-            if names:
-                yield pd.DataFrame({"origin": names, out: values})
+            for start in range(0, len(batch), _AT_ONCE):
+                names, values, errors = [], [], []
+                for row in batch.iloc[start : start + _AT_ONCE].itertuples(index=False):
+                    value, error = None, None
+                    try:
+                        value = np.asarray(fn(_pixels(row)), dtype=np.float32).ravel()
+                    except (ValueError, ArithmeticError) as failure:
+                        error = str(failure) or type(failure).__name__
+                    names.append(row.origin)
+                    values.append(value)
+                    errors.append(error)
+                yield pd.DataFrame({"origin": names, out: values, "error": errors})
 
     raw = images.select(*[F.col(c).alias(c.split(".")[-1]) for c in _RAW])
-    return raw.mapInPandas(run, f"origin string, {out} array<float>")
+    return raw.mapInPandas(run, f"origin string, {out} array<float>, error string")
+
+
+def _handled(mapped: DataFrame) -> DataFrame:
+    return mapped.where("error is null").drop("error")
+
+
+def image_failures(
+    images: DataFrame, fn: Callable[[np.ndarray], np.ndarray] = color_grid
+) -> DataFrame:
+    """(origin, error): the images that ``extract_features`` leaves out, with the reason."""
+    return _map_images(images, fn, "vec").where("error is not null").select("origin", "error")
 
 
 def prepare_images(images: DataFrame, size: int = SIZE) -> DataFrame:
     """(origin, pixels): three-channel images brought to ``size`` x ``size``, row by row."""
-    return _map_images(
-        filter_channels(images), lambda pixels: resample(pixels, size, size), "pixels"
+    return _handled(
+        _map_images(filter_channels(images), lambda pixels: resample(pixels, size, size), "pixels")
     )
 
 
 def extract_features(
     images: DataFrame, fn: Callable[[np.ndarray], np.ndarray] = color_grid
 ) -> DataFrame:
-    """(origin, vec): a descriptor per image, failures left out."""
-    return _map_images(images, fn, "vec")
+    """(origin, vec): a descriptor per image; ``image_failures`` has those that give none."""
+    return _handled(_map_images(images, fn, "vec"))
 
 
 def center_channels(pixels: Column, means: Sequence[float] = CHANNEL_MEANS) -> Column:

@@ -29,7 +29,8 @@ def lsh_baseline(
     """
     if radius not in (0, 1):
         raise ValueError("radius must be 0 or 1")
-    dim = len(index.where(F.col("vec").isNotNull()).select("vec").first()["vec"])
+    any_row = index.where(F.col("vec").isNotNull()).select("vec").first()
+    dim = len(any_row["vec"]) if any_row else 1  # an empty index has no candidates, whatever the model
     model = random_projection_lsh(bits, dim, seed)
     found = Retrieval(
         model,

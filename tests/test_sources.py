@@ -161,3 +161,20 @@ def test_model_and_index_round_trip(spark, tmp_path):
     assert kept == {r.id: r.sig for r in loaded.signatures(df, layout).collect()}
     store.write_band_index(signed, layout, str(tmp_path / "bands"))
     assert store.load_band_index(spark, str(tmp_path / "bands")).count() == 60 * layout.bands
+
+
+def test_broken_images_are_reported_and_programming_errors_fail(spark):
+    from pairmatch.operators.images import extract_features, image_failures
+
+    rows = [("good", (2, 2, 3, bytes(12))), ("short", (2, 2, 3, bytes(5)))]
+    images = spark.createDataFrame(
+        rows, "origin string, image struct<height:int, width:int, nChannels:int, data:binary>"
+    )
+    assert [r.origin for r in extract_features(images).collect()] == ["good"]
+    assert [r.origin for r in image_failures(images).collect()] == ["short"]
+
+    def wrong(pixels):
+        return undefined_name  # noqa: F821
+
+    with pytest.raises(Exception, match="undefined_name"):
+        extract_features(images, wrong).collect()
