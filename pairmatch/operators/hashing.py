@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from dataclasses import fields
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,15 @@ class HashModel(ABC):
     def hash_bits(self, x: np.ndarray) -> np.ndarray:
         """[n, dim] vectors to [n, bits] zeros and ones."""
 
+    @property
+    def digest(self) -> str:
+        """Names the fitted model: the same for the same numbers."""
+        state = hashlib.sha256(type(self).__name__.encode())
+        for field in fields(self):
+            values = np.ascontiguousarray(getattr(self, field.name), dtype=np.float64)
+            state.update(repr(values.shape).encode() + values.tobytes())
+        return state.hexdigest()
+
     def layout(self, rows: int) -> BandLayout:
         return BandLayout(self.bits, rows)
 

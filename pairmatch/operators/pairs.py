@@ -136,6 +136,18 @@ def _looked_up_stems(queries: DataFrame, candidates: DataFrame, match: str) -> D
     return queries.select("query_id", "i", F.explode(keys).alias("key"))
 
 
+def related_pairs(queries: DataFrame, candidates: DataFrame, match: str = "contains") -> DataFrame:
+    """(query_id, truth_id): every candidate whose stem the query's name contains, or whose stem is the query's.
+
+    Both tables are (id, name, stem).  Names are looked up by equality, hot stems are split.
+    """
+    keyed = _looked_up_stems(
+        queries.select(F.col("id").alias("query_id"), "name", "stem", F.lit(0).alias("i")), candidates, match
+    )
+    stems = candidates.select(F.col("id").alias("truth_id"), F.col("stem").alias("key"))
+    return split_join(keyed, stems, ["key"], left_id=["query_id"], right_id=["truth_id"]).select("query_id", "truth_id")
+
+
 def exhaustive_index(
     queries: DataFrame, candidates: DataFrame, match: str = "contains", size: int = BATCH_SIZE
 ) -> tuple[DataFrame, DataFrame]:

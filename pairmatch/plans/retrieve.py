@@ -35,8 +35,8 @@ def by_closeness(pairs: DataFrame) -> DataFrame:
 class Retrieval:
     """A retrieval whose stages are computed once, when first asked for.
 
-    ``index`` and ``queries`` are (id, vec), ``truth`` is (query_id, truth_id) with one row
-    per query, or None.  Candidates are searched, scored and ranked between distinct
+    ``index`` and ``queries`` are (id, vec), ``truth`` is (query_id, truth_id) with any number
+    of originals per query, or None.  Candidates are searched, scored and ranked between distinct
     vectors; copies enter as weights.  Among equal scores, distinct vectors go by their
     smallest id and copies by their own.  ``search`` finds pairs of distinct vectors and
     ``scorer`` adds ``score`` to pairs with ``query_vec`` and ``cand_vec``, by an expression
@@ -53,10 +53,8 @@ class Retrieval:
 
     def __post_init__(self) -> None:
         if self.truth is None:
-            id_type = self.index.schema["id"].dataType
-            self.truth = self.queries.select(
-                F.col("id").alias("query_id"), F.lit(None).cast(id_type).alias("truth_id")
-            )
+            self.truth = self.queries.select(F.col("id").alias("query_id"), F.col("id").alias("truth_id")).limit(0)
+        self.truth = self.truth.select("query_id", "truth_id").where("truth_id is not null").distinct()
 
     @cached_property
     def _index_rows(self) -> DataFrame:
@@ -80,14 +78,18 @@ class Retrieval:
         return cut_lineage(self.search(self._index_sets, self._query_sets, self.layout))
 
     @cached_property
-    def _queries_with_truth(self) -> DataFrame:
-        """(query_id, query_gid, truth_id, truth_gid, found): whether the original shares a band.
-
-        Whether it does can be read off the two signatures, without looking at candidates.
-        """
-        queries = memberships(self._query_rows, self._query_sets).select(
+    def _query_members(self) -> DataFrame:
+        """(query_id, query_gid, query_sig) of every query."""
+        return memberships(self._query_rows, self._query_sets).select(
             F.col("id").alias("query_id"), F.col("gid").alias("query_gid"), F.col("sig").alias("query_sig")
         )
+
+    @cached_property
+    def _found(self) -> DataFrame:
+        """(query_id, query_gid, truth_id, truth_gid): originals that share a band with their query.
+
+        Whether they do can be read off the two signatures, without looking at candidates.
+        """
         wanted = self.truth.select(F.col("truth_id").alias("id"))
         originals = memberships(
             self._index_rows.join(wanted, "id", "left_semi"), self._index_sets
@@ -95,13 +97,9 @@ class Retrieval:
             F.col("id").alias("truth_id"), F.col("gid").alias("truth_gid"), F.col("sig").alias("truth_sig")
         )
         shared = self.layout.first_shared_band(F.col("query_sig"), F.col("truth_sig"))
-        return (
-            queries.join(self.truth, "query_id", "left")
-            .join(originals, "truth_id", "left")
-            .select(
-                "query_id", "query_gid", "truth_id", "truth_gid",
-                (F.col("truth_gid").isNotNull() & shared.isNotNull()).alias("found"),
-            )
+        found = self._query_members.join(self.truth, "query_id").join(originals, "truth_id")
+        return cut_lineage(
+            found.where(shared.isNotNull()).select("query_id", "query_gid", "truth_id", "truth_gid")
         )
 
     def _copies_of(self, gids: DataFrame) -> DataFrame:
@@ -110,17 +108,22 @@ class Retrieval:
         return memberships(self._index_rows, several)
 
     def counts(self) -> DataFrame:
-        """(query_id, n_candidates, hits) of every query."""
+        """(query_id, n_candidates, hits) of every query; hits are the originals it found."""
         per_set = self.matches.groupBy("query_gid").agg(F.sum("copies").alias("n_candidates"))
-        return self._queries_with_truth.join(per_set, "query_gid", "left").select(
-            "query_id",
-            F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
-            F.when(F.col("found"), 1).otherwise(0).alias("hits"),
+        hits = self._found.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+        return (
+            self._query_members.select("query_id", "query_gid")
+            .join(per_set, "query_gid", "left")
+            .join(hits, "query_id", "left")
+            .select("query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "hits")])
         )
 
-    def stats(self) -> DataFrame:
-        """Share of queries with candidates, mean candidates and recall."""
-        return retrieval_stats(self.counts())
+    def stats(self, mode: str = "pc") -> DataFrame:
+        """Share of queries with candidates, mean candidates and recall.
+
+        Recall is of queries that found an original (``pc``) or of index rows found as one (``cp``).
+        """
+        return retrieval_stats(self.counts(), mode, self.index.count() if mode == "cp" else None)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -135,22 +138,26 @@ class Retrieval:
         ahead = running_total(
             self.scored, ["query_gid"], [F.desc("score"), F.asc("cand_gid")], "copies", "ahead"
         ).select("query_gid", F.col("cand_gid").alias("truth_gid"), "ahead")
-        originals = self._queries_with_truth.select(F.col("truth_gid").alias("gid"))
+        originals = self._found.select(F.col("truth_gid").alias("gid"))
         places = places_in_set(self._copies_of(originals)).withColumnRenamed("id", "truth_id")
-        some = self.matches.select("query_gid").distinct()
-        first = F.col("ahead") + F.coalesce("place", F.lit(0)) + 1
-        return (
-            self._queries_with_truth.join(some, "query_gid", "left_semi")
-            .join(ahead, ["query_gid", "truth_gid"], "left")
+        rank = F.col("ahead") + F.coalesce("place", F.lit(0)) + 1
+        per_query = (
+            self._found.join(ahead, ["query_gid", "truth_gid"])
             .join(places, "truth_id", "left")
-            .select("query_id", first.alias("first_rank"))
-            .select(
-                "query_id",
-                "first_rank",
-                (1.0 / F.col("first_rank")).alias("mean_reciprocal"),
-                F.when(F.col("first_rank") <= k, 1).otherwise(0).alias("top_hits"),
+            .groupBy("query_id")
+            .agg(
+                F.min(rank).alias("first_rank"),
+                F.avg(1.0 / rank).alias("mean_reciprocal"),
+                F.count_if(rank <= k).alias("top_hits"),
             )
         )
+        some = self.matches.select("query_gid").distinct()
+        return (
+            self._query_members.join(some, "query_gid", "left_semi")
+            .select("query_id")
+            .join(per_query, "query_id", "left")
+            .na.fill(0, ["top_hits"])
+        )
 
     def metrics(self, mode: str = "cp", k: int = 3) -> DataFrame:
         return summarize_ranks(self.query_ranks(k), mode, k)
@@ -182,18 +189,12 @@ class Retrieval:
             .withColumn("rank", F.row_number().over(within))
             .where(F.col("rank") <= k)
         )
+        positive = self.truth.select("query_id", F.col("truth_id").alias("cand_id"), F.lit(POSITIVE).alias("label"))
         return (
-            self._queries_with_truth.select("query_id", "query_gid", "truth_id")
+            self._query_members.select("query_id", "query_gid")
             .join(listed, "query_gid")
-            .select(
-                "query_id",
-                "cand_id",
-                F.when(F.col("cand_id") == F.col("truth_id"), POSITIVE)
-                .otherwise(NEGATIVE)
-                .alias("label"),
-                "score",
-                "rank",
-            )
+            .join(positive, ["query_id", "cand_id"], "left")
+            .select("query_id", "cand_id", F.coalesce("label", F.lit(NEGATIVE)).alias("label"), "score", "rank")
         )
 
 

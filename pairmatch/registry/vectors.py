@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions import vectors as fv
@@ -156,23 +157,23 @@ kernels as (
 @query("qvec", "select id, i, round(raw, 6) as k from kernels", _KERNEL_CTE)
 def rbf_kernel(t):
     rows = _model(t).kernel_rows(_index(t), centered=False)
-    return rows.select("id", F.posexplode("kernel").alias("i", "k")).withColumn("k", F.round("k", 6))
+    return rows.select("id", F.posexplode_outer("kernel").alias("i", "k")).withColumn("k", F.round("k", 6))
 
 
 @query("qvec", "select id, i, round(centered, 6) as k from kernels", _KERNEL_CTE)
 def center_kernel(t):
     rows = _model(t).kernel_rows(_index(t))
-    return rows.select("id", F.posexplode("kernel").alias("i", "k")).withColumn("k", F.round("k", 6))
+    return rows.select("id", F.posexplode_outer("kernel").alias("i", "k")).withColumn("k", F.round("k", 6))
 
 
 @query("qvec", "select i, round(m, 9) as column_mean, round(g, 9) as grand_mean from means, grand", _KLSH)
 def kernel_means(t):
-    model = _model(t)
-    rows = [(i, float(m), model.grand_mean) for i, m in enumerate(model.column_means)]
-    means = t.spark.createDataFrame(rows, "i long, column_mean double, grand_mean double")
-    return means.select(
-        "i", F.round("column_mean", 9).alias("column_mean"), F.round("grand_mean", 9).alias("grand_mean")
-    )
+    sample = kl.sample_rows(_index(t), "id", P, SEED)
+    kernel = _model(t).kernel_rows(sample, centered=False).select(F.posexplode_outer("kernel").alias("i", "k"))
+    columns = kernel.groupBy(F.col("i").cast("bigint").alias("i")).agg(F.avg("k").alias("m"))
+    # P rows; columns are equally long, so the mean of their means is the grand mean
+    grand = F.avg("m").over(Window.partitionBy(F.lit(0)))
+    return columns.select("i", F.round("m", 9).alias("column_mean"), F.round(grand, 9).alias("grand_mean"))
 
 
 @query("qvec", "select bit, i, round(w, 6) as w from weight", _KLSH)
@@ -222,10 +223,13 @@ def union_candidates(t):
 
 @query("qvec", "select query_id, cand_id from cand", _CAND)
 def probe_index(t):
-    index, queries, layout = _signed(t)
+    model = _model(t)
+    layout = model.layout(R)
     path = scratch_path(t.spark, "bands")
-    store.write_band_index(index, layout, path)
-    return probe_stored(queries, store.load_band_index(t.spark, path), layout)
+    store.write_band_index(model.signatures(_index(t), layout), layout, path, model)
+    return probe_stored(
+        model.signatures(_queries(t), layout), store.load_band_index(t.spark, path), layout, model
+    )
 
 
 _STATS_CTE = f"""{_CAND},
@@ -254,13 +258,20 @@ def retrieval_stats_unlabelled(t):
     return _rounded(mt.retrieval_stats(_retrieval(t).counts(), None))
 
 
+def _retrieval_cp(t):
+    """Parents look for their children, which are told by their stems."""
+    children, parents = at.build_retrieval_sets(t["assets"], "cp")
+    truth = pr.related_pairs(parents, children)
+    return run_retrieval(children, parents, truth, P, T, B, R, SEED)
+
+
 _ASSET_SOURCES = """
-ranked as (
+numbered as (
   select *, row_number() over (partition by post_id order by filename) as rn,
     count(*) over (partition by post_id) as files, min(filename) over (partition by post_id) as first_name
   from assets),
 roles as (
-  select * from ranked where files > 1 and length(first_name) - length(replace(first_name, '_', '')) <= 1),
+  select * from numbered where files > 1 and length(first_name) - length(replace(first_name, '_', '')) <= 1),
 idx as (select vec_id as id, embedding as vec, regexp_replace(filename, '_[^_]*$', '') as stem from roles where rn > 1),
 qry as (select vec_id as id, embedding as vec, filename as name from roles where rn = 1)"""
 
@@ -274,19 +285,7 @@ qry as (select vec_id as id, embedding as vec, filename as name from roles where
     f"{_klsh_cte(sources=_ASSET_SOURCES)}, {_bands_cte()}",
 )
 def retrieval_stats_cp(t):
-    candidates, queries = at.build_retrieval_sets(t["assets"], "cp")
-    model = kl.KLSH(P, T, B, SEED).fit(candidates)
-    layout = model.layout(R)
-    pairs = cd.band_candidates(
-        model.signatures(candidates, layout), model.signatures(queries, layout), layout
-    )
-    named = pairs.join(
-        queries.select(F.col("id").alias("query_id"), F.col("name").alias("query_name")), "query_id"
-    ).join(candidates.select(F.col("id").alias("cand_id"), F.col("stem").alias("cand_stem")), "cand_id")
-    counts = mt.candidate_counts(
-        pr.label_pairs(named), queries.select(F.col("id").alias("query_id"))
-    )
-    return _rounded(mt.retrieval_stats(counts, "cp", candidates.count()))
+    return _rounded(_retrieval_cp(t).stats("cp"))
 
 
 # the search by sorted bits needs equal signatures, so it gets a short hash
@@ -497,3 +496,29 @@ def retrieve_metrics(t):
 def retrieve_default_hash(t):
     """The retrieval with the usual 180 bits in bands of nine."""
     return _rounded(run_retrieval(_index(t), _queries(t), _truth(t)).stats())
+
+
+_SCORED_CP_CTE = _SCORED_CTE.replace(_CAND, f"{_klsh_cte(sources=_ASSET_SOURCES)}, {_bands_cte()}").replace(
+    "c.query_id = c.cand_id then", "contains(q.name, x.stem) then"
+).split("per_query as")[0] + """per_query as (
+  select query_id, min(case when label = 1 then rank end) as first_rank,
+    avg(case when label = 1 then 1.0::double / rank end) as reciprocal,
+    count(*) filter (where label = 1 and rank <= 3) as top_hits
+  from ranked group by query_id)"""
+
+
+@query("assets", _TOP, _SCORED_CP_CTE)
+def retrieve_cp(t):
+    """The best ten children of every parent."""
+    return _retrieval_cp(t).top(10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "assets",
+    f"""select count(*) as n_queries, round(avg(coalesce(1.0::double / first_rank, 0)), 6) as mrr,
+          round(avg(coalesce(reciprocal, 0)), 6) as mrr_all, round(avg(top_hits / 3.0::double), 6) as precision_at_3, {_SHARES}
+        from per_query""",
+    _SCORED_CP_CTE,
+)
+def retrieve_metrics_cp(t):
+    return _rounded(_retrieval_cp(t).metrics("cp"))

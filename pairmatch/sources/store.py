@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
 from pairmatch.operators.candidates import band_rows
+from pairmatch.operators.hashing import HashModel
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -27,13 +28,15 @@ def load_signatures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_band_index(signed: DataFrame, layout: BandLayout, path: str) -> None:
+def write_band_index(signed: DataFrame, layout: BandLayout, path: str, model: HashModel) -> None:
     """Write (band, key, id, sig) in folders by band, sorted by key inside.
 
-    A probe then reads only files and row groups whose keys can match.
+    A probe then reads only files and row groups whose keys can match.  Layout and model are
+    named in the schema of every file, so that ``probe_index`` can refuse signatures of another hash.
     """
     (
         band_rows(signed, layout)
+        .withMetadata("sig", {"bits": layout.bits, "rows": layout.rows, "model": model.digest})
         .repartitionByRange("band", "key", F.xxhash64("id"))
         .sortWithinPartitions("band", "key")
         .write.mode("overwrite")
@@ -46,6 +49,14 @@ def load_band_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def check_band_index(band_index: DataFrame, layout: BandLayout, model: HashModel) -> None:
+    """Raise if the index was not written with this layout and this model."""
+    wanted = {"bits": layout.bits, "rows": layout.rows, "model": model.digest}
+    stored = dict(band_index.schema["sig"].metadata)
+    if stored != wanted:
+        raise ValueError(f"the index was written with {stored}, the queries are hashed with {wanted}")
+
+
 def write_pair_batches(packed: DataFrame, path: str) -> None:
     """Write packed pairs in one folder per batch.
 

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
 from pairmatch.operators.candidates import band_rows
+from pairmatch.operators.hashing import HashModel
+from pairmatch.sources.store import check_band_index
 
 
-def probe_index(signed: DataFrame, band_index: DataFrame, layout: BandLayout) -> DataFrame:
+def probe_index(signed: DataFrame, band_index: DataFrame, layout: BandLayout, model: HashModel) -> DataFrame:
     """(query_id, cand_id) of signed queries against a stored (band, key, id, sig) index.
 
     A pair is kept in the first band it shares, so no duplicate has to be remembered and
-    the join needs no state when the queries are a stream.
+    the join needs no state when the queries are a stream.  An index of another layout or
+    model is refused.
     """
+    check_band_index(band_index, layout, model)
     probes = band_rows(signed, layout).select(
         F.col("id").alias("query_id"), F.col("sig").alias("query_sig"), "band", "key"
     )

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pairmatch.operators import copies as cp
-from pairmatch.plans.retrieve import retrieve
+from pairmatch.plans.retrieve import Retrieval, retrieve
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,31 @@ def test_pairs_are_between_distinct_vectors(case):
     assert len(distinct) < sum(len(c) for c in plain.values())
 
 
+def test_several_originals(spark, case):
+    """None, one or several originals of a query, copies among them."""
+    found, plain, _, _ = case
+    wanted = {q: {c for c in range(91) if (c * 7 + q) % 10 < q % 4} for q in plain}
+    wanted |= {q: set(c[1:2]) for q, c in plain.items() if q % 4 == 1}
+    rows = [(q, c) for q, cands in wanted.items() for c in cands]
+    truth = spark.createDataFrame(rows + rows[:5] + [(1000, None)], "query_id long, truth_id long")
+    several = Retrieval(found.model, found.layout, found.index, found.queries, truth)
+    got = {r.query_id: (r.n_candidates, r.hits) for r in several.counts().collect()}
+    assert got == {q: (len(c), len(wanted[q] & set(c))) for q, c in plain.items()}
+    assert several.stats("cp").first().pct_found == pytest.approx(100 * sum(h for _, h in got.values()) / 91)
+    ranks = {q: [i for i, x in enumerate(c, 1) if x in wanted[q]] for q, c in plain.items() if c}
+    per_query = {r.query_id: r for r in several.query_ranks().collect()}
+    assert set(per_query) == set(ranks)
+    for q, places in ranks.items():
+        row = per_query[q]
+        assert (row.first_rank, row.top_hits) == (min(places, default=None), sum(p <= 3 for p in places))
+        assert row.mean_reciprocal == (pytest.approx(np.mean([1 / p for p in places])) if places else None)
+    assert {min(len(p), 2) for p in ranks.values()} == {0, 1, 2}
+    figures = several.metrics("cp").first()
+    assert figures.precision_at_3 == pytest.approx(np.mean([sum(x <= 3 for x in p) / 3 for p in ranks.values()]))
+    top = {(r.query_id, r["rank"]): (r.cand_id, r.label) for r in several.top(5).collect()}
+    assert top == {(q, i): (x, float(x in wanted[q])) for q, c in plain.items() for i, x in enumerate(c[:5], 1)}
+
+
 def test_copy_sets(spark):
     rows = spark.createDataFrame(
         [(i, [1], (i % 2, 0)) for i in range(10)], "id long, sig array<bigint>, digest struct<a: bigint, b: bigint>"

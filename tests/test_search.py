@@ -152,16 +152,22 @@ def test_probe_of_a_stored_index_batch_and_stream(spark, tmp_path):
     qdf, qvecs = vectors(spark, rng, 15, first=500)
     model = kl.KLSH(p=16, t=4, b=12, seed=3).fit(df)
     layout = model.layout(3)
-    store.write_band_index(model.signatures(df, layout), layout, str(tmp_path / "bands"))
+    store.write_band_index(model.signatures(df, layout), layout, str(tmp_path / "bands"), model)
     stored = store.load_band_index(spark, str(tmp_path / "bands"))
     expected = sharing_a_band(bits_of(model, vecs), bits_of(model, qvecs), layout.bands)
-    assert pairs_in(probe_index(model.signatures(qdf, layout), stored, layout)) == expected
+    assert pairs_in(probe_index(model.signatures(qdf, layout), stored, layout, model)) == expected
     qdf.write.parquet(str(tmp_path / "queries"))
     stream = spark.readStream.schema(qdf.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "queries"))
-    found = probe_index(model.signatures(stream, layout), stored, layout)
+    found = probe_index(model.signatures(stream, layout), stored, layout, model)
     run = found.writeStream.format("memory").queryName("probed").trigger(availableNow=True).start()
     assert run.awaitTermination(120)
     assert pairs_in(spark.table("probed")) == expected
+    other = model.layout(6)
+    with pytest.raises(ValueError, match="rows"):
+        probe_index(model.signatures(qdf, other), stored, other, model)
+    refit = kl.KLSH(p=16, t=4, b=12, seed=4).fit(df)
+    with pytest.raises(ValueError, match="model"):
+        probe_index(refit.signatures(qdf, layout), stored, layout, refit)
 
 
 def test_klsh_algebra():

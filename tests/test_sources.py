@@ -159,8 +159,10 @@ def test_model_and_index_round_trip(spark, tmp_path):
     store.write_signatures(signed, str(tmp_path / "sig"))
     kept = {r.id: r.sig for r in store.load_signatures(spark, str(tmp_path / "sig")).collect()}
     assert kept == {r.id: r.sig for r in loaded.signatures(df, layout).collect()}
-    store.write_band_index(signed, layout, str(tmp_path / "bands"))
-    assert store.load_band_index(spark, str(tmp_path / "bands")).count() == 60 * layout.bands
+    store.write_band_index(signed, layout, str(tmp_path / "bands"), model)
+    stored = store.load_band_index(spark, str(tmp_path / "bands"))
+    assert stored.count() == 60 * layout.bands
+    store.check_band_index(stored, layout, loaded)
 
 
 def test_broken_images_are_reported_and_programming_errors_fail(spark):
