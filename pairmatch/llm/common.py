@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From here on the session hands texts to Python in Arrow batches of about ``most`` bytes, one row at least.
+
+    The usual bound is 10,000 rows or 64 MB, which a task holds several times over: in the JVM, in
+    Python and while buffers grow.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Computes ``df`` once into a Parquet table in the session's shared checkpoint folder and reads it back."""
     path = scratch_path(df.sparkSession, "table")
@@ -166,7 +175,7 @@ def lists(values: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` has about ``most`` bytes of text in each, one row at least."""
     for batch in batches:
         start, held = 0, 0

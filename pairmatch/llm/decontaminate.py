@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.llm.common import lists, signed, small_batches, window_hashes, word_hashes
+from pairmatch.llm.common import bound_batches, lists, signed, small_batches, window_hashes, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -240,6 +240,7 @@ def find_leaks(
     broadcast; documents are scanned once per shard and never shuffled.  Term statistics are over all items.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     if "question" in items.columns and "answer" in items.columns:
         fields = [F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer")]
     else:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import components, id_filter, lists, may_hold, scramble, signed, small_batches, stored, window_hashes, word_hashes
+from pairmatch.llm.common import bound_batches, components, id_filter, lists, may_hold, scramble, signed, small_batches, stored, window_hashes, word_hashes
 
 BITS = 1024
 _LONGS = BITS // 64
@@ -295,6 +295,7 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     components need, between different sets only.  Empty sets link with nothing.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     first = cut_lineage(
         texts.mapInArrow(_first_pass(length, percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import signed, small_batches, window_hashes, word_hashes
+from pairmatch.llm.common import bound_batches, signed, small_batches, window_hashes, word_hashes
 
 # fixed values: look-alikes outside Latin, then signs that stand for letters; i, l, 1, ! and | fold alike
 LOOK_ALIKES = dict(zip("аеорсухіѕјԁӏԛɡαονρικ", "aeopcyxisjdlqgaovpik", strict=True))
@@ -130,7 +130,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(list(counts), pa.string()), *(pa.array(numbers[:, i]) for i in range(4))], ["entry", *_COUNTS]
         )
 
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             entries: Counter[str] = Counter()
             for word, times in Counter(fold(text).split()).items():
@@ -142,7 +142,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count = counts.setdefault(entry, [0, 0, 0, 0])
                 count[toxic] += 1
                 count[2 + toxic] += times
-        if len(counts) > 500_000:
+        if len(counts) > 100_000:
             yield out()
             counts = {}
     yield out()
@@ -160,6 +160,7 @@ def learn(
     out, of several labels for a document the highest counts, and without a toxic or a clean row the
     lexicon is empty.
     """
+    bound_batches(documents.sparkSession)
     rows = (
         labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"))
         .where("doc_id is not null and toxic in (0, 1)")
@@ -214,7 +215,7 @@ def learn(
 
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             found = np.array([lexicon.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found[:, 0]), pa.array(found[:, 1]), batch.column("toxic")], ["weight", "density", "toxic"]
@@ -245,6 +246,8 @@ def score(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
     null and isn't held out; repeated rows are scored each.  Reads doc_id and text, nothing else.
     """
 
+    bound_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             scores = [lexicon.score(t) for t in batch.column("text").to_pylist()]
@@ -263,10 +266,11 @@ def score(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
 
 def keep_clean(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """The rows whose text scores below ``threshold``, with all their columns, whatever their names."""
+    bound_batches(documents.sparkSession)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, at):
             keep = [lexicon.score(t) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
