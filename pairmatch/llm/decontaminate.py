@@ -5,7 +5,8 @@ reaches with all its own terms.  Items are grouped into blocks, and for each ter
 highest impact in every block.  A batch of passages is answered with block-max WAND: terms that
 can't reach the threshold together don't open a block, a block is passed over if its highest impacts
 can't reach it, and only the items of what is left are scored in full.  Every item above the threshold
-is retrieved, then verified by the overlap of its question and its answer with the passage.
+is retrieved, then verified by the overlap of its question and its answer with the passage, or of its
+whole text if it came without fields.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pairmatch.llm.common import bound_batches, lists, signed, small_batches, wi
 K1, B = 1.2, 0.75
 BLOCK = 8
 _DENSE = 8_000_000
+# least share of a whole text's runs of three words: one changed word costs at most three runs, a third of nine
+WHOLE = 2 / 3
 # words are parted by ASCII white space, punctuation and signs
 _SPACES = np.array([b in b" \t\n\r\v\f" or (33 <= b < 127 and not chr(b).isalnum()) for b in range(256)])
 
@@ -73,12 +76,20 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class ItemIndex:
-    """Block-max inverted index of some items; ``df`` and ``n``, ``mean`` are over all items."""
+    """Block-max inverted index of some items; ``df`` and ``n``, ``mean`` are over all items.
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: dict[int, int], n: int, mean: float, longest: int = 1):
+    split: the items are texts without fields, so their two parts are a guess.
+    """
+
+    def __init__(
+        self, items: list[tuple[int, np.ndarray, np.ndarray]], df: dict[int, int], n: int, mean: float, longest: int = 1,
+        split: bool = False,
+    ):
         items = sorted(items, key=lambda i: (len(i[1]) + len(i[2]), i[0]))
         self.ids = [i[0] for i in items]
         self.wanted = [((grams(q, 5), min(5, len(q))), (grams(a, 3), min(3, len(a)))) for _, q, a in items]
+        texts = [np.concatenate([q, a]) for _, q, a in items] if split else []
+        self.whole = [(grams(t, 3), min(3, len(t))) for t in texts]
         self.words = np.unique(np.concatenate([w for _, q, a in items for w in (q, a)]))
         terms, columns, values = [], [], []
         self.longest = longest
@@ -181,6 +192,11 @@ def passages(words: np.ndarray, edges: np.ndarray, step: int) -> tuple[np.ndarra
     return text, begin, np.concatenate(windows), np.concatenate(places)
 
 
+def _share(wanted: np.ndarray, passage: np.ndarray, length: int) -> float:
+    """The share of the ``wanted`` runs that are in the passage."""
+    return float(np.isin(wanted, grams(passage, length)).mean()) if len(wanted) else 1.0
+
+
 def _search(index: ItemIndex, threshold: float, overlap: float):
     step = index.longest
 
@@ -196,11 +212,12 @@ def _search(index: ItemIndex, threshold: float, overlap: float):
             for window, item, score in zip(*(v.tolist() for v in found), strict=True):
                 row, first = int(text[window]), int(begin[window])
                 passage = words[first : min(first + 2 * step, int(edges[row + 1]))]
-                shares = [
-                    float(np.isin(wanted, grams(passage, length)).mean()) if len(wanted) else 1.0
-                    for wanted, length in index.wanted[item]
-                ]
-                if min(shares) >= overlap:
+                shares = [_share(wanted, passage, length) for wanted, length in index.wanted[item]]
+                leaks = min(shares) >= overlap
+                if not leaks and index.whole:
+                    wanted, length = index.whole[item]
+                    leaks = _share(wanted, passage, length) >= WHOLE
+                if leaks:
                     key, start = (row, item), first - int(edges[row])
                     here = (round(score, 6), *(round(s, 6) for s in shares), start)
                     if key not in best or (here[:3], -start) > (best[key][:3], -best[key][3]):
@@ -234,7 +251,9 @@ def find_leaks(
     every item lies whole in one; the best window of each document and item is reported, once.
 
     An item is a leak if a window reaches ``threshold`` of the item's own score and holds at least
-    ``overlap`` of the question's runs of five words and of the answer's runs of three.
+    ``overlap`` of the question's runs of five words and of the answer's runs of three.  Where a text
+    without fields is parted is a guess, so its parts can't clear a window: it is a leak as well if the
+    window holds two thirds of the whole text's runs of three words, whatever the parts' overlaps.
 
     The index is cut into shards of at most about ``shard_bytes`` of item text, which bounds each
     broadcast; documents are scanned once per shard and never shuffled.  Term statistics are over all items.
@@ -279,7 +298,7 @@ def find_leaks(
         counts = df.join(terms.where(F.col("shard") == shard).select("term").distinct(), "term", "left_semi").collect()
         if not rows:
             continue
-        index = ItemIndex(rows, {r.term % 2**64: r.df for r in counts}, n, float(mean), longest)
+        index = ItemIndex(rows, {r.term % 2**64: r.df for r in counts}, n, float(mean), longest, split)
         shipped = spark.sparkContext.broadcast(index)
         found = found.union(texts.mapInArrow(_with(shipped, threshold, overlap), _FOUND))
     return found

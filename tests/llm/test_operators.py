@@ -136,6 +136,31 @@ def test_decontamination_against_brute_force(spark, docs, none):
     assert sorted(sharded.collect()) == sorted(found)
 
 
+def test_a_text_without_fields_is_verified_as_a_whole(spark):
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(4000)}"
+    text = lambda n, tail: " ".join(word() for _ in range(n)) + ". " + " ".join(word() for _ in range(tail)) + "."
+    items = [(0, text(30, 1)), (1, text(30, 4)), (2, text(14, 3)), (3, text(8, 3))]
+    docs, wanted = [], set()
+    for item, whole in items:
+        words = whole.split()
+        for at in range(len(words)):  # one changed word, at each place
+            wanted.add((len(docs), item))
+            docs.append((len(docs), " ".join([*words[:at], "changed.", *words[at + 1 :]])))
+        if item < 3:  # all but the last sentence
+            wanted.add((len(docs), item))
+            docs.append((len(docs), f"{text(40, 3)} {whole.partition('. ')[0]}. {text(20, 3)}"))
+        docs.append((len(docs), f"{text(20, 3)} {' '.join(words[: len(words) // 3])} {text(20, 3)}"))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = decontaminate.find_leaks(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == wanted
+    # with both fields, each is verified
+    fields = [(i, *t.split(". ", 1)) for i, t in items]
+    benchmark = spark.createDataFrame(fields, "item_id bigint, question string, answer string")
+    found = decontaminate.find_leaks(frame, benchmark).collect()
+    assert found and all(min(r.question_overlap, r.answer_overlap) >= 0.5 for r in found)
+
+
 def test_retrieval_is_complete():
     rng = np.random.default_rng(1)
     items = [(i, rng.integers(0, 60, 12).astype(np.uint64), rng.integers(0, 60, 3).astype(np.uint64)) for i in range(50)]
