@@ -6,11 +6,11 @@ read again as the next stage's docs.  All but the last keep the columns of docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmatch.deploy import ship_package
-from pairmatch.lineage import scratch_path
+from pairmatch.lineage import cut_lineage, scratch_path
 from pairmatch.llm import decontaminate, jaccard, linededup, mixing, toxicity
 from pairmatch.llm.common import table
 from pairmatch.llm.queries import EPOCHS, SEED, SHARE, WEIGHTS, source_domain
@@ -32,23 +32,54 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ).select(*docs.columns)
 
 
+def unit() -> Column:
+    """One number for doc_id and text, never null: texts that share a doc_id, or have none, are told apart."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1, on five words and a similarity of 0.8: the smallest doc_id of each group stays.
+    """Operator 1, on five words and a similarity of 0.8: one row of each group stays.
 
-    Rows without doc_id stay, and so do rows that repeat the doc_id that stays.
+    It has the smallest doc_id, and of several texts under that the smallest hash; rows without doc_id
+    come last.  Of rows that repeat doc_id and text, the one with the smallest other columns stays.
+    Texts without words are no copies of each other.
     """
     ship_package(spark)
-    found = jaccard.jaccard_components(docs, percent=80, length=5)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
-    return docs.join(others, docs.doc_id == others.other, "left_anti")
+    found = jaccard.jaccard_components(docs.select(unit().alias("doc_id"), "text"), percent=80, length=5)
+    units = cut_lineage(
+        found.groupBy(F.col("doc_id").alias("unit"), F.col("component_id").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    names = docs.select(
+        unit().alias("unit"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("bigint").alias("id"),
+        F.xxhash64(F.col("text").cast("string")).alias("version"),
+    ).dropDuplicates(["unit"])
+    stays = (
+        units.join(names, "unit")
+        .groupBy("group")
+        .agg(F.min(F.struct("unnamed", "id", "version", "unit")).alias("least"))
+        .select(F.col("least.unit").alias("unit"))
+    )
+    left = without(docs, units.join(stays, "unit", "left_anti"))
+    repeated = cut_lineage(units.where("n > 1").select("unit"))
+    if repeated.isEmpty():
+        return left
+    rows = left.join(repeated, unit() == repeated.unit, "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    once = rows.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("0"), *others)).alias("rest"))
+    once = once.select(*(c if c in ("doc_id", "text") else F.col("rest").getField(c) for c in docs.columns))
+    return without(left, repeated).union(once.toDF(*docs.columns))
+
+
+def without(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose unit isn't in ``units``."""
+    return docs.join(units, unit() == units.unit, "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents that hold a benchmark item go; rows without doc_id stay."""
+    """Operator 3: rows whose text holds a benchmark item go, with or without doc_id."""
     ship_package(spark)
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaks = leaks.select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, docs.doc_id == leaks.leak, "left_anti")
+    leaks = decontaminate.find_leaks(docs.select(unit().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, leaks.select(F.col("doc_id").alias("unit")).distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

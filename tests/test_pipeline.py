@@ -1,0 +1,63 @@
+"""Stages of the corpus pipeline on small tables with nulls, shared ids, repeated rows and odd columns."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+
+DOCS = "doc_id bigint, text string, lang string, source string, unit string, version string, other bigint"
+_RNG = random.Random(9)
+
+
+def sentence(n):
+    return " ".join(f"w{_RNG.randrange(5000)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A benchmark of two items and no labels."""
+    path = tmp_path_factory.mktemp("tables")
+    items = [(1, f"{sentence(30)}. {sentence(5)}."), (2, f"{sentence(25)}. {sentence(4)}.")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path), [text for _, text in items]
+
+
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def row(doc_id, text, other=0):
+    return (doc_id, text, "en", "src0", "u", "v", other)
+
+
+def test_near_copies_are_told_by_id_and_text(spark, folder):
+    a, b, c, d, e = (sentence(60) for _ in range(5))
+    near = f"{a} end"
+    rows = [
+        row(3, a), row(10, near), row(10, b),  # only one text of 10 is a copy
+        row(11, c, 2), row(11, c, 1), row(11, c, 1), row(12, c),  # repeated rows, and a copy of them
+        row(None, d), row(None, d), row(None, a), row(None, e), row(20, e),  # rows without id
+        row(30, None), row(30, None), row(31, None), row(31, ""), row(None, None),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = corpus_pipeline.drop_near_copies(spark, docs, folder[0])
+    assert found.columns == docs.columns
+    stay = [row(3, a), row(10, b), row(11, c, 1), row(None, d), row(20, e), row(30, None), row(31, None), row(31, ""), row(None, None)]
+    assert rows_of(found) == sorted(stay, key=str)
+    # without repeated rows
+    found = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows[:3] + rows[6:8], DOCS), folder[0])
+    assert rows_of(found) == sorted([row(3, a), row(10, b), row(12, c), row(None, d)], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), folder[0]).count() == 0
+
+
+def test_benchmark_is_told_by_id_and_text(spark, folder):
+    path, items = folder
+    clean = [row(1, sentence(50)), row(2, sentence(20)), row(2, sentence(20)), row(None, sentence(40)), row(3, None), row(None, None), row(4, "")]
+    leaks = [row(1, f"{sentence(9)} {items[0]} {sentence(9)}"), row(None, f"{sentence(5)} {items[1]}"), row(7, items[1])]
+    docs = spark.createDataFrame([*clean, clean[1], *leaks, leaks[0]], DOCS)
+    found = corpus_pipeline.drop_benchmark(spark, docs, path)
+    assert found.columns == docs.columns
+    assert rows_of(found) == sorted([*clean, clean[1]], key=str)
+    assert corpus_pipeline.drop_benchmark(spark, docs.limit(0), path).count() == 0
