@@ -4,7 +4,8 @@ Pages of one host are paired by URL path.  The text lines of a page are aligned
 neighbour by longest common subsequence, and the lines both share are template text.  Markup that
 says what it is comes first: lines inside navigation, adverts, forms, comments and the like always
 go, lines inside a declared main element always stay (two pages of a host may quote the same
-passage, or be copies), and differencing decides all other lines.
+passage, or be copies), and differencing decides all other lines.  A page with an article, a main
+element or a main role has no other lines than those.
 """
 
 from __future__ import annotations
@@ -49,33 +50,64 @@ TEMPLATE_WORDS = {
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story", "articlebody"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMING = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
-KEEP, DECIDE, DROP = 2, 1, 0
+# elements that some pages wrap around all they have
+WRAPPERS = {"form", "fieldset", "header"}
+DECLARED, KEEP, DECIDE, DROP = 3, 2, 1, 0
 
 
-def _says(attributes: str) -> int | None:
-    """What class, id and role say about an element, if anything."""
-    said = None
+def _says(attributes: str) -> tuple[int | None, bool]:
+    """What class, id and role say about an element, if anything, and if it is hidden.
+
+    Words count if they are a whole name: "has-sidebar" or "post-meta" says nothing.
+    """
+    names: set[str] = set()
+    main = False
     for name, *values in _NAMING.findall(attributes):
         value = "".join(values).strip().lower()
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
-            return DROP
-        words = set(_WORDS.findall(value)) | {w for w in value.split()}
-        if words & TEMPLATE_WORDS:
-            return DROP
-        if words & MAIN_WORDS and name.lower() in ("id", "role", "itemprop", "class"):
-            said = KEEP
-    return said
+            return DROP, True
+        names.update(value.split())
+        main |= name.lower() == "role" and "main" in value.split()
+    if main:
+        return DECLARED, False
+    if names & TEMPLATE_WORDS:
+        return DROP, False
+    return (KEEP if names & MAIN_WORDS else None), False
+
+
+def _element(name: str, attributes: str) -> tuple[int | None, bool]:
+    """What an element and its attributes say about its text, and if it goes even around an article."""
+    said, hidden = _says(attributes)
+    if name == "body":
+        return None, False
+    if name in TEMPLATE and said != DECLARED:
+        return DROP, hidden or name not in WRAPPERS
+    if name in MAIN and not hidden and (name == "main" or said != DROP or MAIN_WORDS & set(_names(attributes))):
+        return DECLARED, False
+    return said, hidden
+
+
+def _names(attributes: str) -> list[str]:
+    return [w for _, *values in _NAMING.findall(attributes) for w in "".join(values).lower().split()]
 
 
 def text_lines(html: str | None) -> list[tuple[str, int]]:
-    """The page's blocks of text in order, each with KEEP, DECIDE or DROP by its markup.
+    """The page's blocks of text in order, each with DECLARED, KEEP, DECIDE or DROP by its markup.
 
-    Unclosed elements end with their parents, unclosed comments and tags with the page.  Character
+    What only a class, id or role calls template text, a form or a header isn't dropped if it holds the page's article
+    or main element.  Unclosed elements end with their parents, unclosed comments and tags with the page.  Character
     references are decoded and white space becomes one space.
     """
+    lines, around = _parsed(html, frozenset())
+    return _parsed(html, frozenset(around))[0] if around else lines
+
+
+def _parsed(html: str | None, spared: frozenset[int]) -> tuple[list[tuple[str, int]], set[int]]:
+    """The lines, and the places of dropped elements around an article; those in ``spared`` say nothing."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = [("", DECIDE)]
+    around: set[int] = set()
+    # name, how its lines go, what it says itself, if it goes in any case, its place
+    stack: list[tuple[str, int, int | None, bool, int]] = [("", DECIDE, None, False, -1)]
     pieces: list[str] = []
 
     def flush() -> None:
@@ -105,7 +137,7 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
         if tag[1]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
-                    if name in INLINE and stack[depth][1] != stack[depth - 1][1]:
+                    if name in INLINE and (stack[depth][1] != stack[depth - 1][1] or stack[depth][2] == DROP):
                         flush()
                     del stack[depth:]
                     break
@@ -117,14 +149,18 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
         if name in VOID or tag[3].endswith("/"):
             continue
         above = stack[-1][1]
-        said = DROP if name in TEMPLATE else KEEP if name in MAIN else _says(tag[3])
-        if name in MAIN and _says(tag[3]) == DROP:
-            said = DROP
-        if name == "header" and above != KEEP:
-            said = DROP
-        if name == "body":
+        said, firm = _element(name, tag[3])
+        if name == "header" and above < KEEP and said != DECLARED:
+            said, firm = DROP, _says(tag[3])[1]
+        if at in spared:
             said = None
-        now = DROP if above == DROP else said if said is not None else above
+        if said == DECLARED:
+            for _, _, own, stays, place in stack:
+                if own == DECLARED or stays:
+                    break
+                if own == DROP:
+                    around.add(place)
+        now = _below(above, said)
         if name == "p":  # a paragraph ends the one before it
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
@@ -132,12 +168,17 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
                     break
                 if stack[depth][0] not in INLINE:
                     break
-            now = DROP if stack[-1][1] == DROP else said if said is not None else stack[-1][1]
-        elif name in INLINE and now != above:
+            now = _below(stack[-1][1], said)
+        elif name in INLINE and (now != above or said == DROP):
             flush()
-        stack.append((name, now))
+        stack.append((name, now, said, firm, at))
     flush()
-    return out
+    return out, around
+
+
+def _below(above: int, said: int | None) -> int:
+    """How the lines of an element go that says ``said``, in one whose lines go as ``above``."""
+    return DROP if DROP in (above, said) else max(above, said or above)
 
 
 def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -188,11 +229,11 @@ def main_text(html: str | None, neighbour: np.ndarray | None) -> str:
         # a copy of the page, with all its undecided lines, says nothing about the template
         if undecided.any() and shared[undecided].all():
             shared[:] = False
-    declared = any(how == KEEP for _, how in lines)
+    declared = any(how == DECLARED for _, how in lines)
     return "\n".join(
         line
         for (line, how), both in zip(lines, shared, strict=True)
-        if how == KEEP or (how == DECIDE and not both and not declared)
+        if how >= KEEP or (how == DECIDE and not both and not declared)
     )
 
 

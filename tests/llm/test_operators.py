@@ -292,6 +292,25 @@ def test_main_text(spark):
     assert html.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_layout_classes_lose_no_article():
+    for page in (
+        '<div class="page has-sidebar"><p>old</p><article><h1>T</h1><p>own</article></div>',
+        '<main class="no-sidebar"><h1>T</h1><p>own</p></main>', '<main class="search"><h1>T</h1><p>own</p></main>',
+        '<article class="post comments-open"><h1>T</h1><p>own</article>',
+        '<div id="sidebar"><p>old</p><article><header><h1>T</h1></header><p>own</p><div class="comments"><article>c</article></div></article></div>',
+        '<form><nav>n</nav><div role="main"><h1>T</h1><p>own<span class="ad">ad</span></p></div></form>',
+        '<div class="widget">w</div><article><h1>T</h1><p>own</article><aside><article class="teaser">more</article></aside>',
+        '<div class="related"><div hidden><main>x</main></div></div><main><h1>T</h1><p>own</main>',
+    ):
+        assert html.main_text(f'<body class="sidebar">{page}</body>', None) == "T\nown", page
+    # a part named so isn't all of the page
+    page = '<div>Top</div><div class="{}">by me</div><p>own</p><p>text</p>'
+    other = html.line_hashes(html.text_lines("<div>Top</div><p>different</p>"))
+    for name in ("post-meta", "post", "entry story", "content"):
+        assert html.main_text(page.format(name), other) == "by me\nown\ntext"
+    assert html.main_text(page.format("comments"), other) == "own\ntext"
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(8)
     for _ in range(200):
