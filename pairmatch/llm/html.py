@@ -268,11 +268,12 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 
     Pages are sorted by host and path over all tasks; the neighbour before or after with the longer
     common beginning of the path is taken, the one before if they tie.  Only keys and paths move, a
-    host with a third of the pages is spread over tasks, and pages with the same line hashes as
-    their neighbour are passed over, as one group of copies has one place in the order.
+    host with a third of the pages is spread over tasks.  Pages of a host with the same line hashes have one place in the order, at the
+    least of their paths, and share the ``other``.
     """
-    # copies of one page have one place; they meet the next different page
-    kinds = pages.groupBy("host", "path", "content").agg(F.min("key").alias("first"))
+    # copies of one page, whatever their paths, have one place; they meet the next different page
+    kinds = pages.groupBy("host", "content").agg(F.min(F.struct("path", "key")).alias("least"))
+    kinds = kinds.select("host", "content", F.col("least.path").alias("path"), F.col("least.key").alias("first"))
     numbered = number_rows(kinds, ["host", "path", "content"], "n")
     beside = numbered.select(
         F.col("host").alias("h"), F.col("path").alias("p"), F.col("first").alias("other"), F.col("content").alias("c"),
@@ -287,7 +288,7 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     pairs = numbered.join(beside, (F.col("n") == F.col("at")) & (F.col("host") == F.col("h")) & (F.col("content") != F.col("c")))
     order = Window.partitionBy("n").orderBy(same.desc(), "after")  # two rows at most
     best = pairs.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return pages.join(best.select("host", "path", "content", "other"), ["host", "path", "content"]).select("key", "other")
+    return pages.join(best.select("host", "content", "other"), ["host", "content"]).select("key", "other")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -311,6 +311,15 @@ def test_layout_classes_lose_no_article():
     assert html.main_text(page.format("comments"), other) == "own\ntext"
 
 
+def test_copies_under_several_paths_meet_another_page(spark):
+    page = "<div>Shop top</div><p>{}</p><div>Shop end</div>"
+    rows = [(i, f"http://h.org/b/{i}", page.format("copied text")) for i in range(1, 6)]
+    rows += [(6, "http://h.org/c", page.format("other text")), (7, "http://g.org/b/1", page.format("copied text"))]
+    found = html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    texts = {r.page_id: r.text for r in found.collect()}
+    assert texts == dict.fromkeys(range(1, 6), "copied text") | {6: "other text", 7: "Shop top\ncopied text\nShop end"}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(8)
     for _ in range(200):
