@@ -117,8 +117,8 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
         return scramble((sums[length:] - sums[:-length]) * inverses[:count] + np.uint64(length))
 
 
-def _hashed(data: np.ndarray, rows: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in some text, and where they begin; no word crosses the positions ``rows``."""
+def _hashed(data: np.ndarray, rows: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in some text, and where they begin and end; no word crosses the positions ``rows``."""
     solid = ~spaces[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = solid
@@ -132,21 +132,32 @@ def _hashed(data: np.ndarray, rows: np.ndarray, spaces: np.ndarray) -> tuple[np.
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
-        return scramble((sums[ends] - sums[begins]) * inverses[begins] + (ends - begins).astype(np.uint64)), begins
+        return scramble((sums[ends] - sums[begins]) * inverses[begins] + (ends - begins).astype(np.uint64)), begins, ends
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a column, and where each text begins and the last ends; null texts are empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), offsets
 
 
 def word_hashes(column: pa.Array, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in a column, and the edges of each text's words among them.
 
     Words are what stands between ASCII white space, with A-Z in lower case; a null text has none.
-    ``spaces`` marks the bytes that part words.  The bytes are hashed in pieces of about a megabyte, cut between words.
+    ``spaces`` marks the bytes that part words.
     """
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    data, offsets = text_bytes(column)
+    hashes, begins, _ = placed_words(data, offsets, spaces)
+    return hashes, np.searchsorted(begins, offsets)
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, and where in ``data`` they begin and end; it is hashed in pieces of about a megabyte, cut between words."""
     start, end = int(offsets[0]), int(offsets[-1])
-    hashes, begins = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    hashes, begins, ends = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while start < end:
         stop = min(end, start + _PIECE)
         while stop < end:  # up to the next white space or text
@@ -156,11 +167,12 @@ def word_hashes(column: pa.Array, spaces: np.ndarray = _SPACES) -> tuple[np.ndar
             if len(gap) or stop == row:
                 break
         rows = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, "right")] - start
-        found, at = _hashed(data[start:stop], rows, spaces)
+        found, at, last = _hashed(data[start:stop], rows, spaces)
         hashes.append(found)
         begins.append(at + start)
+        ends.append(last + start)
         start = stop
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+    return np.concatenate(hashes), np.concatenate(begins), np.concatenate(ends)
 
 
 def signed(values: np.ndarray) -> np.ndarray:

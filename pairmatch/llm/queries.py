@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmatch.llm import chat, decontaminate, html, jaccard, linededup, mixing, passages, tokens, topk, toxicity
+from pairmatch.llm import chat, collocations, decontaminate, html, jaccard, linededup, minhash, mixing, passages, runs, tokens, topk, toxicity
 from pairmatch.llm.common import table
 
 TOKENIZER = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -84,11 +84,24 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"), min_words=50)
 
 
+def op11_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), percent=85, length=3)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.periodic_tails(table(spark, folder, "documents"))))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_jaccard_join, op2_mixing, op3_decontamination, op4_line_dedup, op5_top_k,
         op6_toxicity, op7_main_text, op8_token_counts, op9_chat, op10_repeated_passages,
+        op11_near_duplicates, op12_periodic_runs, op13_collocations,
     )
 }
 
@@ -98,7 +111,11 @@ _WORDS = (
     f"'{_SPACE}'), lambda x: x <> '')"
 )
 
-_OP1 = f"""
+
+
+def _components(percent: int) -> str:
+    """doc_id, n_shingles, component_id by sets of three words and a similarity of ``percent`` hundredths."""
+    return f"""
 with recursive w as (
     select doc_id, coalesce({_WORDS}, []) as w from documents
 ), g as (
@@ -111,7 +128,7 @@ with recursive w as (
     select p.a, p.b
     from (select x.doc_id as a, y.doc_id as b, count(*) as shared from g x join g y on x.g = y.g and x.doc_id <> y.doc_id
           group by all) p join n na on p.a = na.doc_id join n nb on p.b = nb.doc_id
-    where 100 * shared >= 90 * (na.n + nb.n - shared)
+    where 100 * shared >= {percent} * (na.n + nb.n - shared)
 ), r(id, seen) as (
     select a, a from l union select r.id, l.b from r join l on r.seen = l.a
 ), c as (
@@ -172,7 +189,7 @@ from i group by doc_id, island
 """
 
 ORACLES = {
-    "op1_jaccard_join": _OP1,
+    "op1_jaccard_join": _components(90),
     "op2_mixing": mixing.oracle(
         "select * from documents", WEIGHTS.replace("as string", "as varchar"),
         "'domain' || (try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') as bigint) % 3)",
@@ -182,4 +199,7 @@ ORACLES = {
     "op5_top_k": _OP5,
     "op9_chat": _OP9,
     "op10_repeated_passages": _OP10,
+    "op11_near_duplicates": f"select *, coalesce(doc_id = component_id, false) as kept from ({_components(85)})",
+    "op12_periodic_runs": runs.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
