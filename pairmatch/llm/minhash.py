@@ -6,10 +6,12 @@
    if the union is no larger than a sketch, else a quantile of the hypergeometric distribution that is missed
    with a probability below ``MISSED``.  Inverted lists are therefore made of the values that come first in a
    common order, rare ones before frequent ones, and as many as it takes to meet in one list.
-3. In each list sets are paired with one hub, the set of similar size with the smallest id; those that share
-   many lists with it are looked at first, so that a large group of near copies is joined by a link each.
-4. In the lists that still hold several components, pairs are kept whose overlap can be large enough by a bitmap
-   of the sketches; long lists are cut into a grid of pieces.
+3. In each list sets are paired with one hub, the set of similar size with the fewest rare values: in a group of
+   near copies that is the text they were made from.  Each set meets the two hubs it shares most with first, so
+   that a large group is joined by a link each.
+4. Lists with the same least set are merged, as those of a group of near copies have mostly the same members.  In what
+   still holds several components, pairs are kept whose overlap can be large enough by bitmaps of the sketches and
+   of the whole sets; a long list is cut into a grid of pieces.
 5. The union sketch of a pair, the least values of both sketches together, estimates its similarity.  Pairs below the
    quantile are dropped, all others are verified on whole sets, and links become components.
 """
@@ -32,8 +34,7 @@ RETAINED = 96
 MISSED = 1e-15
 FREQUENT = 65_536
 PIECE = 8_192
-_BITS = 512
-_LONGS = _BITS // 64
+_SKETCH_BITS, _SET_BITS = 512, 1024
 _PAIRS_AT_ONCE = 200_000
 _HELD = 1 << 21
 _LARGE = 4_096
@@ -81,14 +82,21 @@ def needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     return _needed(percent)[np.minimum(sizes, _LARGE)]
 
 
+def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, np.uint8)
+    out[(scramble(values) % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(out)
+
+
 def _sketches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = shingle_sets(batch.column("text"), length)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
-                 pa.array([s[:RETAINED].tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "sid", "sketch"],
+                 pa.array([s[:RETAINED].tobytes() for s in sets], pa.binary()),
+                 pa.array([bitmap(s, _SET_BITS).tobytes() for s in sets], pa.binary())],
+                ["doc_id", "n", "sid", "sketch", "bits"],
             )
 
     return run
@@ -133,24 +141,27 @@ def _postings(percent: int, frequent):
                 at = np.minimum(np.searchsorted(often, values), len(often) - 1)
                 order = np.where(often[at] == values, rank[at], 0)
             row = np.repeat(np.arange(len(count)), count)
-            values = values[np.lexsort((values, order, row))]
+            by = np.lexsort((values, order, row))
+            values, order = values[by], order[by]
             place = np.arange(len(values)) - np.repeat(np.cumsum(count) - count, count)
             at = np.flatnonzero(place <= np.repeat(count - needed(sizes, percent), count))
-            row = pa.array(row[at])
+            row = row[at]
+            rare = np.bincount(row, weights=order[at] == 0, minlength=len(count)).astype(np.int32)
+            row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(values[at])), batch.column("sid").take(row), batch.column("n").take(row)], ["key", "sid", "n"]
+                [pa.array(signed(values[at])), batch.column("sid").take(row), batch.column("n").take(row), pa.array(rare).take(row)],
+                ["key", "sid", "n", "rare"],
             )
 
     return run
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the sketch and, after it, of the whole set."""
     for batch in batches:
-        values, count = _values(batch.column("sketch"))
-        bits = np.zeros((len(count), _BITS), np.uint8)
-        bits[np.repeat(np.arange(len(count)), count), (scramble(values) % np.uint64(_BITS)).astype(np.int64)] = 1
-        packed = [row.tobytes() for row in np.packbits(bits, axis=1)]
-        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(packed, pa.binary())], ["sid", "bits"])
+        sketches = [bitmap(np.frombuffer(v.as_buffer(), np.uint64), _SKETCH_BITS).tobytes() for v in batch.column("sketch")]
+        both = [one + whole for one, whole in zip(sketches, batch.column("bits").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(both, pa.binary())], ["sid", "bits"])
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +223,10 @@ def _similar(percent: int):
     return run
 
 
+def _most_shared(bits: np.ndarray, surplus: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[one] & bits[two]).sum(axis=1, dtype=np.int64) + np.minimum(surplus[one], surplus[two])
+
+
 _CELL = ["key", "x", "y", "slot", "sid", "n", "component", "bits"]
 
 
@@ -225,8 +240,10 @@ def _listed(percent: int):
         cell[1:] = np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
         order = np.lexsort((sid, sizes, cell))
         cell, slot, sid, sizes, component = (v[order] for v in (cell, np.where(x == y, -1, slot), sid, sizes, component))
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, _LONGS)[order]
-        surplus = np.minimum(sizes, RETAINED) - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        # for sketches and for sets: bits, and values beyond those that the bits stand for
+        maps = [(part, size - np.bitwise_count(part).sum(axis=1, dtype=np.int64))
+                for part, size in zip(np.split(bits, [_SKETCH_BITS // 64], axis=1), (np.minimum(sizes, RETAINED), sizes), strict=True)]
         wanted = needed(sizes, percent)
         # inside a cell sets stand by size: each meets those after it that are no larger than allowed
         most = 100 * sizes // percent
@@ -240,8 +257,10 @@ def _listed(percent: int):
             two = one + 1 + np.arange(len(one)) + edges[low] - edges[one]
             keep = (component[one] != component[two]) & ((slot[one] != slot[two]) | (slot[one] < 0)) & (sid[one] != sid[two])
             one, two = one[keep], two[keep]
-            shared = np.bitwise_count(bits[one] & bits[two]).sum(axis=1, dtype=np.int64) + np.minimum(surplus[one], surplus[two])
+            shared = _most_shared(*maps[0], one, two)
             keep = shared >= np.maximum(wanted[one], wanted[two])
+            one, two = one[keep], two[keep]
+            keep = (100 + percent) * _most_shared(*maps[1], one, two) >= percent * (sizes[one] + sizes[two])
             a, b = sid[one[keep]], sid[two[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             low = high
@@ -300,14 +319,14 @@ def near_duplicate_links(documents: DataFrame, percent: int = 85, length: int =
     spark = documents.sparkSession
     bound_batches(spark)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    first = stored(texts.mapInArrow(_sketches(length), "doc_id bigint, n bigint, sid bigint, sketch binary"))
-    sets = stored(first.where("n > 0").select("sid", "n", "sketch").dropDuplicates(["sid"]))
+    first = stored(texts.mapInArrow(_sketches(length), "doc_id bigint, n bigint, sid bigint, sketch binary, bits binary"))
+    sets = stored(first.where("n > 0").select("sid", "n", "sketch", "bits").dropDuplicates(["sid"]))
     holders = first.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     frequent = spark.sparkContext.broadcast(_frequent(sets))
-    listed = stored(sets.mapInArrow(_postings(percent, frequent), "key bigint, sid bigint, n bigint"))
+    listed = stored(sets.mapInArrow(_postings(percent, frequent), "key bigint, sid bigint, n bigint, rare int"))
     # most values belong to one set only; from here on there are just the others
     several = listed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    listed = stored(listed.join(several, "key").select("key", "sid", "n"))
+    listed = stored(listed.join(several, "key").select("key", "sid", "n", "rare"))
     light = sets.mapInArrow(_halves, "sid bigint, n bigint, half binary")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -330,12 +349,12 @@ def near_duplicate_links(documents: DataFrame, percent: int = 85, length: int =
         wanted.unpersist()
         return links
 
-    # hubs: of the sets of similar size in a list, the one with the smallest id
+    # hubs: of the sets of similar size in a list, the one with the fewest rare values
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     banded = listed.withColumn("band", band)
-    hubs = banded.groupBy("key", "band").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    hubs = banded.groupBy("key", "band").agg(F.min(F.struct("rare", "sid")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     near = (
-        banded.join(hubs, ["key", "band"])
+        banded.join(hubs.select("key", "band", F.col("hub.sid").alias("hub")), ["key", "band"])
         .where("sid <> hub")
         .groupBy("hub", "sid", "n")
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -348,8 +367,10 @@ def near_duplicate_links(documents: DataFrame, percent: int = 85, length: int =
     joined = verify(near)
     known = components(joined)
 
-    # lists whose sets aren't all joined
-    labelled = listed.join(known, listed.sid == known.id, "left").select(
+    # lists, merged by their least set, whose sets aren't all joined
+    least = listed.groupBy("key").agg(F.min(F.struct("rare", "sid")).alias("hub"))
+    merged = listed.join(least, "key").select(F.col("hub.sid").alias("key"), "sid", "n").distinct()
+    labelled = merged.join(known, merged.sid == known.id, "left").select(
         "key", "sid", "n", F.coalesce("component", "sid").alias("component")
     )
     open_lists = (
