@@ -2,7 +2,7 @@
 
 A stripe belongs to a prefix of words and counts the words that follow it.  The stripe of the empty prefix
 holds the words of a language and its total; the stripes of one, two and three words hold the phrases of two, three
-and four.  Tasks count in memory and send a stripe per prefix whenever they hold ``_HELD`` words; stripes are
+and four.  Tasks count in memory and send their stripes whenever they hold ``_HELD`` words, many in a block; stripes are
 then added up element by element.  Every phrase that is frequent has a frequent beginning and a frequent
 end, so only followers between such are counted, one length after the other.
 
@@ -26,7 +26,8 @@ from pairmatch.llm.common import bound_batches, id_filter, may_hold, placed_word
 
 _HELD = 1 << 21
 _ROWS = 50_000
-_SALTS = 64
+_BLOCKS_PER_PARTITION = 4
+_SHARES = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.zeros(256, np.int32)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 1
@@ -87,31 +88,25 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stripe()
 
 
-def _stripes(size: int, frequent, hot: np.ndarray):
-    """Task function: stripes (prefix, salt, next, n) of the phrases of ``size`` words whose two longest parts may be frequent.
+def _stripes(size: int, blocks: int, frequent, hot: np.ndarray):
+    """Task function: stripes of the phrases of ``size`` words whose two longest parts may be frequent.
 
-    The stripe of a hot prefix comes in parts, by the following word.
+    Rows (block, prefix, next, n) hold the stripes of a share of all prefixes, element by element, equal prefixes next to each
+    other.  The stripe of a hot prefix is cut by the following word and dealt to all blocks.
     """
 
-    def sent(prefix: np.ndarray, following: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, at, count = np.unique(_longer(prefix, following), return_index=True, return_counts=True)
+    def sent(prefix: np.ndarray, following: np.ndarray) -> pa.RecordBatch:
+        keys, at, count = np.unique(_longer(prefix, following), return_index=True, return_counts=True)
         prefix, following = prefix[at], following[at]
-        salt = np.where(np.isin(prefix, hot), (following % np.uint64(_SALTS)).astype(np.int32), 0)
-        order = np.lexsort((salt, prefix))
-        prefix, following, salt, count = prefix[order], following[order], salt[order], count[order]
-        fresh = np.ones(len(prefix), bool)
-        fresh[1:] = (prefix[1:] != prefix[:-1]) | (salt[1:] != salt[:-1])
-        starts = np.append(np.flatnonzero(fresh), len(prefix))
-        for i in range(0, len(starts) - 1, _ROWS):
-            cut = starts[i : i + _ROWS + 1]
-            low, high = int(cut[0]), int(cut[-1])
-            edges = pa.array((cut - low).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(prefix[cut[:-1]])), pa.array(salt[cut[:-1]].astype(np.int32)),
-                 pa.ListArray.from_arrays(edges, pa.array(signed(following[low:high]))),
-                 pa.ListArray.from_arrays(edges, pa.array(count[low:high].astype(np.int32)))],
-                ["prefix", "salt", "next", "n"],
-            )
+        block = (np.where(np.isin(prefix, hot), keys, prefix) % np.uint64(blocks)).astype(np.int32)
+        order = np.lexsort((prefix, block))
+        prefix, following, count, block = prefix[order], following[order], count[order], block[order]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        edges = pa.array(np.append(starts, len(block)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[starts]), *(pa.ListArray.from_arrays(edges, pa.array(v)) for v in (signed(prefix), signed(following), count.astype(np.int32)))],
+            ["block", "prefix", "next", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, followers, held = [], [], 0
@@ -129,10 +124,10 @@ def _stripes(size: int, frequent, hot: np.ndarray):
             followers.append(words[at + size - 1])
             held += len(at)
             if held >= _HELD:
-                yield from sent(np.concatenate(prefixes), np.concatenate(followers))
+                yield sent(np.concatenate(prefixes), np.concatenate(followers))
                 prefixes, followers, held = [], [], 0
         if held:
-            yield from sent(np.concatenate(prefixes), np.concatenate(followers))
+            yield sent(np.concatenate(prefixes), np.concatenate(followers))
 
     return run
 
@@ -151,11 +146,12 @@ def stripes_of_length(texts: DataFrame, size: int, shorter: DataFrame, least: in
     hot = shorter.where(1000 * F.col("f") >= total).select("key").collect()
     hot = np.array([r.key for r in hot], np.int64).view(np.uint64)
     frequent = id_filter(shorter, "key")
+    blocks = _BLOCKS_PER_PARTITION * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     added = (
-        texts.mapInArrow(_stripes(size, frequent, hot), "prefix bigint, salt int, next array<bigint>, n array<int>")
-        .repartition("prefix", "salt")
-        .select("prefix", "salt", F.inline(F.arrays_zip("next", "n")))
-        .groupBy("prefix", "salt", "next")
+        texts.mapInArrow(_stripes(size, blocks, frequent, hot), "block int, prefix array<bigint>, next array<bigint>, n array<int>")
+        .repartition("block")
+        .select("block", F.inline(F.arrays_zip("prefix", "next", "n")))
+        .groupBy("block", "prefix", "next")
         .agg(F.sum("n").alias("f"))
         .where(F.col("f") >= least)
     )
@@ -236,11 +232,14 @@ def collocations(
         .agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("said"))
         .select("id", "lang", F.array_join(F.col("said.word"), " ").alias("phrase"))
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = (F.desc("score"), F.desc("a"), "phrase")
     return (
         scored.join(spoken, "id")
-        .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-        .withColumn("rank", F.row_number().over(best))
+        .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.pmod("id", F.lit(_SHARES)).alias("share"))
+        # the best of a language are among the best of its shares, so that no task ranks all its phrases
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order)))
+        .where(F.col("rank") <= top)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .where(F.col("rank") <= top)
         .join(totals, "lang")
         .select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
