@@ -9,18 +9,21 @@ exceptions.  The weight of the matches is set against the length of the text.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import bound_batches, signed, small_batches, window_hashes, word_hashes
+from pairmatch.llm.common import bound_batches, id_filter, may_hold, scramble, small_batches, window_hashes, word_hashes
 
 # fixed values: look-alikes outside Latin, then signs that stand for letters; i, l, 1, ! and | fold alike
 LOOK_ALIKES = dict(zip("аеорсухіѕјԁӏԛɡαονρικ", "aeopcyxisjdlqgaovpik", strict=True))
@@ -85,7 +88,11 @@ class Lexicon:
             span = (end - len(entry) + 1, end)
             (clear if weight is None else hits).append((span, entry, weight))
         if clear:
-            hits = [h for h in hits if not any(a <= h[0][0] and h[0][1] <= b for (a, b), _, _ in clear)]
+            # the furthest end of all exceptions that begin no later than a hit tells whether one holds it
+            begins = sorted(span for span, _, _ in clear)
+            ends = list(accumulate((end for _, end in begins), max))
+            starts = [start for start, _ in begins]
+            hits = [h for h in hits if not ((at := bisect_right(starts, h[0][0])) and ends[at - 1] >= h[0][1])]
         words = max(1, folded.count(" ") - 1)
         weight = sum(h[2] for h in hits)
         return weight, 100 * weight / words
@@ -105,16 +112,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least hash of three neighbouring words of each text; 0 for a text with fewer."""
-    for batch in small_batches(batches, "text"):
-        words, edges = word_hashes(batch.column("text"))
-        runs = window_hashes(words, 3)
-        least = [runs[i : j - 2].min() if j - i > 2 else 0 for i, j in zip(edges, edges[1:], strict=False)]
-        sketch = signed(np.array(least, np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(sketch)], ["doc_id", "toxic", "sketch"]
-        )
+_MINIMA = 4
+
+
+def _sketches(wanted):
+    """Task function: for labelled texts, a hash that copies share.
+
+    It is made of ``_MINIMA`` independent minima over the runs of three words, so that texts with a passage in common
+    have different ones; of a text with no more runs than that, it is the hash of all words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            batch = batch.filter(may_hold(wanted.value, batch.column("doc_id")))
+            words, edges = word_hashes(batch.column("text"))
+            runs = window_hashes(words, 3)
+            turned = [scramble(runs + np.uint64(i)) for i in range(_MINIMA)]
+            sketch = []
+            for i, j in zip(edges, edges[1:], strict=False):
+                if j - i - 2 > _MINIMA:
+                    parts = np.array([t[i : j - 2].min() for t in turned])
+                else:
+                    parts = words[i:j]
+                sketch.append(xxhash.xxh3_64_intdigest(parts.tobytes()) - 2**63)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketch, pa.int64())], ["doc_id", "sketch"])
+
+    return run
 
 
 _COUNTS = ["clean", "toxic", "clean_times", "toxic_times"]
@@ -153,31 +176,33 @@ def learn(
 ) -> Lexicon:
     """Learns a lexicon from labelled documents outside the held-out part.
 
-    sample: learn from at most so many labelled rows, those with the lowest hash of doc_id; the
-    bound holds what reaches the driver, the rows for the final fit.  evidence: least log-likelihood
+    sample: learn from at most so many labelled texts, those with the lowest hash of doc_id, one of each group of copies;
+    the bound holds what reaches the driver: entries and exceptions, which are words of the sample, and the rows of the final fit.  evidence: least log-likelihood
     ratio of an entry.  precision: least share of its occurrences that are in toxic documents.
     The shortest beginning that qualifies is kept.  Labels that are null or neither 0 nor 1 are left
-    out, of several labels for a document the highest counts, and without a toxic or a clean row the
-    lexicon is empty.
+    out, of several labels for a document the highest counts, and without a toxic row, a clean row or a telling word the
+    lexicon is empty and scores every text below any threshold.
     """
     bound_batches(documents.sparkSession)
-    rows = (
+    marked = (
         labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"))
         .where("doc_id is not null and toxic in (0, 1)")
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    # copies of a text would make all its words look telling, so one of those with the same least hash of
-    # three words stays; the sample's size bounds both broadcasts
+    # copies of a text would make all its words look telling, so one of each group stays before the sample is drawn
+    wanted = id_filter(marked, "doc_id")
     rows = (
-        texts.join(F.broadcast(rows), "doc_id")
-        .mapInArrow(_sketches, "doc_id bigint, toxic int, sketch bigint")
+        texts.mapInArrow(_sketches(wanted), "doc_id bigint, sketch bigint")
+        .join(marked, "doc_id")
         .groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         .select("doc_id", "toxic")
     )
+    # the sample's size bounds the broadcast
     chosen = cut_lineage(texts.join(F.broadcast(rows), "doc_id").select("text", "toxic"))
+    wanted.unpersist()
     sizes = dict(chosen.groupBy("toxic").count().collect())
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
@@ -194,7 +219,7 @@ def learn(
     strong = (
         counted.where((F.col("toxic") >= 3) & (share > base) & (ratio >= evidence))
         .where(F.col("toxic_times") >= precision * (F.col("toxic_times") + F.col("clean_times")))
-        .orderBy(ratio.desc(), "entry").limit(5_000).collect()
+        .select("entry", *_COUNTS).collect()
     )
     weights: dict[str, float] = {}
     for row in sorted(strong, key=lambda r: (len(r.entry), r.entry)):
@@ -202,11 +227,11 @@ def learn(
             weight = np.log((row.toxic_times + 0.5) / (n_toxic + 1)) - np.log((row.clean_times + 0.5) / (n_clean + 1))
             if weight > 0:
                 weights[row.entry] = float(weight)
-    exceptions = []
-    if weights:
-        begins = F.regexp_extract("entry", f"^(?:{'|'.join(sorted(weights))})", 0) != ""
-        harmless = counted.where(F.col("entry").endswith(" ") & begins & (F.col("clean") >= 2) & (share <= base))
-        exceptions = [r.entry.strip() for r in harmless.orderBy(F.desc("clean"), "entry").limit(5_000).collect()]
+    if not weights:
+        return Lexicon()
+    begins = F.regexp_extract("entry", f"^(?:{'|'.join(sorted(weights))})", 0) != ""
+    harmless = counted.where(F.col("entry").endswith(" ") & begins & (F.col("clean") >= 2) & (share <= base))
+    exceptions = [r.entry.strip() for r in harmless.select("entry").collect()]
     lexicon = Lexicon(weights, sorted({*exceptions, *(fold(p).strip() for p in HARMLESS)}))
     seen = chosen.mapInArrow(_features(lexicon), "weight double, density double, toxic int")
     lexicon.coefficients = _fit(np.array([tuple(r) for r in seen.collect()]))
