@@ -3,7 +3,7 @@
 A token budget goes down a tree of domains, languages and sources.  The children of a node share its
 budget by weight, but none gets more than it can supply in ``max_epochs`` epochs; what a child can't
 use goes to its siblings by their weights, and what all children together can't use was never given
-to their parent, because a parent's supply is the sum of theirs.  Each leaf then takes whole epochs
+to their parent, because a parent's supply is the sum of theirs, those without weight left out.  Each leaf then takes whole epochs
 and the beginning of one more, in the seeded order of that epoch.
 """
 
@@ -65,16 +65,24 @@ def leaf_budgets(supplies: DataFrame, weights: DataFrame, budget: Column | int,
     """
     weights = weights.select(*(F.col(c).cast("string") for c in LEVELS), F.col("weight").cast("bigint"))
     leaves = supplies.select(*LEVELS, "tokens", (F.col("tokens") * max_epochs).alias("supply"))
-    above = leaves.select(F.lit(0).alias("_root")).distinct().withColumn("above", F.lit(budget).cast("bigint"))
-    nodes = above
     for depth, level in enumerate(LEVELS):
-        path, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth]) or ["_root"]
+        path = list(LEVELS[: depth + 1])
         own = weights.where(F.col(level).isNotNull())
         for below in LEVELS[depth + 1 :]:
             own = own.where(F.col(below).isNull())
-        own = own.groupBy(*path).agg(F.max("weight").alias("weight"))
-        here = leaves.groupBy(*path).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"))
-        here = here.join(own, path, "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        own = own.groupBy(*path).agg(F.max("weight").alias(f"w{depth}"))
+        leaves = leaves.join(own, path, "left").withColumn(f"w{depth}", F.coalesce(f"w{depth}", F.lit(1)))
+    above = leaves.select(F.lit(0).alias("_root")).distinct().withColumn("above", F.lit(budget).cast("bigint"))
+    nodes = above
+    for depth, level in enumerate(LEVELS):
+        path, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth]) or ["_root"]
+        # what a leaf can supply counts for a node only if all nodes between have weight
+        usable = F.lit(True)
+        for below in range(depth + 1, len(LEVELS)):
+            usable = usable & (F.col(f"w{below}") > 0)
+        here = leaves.groupBy(*path).agg(
+            F.sum(F.when(usable, F.col("supply")).otherwise(0)).alias("supply"), F.sum("tokens").alias("tokens"), F.max(f"w{depth}").alias("weight")
+        )
         if depth == 0:
             here = here.withColumn("_root", F.lit(0))
         here = here.join(nodes.select(*parent, "above"), parent)
@@ -90,7 +98,8 @@ def mix(
 
     Takes about ``share`` of all tokens, as far as the supply allows.  ``epochs`` says how many
     times a document is taken; an epoch's order is by a hash of seed, epoch and doc_id, and the last,
-    partial epoch is the longest beginning of that order that fits.  ``tokens`` counts a document's
+    partial epoch is the longest beginning of that order that fits, so a leaf falls short of its budget by fewer tokens
+    than the first document that doesn't fit has; that rest isn't given to others.  ``tokens`` counts a document's
     tokens, words by default.  Weights times tokens must stay below 2**63.
 
     Nulls in domain, lang or source are a node of their own, called "(none)".  Documents without
@@ -133,16 +142,16 @@ def oracle(documents: str, weights: str, domain: str, share: float, max_epochs:
     def level(depth: int) -> str:
         level, path = LEVELS[depth], ", ".join(LEVELS[: depth + 1])
         parent = ", ".join(LEVELS[:depth]) or "root"
-        below = "".join(f" and {c} is null" for c in LEVELS[depth + 1 :])
         up = f"join b{depth - 1} using ({parent})" if depth else "cross join b_root"
         root = "" if depth else "root, "
+        usable = " and ".join(["true", *(f"w{d} > 0" for d in range(depth + 1, len(LEVELS)))])
         return f"""
 n{depth} as (
     select {root}{path}, t.tokens, above, case when weight > 0 and supply > 0 then weight else 0 end as w,
            case when weight > 0 and supply > 0 then supply else 0 end as s
-    from (select {path}, sum(supply)::bigint as supply, sum(tokens)::bigint as tokens from leaves group by {path}) t
-    {up} left join (select {path}, max(weight) as weight0 from weights where {level} is not null{below} group by {path}) using ({path})
-    cross join lateral (select coalesce(weight0, 1) as weight)
+    from (select {path}, sum(case when {usable} then supply else 0 end)::bigint as supply, sum(tokens)::bigint as tokens,
+                 max(w{depth}) as weight from weighed group by {path}) t
+    {up}
 ), m{depth} as (
     select *, above - coalesce(sum(s) over (partition by {parent} order by case when w > 0 then s / w else 0 end, {level}
                                             rows between unbounded preceding and 1 preceding), 0) as lft,
@@ -158,6 +167,12 @@ n{depth} as (
                  sum(case when short then 0 else w end) over (partition by {parent}) as sharing from k{depth})
 )"""
 
+    def own_weights(depth: int) -> str:
+        path = ", ".join(LEVELS[: depth + 1])
+        only = "".join(f" and {c} is null" for c in LEVELS[depth + 1 :])
+        return f"""
+    left join (select {path}, max(weight) as weight{depth} from weights where {LEVELS[depth]} is not null{only} group by {path}) using ({path})"""
+
     return f"""
 with units as (
     select doc_id, coalesce({domain}, '{NONE}') as domain, coalesce(lang, '{NONE}') as lang, coalesce(source, '{NONE}') as source,
@@ -167,6 +182,9 @@ with units as (
 ), weights as ({weights}), leaves as (
     select domain, lang, source, sum(n_tokens)::bigint as tokens, (sum(n_tokens) * {max_epochs})::bigint as supply
     from units group by all
+), weighed as (
+    select leaves.*, coalesce(weight0, 1) as w0, coalesce(weight1, 1) as w1, coalesce(weight2, 1) as w2
+    from leaves{own_weights(0)}{own_weights(1)}{own_weights(2)}
 ), b_root as (
     select 0 as root, floor(sum(tokens)::double * {share})::bigint as above from leaves
 ),{level(0)},{level(1)},{level(2)}, picks as (
