@@ -12,24 +12,35 @@ from pyspark.sql import functions as F
 from pairmatch.deploy import ship_package
 from pairmatch.lineage import cut_lineage, scratch_path
 from pairmatch.llm import decontaminate, jaccard, linededup, mixing, toxicity
-from pairmatch.llm.common import table
+from pairmatch.llm.common import fresh, table
 from pairmatch.llm.queries import EPOCHS, SEED, SHARE, WEIGHTS, source_domain
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents whose toxicity score reaches 0.3 go."""
+    """Operator 6: documents whose toxicity score reaches 0.3 go; null and empty texts stay, rows that repeat are told alike."""
     ship_package(spark)
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: later copies of line runs go, and documents that have nothing else."""
+    """Operator 4: later copies of line runs go, and documents that have nothing else.
+
+    Null texts stay null and empty ones empty; rows that repeat doc_id and text get the same text.  ``n_chars``, if there is
+    one, counts the characters that stay; all other columns are kept, whatever their names.
+    """
     ship_package(spark)
-    left = linededup.remove_repeated_lines(docs)
+    # the two counts get their names, columns that have them others
+    taken = [n for n in docs.columns if n.lower() in ("n_lines", "n_removed")]
+    aside = dict(zip(taken, fresh([*docs.columns, "n_lines", "n_removed"], *(n.lower() for n in taken)), strict=True))
+    left = linededup.remove_repeated_lines(docs.toDF(*(aside.get(n, n) for n in docs.columns)))
     emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
-    return left.where(~emptied).withColumn(
-        "n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
-    ).select(*docs.columns)
+    shortened = F.when(F.col("n_removed") > 0, F.length("text"))
+    return left.where(~emptied).select(
+        *(
+            shortened.otherwise(F.col("n_chars")).cast("bigint").alias(n) if n == "n_chars" else F.col(f"`{aside.get(n, n)}`").alias(n)
+            for n in docs.columns
+        )
+    )
 
 
 def unit() -> Column:
@@ -76,21 +87,27 @@ def without(docs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: rows whose text holds a benchmark item go, with or without doc_id."""
+    """Operator 3: rows whose text holds a benchmark item go, with or without doc_id; null and empty texts stay."""
     ship_package(spark)
     leaks = decontaminate.find_leaks(docs.select(unit().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return without(docs, leaks.select(F.col("doc_id").alias("unit")).distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the documents of the mix, with domain, n_tokens and epochs."""
+    """Operator 2: the documents of the mix, with domain, n_tokens and epochs; columns called so before are replaced.
+
+    Documents without words, null texts among them, aren't taken; rows that repeat doc_id and text are taken together; rows
+    without doc_id, source or lang take part.
+    """
     ship_package(spark)
     picked = mixing.mix(docs, spark.sql(WEIGHTS), source_domain(), share=SHARE, max_epochs=EPOCHS, seed=SEED)
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), "domain", "n_tokens", "epochs")
-    versioned = docs.withColumn("_version", F.xxhash64("text"))
-    return versioned.join(
-        picked, versioned.doc_id.eqNullSafe(picked._id) & (versioned._version == picked._v)
-    ).drop("_id", "_v", "_version")
+    kept = [n for n in docs.columns if n.lower() not in ("domain", "n_tokens", "epochs")]
+    doc, version, own = fresh(kept, "doc", "version", "own")
+    picked = picked.select(F.col("doc_id").alias(doc), F.col("version").alias(version), "domain", "n_tokens", "epochs")
+    marked = docs.select(*(F.col(f"`{n}`") for n in kept), F.xxhash64("text").alias(own))
+    return marked.join(
+        picked, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(version))
+    ).drop(doc, version, own)
 
 
 STAGES = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,23 @@ from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage, scratch_path
 
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that a table already has in any case."""
+    held = {name.lower() for name in taken}
+    out = []
+    for name in names:
+        while name in held:
+            name += "_"
+        held.add(name)
+        out.append(name)
+    return out
+
+
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """From here on the session hands texts to Python in Arrow batches of about ``most`` bytes, one row at least.
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
+from pairmatch.llm.common import fresh
 from pairmatch.operators.ordering import number_rows
 
 _BLANKS = " \t\r"
@@ -27,12 +28,12 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(_BLANKS))
 
 
-def _doc(documents: DataFrame) -> DataFrame:
+def _doc(documents: DataFrame, doc: str = "_doc", version: str = "_version") -> DataFrame:
     """Columns to sort documents by: null ids first, and texts that share an id by hash."""
     return documents.withColumns(
         {
-            "_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))),
-            "_version": F.xxhash64("text"),
+            doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))),
+            version: F.xxhash64("text"),
         }
     )
 
@@ -118,15 +119,16 @@ def remove_repeated_lines(documents: DataFrame, min_lines: int = 2, long_words:
 
     A null text stays null with 0 lines and a null doc_id sorts first.  Rows that repeat doc_id and
     text are one document and get the same text; texts that share a doc_id sort by hash.  All other
-    columns are kept, whatever their names.
+    columns are kept, whatever their names, but for columns called like the two counts, which those replace.
     """
+    doc, version, spots = fresh([*documents.columns, "text"], "_doc", "_version", "_gone")
     first, ranks = suffix_ranks(documents, min_lines, long_words)
     starts = _later(ranks).select("doc", "version", F.explode(F.sequence("seq", F.col("seq") + (min_lines - 1))).alias("seq"))
     single = _later(first.where("long").select(*_AT, "rank")).select(*_AT)
     gone = first.join(starts.union(single), _AT, "left_semi")
-    gone = gone.groupBy("doc", "version").agg(F.array_sort(F.collect_list("line")).alias("_gone"))
+    gone = gone.groupBy("doc", "version").agg(F.array_sort(F.collect_list("line")).alias(spots))
     lines = F.split("text", "\n")
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
+    edges = F.concat(F.array(F.lit(-1)), F.col(spots), F.array(F.size(lines)))
     # one element that holds both arrays, so that the text is split once and not for every piece
     held = F.array(F.struct(lines.alias("lines"), edges.alias("edges")))
     pieces = F.transform(
@@ -140,20 +142,20 @@ def remove_repeated_lines(documents: DataFrame, min_lines: int = 2, long_words:
             )
         ),
     )
-    names = documents.columns
-    joined = _doc(documents.withColumn("text", F.col("text").cast("string"))).join(
-        gone.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "_gone"), ["_doc", "_version"], "left"
+    names = [n for n in documents.columns if n.lower() not in ("n_lines", "n_removed")]
+    joined = _doc(documents.withColumn("text", F.col("text").cast("string")), doc, version).join(
+        gone.select(F.col("doc").alias(doc), F.col("version").alias(version), spots), [doc, version], "left"
     )
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     return joined.select(
         *(
-            F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n")).alias("text")
+            F.when(F.col(spots).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n")).alias("text")
             if n == "text"
             else F.col(f"`{n}`")
             for n in names
         ),
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.size(spots), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 

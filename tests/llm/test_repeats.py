@@ -263,3 +263,40 @@ def test_scores_are_exact(spark):
     row = spark.range(1).select(F.lit(big).alias("a"), F.lit(big + 1).alias("b"))
     row = row.withColumn("s", collocations._exact(2_000_000) * collocations._exact("a"))
     assert row.withColumn("t", collocations._exact("a") + collocations._exact("b")).selectExpr("s div t").first()[0] == 2_000_000 * big // (2 * big + 1)
+
+
+def test_exceptions_are_found_by_intervals():
+    """Aho-Corasick with exceptions against looking everywhere."""
+    from pairmatch.llm import toxicity
+
+    rng = random.Random(12)
+    weights = {"ab": 1.0, "aba": 2.0, "b": 0.5, "ca": 4.0}
+    exceptions = ["abab ca", "aba", "b b", "ca ca", "bab"]
+    lexicon = toxicity.Lexicon(weights, exceptions)
+    for _ in range(300):
+        text = f" {' '.join(rng.choice(['ab', 'aba', 'b', 'ca', 'abab', 'bab', 'c']) for _ in range(rng.randint(1, 12)))} "
+        clear = [(i + 1, i + len(p) + 2) for p in exceptions for i in range(len(text)) if text.startswith(f" {p} ", i)]
+        hits = [(i + 1, i + 1 + len(e), w) for e, w in weights.items() for i in range(len(text)) if text.startswith(f" {e}", i)]
+        brute = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in clear))
+        assert lexicon.match(text)[0] == pytest.approx(brute)
+
+
+def test_a_node_without_weight_supplies_nothing(spark):
+    from pairmatch.llm import mixing
+
+    supplies = spark.createDataFrame(
+        [("P", "A", "1", 1000), ("P", "B", "1", 10), ("Q", "C", "1", 1000)], "domain string, lang string, source string, tokens bigint"
+    )
+    weights = spark.createDataFrame([("P", "A", None, 0)], "domain string, lang string, source string, weight bigint")
+    found = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(supplies, weights, 400, 1).collect()}
+    assert found == {("P", "A"): 0, ("P", "B"): 10, ("Q", "C"): 390}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    from pairmatch.llm import linededup
+
+    rows = [(1, "a\nb\nc", "p", "q", "r", 7), (2, "a\nb\nd", "s", "t", "u", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _doc string, _version string, _gone string, n_lines int")
+    found = linededup.remove_repeated_lines(docs)
+    assert found.columns == ["doc_id", "text", "_doc", "_version", "_gone", "n_lines", "n_removed"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a\nb\nc", "p", "q", "r", 3, 0), (2, "d", "s", "t", "u", 3, 2)]
