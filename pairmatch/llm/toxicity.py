@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import bound_batches, id_filter, may_hold, scramble, small_batches, window_hashes, word_hashes
+from pairmatch.llm.common import bound_batches, id_filter, may_hold, small_batches, window_hashes, word_hashes
 
 # fixed values: look-alikes outside Latin, then signs that stand for letters; i, l, 1, ! and | fold alike
 LOOK_ALIKES = dict(zip("аеорсухіѕјԁӏԛɡαονρικ", "aeopcyxisjdlqgaovpik", strict=True))
@@ -112,14 +112,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-_MINIMA = 4
-
-
 def _sketches(wanted):
     """Task function: for labelled texts, a hash that copies share.
 
-    It is made of ``_MINIMA`` independent minima over the runs of three words, so that texts with a passage in common
-    have different ones; of a text with no more runs than that, it is the hash of all words.
+    It is made of the least hash of three neighbouring words and the size of the text in steps of a half, so that a shared
+    passage seldom makes texts copies; a text of fewer than six words has the hash of all its words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +124,12 @@ def _sketches(wanted):
             batch = batch.filter(may_hold(wanted.value, batch.column("doc_id")))
             words, edges = word_hashes(batch.column("text"))
             runs = window_hashes(words, 3)
-            turned = [scramble(runs + np.uint64(i)) for i in range(_MINIMA)]
             sketch = []
             for i, j in zip(edges, edges[1:], strict=False):
-                if j - i - 2 > _MINIMA:
-                    parts = np.array([t[i : j - 2].min() for t in turned])
-                else:
+                if j - i < 6:
                     parts = words[i:j]
+                else:
+                    parts = np.array([runs[i : j - 2].min(), np.uint64(np.log(j - i) / np.log(1.5))])
                 sketch.append(xxhash.xxh3_64_intdigest(parts.tobytes()) - 2**63)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketch, pa.int64())], ["doc_id", "sketch"])
 
