@@ -3,7 +3,7 @@
 Every view has one SQL text for Spark and DuckDB.  A few marks differ between the two:
 ``{R:x}`` is the 32-bit number of the string x and ``{W:x}`` its 60-bit number,
 ``{SEQ:n}`` a row for each of 0 to n-1, ``{NUDGED}`` the embedding with a small shift that
-depends on row and element, and ``{ESC}`` names the escape character of a pattern.
+depends on row and element, ``{PLAIN}`` the embedding in doubles, and ``{ESC}`` names the escape character of a pattern.
 """
 
 from __future__ import annotations
@@ -61,12 +61,16 @@ select distinct concat('t3_', cast(event_id % 701 as string)) as post_id
 from events where event_type = (select min(event_type) from events)
 """
 
+# children look like the first file of their post
 VIEWS["assets"] = """
-select vec_id, concat('t3_p', cast(post as string)) as post_id, embedding,
+select vec_id, concat('t3_p', cast(post as string)) as post_id,
+  case when k = 0 then {PLAIN} else {NUDGED} end as embedding,
   case when vec_id % 4 = 0 and post % 7 <> 3 then concat('t3_p', cast(post as string), '.jpg')
        else concat('t3_p', cast(post as string), '_', cast(1000 + k as string),
                    case when vec_id % 13 = 0 then '.png' else '.jpg' end) end as filename
-from (select vec_id, embedding, cast(floor(vec_id / 4) as bigint) as post, vec_id % 4 as k from embeddings) s
+from (
+  select e.vec_id, f.embedding, cast(floor(e.vec_id / 4) as bigint) as post, e.vec_id % 4 as k
+  from embeddings e join embeddings f on f.vec_id = e.vec_id - e.vec_id % 4) s
 where not (post % 11 = 5 and k > 0)
 """
 
@@ -141,6 +145,7 @@ _SPARK_MARKS = {
     "W": "cast(conv(substring(md5({x}),1,15),16,10) as bigint)",
     "SEQ": "explode(sequence(0, {x} - 1))",
     "NUDGED": "transform(embedding, (x, i) -> cast(x as double) + 0.05D * (((vec_id * 31 + i * 17) % 11) - 5) / 5.0D)",
+    "PLAIN": "transform(embedding, x -> cast(x as double))",
     "ESC": "",
 }
 _DUCKDB_MARKS = {
@@ -148,6 +153,7 @@ _DUCKDB_MARKS = {
     "W": "cast(('0x' || substr(md5({x}),1,15)) as bigint)",
     "SEQ": "unnest(range(0, {x}))",
     "NUDGED": "list_transform(embedding, lambda x, i: cast(x as double) + 0.05::double * (((vec_id * 31 + (i - 1) * 17) % 11) - 5) / 5.0::double)",
+    "PLAIN": "list_transform(embedding, lambda x: cast(x as double))",
     "ESC": "escape '\\'",
 }
 
@@ -156,7 +162,7 @@ def render(text: str, marks: dict[str, str]) -> str:
     """SQL with its marks replaced for one engine."""
     out = []
     at = 0
-    for found in re.finditer(r"\{(R|W|SEQ|NUDGED|ESC)(:)?", text):
+    for found in re.finditer(r"\{(R|W|SEQ|NUDGED|PLAIN|ESC)(:)?", text):
         if found.start() < at:
             continue
         depth, end = 1, found.end()

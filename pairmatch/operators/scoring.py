@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from pairmatch.functions.arrow import to_matrix
+from pairmatch.lineage import scratch_path
+
 PREDICT_BATCH = 400
 # Fixed value: how far predictions are kept from 0 and 1 in the logarithm
 EPSILON = 1e-7
@@ -24,46 +28,149 @@ def pair_features(a: Column, b: Column) -> Column:
     return F.concat(apart, shared)
 
 
-def _with_features(pairs: DataFrame) -> DataFrame:
-    both = pair_features(F.col("query_vec"), F.col("cand_vec"))
-    return pairs.withColumn("features", array_to_vector(both))
+def segment_distances(parts: int) -> Callable[[Column, Column], Column]:
+    """Features for long vectors: the sum of |a - b| over each of ``parts`` stretches of equal length."""
+
+    def features(a: Column, b: Column) -> Column:
+        # one element that holds the differences, so that they are computed once and not for every stretch
+        apart = F.array(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+        return F.flatten(
+            F.transform(
+                apart,
+                lambda held: F.transform(
+                    F.sequence(F.lit(0), F.lit(parts - 1)),
+                    lambda i: F.aggregate(
+                        F.slice(held, (i * F.size(held) / parts).cast("int") + 1, (F.size(held) / parts).cast("int")),
+                        F.lit(0.0),
+                        lambda total, v: total + v,
+                    ),
+                ),
+            )
+        )
 
+    return features
 
-def train_pair_scorer(
-    pairs: DataFrame, binary_only: bool = True, max_iter: int = 20, reg: float = 0.01
-) -> PipelineModel:
-    """Logistic regression on pair features; pairs carry label, query_vec and cand_vec.
 
-    Labels between 0 and 1 are dropped, or count as a weighted positive and negative.
-    """
-    label = F.col("label")
-    if binary_only:
-        rows = pairs.where(label.isin(0.0, 1.0)).withColumn("weight", F.lit(1.0))
-    else:
-        sides = F.filter(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), label.alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (1.0 - label).alias("weight")),
-            ),
-            lambda side: side["weight"] > 0,
-        )
-        rows = pairs.select("query_vec", "cand_vec", F.explode(sides).alias("side")).select(
-            "query_vec", "cand_vec", "side.label", "side.weight"
+@dataclass(frozen=True)
+class PairScorer:
+    """A logistic model of pair features: the intercept and one weight per feature."""
+
+    weights: tuple[float, ...]
+    features: Callable[[Column, Column], Column]
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Adds ``score``, the probability of a positive pair; null if a vector is."""
+        terms = F.zip_with(
+            F.concat(F.array(F.lit(1.0)), self.features(F.col("query_vec"), F.col("cand_vec"))),
+            F.array(*[F.lit(w) for w in self.weights]),
+            lambda x, w: x * w,
         )
-    scorer = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, regParam=reg
-    )
-    return Pipeline(stages=[scorer]).fit(
-        _with_features(rows).select("features", "label", "weight")
+        return pairs.withColumn("score", 1 / (1 + F.exp(-F.aggregate(terms, F.lit(0.0), lambda total, v: total + v))))
+
+
+_FAN = 16
+MOST_FEATURES = 1_024
+
+
+def _sums(at: np.ndarray):
+    """Task function: loss, gradient and Hessian of all rows of the task, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(at)
+        total = np.zeros(2 + d + d * d)
+        for batch in batches:
+            rows, _ = to_matrix(batch.column("features"), d - 1)
+            x = np.column_stack([np.ones(len(rows)), rows])
+            y = batch.column("label").to_numpy()
+            z = x @ at
+            p = 1 / (1 + np.exp(-z))
+            total[0] += len(y)
+            total[1] += (np.logaddexp(0, z) - y * z).sum()
+            total[2 : 2 + d] += x.T @ (y - p)
+            total[2 + d :] += ((x.T * (p * (1 - p))) @ x).ravel()
+        slot = TaskContext.get().partitionId() % _FAN
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slot, sums in zip(batch.column("slot").to_pylist(), batch.column("sums"), strict=True):
+            own = np.frombuffer(sums.as_buffer())
+            held[slot] = held[slot] + own if slot in held else own
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slot", "sums"]
     )
 
 
-def apply_pair_scorer(pairs: DataFrame, model: PipelineModel) -> DataFrame:
+def newton_steps(rows: DataFrame, n_features: int, reg: float, max_iter: int = 50, tol: float = 1e-9) -> np.ndarray:
+    """Weights, the intercept first, that minimise the mean log loss plus reg / 2 times their squared length.
+
+    rows: (features, label), labels between 0 and 1.  The penalty makes the optimum unique.  Each step is one job: every task
+    sums up its rows, the sums of all tasks are added up in ``_FAN`` groups, and as many rows reach the driver.  A step
+    that doesn't lower the loss is halved.
+    """
+    d = n_features + 1
+    at, best, gained = np.zeros(d), np.inf, np.zeros(d)
+    for _ in range(max_iter):
+        parts = (
+            rows.mapInArrow(_sums(at), "slot int, sums binary")
+            .repartition(_FAN, "slot")
+            .mapInArrow(_added, "slot int, sums binary")
+            .collect()
+        )
+        total = np.sum([np.frombuffer(r["sums"]) for r in sorted(parts, key=lambda r: r["slot"])], axis=0)
+        n = total[0]
+        if not n:
+            return at
+        loss = total[1] / n + reg / 2 * at @ at
+        if loss > best + 1e-12:
+            gained = gained / 2
+            at = at - gained
+            continue
+        best = loss
+        gradient = total[2 : 2 + d] / n - reg * at
+        hessian = total[2 + d :].reshape(d, d) / n + reg * np.eye(d)
+        gained = np.linalg.solve(hessian, gradient)
+        if np.abs(gained).max() < tol:
+            return at + gained
+        at = at + gained
+    return at
+
+
+def train_pair_scorer(
+    pairs: DataFrame,
+    binary_only: bool = True,
+    features: Callable[[Column, Column], Column] = pair_features,
+    reg: float = 0.01,
+    max_iter: int = 50,
+) -> PairScorer:
+    """Logistic regression on pair features; pairs carry label, query_vec and cand_vec.
+
+    Labels between 0 and 1 are dropped, or pull the score towards themselves.  Pairs without a label or a vector
+    don't count, and without any pair all weights are 0.  Features are computed once, into a table in the shared folder.
+    """
+    label = F.col("label").cast("double")
+    rows = pairs.select(features(F.col("query_vec"), F.col("cand_vec")).alias("features"), label.alias("label"))
+    rows = rows.where("features is not null and label is not null and label between 0 and 1")
+    if binary_only:
+        rows = rows.where(F.col("label").isin(0.0, 1.0))
+    path = scratch_path(pairs.sparkSession, "features")
+    rows.write.parquet(path)
+    rows = pairs.sparkSession.read.schema(rows.schema).parquet(path)
+    sizes = rows.agg(F.min(F.size("features")), F.max(F.size("features"))).first()
+    if sizes[0] is None:
+        return PairScorer((0.0,), features)
+    if sizes[0] != sizes[1] or sizes[1] > MOST_FEATURES:
+        raise ValueError(f"pairs need the same number of features, {MOST_FEATURES} at most")
+    return PairScorer(tuple(float(w) for w in newton_steps(rows, sizes[1], reg, max_iter)), features)
+
+
+def apply_pair_scorer(pairs: DataFrame, model: PairScorer) -> DataFrame:
     """Adds ``score``, the probability of a positive pair."""
-    scored = model.transform(_with_features(pairs))
-    return scored.withColumn("score", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+    return model(pairs)
 
 
 def score_pairs(

@@ -10,6 +10,7 @@ from pairmatch.functions.names import stem
 from pairmatch.operators import assets as at
 from pairmatch.operators import links as ln
 from pairmatch.operators import pairs as pr
+from pairmatch.operators import scoring as sc
 from pairmatch.operators import splices as sp
 from pairmatch.registry.base import register
 
@@ -179,20 +180,93 @@ drawn as (
 )
 
 
-@query(
-    "assets",
-    """select post_id, parent as left, filename as right, cast(1.0 as double) as label from drawn
+_TRAINING = """select post_id, parent as left, filename as right, cast(1.0 as double) as label from drawn
        union all
        select a.post_id, a.filename, b.filename, 0.5 from drawn a join drawn b
          on a.post_id = b.post_id and a.j = b.i
        union all
-       select a.post_id, a.parent, b.parent, 0.0 from drawn a join posts b on a.other = b.k""",
-    _TRAINING_CTE,
-)
+       select a.post_id, a.parent, b.parent, 0.0 from drawn a join posts b on a.other = b.k"""
+
+
+@query("assets", _TRAINING, _TRAINING_CTE)
 def make_training_pairs(t):
     return at.make_training_pairs(t["assets"], seed=7)
 
 
+# training of a pair scorer: eight stretches of the vectors, ridge penalty, Newton steps with the inverse
+# Hessian by Newton-Schulz iteration
+SEGMENTS, RIDGE = 8, 0.01
+_AT = range(1, SEGMENTS + 2)
+
+
+def segment_sums(a: str, b: str) -> str:
+    """SQL for a one and the sums of |a - b| over the stretches of two vectors of 64 elements."""
+    step = 64 // SEGMENTS
+    return f"""list_prepend(1.0::double, list_transform(range(0, {SEGMENTS}), lambda s: list_sum(list_transform(range(1, {step + 1}),
+      lambda i: abs({a}[s * {step} + i]::double - {b}[s * {step} + i]::double)))))"""
+
+
+def _product(x: str, symmetric: str) -> str:
+    return f"list_transform({x}, lambda u: list_transform({symmetric}, lambda c: list_dot_product(u, c)))"
+
+
+NEWTON_CTE = f"""{_TRAINING_CTE},
+train as (
+  select label as y, {segment_sums("l.embedding", "r.embedding")} as x
+  from ({_TRAINING}) p join assets l on l.filename = p.left join assets r on r.filename = p.right),
+newton(n, w) as (
+  select 0, [{", ".join(["0.0::double"] * len(_AT))}]
+  union all
+  select n + 1, list_transform(w, lambda v, i: v + list_dot_product(inv[i], g)) from (
+    select n, w, g, list_reduce(list_prepend(one, list_transform(range(0, 40), lambda k: h)),
+      lambda v, m: list_transform({_product(_product("v", "m"), "v")},
+        lambda r, i: list_transform(r, lambda e, j: 2.0::double * v[i][j] - e))) as inv
+    from (
+      select n, w, g, h, list_transform(h, lambda r, i: list_transform(r,
+        lambda e, j: case when i = j then 1.0::double / ({" + ".join(f"h[{i}][{i}]" for i in _AT)}) else 0.0::double end)) as one
+      from (
+        select n, w, [{", ".join(f"sum((y - p) * x[{i}]) / count(*) - {RIDGE} * any_value(w[{i}])" for i in _AT)}] as g,
+          [{", ".join("[" + ", ".join(f"sum(p * (1 - p) * x[{i}] * x[{j}]) / count(*) + {RIDGE if i == j else 0.0}" for j in _AT) + "]" for i in _AT)}] as h
+        from (select n, w, y, x, 1.0::double / (1.0::double + exp(-list_dot_product(w, x))) as p from newton, train where n < 12) a
+        group by n, w) b) c) d),
+fitted as (select w from newton where n = 12)"""
+
+
+def trained_scorer(t):
+    """A scorer trained on the pairs of posts, by their files' vectors."""
+    files = t["assets"].select(F.col("filename").alias("id"), F.col("embedding").alias("vec"))
+    pairs = at.make_training_pairs(t["assets"], seed=7)
+    pairs = pairs.select(F.col("left").alias("query_id"), F.col("right").alias("cand_id"), "label")
+    return sc.train_pair_scorer(
+        pr.attach_payload(pairs, files, files), binary_only=False, features=sc.segment_distances(SEGMENTS), reg=RIDGE
+    )
+
+
+@query(
+    "assets",
+    f"""select p.post_id, "left", "right", label, round(1.0::double / (1.0::double + exp(-list_dot_product(w, {segment_sums("l.embedding", "r.embedding")}))), 6) as score
+        from ({_TRAINING}) p join assets l on l.filename = p.left join assets r on r.filename = p.right, fitted""",
+    NEWTON_CTE,
+)
+def train_pair_scorer(t):
+    """The scores of the training pairs by the model they were used for."""
+    scorer = trained_scorer(t)
+    files = t["assets"].select(F.col("filename").alias("id"), F.col("embedding").alias("vec"))
+    pairs = at.make_training_pairs(t["assets"], seed=7)
+    named = pairs.withColumns({"query_id": F.col("left"), "cand_id": F.col("right")})
+    scored = sc.apply_pair_scorer(pr.attach_payload(named, files, files), scorer)
+    return scored.select("post_id", "left", "right", "label", F.round("score", 6).alias("score"))
+
+
+@query("assets", f"select i, round(w[i + 1], 5) as w from fitted, (select unnest(range(0, {SEGMENTS + 1})) as i) s", NEWTON_CTE)
+def pair_scorer_weights(t):
+    weights = F.array(*[F.lit(w) for w in trained_scorer(t).weights])
+    # one row for the intercept and each feature, beside a table of one row
+    return t["assets"].agg(F.count(F.lit(1))).select(F.posexplode(weights).alias("i", "w")).select(
+        F.col("i").cast("bigint").alias("i"), F.round("w", 5).alias("w")
+    )
+
+
 @query(
     "assets",
     """select vec_id, post_id from assets where post_id in (

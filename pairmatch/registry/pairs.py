@@ -278,8 +278,3 @@ def score_pairs(t):
     return _rounded(scored.select("query_id", "cand_id", "score"), "score")
 
 
-@query()
-def train_pair_scorer(t):
-    pairs = _with_vectors(t).drop("score")
-    model = sc.train_pair_scorer(pairs, binary_only=False)
-    return sc.apply_pair_scorer(pairs, model).select("query_id", "cand_id", "label", "score")

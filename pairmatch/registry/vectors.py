@@ -25,6 +25,7 @@ from pairmatch.operators import scoring as sc
 from pairmatch.operators.ordering import rank_within
 from pairmatch.plans.baseline import lsh_baseline
 from pairmatch.plans.retrieve import retrieve as run_retrieval
+from pairmatch.registry.assets import NEWTON_CTE, segment_sums, trained_scorer
 from pairmatch.registry.base import register
 from pairmatch.sources import store
 from pairmatch.streaming.probe import probe_index as probe_stored
@@ -454,6 +455,28 @@ def retrieve(t):
     return _retrieval(t).top(10).withColumn("score", F.round("score", 6))
 
 
+_LEARNED_CTE = f"""{NEWTON_CTE.replace("ranked", "filed")},
+{_SCORED_CTE}""".replace(
+    "exp(-list_sum(list_transform(range(1, 65), lambda i:\n      (q.vec[i]::double - x.vec[i]::double) * (q.vec[i]::double - x.vec[i]::double))))",
+    f"1.0::double / (1.0::double + exp(-list_dot_product((select w from fitted), {segment_sums('q.vec', 'x.vec')})))",
+)
+
+
+@query("assets qvec", _TOP, _LEARNED_CTE)
+def retrieve_learned(t):
+    """The candidates ranked by a scorer that was trained on the pairs of posts."""
+    return _retrieval(t, scorer=trained_scorer(t)).top(10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "assets qvec",
+    """select count(*) as n_queries, round(avg(coalesce(1.0::double / first_rank, 0)), 6) as mrr from per_query""",
+    _LEARNED_CTE,
+)
+def retrieve_metrics_learned(t):
+    return _rounded(_retrieval(t, scorer=trained_scorer(t)).metrics().select("n_queries", "mrr"))
+
+
 def _closeness():
     def predict(a, b):
         return np.exp(-((a - b) ** 2).sum(axis=1))
