@@ -3,7 +3,7 @@
 Every view has one SQL text for Spark and DuckDB.  A few marks differ between the two:
 ``{R:x}`` is the 32-bit number of the string x and ``{W:x}`` its 60-bit number,
 ``{SEQ:n}`` a row for each of 0 to n-1, ``{NUDGED}`` the embedding with a small shift that
-depends on row and element, ``{PLAIN}`` the embedding in doubles, and ``{ESC}`` names the escape character of a pattern.
+depends on row and element, ``{SHIFTED:a}`` with one of size a, and ``{ESC}`` names the escape character of a pattern.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ from events where event_type = (select min(event_type) from events)
 # children look like the first file of their post
 VIEWS["assets"] = """
 select vec_id, concat('t3_p', cast(post as string)) as post_id,
-  case when k = 0 then {PLAIN} else {NUDGED} end as embedding,
+  {SHIFTED:k / 60} as embedding,
   case when vec_id % 4 = 0 and post % 7 <> 3 then concat('t3_p', cast(post as string), '.jpg')
        else concat('t3_p', cast(post as string), '_', cast(1000 + k as string),
                    case when vec_id % 13 = 0 then '.png' else '.jpg' end) end as filename
@@ -118,6 +118,17 @@ select page_id, concat('al', cast(page_id as string)) as main_key, concat('t3_',
 from pages
 """
 
+# pages of which only every fifth lists an image
+VIEWS["album_pages"] = """
+select page_id, main_key, case page_id % 5
+    when 0 then null
+    when 1 then replace(html, 'item:', 'entry:')
+    when 2 then concat('item: {"hash":"h', cast(page_id as string), '", };')
+    when 3 then 'item: {"album_images":{"count":0,"images":[]}} };'
+    else html end as html
+from albums
+"""
+
 VIEWS["splices"] = """
 select vec_id, embedding, concat('Tp_D_CND_M_N_ani0', cast(100 + vec_id % 37 as string), '_sec0', cast(100 + vec_id % 41 as string), '_0', cast(vec_id as string), '.tif') as sp_name
 from embeddings
@@ -138,14 +149,14 @@ select vec_id, {NUDGED} as embedding from embeddings
 """
 
 # views that read other views
-_USES = {"name_pairs": ["assets"]}
+_USES = {"name_pairs": ["assets"], "album_pages": ["albums"]}
 
 _SPARK_MARKS = {
     "R": "cast(conv(substring(md5({x}),1,8),16,10) as bigint)",
     "W": "cast(conv(substring(md5({x}),1,15),16,10) as bigint)",
     "SEQ": "explode(sequence(0, {x} - 1))",
     "NUDGED": "transform(embedding, (x, i) -> cast(x as double) + 0.05D * (((vec_id * 31 + i * 17) % 11) - 5) / 5.0D)",
-    "PLAIN": "transform(embedding, x -> cast(x as double))",
+    "SHIFTED": "transform(embedding, (x, i) -> cast(x as double) + ({x}) * (((vec_id * 31 + i * 17) % 11) - 5) / 5.0D)",
     "ESC": "",
 }
 _DUCKDB_MARKS = {
@@ -153,7 +164,7 @@ _DUCKDB_MARKS = {
     "W": "cast(('0x' || substr(md5({x}),1,15)) as bigint)",
     "SEQ": "unnest(range(0, {x}))",
     "NUDGED": "list_transform(embedding, lambda x, i: cast(x as double) + 0.05::double * (((vec_id * 31 + (i - 1) * 17) % 11) - 5) / 5.0::double)",
-    "PLAIN": "list_transform(embedding, lambda x: cast(x as double))",
+    "SHIFTED": "list_transform(embedding, lambda x, i: cast(x as double) + ({x}) * (((vec_id * 31 + (i - 1) * 17) % 11) - 5) / 5.0::double)",
     "ESC": "escape '\\'",
 }
 
@@ -162,7 +173,7 @@ def render(text: str, marks: dict[str, str]) -> str:
     """SQL with its marks replaced for one engine."""
     out = []
     at = 0
-    for found in re.finditer(r"\{(R|W|SEQ|NUDGED|PLAIN|ESC)(:)?", text):
+    for found in re.finditer(r"\{(R|W|SEQ|NUDGED|SHIFTED|ESC)(:)?", text):
         if found.start() < at:
             continue
         depth, end = 1, found.end()

@@ -58,6 +58,32 @@ def album_images(pages: DataFrame, mode: str = "json") -> DataFrame:
     )
 
 
+def album_failures(pages: DataFrame, mode: str = "json") -> DataFrame:
+    """Pages (…, main_key, html) from which ``album_images`` gets no row: (…, main_key, reason).
+
+    Reasons: no text, no item on the page, an item that doesn't parse, an item without images.
+    """
+    html = F.col("html")
+    item = F.regexp_extract(html, r"(?s)item:(.*?)\};", 1)
+    kept = [c for c in pages.columns if c != "html"]
+    if mode == "json":
+        images = _images_from_json(html)
+        broken = F.from_json(
+            F.regexp_replace(item, "\n", ""), f"{_PAGE_JSON}, broken string", {"columnNameOfCorruptRecord": "broken"}
+        )["broken"].isNotNull()
+    elif mode == "regex":
+        images, broken = _images_from_text(html, F.col("main_key")), F.lit(False)
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    reason = (
+        F.when(html.isNull(), "no text")
+        .when(~F.coalesce(html.rlike(r"(?s)item:.*?\};"), F.lit(False)), "no item")
+        .when(broken, "item doesn't parse")
+        .otherwise("no images")
+    )
+    return pages.where(F.coalesce(F.size(images), F.lit(0)) <= 0).select(*kept, reason.alias("reason"))
+
+
 def download_plan(images: DataFrame, first_per_ext: bool = False) -> DataFrame:
     """Adds image_url and file_name, without gif images; positions still count them.
 

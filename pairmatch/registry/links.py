@@ -261,6 +261,16 @@ images as (
 )"""
 
 
+@query(
+    "album_pages",
+    """select page_id, main_key, case page_id % 5 when 0 then 'no text' when 1 then 'no item'
+         when 2 then 'item doesn''t parse' else 'no images' end as reason
+       from album_pages where page_id % 5 < 4""",
+)
+def album_failures(t):
+    return al.album_failures(t["album_pages"])
+
+
 @query("albums", "select * from images", _JSON_CTE)
 def album_images(t):
     return al.album_images(t["albums"], "json")

@@ -47,3 +47,18 @@ def test_download_plan(spark):
 def test_extension_counts(spark):
     counts = al.extension_counts(al.album_images(pages(spark, LIST, SINGLE)))
     assert [tuple(r) for r in counts.collect()] == [(".jpg", 2), (".gif", 1), (".png", 1)]
+
+
+def test_every_page_gives_images_or_a_reason(spark):
+    pages = [
+        (1, None, "no text"), (2, "", "no item"), (3, "<p>item: nothing", "no item"), (4, 'item: {"hash": };', "item doesn't parse"),
+        (5, 'item: {"album_images":{"images":[]}} };', "no images"), (6, "item: {} };", "no images"),
+        (7, 'item: {"hash":"h","ext":".jpg"} };', None), (8, 'item: {"album_images":{"images":[{"hash":"a","ext":".png"}]}} };', None),
+    ]
+    table = spark.createDataFrame([(i, f"k{i}", html) for i, html, _ in pages], "page_id int, main_key string, html string")
+    failures = {r.page_id: r.reason for r in al.album_failures(table).collect()}
+    assert failures == {i: reason for i, _, reason in pages if reason}
+    found = {r.page_id for r in al.album_images(table).collect()}
+    assert found == {7, 8}
+    by_pattern = {r.page_id for r in al.album_failures(table, "regex").collect()}
+    assert by_pattern | {r.page_id for r in al.album_images(table, "regex").collect()} == {i for i, _, _ in pages}

@@ -436,3 +436,27 @@ def test_wrapped_distance(spark):
 def test_draws_are_spread():
     draws = [number_of_str(f"x{i}") % 10 for i in range(1000)]
     assert min(draws.count(d) for d in range(10)) > 60
+
+
+def test_newton_reaches_the_optimum(spark):
+    """The gradient of the penalised loss vanishes, with soft labels, empty tasks and rows without a vector."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    y = rng.choice([0.0, 0.5, 1.0], size=200)
+    rows = [(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)]
+    frame = spark.createDataFrame(rows, "features array<double>, label double").repartition(7)
+    weights = sc.newton_steps(frame, 3, reg=0.05)
+    full = np.column_stack([np.ones(200), x])
+    gradient = full.T @ (y - 1 / (1 + np.exp(-full @ weights))) / 200 - 0.05 * weights
+    assert np.abs(gradient).max() < 1e-9
+    assert (sc.newton_steps(frame.limit(0), 3, reg=0.05) == 0).all()
+
+
+def test_scorer_without_usable_pairs(spark):
+    pairs = spark.createDataFrame(
+        [([1.0, 2.0], None, 1.0), ([1.0, 2.0], [0.0, 1.0], None), ([1.0], [0.5], 0.5)],
+        "query_vec array<double>, cand_vec array<double>, label double",
+    )
+    assert sc.train_pair_scorer(pairs).weights == (0.0,)
+    features = pairs.select(sc.segment_distances(2)(pairs.query_vec, pairs.cand_vec).alias("f")).collect()
+    assert features[0].f is None and features[1].f == [1.0, 1.0]
