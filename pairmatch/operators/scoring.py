@@ -121,6 +121,8 @@ def newton_steps(rows: DataFrame, n_features: int, reg: float, max_iter: int = 5
             .mapInArrow(_added, "slot int, sums binary")
             .collect()
         )
+        if not parts:
+            return at
         total = np.sum([np.frombuffer(r["sums"]) for r in sorted(parts, key=lambda r: r["slot"])], axis=0)
         n = total[0]
         if not n:
