@@ -34,7 +34,7 @@ def segment_distances(parts: int) -> Callable[[Column, Column], Column]:
     def features(a: Column, b: Column) -> Column:
         # one element that holds the differences, so that they are computed once and not for every stretch
         apart = F.array(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
-        return F.flatten(
+        sums = F.flatten(
             F.transform(
                 apart,
                 lambda held: F.transform(
@@ -47,6 +47,7 @@ def segment_distances(parts: int) -> Callable[[Column, Column], Column]:
                 ),
             )
         )
+        return F.when(a.isNotNull() & b.isNotNull(), sums)
 
     return features
 
@@ -151,12 +152,13 @@ def train_pair_scorer(
 ) -> PairScorer:
     """Logistic regression on pair features; pairs carry label, query_vec and cand_vec.
 
-    Labels between 0 and 1 are dropped, or pull the score towards themselves.  Pairs without a label or a vector
-    don't count, and without any pair all weights are 0.  Features are computed once, into a table in the shared folder.
+    Labels between 0 and 1 are dropped, or pull the score towards themselves.  Pairs without a label, or without all
+    elements of both vectors, don't count, and without any pair all weights are 0.  Features are computed once, into a table in the shared folder.
     """
     label = F.col("label").cast("double")
     rows = pairs.select(features(F.col("query_vec"), F.col("cand_vec")).alias("features"), label.alias("label"))
-    rows = rows.where("features is not null and label is not null and label between 0 and 1")
+    whole = ~F.exists("features", lambda v: v.isNull() | F.isnan(v))
+    rows = rows.where(F.col("features").isNotNull() & whole & F.col("label").between(0, 1))
     if binary_only:
         rows = rows.where(F.col("label").isin(0.0, 1.0))
     path = scratch_path(pairs.sparkSession, "features")
