@@ -103,6 +103,17 @@ class BandLayout:
             cases = F.when(same, band) if cases is None else cases.when(same, band)
         return cases
 
+    def first_shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same row by row for two [n, words] matrices, -1 if there is none."""
+        differs = a ^ b
+        first = np.full(len(a), -1)
+        for band in reversed(range(self.bands)):
+            same = np.ones(len(a), dtype=bool)
+            for word, shift, size in self.places(band):
+                same &= differs[:, word] & np.int64(((1 << size) - 1) << shift) == 0
+            first[same] = band
+        return first
+
 
 def split_bands(bits: Column, layout: BandLayout) -> Column:
     """0/1 array to an array with one string of bits per band."""

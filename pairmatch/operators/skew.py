@@ -24,21 +24,19 @@ def _splits(df: DataFrame, keys: Sequence[str], rows_per_split: int, name: str)
     )
 
 
-def split_join(
+def lay_out_grid(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     left_id: Sequence[str],
     right_id: Sequence[str],
-    residual: Column | None = None,
     rows_per_split: int = ROWS_PER_SPLIT,
-) -> DataFrame:
-    """Inner join on ``keys``; a key with many rows is cut into a grid of pieces.
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_lslot`` and ``_rslot``, so that rows of equal keys and slots meet exactly once.
 
     A key with ``l`` left pieces and ``r`` right pieces becomes ``l * r`` join keys: each
     left row goes to one of ``l`` rows of the grid and is repeated along its ``r`` columns,
-    and the other way round for right rows, so every pair still meets exactly once.
-    ``residual`` may use columns of both sides; besides ``keys`` their names must differ.
+    and the other way round for right rows.
     """
     left_splits = F.broadcast(_splits(left, keys, rows_per_split, "_ls"))
     right_splits = F.broadcast(_splits(right, keys, rows_per_split, "_rs"))
@@ -58,8 +56,26 @@ def split_join(
             .drop("_ls", "_rs")
         )
 
-    lefts = lay_out(left, left_id, "_ls", "_lslot", "_rs", "_rslot")
-    rights = lay_out(right, right_id, "_rs", "_rslot", "_ls", "_lslot")
+    return (
+        lay_out(left, left_id, "_ls", "_lslot", "_rs", "_rslot"),
+        lay_out(right, right_id, "_rs", "_rslot", "_ls", "_lslot"),
+    )
+
+
+def split_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_id: Sequence[str],
+    right_id: Sequence[str],
+    residual: Column | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """Inner join on ``keys``; a key with many rows is cut into a grid of pieces.
+
+    ``residual`` may use columns of both sides; besides ``keys`` their names must differ.
+    """
+    lefts, rights = lay_out_grid(left, right, keys, left_id, right_id, rows_per_split)
     joined = lefts.join(rights, [*keys, "_lslot", "_rslot"])
     if residual is not None:
         joined = joined.where(residual)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
 from pairmatch.functions.vectors import squared_l2
 from pairmatch.lineage import cut_lineage
+from pairmatch.operators.blocks import Measure, bucket_measures, squared_distances
 from pairmatch.operators.copies import (
     copy_sets,
     memberships,
@@ -23,12 +24,23 @@ from pairmatch.operators.hashing import HashModel
 from pairmatch.operators.klsh import KLSH
 from pairmatch.operators.metrics import retrieval_stats, summarize_ranks
 from pairmatch.operators.ordering import running_total
-from pairmatch.operators.pairs import NEGATIVE, POSITIVE
+from pairmatch.operators.pairs import NEGATIVE, POSITIVE, attach_payload
 
 
-def by_closeness(pairs: DataFrame) -> DataFrame:
-    """Adds ``score`` exp(-|a - b|^2), which needs no training."""
-    return pairs.withColumn("score", F.exp(-squared_l2(F.col("query_vec"), F.col("cand_vec"))))
+@dataclass(frozen=True)
+class BlockScorer:
+    """A score that can be had block against block: ``measure`` of matrices, or ``column`` of vectors, then ``score`` of it."""
+
+    measure: Measure
+    column: Callable[[Column, Column], Column]
+    score: Callable[[Column], Column]
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("score", self.score(self.column(F.col("query_vec"), F.col("cand_vec"))))
+
+
+# exp(-|a - b|^2), which needs no training
+by_closeness = BlockScorer(squared_distances, squared_l2, lambda apart: F.exp(-apart))
 
 
 @dataclass
@@ -40,7 +52,7 @@ class Retrieval:
     vectors; copies enter as weights.  Among equal scores, distinct vectors go by their
     smallest id and copies by their own.  ``search`` finds pairs of distinct vectors and
     ``scorer`` adds ``score`` to pairs with ``query_vec`` and ``cand_vec``, by an expression
-    or a trained model.
+    or a trained model; a ``BlockScorer`` is applied inside the search for shared bands.
     """
 
     model: HashModel
@@ -75,6 +87,8 @@ class Retrieval:
     @cached_property
     def matches(self) -> DataFrame:
         """(query_gid, cand_gid, copies): pairs of distinct vectors found by the search."""
+        if self._in_blocks and "scored" in self.__dict__:
+            return self.scored.select("query_gid", "cand_gid", "copies")
         return cut_lineage(self.search(self._index_sets, self._query_sets, self.layout))
 
     @cached_property
@@ -125,12 +139,27 @@ class Retrieval:
         """
         return retrieval_stats(self.counts(), mode, self.index.count() if mode == "cp" else None)
 
+    @property
+    def _in_blocks(self) -> bool:
+        return isinstance(self.scorer, BlockScorer) and self.search is set_matches
+
     @cached_property
     def scored(self) -> DataFrame:
         """(query_gid, cand_gid, copies, score): every candidate pair of distinct vectors."""
-        queries = self.queries.select(F.col("id").alias("query_gid"), F.col("vec").alias("query_vec"))
-        index = self.index.select(F.col("id").alias("cand_gid"), F.col("vec").alias("cand_vec"))
-        pairs = self.matches.join(queries, "query_gid").join(index, "cand_gid")
+        if self._in_blocks:
+            measured = bucket_measures(
+                self._index_sets.join(self.index.select(F.col("id").alias("gid"), "vec"), "gid"),
+                self._query_sets.join(self.queries.select(F.col("id").alias("gid"), "vec"), "gid"),
+                self.layout,
+                self.scorer.measure,
+            )
+            return cut_lineage(
+                measured.select("query_gid", "cand_gid", "copies", self.scorer.score(F.col("measure")).alias("score"))
+            )
+        pairs = attach_payload(
+            self.matches.select(F.col("query_gid").alias("query_id"), F.col("cand_gid").alias("cand_id"), "copies"),
+            self.queries, self.index,
+        ).withColumnsRenamed({"query_id": "query_gid", "cand_id": "cand_gid"})
         return cut_lineage(self.scorer(pairs).select("query_gid", "cand_gid", "copies", "score"))
 
     def query_ranks(self, k: int = 3) -> DataFrame:

@@ -250,3 +250,43 @@ def test_lsh_probes_reach_past_one_word(spark):
     for rows_per_split in (100, 1):
         found = ls.near_matches(sets, sets, layout, rows_per_split)
         assert pairs_in(found.select("query_gid", "cand_gid")) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+@pytest.mark.parametrize("rows,rows_per_split", [(4, 1_000), (4, 7), (64, 3)])
+def test_bucket_measures_equal_the_join_by_pairs(spark, rows, rows_per_split):
+    """Whole buckets, buckets cut into pieces, and bands wider than a word."""
+    from pairmatch.operators.blocks import bucket_measures
+    from pairmatch.operators.copies import set_matches
+
+    rng = np.random.default_rng(5)
+    layout = BandLayout(128 if rows == 64 else 24, rows)
+    base = rng.integers(0, 2, (4, layout.bits))
+
+    def sets(n, first):
+        bits = base[rng.integers(4, size=n)] ^ (rng.random((n, layout.bits)) < 0.01)
+        # a third of the rows in one bucket of every band
+        bits[::3] = base[0]
+        vecs = rng.normal(size=(n, 5)).astype(np.float32)
+        words = layout.pack(bits)
+        data = [(first + i, w.tolist(), v.tolist(), i % 3 + 1) for i, (w, v) in enumerate(zip(words, vecs))]
+        frame = spark.createDataFrame(data, "gid long, sig array<long>, vec array<float>, copies long").repartition(3)
+        return frame, {first + i: v.astype(np.float64) for i, v in enumerate(vecs)}
+
+    (index, index_vecs), (queries, query_vecs) = sets(80, 0), sets(50, 1_000)
+    got = bucket_measures(index, queries.drop("copies"), layout, rows_per_split=rows_per_split).collect()
+    want = {(r.query_gid, r.cand_gid, r.copies) for r in set_matches(index, queries, layout).collect()}
+    assert len(got) == len(want) and {(r.query_gid, r.cand_gid, r.copies) for r in got} == want
+    for r in got:
+        assert r.measure == pytest.approx(((query_vecs[r.query_gid] - index_vecs[r.cand_gid]) ** 2).sum(), abs=1e-12)
+    nothing = bucket_measures(index.limit(0), queries.drop("copies"), layout)
+    assert nothing.collect() == [] and nothing.columns == ["query_gid", "cand_gid", "copies", "measure"]
+
+
+def test_bucket_measures_of_vectors_with_nulls(spark):
+    from pairmatch.operators.blocks import bucket_measures
+
+    rows = spark.createDataFrame(
+        [(1, [3], [1.0, None], 1), (2, [3], [1.0, 2.0], 1)], "gid long, sig array<long>, vec array<double>, copies long"
+    )
+    got = {(r.query_gid, r.cand_gid): r.measure for r in bucket_measures(rows, rows, BandLayout(4, 2)).collect()}
+    assert got == {(1, 1): None, (1, 2): None, (2, 1): None, (2, 2): 0.0}
