@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmatch.functions.arrow import to_matrix
 from pairmatch.functions.bands import BandLayout
+from pairmatch.lineage import cut_lineage
 from pairmatch.operators.candidates import band_rows
 from pairmatch.operators.skew import lay_out_grid
 
@@ -19,6 +21,9 @@ Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 ROWS_PER_BLOCK = 20_000
 PAIRS_AT_ONCE = 1 << 18
+VECTORS_PER_BLOCK = 20_000
+PAIRS_PER_PIECE = 1_000_000
+_CELL = ["_lb", "_rb", "_piece"]
 _PLACE = ["band", "key", "_lslot", "_rslot"]
 
 
@@ -128,3 +133,128 @@ def bucket_measures(
         ]
     )
     return rows.mapInArrow(run, schema)
+
+
+def _in_cells(pairs: DataFrame, left: DataFrame, right: DataFrame, vectors_per_block: int, pairs_per_piece: int) -> DataFrame:
+    """The rows of all three tables by cell: first the left vectors a cell needs (0), the right ones (1), then its pairs (2)."""
+    n_pairs, n_left, n_right = pairs.count(), left.count(), right.count()
+    blocks = [max(1, -(-n // vectors_per_block)) for n in (n_left, n_right)]
+    pieces = max(1, -(-n_pairs // (blocks[0] * blocks[1] * pairs_per_piece)))
+
+    def dealt(seed, n, *ids):
+        return F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(n)).cast("int")
+
+    placed = pairs.select(
+        dealt(1, blocks[0], "query_id").alias("_lb"),
+        dealt(2, blocks[1], "cand_id").alias("_rb"),
+        dealt(3, pieces, "query_id", "cand_id").alias("_piece"),
+        "query_id",
+        "cand_id",
+        F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("_pair"),
+    )
+
+    def needed(vectors, id_name, kind):
+        wanted = placed.select(*_CELL, id_name).distinct()
+        return wanted.join(vectors.select(F.col("id").alias(id_name), "vec"), id_name).withColumn("_kind", F.lit(kind))
+
+    return (
+        needed(left, "query_id", 0)
+        .unionByName(needed(right, "cand_id", 1), allowMissingColumns=True)
+        .unionByName(placed.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+        .repartition(*_CELL)
+        .sortWithinPartitions(*_CELL, "_kind")
+    )
+
+
+def _join_cells(emit: Callable[[pa.Array, pa.Array], list[pa.Array]], columns: list[str], added: list[str]):
+    """Task function: holds the vectors of one cell at a time, and the pairs of one Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+        for batch in batches:
+            marks = [batch.column(c).to_numpy(zero_copy_only=False) for c in [*_CELL, "_kind"]]
+            fresh = np.zeros(batch.num_rows, dtype=bool)
+            fresh[:1] = True
+            for values in marks:
+                fresh[1:] |= values[1:] != values[:-1]
+            begin = np.flatnonzero(fresh)
+            for at, to in zip(begin, np.append(begin[1:], batch.num_rows), strict=True):
+                here, kind = tuple(int(m[at]) for m in marks[:3]), int(marks[3][at])
+                if here != cell:
+                    cell, held = here, {0: [], 1: []}
+                part = batch.slice(at, to - at)
+                if kind < 2:
+                    held[kind].append((part.column(("query_id", "cand_id")[kind]), part.column("vec")))
+                    continue
+                if not (held[0] and held[1]):
+                    continue
+                sides = []
+                for k, name in enumerate(("query_id", "cand_id")):
+                    if len(held[k]) > 1:
+                        held[k] = [tuple(pa.concat_arrays(a) for a in zip(*held[k], strict=True))]
+                    ids, vecs = held[k][0]
+                    sides.append((pc.index_in(part.column(name), value_set=ids), vecs))
+                known = pc.and_(sides[0][0].is_valid(), sides[1][0].is_valid())
+                part = part.filter(known)
+                a, b = (vecs.take(places.filter(known)) for places, vecs in sides)
+                pair = part.column("_pair")
+                own = [pair.field(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*own, *emit(a, b)], [*columns, *added])
+
+    return run
+
+
+def _over_pairs(pairs, left, right, emit, fields, vectors_per_block, pairs_per_piece):
+    pairs = cut_lineage(pairs)
+    cells = _in_cells(pairs, left, right, vectors_per_block, pairs_per_piece)
+    schema = T.StructType([*pairs.schema.fields, *fields])
+    return cells.mapInArrow(_join_cells(emit, pairs.columns, [f.name for f in fields]), schema)
+
+
+def measure_pairs(
+    pairs: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
+    make_measure: Callable[[], Measure],
+    name: str = "score",
+    vectors_per_block: int = VECTORS_PER_BLOCK,
+    pairs_per_piece: int = PAIRS_PER_PIECE,
+) -> DataFrame:
+    """Adds what a model says of the vectors of each pair; ``left`` and ``right`` are (id, vec), ids being unique.
+
+    Pairs (query_id, cand_id, ...) are dealt to cells of a grid, a block of left against a block of right vectors,
+    and a vector goes once to every cell that has a pair for it.  So a pair is shuffled without its vectors; pairs of a
+    popular vector are spread over the cells of its row or column, and a cell with very many pairs is cut into
+    pieces.  A task holds the vectors of one cell and streams its pairs, repeated ones too.  ``make_measure`` loads the model once
+    per task.  Pairs with an id that has no row go, as in an inner join; a null vector or a result that isn't a number gives null.
+    """
+    loaded = []
+
+    def emit(a: pa.Array, b: pa.Array) -> list[pa.Array]:
+        if not loaded:
+            loaded.append(make_measure())
+        whole = np.asarray(pc.and_(a.is_valid(), b.is_valid()))
+        found = np.full(len(a), np.nan)
+        if whole.any():
+            mask = pa.array(whole)
+            found[whole] = loaded[0](to_matrix(a.filter(mask))[0], to_matrix(b.filter(mask))[0])
+        return [pa.array(found, mask=np.isnan(found))]
+
+    return _over_pairs(pairs, left, right, emit, [T.StructField(name, T.DoubleType())], vectors_per_block, pairs_per_piece)
+
+
+def attach_vectors(
+    pairs: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
+    vectors_per_block: int = VECTORS_PER_BLOCK,
+    pairs_per_piece: int = PAIRS_PER_PIECE,
+) -> DataFrame:
+    """Adds ``query_vec`` and ``cand_vec`` in the same way: the rows of ``attach_payload``, no vector shuffled per pair."""
+    fields = [
+        T.StructField("query_vec", left.schema["vec"].dataType),
+        T.StructField("cand_vec", right.schema["vec"].dataType),
+    ]
+    if fields[0].dataType != fields[1].dataType:
+        raise ValueError("both sides need vectors of the same type")
+    return _over_pairs(pairs, left, right, lambda a, b: [a, b], fields, vectors_per_block, pairs_per_piece)

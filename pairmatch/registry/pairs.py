@@ -7,8 +7,8 @@ from functools import partial
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairmatch.functions.vectors import squared_l2 as squared_l2_of
 from pairmatch.functions.vectors import weighted_score
+from pairmatch.operators import blocks as bl
 from pairmatch.operators import distances as ds
 from pairmatch.operators import metrics as mt
 from pairmatch.operators import pairs as pr
@@ -185,9 +185,12 @@ def scaled_mse(t):
     return _rounded(_rounded(figures, "loss", "accuracy", "mae", digits=9), "scaled_mse", digits=7)
 
 
+def _vectors(t):
+    return t["embeddings"].select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
 def _with_vectors(t):
-    vectors = t["embeddings"].select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return pr.attach_payload(t["pairs"], vectors, vectors)
+    return pr.attach_payload(t["pairs"], _vectors(t), _vectors(t))
 
 
 _DIST = "list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::double - c.embedding[i]::double) * (q.embedding[i]::double - c.embedding[i]::double)))"
@@ -199,25 +202,30 @@ measured as (
 positive as (select distance from measured where label = 1.0)"""
 
 
+def _digest_sql(v):
+    """All elements as whole millionths, digested."""
+    return f"md5(array_to_string(list_transform({v}, lambda x: round(x::double * 1000000)::bigint), ','))"
+
+
 @query(
     "pairs",
-    """select p.query_id, p.cand_id, round(q.embedding[1]::double, 6) as query_first,
-         round(c.embedding[64]::double, 6) as cand_last
+    f"""select p.query_id, p.cand_id, {_digest_sql('q.embedding')} as query_digest, {_digest_sql('c.embedding')} as cand_digest
        from pairs p join embeddings q on p.query_id = q.vec_id join embeddings c on p.cand_id = c.vec_id""",
 )
 def pair_features_join(t):
-    return _with_vectors(t).select(
-        "query_id", "cand_id",
-        F.round(F.get("query_vec", F.lit(0)).cast("double"), 6).alias("query_first"),
-        F.round(F.get("cand_vec", F.lit(63)).cast("double"), 6).alias("cand_last"),
+    def digest(v):
+        whole = F.transform(v, lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
+        return F.md5(F.array_join(whole.cast("array<string>"), ","))
+
+    return bl.attach_vectors(t["pairs"].select("query_id", "cand_id"), _vectors(t), _vectors(t)).select(
+        "query_id", "cand_id", digest("query_vec").alias("query_digest"), digest("cand_vec").alias("cand_digest")
     )
 
 
 @query("pairs", "select query_id, cand_id, round(distance, 9) as distance from measured", _DIST_CTE)
 def squared_l2(t):
-    measured = _with_vectors(t).select(
-        "query_id", "cand_id", squared_l2_of(F.col("query_vec"), F.col("cand_vec")).alias("distance")
-    )
+    pairs = t["pairs"].select("query_id", "cand_id")
+    measured = bl.measure_pairs(pairs, _vectors(t), _vectors(t), lambda: bl.squared_distances, "distance")
     return _rounded(measured, "distance", digits=9)
 
 
@@ -274,7 +282,7 @@ def _closeness():
 
 @query("pairs", "select query_id, cand_id, round(exp(-distance), 6) as score from measured", _DIST_CTE)
 def score_pairs(t):
-    scored = sc.score_pairs(_with_vectors(t).drop("score"), _closeness, dim=64)
+    scored = bl.measure_pairs(t["pairs"].select("query_id", "cand_id"), _vectors(t), _vectors(t), _closeness)
     return _rounded(scored.select("query_id", "cand_id", "score"), "score")
 
 

@@ -460,3 +460,42 @@ def test_scorer_without_usable_pairs(spark):
     assert sc.train_pair_scorer(pairs).weights == (0.0,)
     features = pairs.select(sc.segment_distances(2)(pairs.query_vec, pairs.cand_vec).alias("f")).collect()
     assert features[0].f is None and features[1].f == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("vectors_per_block,pairs_per_piece", [(1_000, 10_000), (7, 10_000), (7, 3), (1_000, 3)])
+def test_pairs_in_blocks_equal_the_join(spark, vectors_per_block, pairs_per_piece):
+    """Hot and unknown ids, repeated pairs, null ids and vectors, other columns of the pairs."""
+    from pairmatch.operators import blocks as bl
+
+    rng = np.random.default_rng(3)
+    vectors = {f"v{i}": rng.normal(size=4).tolist() for i in range(30)}
+    vectors["v4"] = None
+    table = spark.createDataFrame(list(vectors.items()), "id string, vec array<double>").repartition(3)
+    # a third of the pairs have one query, one pair comes many times, some ids have no vector
+    data = [("v0", f"v{j}") for j in range(40)] + [("v1", "v2")] * 15 + [(f"v{i}", f"v{3 * i % 31}") for i in range(50)]
+    data += [(None, "v1"), ("v1", None)]
+    pairs = spark.createDataFrame([(q, c, i) for i, (q, c) in enumerate(data)], "query_id string, cand_id string, vec int")
+    sizes = {"vectors_per_block": vectors_per_block, "pairs_per_piece": pairs_per_piece}
+
+    want = {r.vec: (r.query_vec, r.cand_vec) for r in pr.attach_payload(pairs, table, table).collect()}
+    got = bl.attach_vectors(pairs, table, table, **sizes).collect()
+    assert len(got) == len(want) and {r.vec: (r.query_vec, r.cand_vec) for r in got} == want
+    scored = bl.measure_pairs(pairs, table, table, lambda: bl.squared_distances, "apart", **sizes).collect()
+    assert {r.vec for r in scored} == set(want)
+    for r in scored:
+        a, b = want[r.vec]
+        if a is None or b is None:
+            assert r.apart is None
+        else:
+            assert r.apart == pytest.approx(((np.array(a) - np.array(b)) ** 2).sum(), abs=1e-12)
+    assert bl.attach_vectors(pairs.limit(0), table, table, **sizes).collect() == []
+    assert bl.attach_vectors(pairs, table.limit(0), table, **sizes).collect() == []
+
+
+def test_pairs_in_blocks_are_shuffled_without_vectors(spark):
+    from pairmatch.operators import blocks as bl
+
+    table = spark.range(50).select("id", F.array(*[F.lit(0.5)] * 64).alias("vec"))
+    pairs = spark.range(50).crossJoin(spark.range(50).withColumnRenamed("id", "cand_id")).withColumnRenamed("id", "query_id")
+    cells = bl._in_cells(pairs, table, table, 1_000, 10_000)
+    assert cells.where("vec is not null").count() == 100 and cells.where("_kind = 2 and vec is null").count() == 2_500
