@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairmatch.functions.vectors import weighted_score
+from pairmatch.lineage import scratch_path
 from pairmatch.operators import blocks as bl
 from pairmatch.operators import distances as ds
 from pairmatch.operators import metrics as mt
 from pairmatch.operators import pairs as pr
 from pairmatch.operators import scoring as sc
 from pairmatch.registry.base import register
+from pairmatch.sources import store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -96,6 +98,37 @@ def score_index_join(t):
     return pr.attach_scores(packed, scores)
 
 
+_SHUFFLE_SEED, _BATCHES_PER_FOLDER = 7, 8
+
+
+def _stored_batches(t):
+    path = scratch_path(t.spark, "batches")
+    store.write_pair_batches(pr.pack_batches(t["pairs"], BATCH), path, _BATCHES_PER_FOLDER)
+    return path
+
+
+@query(
+    "pairs",
+    "select query_id, cand_id, label, batch, slot, round(score::float::double, 5) as score from packed where label <> 0.5",
+    _PACKED_CTE,
+)
+def read_pair_batches(t):
+    stored = store.read_pair_batches(t.spark, _stored_batches(t), binary_only=True)
+    return stored.select(
+        "query_id", "cand_id", "label", "batch", "slot", F.round(F.col("score").cast("double"), 5).alias("score")
+    )
+
+
+@query(
+    "pairs",
+    f"""select batch, row_number() over (order by md5(concat('{_SHUFFLE_SEED}-', batch::bigint)), batch) - 1 as place
+        from (select distinct batch from packed) b""",
+    _PACKED_CTE,
+)
+def shuffle_batches(t):
+    return store.batch_order(t.spark, _stored_batches(t), _SHUFFLE_SEED)
+
+
 @query("pairs", "select query_id, cand_id, label, score, rank from ranked", _RANKED_CTE)
 def rank_candidates(t):
     return mt.rank_candidates(t["pairs"])

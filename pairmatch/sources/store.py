@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
 from pairmatch.operators.candidates import band_rows
 from pairmatch.operators.hashing import HashModel
+from pairmatch.operators.ordering import number_rows
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -57,12 +60,25 @@ def check_band_index(band_index: DataFrame, layout: BandLayout, model: HashModel
         raise ValueError(f"the index was written with {stored}, the queries are hashed with {wanted}")
 
 
-def write_pair_batches(packed: DataFrame, path: str) -> None:
-    """Write packed pairs in one folder per batch.
+def write_pair_batches(
+    packed: DataFrame, path: str, batches_per_folder: int = 1_000, row_group_bytes: int = 4 << 20
+) -> None:
+    """Write packed pairs in folders of ``batches_per_folder`` batches, sorted by batch and slot inside.
 
-    Rows are already in batch order, so each task holds only a few batches.
+    So the number of folders is that of the batches over ``batches_per_folder``, a file has the batches of
+    one stretch, and row groups are small enough for a reader of one batch to skip the others by their
+    bounds.  Rows are already in batch order, so each task holds only a few folders and nothing is shuffled.
     """
-    packed.write.mode("overwrite").partitionBy("batch").parquet(path)
+    folder = F.floor(F.col("batch") / batches_per_folder)
+    (
+        packed.withMetadata("batch", {"batches_per_folder": batches_per_folder})
+        .withColumn("batch_folder", folder)
+        .sortWithinPartitions("batch_folder", "batch", "slot")
+        .write.mode("overwrite")
+        .option("parquet.block.size", row_group_bytes)
+        .partitionBy("batch_folder")
+        .parquet(path)
+    )
 
 
 def read_pair_batches(
@@ -73,14 +89,18 @@ def read_pair_batches(
     seed: int | None = None,
     binary_only: bool = False,
 ) -> DataFrame:
-    """Pairs of the given batches, or of all; only their folders are read.
+    """Pairs of the given batches, or of all; only their folders, and row groups that may hold them, are read.
 
     Scores and labels come back as 32-bit floats.  ``seed`` puts the batches in a seeded
-    random order, each batch still in slot order; ``binary_only`` drops the label 0.5.
+    random order, each batch still in slot order, which sorts all pairs (``shuffled_batches`` doesn't);
+    ``binary_only`` drops the label 0.5.
     """
-    df = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
+    df = spark.read.parquet(path)
     if batches is not None:
+        per_folder = df.schema["batch"].metadata["batches_per_folder"]
+        df = df.where(F.col("batch_folder").isin(sorted({b // per_folder for b in batches})))
         df = df.where(F.col("batch").isin(*batches))
+    df = df.drop("batch_folder")
     if expect_label:
         if binary_only:
             df = df.where(F.col("label") != 0.5)
@@ -90,6 +110,30 @@ def read_pair_batches(
     if "score" in df.columns:
         df = df.withColumn("score", F.col("score").cast("float"))
     if seed is not None:
-        draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col("batch").cast("string")))
-        df = df.orderBy(draw, "batch", "slot")
+        df = df.orderBy(_draw(seed), "batch", "slot")
     return df
+
+
+def _draw(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.col("batch").cast("string")))
+
+
+def batch_order(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """(batch, place): the seeded order of the stored batches, drawn from their numbers alone.
+
+    Only the column of batch numbers is read, and every task sends each number once.
+    """
+    numbers = spark.read.parquet(path).select("batch").distinct().withColumn("_draw", _draw(seed))
+    return number_rows(numbers, ["_draw", "batch"], "place").select("batch", "place")
+
+
+def shuffled_batches(
+    spark: SparkSession, path: str, seed: int, expect_label: bool = True, binary_only: bool = False
+) -> Iterator[tuple[int, DataFrame]]:
+    """(batch, its pairs) one after the other in the seeded order.
+
+    Pairs are neither sorted nor moved to reorder them: each table reads the row groups of its batch when it
+    is used.  The driver gets batch numbers only, a partition of them at a time.
+    """
+    for row in batch_order(spark, path, seed).orderBy("place").toLocalIterator():
+        yield row["batch"], read_pair_batches(spark, path, expect_label, [row["batch"]], binary_only=binary_only)

@@ -137,6 +137,35 @@ def test_pair_batches_round_trip(spark, tmp_path):
     order = list(dict.fromkeys(b for b, _ in shuffled))
     assert shuffled == again and sorted(order) == [0, 1, 2, 3]
     assert shuffled == [(b, s) for b in order for s in range(10 if b < 3 else 5)]
+    in_turn = [(b, sorted(r.slot for r in df.collect())) for b, df in store.shuffled_batches(spark, path, 3)]
+    assert in_turn == [(b, list(range(10 if b < 3 else 5))) for b in order]
+    places = {r.batch: r.place for r in store.batch_order(spark, path, 3).collect()}
+    assert places == {b: i for i, b in enumerate(order)}
+
+
+def test_many_batches_in_few_folders_and_small_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "batches"
+    n, size = 400_000, 4
+    packed = spark.range(0, n, 1, 2).select(
+        F.col("id").alias("query_id"), F.xxhash64("id").alias("cand_id"), F.lit(1.0).alias("label"),
+        F.floor(F.col("id") / size).alias("batch"), F.pmod("id", F.lit(size)).alias("slot"),
+    )
+    store.write_pair_batches(packed, str(path), row_group_bytes=8_192)
+    folders = [f for f in path.iterdir() if f.is_dir()]
+    assert len(folders) == n // size // 1_000 < 200
+    held = []
+    for file in (path / "batch_folder=70").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = [c for c in range(meta.num_columns) if meta.schema.column(c).name == "batch"][0]
+        held += [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+    assert len(held) > 1 and sum(s.min <= 70_500 <= s.max for s in held) <= 2
+    one = store.read_pair_batches(spark, str(path), batches=[70_500])
+    plan = one._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "PushedFilters: [IsNotNull(batch), EqualTo(batch,70500)]" in plan
+    assert sorted(r.query_id for r in one.collect()) == [282_000, 282_001, 282_002, 282_003]
+    assert len(one.inputFiles()) >= 1
 
 
 def test_features_are_written_once(spark, tmp_path):
