@@ -88,6 +88,19 @@ class BandLayout:
                 keys.append(F.xxhash64(*[F.get(sig, F.lit(word)) for word, _, _ in places]))
         return F.array(*keys)
 
+    def bit_text(self, sig: Column) -> Column:
+        """The bits of a signature as a string of zeros and ones, band after band."""
+        used: dict[int, int] = {}
+        for band in range(self.bands):
+            for word, _, size in self.places(band):
+                used[word] = used.get(word, 0) + size
+        return F.concat(
+            *[
+                F.substring(F.reverse(F.lpad(F.bin(F.get(sig, F.lit(word))), WORD_BITS, "0")), 1, size)
+                for word, size in used.items()
+            ]
+        )
+
     def first_shared_band(self, a: Column, b: Column) -> Column:
         """Number of the first band in which two signatures agree, null if there is none."""
         differs = [

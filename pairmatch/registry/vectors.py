@@ -21,6 +21,7 @@ from pairmatch.operators import klsh as kl
 from pairmatch.operators import lsh as ls
 from pairmatch.operators import metrics as mt
 from pairmatch.operators import pairs as pr
+from pairmatch.operators import prefixes as px
 from pairmatch.operators import scoring as sc
 from pairmatch.operators.ordering import rank_within
 from pairmatch.plans.baseline import lsh_baseline
@@ -29,6 +30,7 @@ from pairmatch.registry.assets import NEWTON_CTE, segment_sums, trained_scorer
 from pairmatch.registry.base import register
 from pairmatch.sources import store
 from pairmatch.streaming.probe import probe_index as probe_stored
+from pairmatch.streaming.probe import read_probes, start_probe_sink
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -216,6 +218,45 @@ def band_candidates(t):
     return cd.band_candidates(index, queries, layout)
 
 
+BUCKET_TARGET = 4
+_SPLIT_CTE = f"""{_KLSH},
+texts as (select id, array_to_string(bits, '') as s from hidx),
+asked as (select id, array_to_string(bits, '') as s from hqry),
+starts as (
+  select band, depth from (select unnest(range(0, {B // R})) as band) b, (select unnest(range({R}, {B} + 1)) as depth) d),
+prefixes as (
+  select s, band, depth, substr(s || s, band * {R} + 1, depth) as prefix
+  from (select distinct s from texts) t, starts),
+sizes as (select band, depth, prefix, count(*) as n from prefixes group by band, depth, prefix),
+leaves as (
+  select s, band, min(depth) as depth from prefixes join sizes using (band, depth, prefix)
+  where n <= {BUCKET_TARGET} group by s, band),
+placed_ids as (
+  select id, band, depth, substr(s || s, band * {R} + 1, depth) as prefix, s from texts join leaves using (s))"""
+
+
+@query(
+    "qvec",
+    """select band, depth, prefix, count(*) as n, count(distinct s) as n_signatures
+       from placed_ids group by band, depth, prefix""",
+    _SPLIT_CTE,
+)
+def split_buckets(t):
+    index, _, layout = _signed(t)
+    return px.split_bucket_sizes(index, layout, BUCKET_TARGET)
+
+
+@query(
+    "qvec",
+    f"""select distinct q.id as query_id, c.id as cand_id
+        from placed_ids c join asked q on substr(q.s || q.s, band * {R} + 1, depth) = prefix""",
+    _SPLIT_CTE,
+)
+def split_band_candidates(t):
+    index, queries, layout = _signed(t)
+    return px.split_candidates(index, queries, layout, BUCKET_TARGET)
+
+
 @query("qvec", "select query_id, count(*) as n from cand group by query_id", _CAND)
 def union_candidates(t):
     counts = _retrieval(t).counts()
@@ -233,6 +274,22 @@ def probe_index(t):
     )
 
 
+@query("qvec", "select query_id, cand_id from cand", _CAND)
+def probe_stream(t):
+    model = _model(t)
+    layout = model.layout(R)
+    path = scratch_path(t.spark, "probes")
+    store.write_band_index(model.signatures(_index(t), layout), layout, f"{path}/bands", model)
+    _queries(t).repartition(4).write.parquet(f"{path}/queries")
+    stored = store.load_band_index(t.spark, f"{path}/bands")
+    arriving = t.spark.readStream.schema(_queries(t).schema).option("maxFilesPerTrigger", 2)
+    found = probe_stored(model.signatures(arriving.parquet(f"{path}/queries"), layout), stored, layout, model)
+    # the second run goes on from the checkpoint of the first and adds nothing
+    for _ in range(2):
+        start_probe_sink(found, f"{path}/found", f"{path}/checkpoint").awaitTermination()
+    return read_probes(t.spark, f"{path}/found").select("query_id", "cand_id")
+
+
 _STATS_CTE = f"""{_CAND},
 counts as (
   select q.id as query_id, count(c.cand_id) as n, count(*) filter (where c.cand_id = q.id) as hits

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
+from pairmatch.lineage import cut_lineage
 from pairmatch.operators.candidates import band_rows
 from pairmatch.operators.hashing import HashModel
 from pairmatch.operators.ordering import number_rows
+from pairmatch.operators.skew import ROWS_PER_SPLIT
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -31,33 +35,85 @@ def load_signatures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_band_index(signed: DataFrame, layout: BandLayout, path: str, model: HashModel) -> None:
-    """Write (band, key, id, sig) in folders by band, sorted by key inside.
+@dataclass(frozen=True)
+class BandIndex:
+    """A stored index: rows bucketed by (band, key, piece), the split buckets, and what it was hashed with."""
 
-    A probe then reads only files and row groups whose keys can match.  Layout and model are
-    named in the schema of every file, so that ``probe_index`` can refuse signatures of another hash.
+    rows: DataFrame
+    hot: DataFrame
+    written_with: dict
+
+
+def _about(layout: BandLayout, model: HashModel) -> dict:
+    return {"bits": layout.bits, "rows": layout.rows, "model": model.digest}
+
+
+def _table_name(path: str) -> str:
+    return f"band_index_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def write_band_index(
+    signed: DataFrame,
+    layout: BandLayout,
+    path: str,
+    model: HashModel,
+    buckets: int | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> None:
+    """Write (band, key, piece, id, sig) as a bucketed table, sorted by key inside its buckets.
+
+    A key with more than ``rows_per_split`` rows is cut into pieces by the hash of the id, so that no file
+    and no task of a probe holds a hot key; ``hot`` lists those keys, at most one per ``rows_per_split`` rows.
+    The table has as many buckets as the session has shuffle partitions unless told otherwise: a session
+    that shuffles into more partitions than the index has buckets may shuffle the index too.
+    Layout and model are written last, so an index that was only written in part can't be loaded.
     """
+    spark = signed.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = cut_lineage(band_rows(signed, layout).select("band", "key", "id", "sig"))
+    counted = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_split)
+    counted.select("band", "key", F.ceil(F.col("n") / rows_per_split).cast("int").alias("pieces")).coalesce(
+        1
+    ).write.mode("overwrite").parquet(f"{path}/hot")
+    hot = spark.read.parquet(f"{path}/hot")
+    piece = F.pmod(F.xxhash64("id"), F.coalesce(F.col("pieces"), F.lit(1))).cast("int")
+    spark.sql(f"drop table if exists {_table_name(path)}")
     (
-        band_rows(signed, layout)
-        .withMetadata("sig", {"bits": layout.bits, "rows": layout.rows, "model": model.digest})
-        .repartitionByRange("band", "key", F.xxhash64("id"))
-        .sortWithinPartitions("band", "key")
+        keyed.join(hot, ["band", "key"], "left")
+        .select("band", "key", piece.alias("piece"), "id", "sig")
+        .repartition(buckets, "band", "key", "piece")
         .write.mode("overwrite")
-        .partitionBy("band")
-        .parquet(path)
+        .bucketBy(buckets, "band", "key", "piece")
+        .sortBy("band", "key", "piece")
+        .option("path", f"{path}/rows")
+        .saveAsTable(_table_name(path))
     )
+    id_type = signed.schema["id"].dataType.simpleString()
+    about = spark.range(1).select(
+        F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type"), *[F.lit(v).alias(k) for k, v in _about(layout, model).items()]
+    )
+    about.write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_band_index(spark: SparkSession, path: str) -> BandIndex:
+    """The index written at ``path``, by this session or another; it is named in this session's catalog."""
+    about = spark.read.parquet(f"{path}/about").first().asDict()
+    buckets = about.pop("buckets")
+    columns = f"band int, key bigint, piece int, id {about.pop('id_type')}, sig array<bigint>"
+    # only the name is dropped: the files belong to the path
+    spark.sql(f"drop table if exists {_table_name(path)}")
+    spark.sql(
+        f"""create table {_table_name(path)} ({columns}) using parquet options (path '{path}/rows')
+            clustered by (band, key, piece) sorted by (band, key, piece) into {buckets} buckets"""
+    )
+    return BandIndex(spark.table(_table_name(path)), spark.read.parquet(f"{path}/hot"), about)
 
 
-def load_band_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def check_band_index(band_index: DataFrame, layout: BandLayout, model: HashModel) -> None:
+def check_band_index(band_index: BandIndex, layout: BandLayout, model: HashModel) -> None:
     """Raise if the index was not written with this layout and this model."""
-    wanted = {"bits": layout.bits, "rows": layout.rows, "model": model.digest}
-    stored = dict(band_index.schema["sig"].metadata)
-    if stored != wanted:
-        raise ValueError(f"the index was written with {stored}, the queries are hashed with {wanted}")
+    wanted = _about(layout, model)
+    if band_index.written_with != wanted:
+        raise ValueError(f"the index was written with {band_index.written_with}, the queries are hashed with {wanted}")
 
 
 def write_pair_batches(

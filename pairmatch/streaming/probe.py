@@ -2,30 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pairmatch.functions.bands import BandLayout
 from pairmatch.operators.candidates import band_rows
 from pairmatch.operators.hashing import HashModel
-from pairmatch.sources.store import check_band_index
+from pairmatch.sources.store import BandIndex, check_band_index
 
 
-def probe_index(signed: DataFrame, band_index: DataFrame, layout: BandLayout, model: HashModel) -> DataFrame:
-    """(query_id, cand_id) of signed queries against a stored (band, key, id, sig) index.
+def probe_index(signed: DataFrame, band_index: BandIndex, layout: BandLayout, model: HashModel) -> DataFrame:
+    """(query_id, cand_id) of signed queries against a stored index.
 
+    The index is read bucket by bucket and is never shuffled; queries go to every piece of a split key.
     A pair is kept in the first band it shares, so no duplicate has to be remembered and
     the join needs no state when the queries are a stream.  An index of another layout or
     model is refused.
     """
     check_band_index(band_index, layout, model)
-    probes = band_rows(signed, layout).select(
-        F.col("id").alias("query_id"), F.col("sig").alias("query_sig"), "band", "key"
+    pieces = F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1)
+    probes = (
+        band_rows(signed, layout)
+        .select(F.col("id").alias("query_id"), F.col("sig").alias("query_sig"), "band", "key")
+        .join(band_index.hot, ["band", "key"], "left")
+        .select("query_id", "query_sig", "band", "key", F.explode(pieces).alias("piece"))
     )
-    stored = band_index.select("band", "key", F.col("id").alias("cand_id"), "sig")
+    stored = band_index.rows.select("band", "key", "piece", F.col("id").alias("cand_id"), "sig")
     first = layout.first_shared_band(F.col("query_sig"), F.col("sig"))
     return (
-        probes.join(stored, ["band", "key"])
+        probes.join(stored, ["band", "key", "piece"])
         .where(first == F.col("band"))
         .select("query_id", "cand_id")
     )
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def start_probe_sink(found: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write a stream of pairs to a table in which every batch is there exactly once, and start it.
+
+    A batch is written to a folder of its own, named by the stream and its number, and then marked as done.
+    A stream that stopped before the mark writes the same folder over when it comes back; one that stopped
+    between the mark and its own commit finds the mark and leaves the batch alone.  The stream's id lives in its
+    checkpoint, so a stream with a new checkpoint adds to the table and replaces nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        folder = f"stream={stream}/batch={number}"
+        if _is_there(spark, f"{path}/done/{folder}"):
+            return
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{folder}")
+        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done/{folder}")
+
+    return (
+        found.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_probes(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, cand_id, stream, batch) of all batches that are done."""
+    keys = ["stream", "batch"]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    done = spark.read.option("basePath", f"{path}/done").parquet(f"{path}/done").select(*keys)
+    # one row per batch
+    return rows.join(done, keys, "left_semi").select("query_id", "cand_id", *keys)

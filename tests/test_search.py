@@ -9,10 +9,11 @@ from pairmatch.functions.names import number_of, number_of_str
 from pairmatch.operators import candidates as cd
 from pairmatch.operators import klsh as kl
 from pairmatch.operators import lsh as ls
+from pairmatch.operators import prefixes as px
 from pairmatch.operators.skew import split_join
 from pairmatch.plans.baseline import lsh_baseline
 from pairmatch.sources import store
-from pairmatch.streaming.probe import probe_index
+from pairmatch.streaming.probe import probe_index, read_probes, start_probe_sink
 
 
 def vectors(spark, rng, n, dim=8, first=0, like=None):
@@ -170,6 +171,128 @@ def test_probe_of_a_stored_index_batch_and_stream(spark, tmp_path):
         probe_index(refit.signatures(qdf, layout), stored, layout, refit)
 
 
+@pytest.mark.parametrize("bits,rows,target", [(12, 3, 2), (12, 3, 1), (12, 12, 2), (70, 7, 3), (140, 70, 2)])
+def test_buckets_split_until_they_are_small(spark, bits, rows, target):
+    rng = np.random.default_rng(bits + target)
+    layout = BandLayout(bits, rows)
+    # many bits in common, a third of the rows equal, queries that share beginnings only
+    stored = (rng.random((60, bits)) < 0.15).astype(np.uint8)
+    stored[::3] = stored[0]
+    asked = np.concatenate([stored[:10], stored[10:20], (rng.random((10, bits)) < 0.15).astype(np.uint8)])
+    asked[10:20, -1] ^= 1
+
+    def table(matrix, first):
+        packed = layout.pack(matrix).tolist()
+        return spark.createDataFrame([(first + i, w) for i, w in enumerate(packed)], "id long, sig array<long>")
+
+    index, queries = table(stored, 0), table(asked, 1_000)
+
+    def turned(row, band):
+        text = "".join(map(str, row))
+        return text[band * layout.width :] + text[: band * layout.width]
+
+    texts = ["".join(map(str, row)) for row in stored]
+    assert [r[0] for r in index.orderBy("id").select(layout.bit_text(F.col("sig"))).collect()] == texts
+    expected, sizes = set(), {}
+    for band in range(layout.bands):
+        known = {turned(row, band) for row in stored}
+        for c, row in enumerate(stored):
+            mine = turned(row, band)
+            depth = next(
+                d
+                for d in range(layout.width, bits + 1)
+                if sum(k[:d] == mine[:d] for k in known) <= target
+            )
+            n, members = sizes.setdefault((band, depth, mine[:depth]), [0, set()])
+            sizes[band, depth, mine[:depth]] = [n + 1, members | {mine}]
+            expected |= {(1_000 + q, c) for q, a in enumerate(asked) if turned(a, band)[:depth] == mine[:depth]}
+    assert pairs_in(px.split_candidates(index, queries, layout, target, rows_per_split=10)) == expected
+    found = {tuple(r)[:3]: list(r)[3:] for r in px.split_bucket_sizes(index, layout, target).collect()}
+    assert found == {k: [n, len(members)] for k, (n, members) in sizes.items()}
+    assert max(n for _, n in found.values()) <= target
+    assert px.split_candidates(index.limit(0), queries, layout, target).count() == 0
+    assert px.split_candidates(index, queries.limit(0), layout, target).count() == 0
+    with pytest.raises(ValueError):
+        px.split_candidates(index, queries, layout, 0)
+
+
+def test_stored_index_splits_hot_keys_and_is_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    df, vecs = vectors(spark, rng, 90)
+    qdf, qvecs = vectors(spark, rng, 30, first=500, like=[np.array(v) for v in vecs.values()])
+    model = kl.KLSH(p=16, t=4, b=12, seed=3).fit(df)
+    layout = model.layout(3)
+    path = str(tmp_path / "bands")
+    store.write_band_index(model.signatures(df, layout), layout, path, model, buckets=8, rows_per_split=10)
+    stored = store.load_band_index(spark, path)
+    sizes = stored.rows.groupBy("band", "key", "piece").count()
+    whole = stored.rows.groupBy("band", "key").count().where("count > 10").count()
+    assert 0 < whole == stored.hot.count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 25
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = probe_index(model.signatures(qdf, layout), stored, layout, model)
+        expected = sharing_a_band(bits_of(model, vecs), bits_of(model, qvecs), layout.bands)
+        assert pairs_in(found) == expected
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # from the last join to the scan of the index there is no exchange
+    index_side = plan[plan.rindex("FileScan parquet") - 600 : plan.rindex("FileScan parquet")]
+    assert "Bucketed: true" in plan and "Exchange" not in index_side
+    # written again with other bucket numbers, and empty
+    store.write_band_index(model.signatures(df, layout), layout, path, model, buckets=3)
+    again = probe_index(model.signatures(qdf, layout), store.load_band_index(spark, path), layout, model)
+    assert pairs_in(again) == expected
+    store.write_band_index(model.signatures(df.limit(0), layout), layout, path, model)
+    assert probe_index(model.signatures(qdf, layout), store.load_band_index(spark, path), layout, model).count() == 0
+
+
+def test_probe_sink_has_every_batch_once(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    df, vecs = vectors(spark, rng, 40)
+    qdf, qvecs = vectors(spark, rng, 15, first=500, like=[np.array(v) for v in vecs.values()])
+    model = kl.KLSH(p=16, t=4, b=12, seed=3).fit(df)
+    layout = model.layout(3)
+    store.write_band_index(model.signatures(df, layout), layout, str(tmp_path / "bands"), model)
+    stored = store.load_band_index(spark, str(tmp_path / "bands"))
+    expected = sharing_a_band(bits_of(model, vecs), bits_of(model, qvecs), layout.bands)
+    qdf.write.parquet(str(tmp_path / "queries"))
+    source = spark.readStream.schema(qdf.schema).option("maxFilesPerTrigger", 1)
+    found = probe_index(
+        model.signatures(source.parquet(str(tmp_path / "queries")), layout), stored, layout, model
+    )
+    table, checkpoint = str(tmp_path / "found"), tmp_path / "checkpoint"
+
+    def run(where=checkpoint):
+        assert start_probe_sink(found, table, str(where)).awaitTermination(120)
+        return read_probes(spark, table)
+
+    rows = run()
+    assert pairs_in(rows.select("query_id", "cand_id")) == expected
+    batches = sorted(r["batch"] for r in rows.select("batch").distinct().collect())
+    last = max(int(p.name) for p in (checkpoint / "commits").iterdir() if p.name.isdigit())
+    # the stream stopped between the mark of its last batch and its commit
+    for name in [str(last), f".{last}.crc"]:
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    assert pairs_in(run().select("query_id", "cand_id")) == expected
+    # or before the mark, with part of the rows written
+    for name in [str(last), f".{last}.crc"]:
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    for mark in (tmp_path / "found" / "done").glob(f"stream=*/batch={last}/*"):
+        mark.unlink()
+    for mark in (tmp_path / "found" / "done").glob(f"stream=*/batch={last}"):
+        for hidden in mark.iterdir():
+            hidden.unlink()
+        mark.rmdir()
+    assert last not in {r["batch"] for r in read_probes(spark, table).select("batch").distinct().collect()}
+    again = run()
+    assert pairs_in(again.select("query_id", "cand_id")) == expected
+    assert sorted(r["batch"] for r in again.select("batch").distinct().collect()) == batches
+    # a stream with a new checkpoint adds its own batches
+    assert run(tmp_path / "other").count() == 2 * len(expected)
+
+
 def test_klsh_algebra():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, 5))
