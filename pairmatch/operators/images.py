@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmatch.sources.store import write_counted
+
 CHANNELS = 3
 SIZE = 224
 # Mean blue, green and red of the usual pretrained networks
@@ -100,6 +102,17 @@ def prepare_images(images: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def write_prepared(images: DataFrame, path: str, size: int = SIZE) -> dict[str, int]:
+    """Write what ``prepare_images`` gives; how many images were kept and how many failed, from the same job."""
+    prepared = _map_images(
+        filter_channels(images), lambda pixels: resample(pixels, size, size), "pixels"
+    )
+    error = F.col("error")
+    return write_counted(
+        prepared, path, {"kept": error.isNull(), "failed": error.isNotNull()}, keep=error.isNull()
+    )
+
+
 def extract_features(
     images: DataFrame, fn: Callable[[np.ndarray], np.ndarray] = color_grid
 ) -> DataFrame:

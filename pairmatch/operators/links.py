@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pairmatch.functions import links as fx
 from pairmatch.operators.ordering import rank_within
+from pairmatch.sources.store import write_counted
+
+LINK_TYPES = ("image", "imgur_album")
 
 
 def typed_links(links: DataFrame, apply_typo_fix: bool = False) -> DataFrame:
@@ -68,6 +71,12 @@ def count_by_type(classified: DataFrame) -> DataFrame:
     return classified.groupBy("link_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_classified(links: DataFrame, path: str, apply_typo_fix: bool = False) -> dict[str, int]:
+    """Write ``classify_links``; how many links each class has, from the same job."""
+    kinds = {kind: F.col("link_type") == kind for kind in LINK_TYPES}
+    return write_counted(classify_links(links, apply_typo_fix), path, kinds)
+
+
 def distinct_links(links: DataFrame) -> DataFrame:
     return links.where(F.col("link").isNotNull()).select("link").distinct()
 

@@ -17,72 +17,92 @@ FIRST_LEVELS = 4
 
 
 def _prefix(layout: BandLayout, band: Column, depth: Column) -> Column:
-    """The first ``depth`` bits from the start of the band on, going on at the first bit after the last."""
-    text = layout.bit_text(F.col("sig"))
-    return F.substring(F.concat(text, text), band * layout.width + 1, depth)
+    """The first ``depth`` bits of ``text`` from the start of the band on, going on at the first bit after the last."""
+    return F.substring(F.concat("text", "text"), band * layout.width + 1, depth)
 
 
-def split_depths(index: DataFrame, queries: DataFrame, layout: BandLayout, target: int) -> DataFrame:
-    """(sig, in_index, band, depth): how many bits tell the bucket of a signature, for every distinct one and band.
+def _different(index: DataFrame, queries: DataFrame, layout: BandLayout) -> DataFrame:
+    """(sid, sig, in_index, text): the different signatures of both sides, numbered, and their bits as text."""
+    sides = index.select("sig", F.lit(1).alias("in_index")).unionAll(queries.select("sig", F.lit(0).alias("in_index")))
+    return cut_lineage(
+        sides.groupBy("sig")
+        .agg(F.max("in_index").alias("in_index"))
+        .select(
+            F.monotonically_increasing_id().alias("sid"), "sig", "in_index", layout.bit_text(F.col("sig")).alias("text")
+        )
+    )
 
-    A bucket holds the signatures that share the first bits of a band.  It is split by the next bit while it
-    holds more than ``target`` different signatures of the index, so a signature's depth is the least, from the width of
-    a band on, at which at most ``target`` share its bits.  Copies count once, as no bit can tell them apart.  A query
-    follows the same buckets down.
 
-    Rounds look at 4, 8, 16, ... levels at once, each only at signatures whose buckets are all too full so far;
-    so there are as many rounds as the logarithm of the depth, and counts are combined before they are shuffled.
-    """
+def _walk(sigs: DataFrame, layout: BandLayout, target: int) -> DataFrame:
+    """(sid, band, depth) of numbered signatures; see ``split_depths``."""
     if target < 1:
         raise ValueError("a bucket holds at least one signature")
-    sides = index.select("sig", F.lit(1).alias("in_index")).unionAll(queries.select("sig", F.lit(0).alias("in_index")))
-    sigs = cut_lineage(sides.groupBy("sig").agg(F.max("in_index").alias("in_index")))
     state = sigs.select(
-        "*",
+        "sid",
+        "in_index",
+        "text",
         F.explode(F.sequence(F.lit(0), F.lit(layout.bands - 1))).alias("band"),
         F.lit(layout.width).alias("depth"),
     )
     if layout.width == layout.bits:
-        return state
+        return state.select("sid", "band", "depth")
     settled = []
     levels = FIRST_LEVELS
     while True:
         tried = F.least(F.lit(levels), F.lit(layout.bits) - F.col("depth"))
-        rows = state.select("*", F.explode(F.sequence("depth", F.col("depth") + tried - 1)).alias("level")).withColumn(
-            "key", F.xxhash64(_prefix(layout, F.col("band"), F.col("level")))
-        )
-        full = (
-            rows.groupBy("band", "level", "key").agg(F.sum("in_index").alias("n")).where(F.col("n") > target)
+        # only keys of the prefixes are shuffled, no texts
+        rows = state.select(
+            "sid", "in_index", "text", "band", "depth", F.explode(F.sequence("depth", F.col("depth") + tried - 1)).alias("level")
+        ).select(
+            "sid", "in_index", "band", "depth", "level",
+            F.xxhash64(_prefix(layout, F.col("band"), F.col("level"))).alias("key"),
         )
+        full = rows.groupBy("band", "level", "key").agg(F.sum("in_index").alias("n")).where(F.col("n") > target)
         # buckets inside a small one are small, so the full levels are the first ones
         passed = (
-            rows.select("sig", "in_index", "band", "depth", "level", "key")
+            rows.drop("in_index")
             .join(full, ["band", "level", "key"], "left")
-            .groupBy("sig", "in_index", "band", "depth")
+            .groupBy("sid", "band", "depth")
             .agg(F.count("n").cast("int").alias("passed"))
         )
         moved = cut_lineage(
             passed.select(
-                "sig",
-                "in_index",
+                "sid",
                 "band",
                 (F.col("depth") + F.col("passed")).alias("depth"),
                 ((F.col("passed") == tried) & (F.col("depth") + tried < layout.bits)).alias("goes_on"),
             )
         )
         settled.append(moved.where(~F.col("goes_on")).drop("goes_on"))
-        state = moved.where("goes_on").drop("goes_on")
-        if state.isEmpty():
+        open_rows = moved.where("goes_on").drop("goes_on")
+        if open_rows.isEmpty():
             return reduce(DataFrame.unionAll, settled)
+        state = open_rows.join(sigs.drop("sig"), "sid")
         levels *= 2
 
 
+def split_depths(index: DataFrame, queries: DataFrame, layout: BandLayout, target: int) -> DataFrame:
+    """(sig, in_index, band, depth): how many bits tell the bucket of a signature, for every distinct one and band.
+
+    A bucket holds the signatures that share the first bits of a band.  It is split by the next bit while it
+    holds more than ``target`` different signatures of the index, so a signature's depth is the least, from the width of
+    a band on, at which at most ``target`` share its bits.  Copies count once, as no bit can tell them apart.  A query
+    follows the same buckets down.
+
+    Rounds look at 4, 8, 16, ... levels at once, each only at signatures whose buckets are all too full so far;
+    so there are as many rounds as the logarithm of the depth, and counts are combined before they are shuffled.
+    """
+    sigs = _different(index, queries, layout)
+    return _walk(sigs, layout, target).join(sigs, "sid").select("sig", "in_index", "band", "depth")
+
+
 def split_bucket_sizes(signed: DataFrame, layout: BandLayout, target: int) -> DataFrame:
     """(band, depth, prefix, n, n_signatures): the buckets after splitting, their ids and different signatures."""
-    depths = split_depths(signed, signed.limit(0), layout, target)
+    sigs = _different(signed, signed.limit(0), layout)
     copies = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        depths.join(copies, "sig")
+        _walk(sigs, layout, target)
+        .join(sigs.join(copies, "sig"), "sid")
         .select("band", "depth", _prefix(layout, F.col("band"), F.col("depth")).alias("prefix"), "copies")
         .groupBy("band", "depth", "prefix")
         .agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_signatures"))
@@ -97,13 +117,18 @@ def split_matches(
     As in ``band_matches``, a pair is kept in the first band it shares; both sides carry one 64-bit key per band, that of
     their bucket.  A query meets at most ``target`` different signatures per band, however large the index is.
     """
-    depths = split_depths(index, queries, layout, target)
-    key = F.xxhash64("band", "depth", _prefix(layout, F.col("band"), F.col("depth")))
-    keys = cut_lineage(
-        depths.select("sig", "band", key.alias("key"))
-        .groupBy("sig")
+    sigs = _different(index, queries, layout)
+    depths = (
+        _walk(sigs, layout, target)
+        .groupBy("sid")
         # one for each band
-        .agg(F.sort_array(F.collect_list(F.struct("band", "key"))).getField("key").alias("keys"))
+        .agg(F.sort_array(F.collect_list(F.struct("band", "depth"))).alias("depths"))
+    )
+    keys = cut_lineage(
+        depths.join(sigs, "sid").select(
+            "sig",
+            F.transform("depths", lambda d: F.xxhash64(d.band, d.depth, _prefix(layout, d.band, d.depth))).alias("keys"),
+        )
     )
 
     def buckets(signed: DataFrame, side: str) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from pairmatch.lineage import scratch_path
 from pairmatch.operators import images as im
 from pairmatch.registry.base import register
 
@@ -125,3 +126,17 @@ def image_failures(t):
 def count_done(t):
     """How many pictures came through the preparation."""
     return im.prepare_images(_pictures(t), 2).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "",
+    """select count(*) filter (where vec_id % 11 <> 5) as kept, count(*) filter (where vec_id % 11 = 5) as failed,
+         count(*) filter (where vec_id % 11 <> 5) as stored from embeddings where vec_id % 7 <> 3""",
+)
+def write_prepared(t):
+    """Pictures kept and failed, counted while they are written, and what is in the files."""
+    path = scratch_path(t.spark, "prepared")
+    counts = im.write_prepared(_pictures(t), path, 2)
+    return t.spark.read.parquet(path).agg(
+        F.lit(counts["kept"]).alias("kept"), F.lit(counts["failed"]).alias("failed"), F.count(F.lit(1)).alias("stored")
+    )

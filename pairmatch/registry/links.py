@@ -7,9 +7,11 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from pairmatch.functions import links as fx
+from pairmatch.lineage import scratch_path
 from pairmatch.operators import albums as al
 from pairmatch.operators import links as ln
 from pairmatch.registry.base import register
+from pairmatch.sources import dumps
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -140,6 +142,51 @@ def count_valid_links(t):
     return ln.count_by_type(ln.classify_links(t["links"]))
 
 
+@query("links", "select link_type, count(*) as n, count(*) as stored from owned group by link_type", _TYPED_CTE)
+def write_classified(t):
+    """Links of each class, counted while they are written, and what is in the files."""
+    path = scratch_path(t.spark, "classified")
+    counts = ln.write_classified(t["links"], path)
+    counted = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    stored = ln.count_by_type(t.spark.read.parquet(path))
+    return stored.select("link_type", counted[F.col("link_type")].alias("n"), F.col("n").alias("stored"))
+
+
+# cells as they are, spaces and line breaks at their ends included
+_DUMP = {
+    "quote": '"', "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+@query(
+    "comments",
+    """select concat(comment_body, chr(10), 'said "', cast(ord as varchar), '",', chr(10)) as comment_body,
+         parent_fullname, post_fullname from comments where comment_body is not null""",
+)
+def read_comment_dump(t):
+    """Comments with line breaks and quotes, from a dump whose files are split."""
+    path = scratch_path(t.spark, "comments")
+    body = F.concat("comment_body", F.lit('\nsaid "'), F.col("ord").cast("string"), F.lit('",\n'))
+    told = t["comments"].select("*", body.alias("body"))
+    cells = {"comment_body": "body", "parent_fullname": "parent_fullname", "post_fullname": "post_fullname"}
+    columns = [F.col(cells[n]).alias(n) if n in cells else F.lit("x").alias(n) for n in dumps.COMMENT_COLUMNS]
+    told.select(*columns).write.csv(path, **_DUMP)
+    return dumps.read_comment_dump(t.spark, path, split_files=True).drop("ord")
+
+
+@query("links", "select link, name, post_id from links where link is not null")
+def read_link_dump(t):
+    """Links of posts whose titles have line breaks, from a dump whose files are split."""
+    path = scratch_path(t.spark, "submissions")
+    cells = {
+        "subreddit_name": F.col("name"), "post_fullname": F.col("post_id"), "post_target_url": F.col("link"),
+        "post_title": F.concat(F.lit('on\n"'), F.col("ord").cast("string"), F.lit('"')),
+    }
+    columns = [cells.get(n, F.lit("x")).alias(n) for n in dumps.SUBMISSION_COLUMNS]
+    t["links"].select(*columns).write.csv(path, **_DUMP)
+    return dumps.read_link_dump(t.spark, path, split_files=True).drop("ord")
+
+
 @query("links", "select distinct link from links where link is not null")
 def distinct_links(t):
     return ln.distinct_links(t["links"])

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairmatch.functions.bands import BandLayout
@@ -17,6 +17,18 @@ from pairmatch.operators.ordering import number_rows
 from pairmatch.operators.skew import ROWS_PER_SPLIT
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], keep: Column | None = None) -> dict[str, int]:
+    """Write ``df``, or its rows that ``keep`` holds for, and count the rows each condition holds for while they are written.
+
+    One job does both: the counts are observed in the tasks that write, right before ``keep`` is applied, so a
+    task that runs again counts once.
+    """
+    seen = Observation()
+    counted = df.observe(seen, *[F.count_if(condition).alias(name) for name, condition in counts.items()])
+    (counted if keep is None else counted.where(keep)).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def write_features(df: DataFrame, path: str) -> None:
     """Write descriptors unless they are already there."""
     df.write.mode("ignore").parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,12 +37,12 @@ def probe_index(signed: DataFrame, band_index: BandIndex, layout: BandLayout, mo
     )
 
 
-def _is_there(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+_BATCH = ["stream", "batch"]
+
+
+def _done(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, batch) of the batches that are done."""
+    return spark.read.option("basePath", f"{path}/done").parquet(f"{path}/done").where("done").select(*_BATCH)
 
 
 def start_probe_sink(found: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -52,17 +51,29 @@ def start_probe_sink(found: DataFrame, path: str, checkpoint: str, **trigger) ->
     A batch is written to a folder of its own, named by the stream and its number, and then marked as done.
     A stream that stopped before the mark writes the same folder over when it comes back; one that stopped
     between the mark and its own commit finds the mark and leaves the batch alone.  The stream's id lives in its
-    checkpoint, so a stream with a new checkpoint adds to the table and replaces nothing.
+    checkpoint, so a stream with a new checkpoint adds to the table and replaces nothing.  Only the first batch
+    of a run can have been written before, so marks are looked up once.
     """
+    spark = found.sparkSession
+    # a table without batches can be read too
+    nothing = "stream=none/batch=-1"
+    spark.createDataFrame([], found.schema).write.mode("ignore").parquet(f"{path}/rows/{nothing}")
+    spark.createDataFrame([], "done boolean").write.mode("ignore").parquet(f"{path}/done/{nothing}")
+    first = True
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        folder = f"stream={stream}/batch={number}"
-        if _is_there(spark, f"{path}/done/{folder}"):
+        nonlocal first
+        session = batch.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        again = first and not _done(session, path).where(
+            (F.col("stream") == stream) & (F.col("batch") == number)
+        ).isEmpty()
+        first = False
+        if again:
             return
+        folder = f"stream={stream}/batch={number}"
         batch.write.mode("overwrite").parquet(f"{path}/rows/{folder}")
-        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done/{folder}")
+        session.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done/{folder}")
 
     return (
         found.writeStream.foreachBatch(write)
@@ -74,8 +85,6 @@ def start_probe_sink(found: DataFrame, path: str, checkpoint: str, **trigger) ->
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, cand_id, stream, batch) of all batches that are done."""
-    keys = ["stream", "batch"]
     rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-    done = spark.read.option("basePath", f"{path}/done").parquet(f"{path}/done").select(*keys)
     # one row per batch
-    return rows.join(done, keys, "left_semi").select("query_id", "cand_id", *keys)
+    return rows.join(_done(spark, path), _BATCH, "left_semi").select("query_id", "cand_id", *_BATCH)

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -57,6 +58,48 @@ def test_comment_dump(spark, tmp_path):
     assert [(r.comment_body, r.post_fullname) for r in rows] == [("[x](http://a/1.jpg)\nmore", "t3_1")]
 
 
+def test_split_files_with_line_breaks(spark, tmp_path):
+    rng = random.Random(4)
+    bits = ["a", "é", "\n", '"', ",", "\r\n", " ", "end\n\n", "NaN", "x" * 40]
+
+    def cell(text):
+        return '"' + text.replace('"', '""') + '"'
+
+    bodies = {}
+    for name, n, end in [("a.csv", 60, "\n"), ("b.csv", 1, "\n"), ("c.csv", 40, "\r\n"), ("d.csv", 0, "")]:
+        lines = []
+        for i in range(n):
+            body = "".join(rng.choices(bits, k=rng.choice([0, 1, 5, 30])))
+            bodies[f"{name}{i}"] = body
+            lines.append(f"1,u,pics,{name}{i},{cell(body)},t3_{i},t3_{i}{end}" + (end if i % 9 == 0 else ""))
+        (tmp_path / name).write_bytes("".join(lines).encode())
+    # one record over many blocks, the last one without a line break
+    long = "\n".join(f'line {i} "quoted"' for i in range(200))
+    (tmp_path / "e.csv").write_bytes(f"1,u,pics,e,{cell(long)},t3_e,t3_e\n1,u,pics,f,last,t3_f,t3_f".encode())
+    expected = sorted(b for b in bodies.values() if b not in dumps.NA_VALUES) + [long, "last"]
+    settings = {"spark.sql.files.maxPartitionBytes": "90", "spark.sql.files.openCostInBytes": "0"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        df = dumps.read_comment_dump(spark, str(tmp_path), split_files=True)
+        rows = df.collect()
+        assert len({(r.ord.file, r.ord.block) for r in rows}) > 20
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sorted(r.comment_body for r in rows) == sorted(expected)
+    # places are in the order of the files
+    numbers = [int(r.post_fullname[3:]) for r in sorted(rows, key=lambda r: r.ord) if r.ord.file.endswith("a.csv")]
+    assert numbers == sorted(numbers) and len(numbers) > 30
+    assert len({tuple(r.ord) for r in rows}) == len(rows)
+    whole = dumps.read_comment_dump(spark, str(tmp_path), split_files=True, path_glob="b.csv")
+    assert whole.count() == (bodies["b.csv0"] not in dumps.NA_VALUES)
+    assert dumps.read_comment_dump(spark, str(tmp_path), split_files=True, path_glob="d.csv").count() == 0
+    write_dumps(tmp_path)
+    links = [dumps.read_link_dump(spark, str(tmp_path), path_glob="submissions_*.csv", split_files=b) for b in (True, False)]
+    assert len({tuple(sorted(map(str, df.drop("ord").collect()))) for df in links}) == 1
+
+
 def png(path, pixels, color):
     height, width = len(pixels), len(pixels[0])
     raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in pixels)
@@ -209,3 +252,19 @@ def test_broken_images_are_reported_and_programming_errors_fail(spark):
 
     with pytest.raises(Exception, match="undefined_name"):
         extract_features(images, wrong).collect()
+
+
+def test_rows_are_counted_by_the_job_that_writes_them(spark, tmp_path):
+    df = spark.range(100).withColumn("bad", F.when(F.col("id") % 10 == 3, "why"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        counts = store.write_counted(
+            df, str(tmp_path / "t"), {"good": F.col("bad").isNull(), "bad": F.col("bad").isNotNull()}, F.col("bad").isNull()
+        )
+        assert len(jobs.getJobIdsForGroup("counted")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts == {"good": 90, "bad": 10}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 90
+    assert store.write_counted(df.limit(0), str(tmp_path / "e"), {"n": F.lit(True)}) == {"n": 0}
