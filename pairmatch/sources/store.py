@@ -55,6 +55,10 @@ class BandIndex:
     hot: DataFrame
     written_with: dict
 
+    def count(self) -> int:
+        """How many entries are stored: one for every id and band."""
+        return self.rows.count()
+
 
 def _about(layout: BandLayout, model: HashModel) -> dict:
     return {"bits": layout.bits, "rows": layout.rows, "model": model.digest}
