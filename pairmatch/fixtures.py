@@ -39,6 +39,21 @@ select event_id as ord, event_type as name, concat('t3_', cast(event_id % 701 as
 from events
 """
 
+# links of which every event brings a new one
+VIEWS["fetch_links"] = """
+select event_id as ord, event_type as name, concat('t3_', cast(user_id as string)) as post_id,
+  case event_id % 8
+    when 0 then concat('http://i.imgur.com/k', cast(event_id as string), '.jpg')
+    when 1 then concat('http://imgur.com/r/k', cast(event_id as string), '.bmp')
+    when 2 then concat('http://imgur.com/a/al', cast(event_id as string))
+    when 3 then concat('http://imgur.com/gallery/g', cast(event_id as string), '.gif')
+    when 4 then concat('http://imgur.com/k', cast(event_id as string))
+    when 5 then concat('http://i.reddituploads.com/u', cast(event_id % 41 as string))
+    when 6 then concat('https://imgur.com/gallery/g', cast(event_id as string), '/new')
+    else concat('http://share.example.org/imgur/a/x', cast(event_id as string)) end as link
+from events
+"""
+
 VIEWS["comments"] = """
 select event_id as ord, concat('t3_', cast(event_id % 701 as string)) as post_fullname,
   case when event_id % 5 = 0 then concat('t1_', cast(event_id as string))

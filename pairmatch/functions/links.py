@@ -113,6 +113,19 @@ def album_title(html: Column, key: Column) -> Column:
     return F.when(html.rlike(pattern), named).otherwise(key)
 
 
+def album_file_title(html: Column, key: Column, given: Column | None = None) -> Column:
+    """The title as part of a file name; a caller's name that isn't empty comes before the page's own."""
+    title = album_title(html, key)
+    if given is not None:
+        title = F.when(given != "", given).otherwise(title)
+    return slugify(title)
+
+
+def owned_name(name: Column, post_id: Column) -> Column:
+    """What the files of a link are called: its name and its post, or the post alone."""
+    return F.concat_ws("_", name, post_id)
+
+
 @F.arrow_udf(StringType())
 def _ascii_only(text: pa.Array) -> pa.Array:
     plain = pc.utf8_normalize(text, form="NFKD")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.functions.links import DIRECT_IMAGE, not_gif
+from pairmatch.functions.links import DIRECT_IMAGE, album_all_url, not_gif, owned_name, parse_album_url
 
 _PAGE_JSON = (
     "album_images struct<images: array<struct<hash: string, ext: string>>>, "
@@ -104,6 +104,61 @@ def download_plan(images: DataFrame, first_per_ext: bool = False) -> DataFrame:
     )
 
 
+def link_plan(classified: DataFrame, subreddit_key: bool = False) -> DataFrame:
+    """Adds image_url and file_name to (link_type, link, name, post_id) rows that need no page to be read first.
+
+    These are image links, stored as ``.jpg`` whatever they end with, and album links that have an extension
+    and so are images themselves, without gif images.  ``links_with_pages`` has the other album links.
+    """
+    parsed = parse_album_url(F.col("link"), subreddit_key)
+    own = owned_name(F.col("name"), F.col("post_id"))
+    return (
+        classified.withColumn("_url", F.when(F.col("link_type") == "imgur_album", parsed))
+        .where(
+            (F.col("link_type") == "image")
+            | ((F.col("_url.extension") != "") & not_gif(F.col("_url.extension")))
+        )
+        .select(
+            *classified.columns,
+            F.when(F.col("link_type") == "image", F.col("link"))
+            .otherwise(F.concat(F.lit(DIRECT_IMAGE), "_url.main_key", "_url.extension"))
+            .alias("image_url"),
+            F.concat(own, F.coalesce("_url.extension", F.lit(".jpg"))).alias("file_name"),
+        )
+    )
+
+
+def links_with_pages(classified: DataFrame, subreddit_key: bool = False) -> DataFrame:
+    """(link, main_key, page_url, post_id): album links whose page lists the images.
+
+    ``post_id`` is what the files will be called.  With the page as ``html`` these are rows for ``album_images``.
+    Album links that aren't of the album host have no page and are in ``link_failures``.
+    """
+    parsed = parse_album_url(F.col("link"), subreddit_key)
+    return (
+        classified.where("link_type = 'imgur_album'")
+        .withColumn("_url", parsed)
+        .where("_url is not null and _url.extension = ''")
+        .select(
+            "link",
+            F.col("_url.main_key").alias("main_key"),
+            album_all_url(F.col("link")).alias("page_url"),
+            owned_name(F.col("name"), F.col("post_id")).alias("post_id"),
+        )
+    )
+
+
+def link_failures(classified: DataFrame) -> DataFrame:
+    """(link, reason): the links from which neither ``link_plan`` nor ``links_with_pages`` makes anything."""
+    parsed = parse_album_url(F.col("link"))
+    reason = F.when(parsed.isNull(), "not an album link").when(~not_gif(parsed["extension"]), "gif")
+    return (
+        classified.where("link_type = 'imgur_album'")
+        .select("link", reason.alias("reason"))
+        .where("reason is not null")
+    )
+
+
 def extension_counts(images: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Images per extension, the most frequent first."""
     return (

@@ -138,16 +138,10 @@ def drop_empty_groups(groups: DataFrame, members: DataFrame, key: str) -> DataFr
 
 
 def drop_placeholder(images: DataFrame, placeholders: DataFrame) -> DataFrame:
-    """Images whose bytes equal no placeholder; the digest makes the join key short."""
-    known = placeholders.select(
-        F.sha2("content", 256).alias("_digest"), F.col("content").alias("_bytes")
-    ).distinct()
+    """Images whose bytes equal no placeholder, as their SHA-256 tells; images without bytes stay."""
+    known = placeholders.select(F.sha2("content", 256).alias("_digest")).distinct()
     return (
         images.withColumn("_own", F.sha2("content", 256))
-        .join(
-            known,
-            (F.col("_own") == F.col("_digest")) & (F.col("content") == F.col("_bytes")),
-            "left_anti",
-        )
+        .join(known, F.col("_own") == F.col("_digest"), "left_anti")
         .drop("_own")
     )

@@ -109,14 +109,8 @@ def split_bucket_sizes(signed: DataFrame, layout: BandLayout, target: int) -> Da
     )
 
 
-def split_matches(
-    index: DataFrame, queries: DataFrame, layout: BandLayout, target: int, rows_per_split: int = ROWS_PER_SPLIT
-) -> DataFrame:
-    """(query_ids, cand_ids): groups of copies that share a bucket of ``split_depths``.
-
-    As in ``band_matches``, a pair is kept in the first band it shares; both sides carry one 64-bit key per band, that of
-    their bucket.  A query meets at most ``target`` different signatures per band, however large the index is.
-    """
+def split_keys(index: DataFrame, queries: DataFrame, layout: BandLayout, target: int) -> DataFrame:
+    """(sig, keys): the buckets of every different signature after splitting, a 64-bit key for each band."""
     sigs = _different(index, queries, layout)
     depths = (
         _walk(sigs, layout, target)
@@ -124,13 +118,33 @@ def split_matches(
         # one for each band
         .agg(F.sort_array(F.collect_list(F.struct("band", "depth"))).alias("depths"))
     )
-    keys = cut_lineage(
+    return cut_lineage(
         depths.join(sigs, "sid").select(
             "sig",
             F.transform("depths", lambda d: F.xxhash64(d.band, d.depth, _prefix(layout, d.band, d.depth))).alias("keys"),
         )
     )
 
+
+def first_shared_key(one: Column, two: Column, layout: BandLayout) -> Column:
+    """The first band in which two lists of ``split_keys`` agree; null if there is none."""
+    return reduce(
+        lambda chain, band: F.when(F.get(one, F.lit(band)) == F.get(two, F.lit(band)), band).otherwise(chain),
+        reversed(range(layout.bands)),
+        F.lit(None).cast("int"),
+    )
+
+
+def split_matches(
+    index: DataFrame, queries: DataFrame, layout: BandLayout, target: int, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """(query_ids, cand_ids): groups of copies that share a bucket of ``split_depths``.
+
+    As in ``band_matches``, a pair is kept in the first band it shares; both sides carry one 64-bit key per band, that of
+    their bucket.  A query meets at most ``target`` different signatures per band, however large the index is.
+    """
+    keys = split_keys(index, queries, layout, target)
+
     def buckets(signed: DataFrame, side: str) -> DataFrame:
         groups = cut_lineage(
             copy_groups(signed)
@@ -139,24 +153,34 @@ def split_matches(
         )
         return groups.select("*", F.posexplode(f"{side}_keys").alias("band", "key"))
 
-    first = reduce(
-        lambda chain, band: F.when(
-            F.get("query_keys", F.lit(band)) == F.get("cand_keys", F.lit(band)), band
-        ).otherwise(chain),
-        reversed(range(layout.bands)),
-        F.lit(None).cast("int"),
-    )
     return split_join(
         buckets(queries, "query"),
         buckets(index, "cand"),
         ["band", "key"],
         left_id=["query_ids"],
         right_id=["cand_ids"],
-        residual=first == F.col("band"),
+        residual=first_shared_key(F.col("query_keys"), F.col("cand_keys"), layout) == F.col("band"),
         rows_per_split=rows_per_split,
     ).select("query_ids", "cand_ids")
 
 
+def split_set_matches(
+    index_sets: DataFrame, query_sets: DataFrame, keys: DataFrame, layout: BandLayout, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """(query_gid, cand_gid, copies): distinct vectors that share a bucket of ``split_keys``, each pair once."""
+    left = query_sets.join(keys, "sig").select(F.col("keys").alias("query_keys"), F.col("gid").alias("query_gid"))
+    right = index_sets.join(keys, "sig").select(F.col("keys").alias("cand_keys"), F.col("gid").alias("cand_gid"), "copies")
+    return split_join(
+        left.select("*", F.posexplode("query_keys").alias("band", "key")),
+        right.select("*", F.posexplode("cand_keys").alias("band", "key")),
+        ["band", "key"],
+        left_id=["query_gid"],
+        right_id=["cand_gid"],
+        residual=first_shared_key(F.col("query_keys"), F.col("cand_keys"), layout) == F.col("band"),
+        rows_per_split=rows_per_split,
+    ).select("query_gid", "cand_gid", "copies")
+
+
 def split_candidates(
     index: DataFrame, queries: DataFrame, layout: BandLayout, target: int, rows_per_split: int = ROWS_PER_SPLIT
 ) -> DataFrame:

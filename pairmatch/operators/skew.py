@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 100_000
+# what the broadcast table of split keys holds at most, some 50 MB
+MOST_SPLIT_KEYS = 1_000_000
 
 
 def _splits(df: DataFrame, keys: Sequence[str], rows_per_split: int, name: str) -> DataFrame:
-    """Number of pieces for every key above ``rows_per_split``.
+    """Number of pieces for the keys above ``rows_per_split``, the largest first.
 
-    Counts are combined map-side.  At most rows/rows_per_split keys come out, which is
-    what makes the broadcast in ``split_join`` safe.
+    Counts are combined map-side.  At most ``MOST_SPLIT_KEYS`` keys come out, which bounds the broadcast in
+    ``lay_out_grid``; so a key that stays whole has ``rows_per_split`` rows or a millionth of the table at most.
+    The order is total, because the table is computed for both sides.
     """
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > rows_per_split)
+        .orderBy(F.desc("_rows"), *keys)
+        .limit(MOST_SPLIT_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / rows_per_split).cast("int").alias(name))
     )
 

@@ -24,7 +24,18 @@ from pairmatch.operators.hashing import HashModel
 from pairmatch.operators.klsh import KLSH
 from pairmatch.operators.metrics import retrieval_stats, summarize_ranks
 from pairmatch.operators.ordering import running_total
-from pairmatch.operators.pairs import NEGATIVE, POSITIVE, attach_payload
+from pairmatch.operators.pairs import (
+    BATCH_SIZE,
+    NEGATIVE,
+    POSITIVE,
+    attach_payload,
+    batch_index,
+    pack_batches,
+    relevant_positions,
+)
+from pairmatch.operators.prefixes import first_shared_key, split_keys, split_set_matches
+from pairmatch.operators.skew import split_join
+from pairmatch.sources.store import read_pair_batches, write_pair_batches
 
 
 @dataclass(frozen=True)
@@ -53,6 +64,9 @@ class Retrieval:
     smallest id and copies by their own.  ``search`` finds pairs of distinct vectors and
     ``scorer`` adds ``score`` to pairs with ``query_vec`` and ``cand_vec``, by an expression
     or a trained model; a ``BlockScorer`` is applied inside the search for shared bands.
+
+    With ``target``, the buckets of a band are split by further bits until at most that many different
+    signatures of the index share one, so candidates per query stay bounded while the index grows.
     """
 
     model: HashModel
@@ -62,8 +76,11 @@ class Retrieval:
     truth: DataFrame | None = None
     scorer: Callable[[DataFrame], DataFrame] = by_closeness
     search: Callable[[DataFrame, DataFrame, BandLayout], DataFrame] = set_matches
+    target: int | None = None
 
     def __post_init__(self) -> None:
+        if self.target is not None and self.search is not set_matches:
+            raise ValueError("split buckets are a search of their own")
         if self.truth is None:
             self.truth = self.queries.select(F.col("id").alias("query_id"), F.col("id").alias("truth_id")).limit(0)
         self.truth = self.truth.select("query_id", "truth_id").where("truth_id is not null").distinct()
@@ -84,11 +101,19 @@ class Retrieval:
     def _query_sets(self) -> DataFrame:
         return cut_lineage(copy_sets(self._query_rows))
 
+    @cached_property
+    def _bucket_keys(self) -> DataFrame:
+        return split_keys(self._index_sets, self._query_sets, self.layout, self.target)
+
     @cached_property
     def matches(self) -> DataFrame:
         """(query_gid, cand_gid, copies): pairs of distinct vectors found by the search."""
         if self._in_blocks and "scored" in self.__dict__:
             return self.scored.select("query_gid", "cand_gid", "copies")
+        if self.target is not None:
+            return cut_lineage(
+                split_set_matches(self._index_sets, self._query_sets, self._bucket_keys, self.layout)
+            )
         return cut_lineage(self.search(self._index_sets, self._query_sets, self.layout))
 
     @cached_property
@@ -110,8 +135,14 @@ class Retrieval:
         ).select(
             F.col("id").alias("truth_id"), F.col("gid").alias("truth_gid"), F.col("sig").alias("truth_sig")
         )
-        shared = self.layout.first_shared_band(F.col("query_sig"), F.col("truth_sig"))
         found = self._query_members.join(self.truth, "query_id").join(originals, "truth_id")
+        if self.target is None:
+            shared = self.layout.first_shared_band(F.col("query_sig"), F.col("truth_sig"))
+        else:
+            for side in ("query", "truth"):
+                keys = self._bucket_keys.select(F.col("sig").alias(f"{side}_sig"), F.col("keys").alias(f"{side}_keys"))
+                found = found.join(keys, f"{side}_sig")
+            shared = first_shared_key(F.col("query_keys"), F.col("truth_keys"), self.layout)
         return cut_lineage(
             found.where(shared.isNotNull()).select("query_id", "query_gid", "truth_id", "truth_gid")
         )
@@ -141,7 +172,7 @@ class Retrieval:
 
     @property
     def _in_blocks(self) -> bool:
-        return isinstance(self.scorer, BlockScorer) and self.search is set_matches
+        return isinstance(self.scorer, BlockScorer) and self.search is set_matches and self.target is None
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -226,6 +257,42 @@ class Retrieval:
             .select("query_id", "cand_id", F.coalesce("label", F.lit(NEGATIVE)).alias("label"), "score", "rank")
         )
 
+    def pairs(self) -> DataFrame:
+        """(query_id, cand_id, label, score): every candidate pair of ids, labelled 1 if it is in ``truth``, else 0.
+
+        Copies are written out here and only here, so there are as many rows as ``counts`` adds up to.  A vector
+        with very many copies on either side is split over several tasks.
+        """
+        asked = cut_lineage(
+            split_join(
+                self._query_members.select("query_id", "query_gid"), self.scored,
+                ["query_gid"], left_id=["query_id"], right_id=["cand_gid"],
+            ).select("query_id", "cand_gid", "copies", "score")
+        )
+        # a vector without copies is named by its only id
+        single = asked.where("copies = 1").select("query_id", F.col("cand_gid").alias("cand_id"), "score")
+        several = asked.where("copies > 1").select("query_id", "cand_gid", "score")
+        members = self._copies_of(several.select(F.col("cand_gid").alias("gid"))).select(
+            F.col("gid").alias("cand_gid"), F.col("id").alias("cand_id")
+        )
+        copied = split_join(several, members, ["cand_gid"], left_id=["query_id"], right_id=["cand_id"])
+        positive = self.truth.select("query_id", F.col("truth_id").alias("cand_id"), F.lit(POSITIVE).alias("label"))
+        return (
+            single.unionByName(copied.select("query_id", "cand_id", "score"))
+            .join(positive, ["query_id", "cand_id"], "left")
+            .select("query_id", "cand_id", F.coalesce("label", F.lit(NEGATIVE)).alias("label"), "score")
+        )
+
+    def write_batches(self, path: str, size: int = BATCH_SIZE) -> tuple[DataFrame, DataFrame]:
+        """Write all candidate pairs as labelled, numbered batches of ``size``; (ranges, positions) of the queries in them.
+
+        Ranges are those of ``batch_index``, positions those of ``relevant_positions``, both read off the stored
+        batches; queries without candidates have neither.  ``read_pair_batches`` reads the pairs back.
+        """
+        write_pair_batches(pack_batches(self.pairs(), size), path)
+        stored = read_pair_batches(self.index.sparkSession, path)
+        return batch_index(stored, size), relevant_positions(stored)
+
 
 def retrieve(
     index: DataFrame,
@@ -237,7 +304,8 @@ def retrieve(
     r: int = 9,
     seed: int = 0,
     scorer: Callable[[DataFrame], DataFrame] = by_closeness,
+    target: int | None = None,
 ) -> Retrieval:
     """Fit the hash on the index and set up the retrieval of all queries."""
     model = KLSH(p, t, b, seed).fit(index)
-    return Retrieval(model, model.layout(r), index, queries, truth, scorer)
+    return Retrieval(model, model.layout(r), index, queries, truth, scorer, target=target)

@@ -379,6 +379,63 @@ def album_title(t):
     return t["albums"].select("page_id", fx.album_title(F.col("html"), F.col("main_key")).alias("title"))
 
 
+@query(
+    "albums",
+    """select page_id, case when page_id % 4 = 0 then concat('Ete ', page_id, ' la')
+         else concat('T', page_id, ' (', main_key, ')') end as title from albums""",
+)
+def album_file_title(t):
+    given = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("\u00c9t\u00e9: "), "page_id", F.lit("/ l\u00e0")))
+    given = F.when(F.col("page_id") % 4 == 1, "").otherwise(given)
+    return t["albums"].select(
+        "page_id", fx.album_file_title(F.col("html"), F.col("main_key"), given).alias("title")
+    )
+
+
+# the last owner of every link, whatever its class
+_FETCH_CTE = """
+last as (
+  select link, max_by(concat(name, '_', post_id), ord) as own, max(ord) % 8 as kind, min(ord) as ord
+  from fetch_links group by link)"""
+
+
+@query(
+    "fetch_links",
+    """select case kind when 1 then 'imgur_album' else 'image' end as link_type,
+         case when kind = 1 then concat('http://i.imgur.com/k', ord, '.bmp')
+              when kind = 4 then concat('http://i.imgur.com/k', ord, '.jpg')
+              when kind = 5 then concat(link, '.jpg') else link end as image_url,
+         concat(own, case kind when 1 then '.bmp' else '.jpg' end) as file_name
+       from last where kind in (0, 1, 4, 5)""",
+    _FETCH_CTE,
+)
+def link_plan(t):
+    """What to fetch for links that are images themselves, and under which name."""
+    return al.link_plan(ln.classify_links(t["fetch_links"])).select("link_type", "image_url", "file_name")
+
+
+@query(
+    "fetch_links",
+    """select link, case kind when 2 then concat('al', ord) else concat('g', ord) end as main_key,
+         case kind when 2 then concat('http://imgur.com/a/al', ord, '/all')
+           else concat('https://imgur.com/a/g', ord, '/all') end as page_url,
+         own as post_id
+       from last where kind in (2, 6)""",
+    _FETCH_CTE,
+)
+def links_with_pages(t):
+    return al.links_with_pages(ln.classify_links(t["fetch_links"]))
+
+
+@query(
+    "fetch_links",
+    "select link, case kind when 3 then 'gif' else 'not an album link' end as reason from last where kind in (3, 7)",
+    _FETCH_CTE,
+)
+def link_failures(t):
+    return al.link_failures(ln.classify_links(t["fetch_links"]))
+
+
 @query("albums", "select ext, count(*) as n from images group by ext order by n desc, ext", _JSON_CTE)
 def extension_counts(t):
     return al.extension_counts(al.album_images(t["albums"]))

@@ -602,3 +602,77 @@ def retrieve_cp(t):
 )
 def retrieve_metrics_cp(t):
     return _rounded(_retrieval_cp(t).metrics("cp"))
+
+
+_BATCH_ROWS = 700
+_BATCHED_CTE = f"""{_SCORED_CTE},
+packed as (select *, row_number() over (order by query_id, cand_id) - 1 as n from scored)"""
+
+
+def _batched(t):
+    return _retrieval(t).write_batches(scratch_path(t.spark, "retrieved"), _BATCH_ROWS)
+
+
+@query(
+    "qvec",
+    f"""select query_id, cast(floor(min(n) / {_BATCH_ROWS}) as bigint) as start_batch, min(n) % {_BATCH_ROWS} as start_slot,
+         cast(floor((max(n) + 1) / {_BATCH_ROWS}) as bigint) as end_batch, (max(n) + 1) % {_BATCH_ROWS} as end_slot,
+         count(*) filter (where label = 1) as n_relevant
+       from packed group by query_id""",
+    _BATCHED_CTE,
+)
+def retrieve_batches(t):
+    """Every candidate pair written as a labelled batch, and where each query's pairs begin and end."""
+    return _batched(t)[0]
+
+
+@query(
+    "qvec",
+    """select query_id, n - first as position from (
+         select query_id, label, n, min(n) over (partition by query_id) as first from packed) x where label = 1""",
+    _BATCHED_CTE,
+)
+def retrieve_positions(t):
+    return _batched(t)[1]
+
+
+@query(
+    "qvec",
+    """select query_id, cand_id, cast(label as double) as label,
+         round(cast(cast(score as float) as double), 6) as score,
+         cast(floor(n / 700) as bigint) as batch, n % 700 as slot from packed""",
+    _BATCHED_CTE,
+)
+def retrieve_pairs(t):
+    """The stored batches of a retrieval, read back."""
+    path = scratch_path(t.spark, "retrieved")
+    _retrieval(t).write_batches(path, _BATCH_ROWS)
+    stored = store.read_pair_batches(t.spark, path)
+    return stored.select(
+        "query_id", "cand_id", F.col("label").cast("double").alias("label"),
+        F.round(F.col("score").cast("double"), 6).alias("score"), "batch", "slot",
+    )
+
+
+_SPLIT_FOUND_CTE = f"""{_SPLIT_CTE},
+cand as (
+  select distinct q.id as query_id, c.id as cand_id
+  from placed_ids c join asked q on substr(q.s || q.s, band * {R} + 1, depth) = prefix),
+{_SCORED_CTE.removeprefix(_CAND).lstrip(",")}"""
+
+
+@query("qvec", _TOP, _SPLIT_FOUND_CTE)
+def retrieve_split(t):
+    """The retrieval with buckets that split until they are small."""
+    return _retrieval(t, target=BUCKET_TARGET).top(10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "qvec",
+    f"""select {_STATS}, round(100.0::double * count(*) filter (where hits > 0) / count(*), 6) as pct_found
+        from (select q.id as query_id, count(c.cand_id) as n, count(*) filter (where c.cand_id = q.id) as hits
+              from qry q left join cand c on c.query_id = q.id group by q.id) counts""",
+    _SPLIT_FOUND_CTE,
+)
+def retrieval_stats_split(t):
+    return _rounded(_retrieval(t, target=BUCKET_TARGET).stats())

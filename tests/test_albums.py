@@ -1,3 +1,4 @@
+from pairmatch.functions import links as fx
 from pairmatch.operators import albums as al
 
 LIST = (
@@ -62,3 +63,45 @@ def test_every_page_gives_images_or_a_reason(spark):
     assert found == {7, 8}
     by_pattern = {r.page_id for r in al.album_failures(table, "regex").collect()}
     assert by_pattern | {r.page_id for r in al.album_images(table, "regex").collect()} == {i for i, _, _ in pages}
+
+
+def test_link_plan(spark):
+    links = spark.createDataFrame(
+        [
+            ("image", "http://x.org/a.png", "n", "t3_1"),
+            ("image", "http://x.org/b.png", None, "t3_2"),
+            ("imgur_album", "http://imgur.com/r/pics/k.png", "n", "t3_3"),
+            ("imgur_album", "http://imgur.com/r/k.png?1", "n", "t3_4"),
+            ("imgur_album", "http://imgur.com/a/k.gif", "n", "t3_5"),
+            ("imgur_album", "http://imgur.com/a/k", "n", "t3_6"),
+            ("imgur_album", "http://other.org/imgur/a/k", "n", "t3_7"),
+            ("imgur_album", None, "n", "t3_8"),
+        ],
+        "link_type string, link string, name string, post_id string",
+    )
+    plan = {r.file_name: r.image_url for r in al.link_plan(links).collect()}
+    assert plan == {
+        "n_t3_1.jpg": "http://x.org/a.png",
+        "t3_2.jpg": "http://x.org/b.png",
+        "n_t3_3.png": "http://i.imgur.com/pics.png",
+        "n_t3_4.png": "http://i.imgur.com/k.png",
+    }
+    second = al.link_plan(links, subreddit_key=True).where("post_id = 't3_3'").first()
+    assert second.image_url == "http://i.imgur.com/k.png"
+    pages = al.links_with_pages(links).collect()
+    assert [tuple(r) for r in pages] == [("http://imgur.com/a/k", "k", "http://imgur.com/a/k/all", "n_t3_6")]
+    reasons = {r.link: r.reason for r in al.link_failures(links).collect()}
+    assert reasons == {
+        "http://imgur.com/a/k.gif": "gif", "http://other.org/imgur/a/k": "not an album link", None: "not an album link",
+    }
+    assert al.link_plan(links.limit(0)).count() == 0
+
+
+def test_album_file_title(spark):
+    rows = spark.createDataFrame(
+        [(1, "<title> Café: x - Album on Imgur</title>", "k", None), (2, "<title>T - Imgur</title>", "k", "a/b?"),
+         (3, "none", "k", ""), (4, None, "k", None)],
+        "i int, html string, key string, given string",
+    )
+    got = rows.select("i", fx.album_file_title(F.col("html"), F.col("key"), F.col("given")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {1: "Cafe x (k)", 2: "ab", 3: "k", 4: "k"}

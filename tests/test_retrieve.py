@@ -111,3 +111,86 @@ def test_copy_sets(spark):
     members = cp.memberships(rows, sets)
     places = cp.places_in_set(members).orderBy("id").collect()
     assert [(r.id, r.place) for r in places] == [(i, i // 2) for i in range(10)]
+
+
+def test_all_pairs_of_ids(case):
+    found, plain, truth, _ = case
+    rows = found.pairs().collect()
+    assert sorted((r.query_id, r.cand_id) for r in rows) == sorted((q, c) for q, cands in plain.items() for c in cands)
+    assert all(r.label == float(truth[r.query_id] == r.cand_id) for r in rows)
+
+
+def test_batches_of_a_retrieval(case, tmp_path):
+    from pairmatch.sources.store import read_pair_batches
+
+    found, plain, truth, _ = case
+    ranges, positions = found.write_batches(str(tmp_path / "pairs"), size=64)
+    stored = {(r.query_id, r.cand_id): (r.batch, r.slot) for r in read_pair_batches(found.index.sparkSession, str(tmp_path / "pairs")).collect()}
+    order = sorted((q, c) for q, cands in plain.items() for c in cands)
+    assert stored == {pair: divmod(n, 64) for n, pair in enumerate(order)}
+    first = {}
+    for n, (q, _) in enumerate(order):
+        first.setdefault(q, n)
+    ends = {q: first[q] + len(c) for q, c in plain.items() if c}
+    got = {r.query_id: (r.start_batch, r.start_slot, r.end_batch, r.end_slot, r.n_relevant) for r in ranges.collect()}
+    assert got == {
+        q: (*divmod(first[q], 64), *divmod(ends[q], 64), int(truth[q] in plain[q])) for q in ends
+    }
+    assert {(r.query_id, r.position) for r in positions.collect()} == {
+        (q, sorted(plain[q]).index(truth[q])) for q in ends if truth[q] in plain[q]
+    }
+
+
+def _split_plain(found, index, queries, target):
+    """Candidates by prefixes that grow bit by bit until at most ``target`` signatures of the index share them."""
+    width = found.layout.width
+    text = lambda bits: "".join(map(str, bits)) * 2
+    sigs = {text(b) for b in found.model.hash_bits(np.array(list(index.values())))}
+    bits = len(next(iter(sigs))) // 2
+
+    def keys(sig):
+        out = []
+        for band in range(found.layout.bands):
+            at = band * width
+            depth = width
+            while depth < bits and sum(s[at : at + depth] == sig[at : at + depth] for s in sigs) > target:
+                depth += 1
+            out.append((depth, sig[at : at + depth]))
+        return out
+
+    ik = {i: keys(text(b)) for i, b in zip(index, found.model.hash_bits(np.array(list(index.values()))))}
+    qk = {q: keys(text(b)) for q, b in zip(queries, found.model.hash_bits(np.array(list(queries.values()))))}
+    return {q: {i for i in ik if any(a == b for a, b in zip(qk[q], ik[i]))} for q in qk}
+
+
+@pytest.mark.parametrize("target", [1, 3, 1000])
+def test_split_buckets_in_the_retrieval(spark, target):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(10, 6))
+    index = {i: base[0] if i % 3 == 0 else base[rng.integers(10)] + 0.05 * rng.normal(size=6) for i in range(120)}
+    queries = {1000 + k: index[2 * k + 1] + 0.02 * rng.normal(size=6) for k in range(50)}
+    truth = spark.createDataFrame([(1000 + k, 2 * k + 1) for k in range(50)], "query_id long, truth_id long")
+
+    def frame(vectors):
+        return spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, vec array<double>").repartition(3)
+
+    found = retrieve(frame(index), frame(queries), truth, p=24, t=6, b=24, r=4, seed=1, target=target)
+    plain = _split_plain(found, index, queries, target)
+    rows = found.pairs().collect()
+    assert len(rows) == sum(len(c) for c in plain.values())
+    assert {(r.query_id, r.cand_id) for r in rows} == {(q, c) for q, cands in plain.items() for c in cands}
+    assert {r.query_id: (r.n_candidates, r.hits) for r in found.counts().collect()} == {
+        q: (len(c), int(2 * (q - 1000) + 1 in c)) for q, c in plain.items()
+    }
+
+
+def test_a_search_of_ones_own_has_no_split_buckets(case):
+    found = case[0]
+    with pytest.raises(ValueError, match="split"):
+        Retrieval(found.model, found.layout, found.index, found.queries, search=lambda *a: None, target=2)
+
+
+def test_nothing_to_find(spark, case):
+    found = case[0]
+    far = Retrieval(found.model, found.layout, found.index, found.queries.limit(0))
+    assert far.pairs().count() == 0
