@@ -50,14 +50,21 @@ class Flattener:
 
     def flatten(self, parts: list[dict | None]) -> tuple[str, list[dict]]:
         self.pieces: list[str] = []
+        self.texts: list[str] = []
         self.attachments: list[dict] = []
         for part in parts:
             if part is not None:
                 getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_other)(part)
+        self._end_text()
         return "".join(self.pieces), self.attachments
 
     def visit_text(self, part: dict) -> None:
-        self.pieces.append(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
+
+    def _end_text(self) -> None:
+        # neighbouring texts are escaped as one, for a control string may begin in one and end in the next
+        self.pieces.append(escape("".join(self.texts)))
+        self.texts = []
 
     def visit_image(self, part: dict) -> None:
         wide, high = part.get("width") or 1, part.get("height") or 1
@@ -73,6 +80,7 @@ class Flattener:
         raise ValueError(f"unknown kind of content part: {part.get('kind')!r}")
 
     def _attach(self, part: dict, tokens: int) -> None:
+        self._end_text()
         number = len(self.attachments) + 1
         self.pieces.append(PLACEHOLDER.format(kind=part["kind"], number=number))
         self.attachments.append(
