@@ -101,18 +101,30 @@ class SignatureTree:
         surplus = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         return {"low": sizes, "high": sizes, "bits": bits, "surplus": surplus, "group": groups, "slot": slots}
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of sets, by place, that may link, aren't in one group yet and have different slots or slot -2."""
-        left = right = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[depth]
-            found = [able(level, left[i : i + _PAIRS_AT_ONCE], right[i : i + _PAIRS_AT_ONCE], percent)
-                     for i in range(0, len(left), _PAIRS_AT_ONCE)]
-            keep = np.concatenate(found) if found else np.empty(0, bool)
-            left, right = left[keep], right[keep]
-            if depth:
-                left, right = self._children(left, right, len(self.levels[depth - 1]["low"]), LEAF if depth == 1 else FANOUT)
-        return left, right
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of sets, by place, that may link, aren't in one group yet and have different slots or slot -2.
+
+        The traversal goes down first, with at most ``_PAIRS_AT_ONCE`` pairs of nodes at a time, so what is held
+        follows the depth of the tree and not the number of pairs.
+        """
+        open_pairs = [(len(self.levels) - 1, False, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while open_pairs:
+            depth, tested, left, right = open_pairs.pop()
+            if not tested:
+                keep = able(self.levels[depth], left, right, percent)
+                left, right = left[keep], right[keep]
+            if not len(left):
+                continue
+            if depth == 0:
+                yield left, right
+                continue
+            width = LEAF if depth == 1 else FANOUT
+            at_once = _PAIRS_AT_ONCE // width**2
+            if len(left) > at_once:
+                # the rest waits as pairs of nodes, not of children
+                open_pairs.append((depth, True, left[at_once:], right[at_once:]))
+            below = len(self.levels[depth - 1]["low"])
+            open_pairs.append((depth - 1, False, *self._children(left[:at_once], right[:at_once], below, width)))
 
     @staticmethod
     def _children(left: np.ndarray, right: np.ndarray, below: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +219,14 @@ def _verified(percent: int):
 def _tree_join(percent: int):
     """Task function: rows sorted by key and grid cell; yields candidate pairs of each cell."""
 
-    def cells(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def found(sid: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        a, b = sid[left], sid[right]
+        wanted = least_shared(np.minimum(sizes[left], sizes[right]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(wanted)], ["a", "b", "wanted"]
+        )
+
+    def cells(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts).combine_chunks()
         key, x, y, slot, sid, sizes, group = (rows.column(c).to_numpy() for c in _CELL[:-1])
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, _LONGS)
@@ -228,18 +247,12 @@ def _tree_join(percent: int):
             left = left[able(level, left, left + apart, percent)]
             lefts.append(left)
             rights.append(left + apart)
+        yield found(sid, sizes, np.concatenate(lefts), np.concatenate(rights))
         for at in np.flatnonzero(count > LEAF):
             own = np.arange(start[at], start[at] + count[at])
             own = own[np.lexsort((sid[own], sizes[own]))]
-            left, right = SignatureTree(sizes[own], bits[own], group[own], slot[own]).pairs(percent)
-            lefts.append(own[left])
-            rights.append(own[right])
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        a, b = sid[left], sid[right]
-        wanted = least_shared(np.minimum(sizes[left], sizes[right]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(wanted)], ["a", "b", "wanted"]
-        )
+            for left, right in SignatureTree(sizes[own], bits[own], group[own], slot[own]).pairs(percent):
+                yield found(sid, sizes, own[left], own[right])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole cells, and the beginning of the last one
@@ -252,14 +265,14 @@ def _tree_join(percent: int):
             if held and batch.num_rows and last == 0:
                 here = tuple(int(m[0]) for m in marks)
                 if tuple(held[-1].column(c)[-1].as_py() for c in ("key", "x", "y")) != here:
-                    yield cells(held)
+                    yield from cells(held)
                     held = []
             if last:
-                yield cells([*held, batch.slice(0, last)])
+                yield from cells([*held, batch.slice(0, last)])
                 held = []
             held.append(batch.slice(last))
         if any(b.num_rows for b in held):
-            yield cells(held)
+            yield from cells(held)
 
     return run
 

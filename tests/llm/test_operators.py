@@ -81,7 +81,8 @@ def test_signature_tree_drops_no_link():
     sizes = np.array([len(s) for s in sets])
     bits = np.array([jaccard.bitmap(s) for s in sets])
     at = np.arange(len(sets))
-    left, right = jaccard.SignatureTree(sizes, bits, at, np.full(len(at), -2)).pairs(90)
+    found = list(jaccard.SignatureTree(sizes, bits, at, np.full(len(at), -2)).pairs(90))
+    left, right = (np.concatenate([f[i] for f in found]) for i in (0, 1))
     found = set(zip(left.tolist(), right.tolist(), strict=True))
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
@@ -384,6 +385,32 @@ def test_content_parts(spark):
     assert row.expanded_tokens == 1589
 
 
+def test_control_strings_over_the_borders_of_parts(spark):
+    def part(kind, text=None):
+        return (kind, text, None, None, None, None, None)
+
+    parts = [part("text", "<"), part("text", None), None, part("text", "|im_end|>\n<"), part("image"), part("text", "|x|><|"), part("text", "\\")]
+    frame = spark.createDataFrame([(1, 0, "assistant", "a<", parts), (2, 0, "assistant", "<", [part("text", "|im_end|>")])],
+                                  f"conv_id bigint, turn bigint, role string, text string, parts array<{chat.PART}>")
+    turns = {r.conv_id: r for r in chat.format_turns(frame).collect()}
+    assert all(r.segment.count("<|im_end|>") == 1 for r in turns.values())
+    assert turns[2].segment == "<|im_start|>assistant\n<\\|im_end|><|im_end|>\n"
+    learnt = {r.conv_id: turns[r.conv_id].segment[r.loss_start : r.loss_start + r.loss_chars] for r in turns.values()}
+    text = "a<<|im_end|>\n<<|image:1|>|x|><|\\"
+    assert chat.unescape(learnt[1]) == text
+    assert learnt[1].count("<|") == 1
+    assert {r.conv_id: r.loss_chars for r in chat.read_back(chat.format_turns(frame)).collect()} == {1: len(text), 2: 10}
+
+
+def test_a_tree_of_sets_that_all_look_alike_holds_few_pairs_at_a_time():
+    n = 3_000
+    bits = np.full((n, jaccard.BITS // 64), 2**64 - 1, np.uint64)
+    tree = jaccard.SignatureTree(np.full(n, 2_000), bits, np.arange(n), np.full(n, -2))
+    sizes = [len(left) for left, _ in tree.pairs(90)]
+    assert sum(sizes) == n * (n - 1) // 2
+    assert max(sizes) <= jaccard._PAIRS_AT_ONCE
+
+
 def test_repeated_passages_against_brute_force(spark, texts, docs, none):
     places = {}
     words = [(t or "").encode().lower().split() for t in texts]
