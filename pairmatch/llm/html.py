@@ -11,8 +11,7 @@ element or a main role has no other lines than those.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmatch.lineage import cut_lineage
 from pairmatch.llm.common import lists, small_batches
 from pairmatch.operators.ordering import number_rows
 
@@ -48,7 +48,8 @@ TEMPLATE_WORDS = {
     "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story", "articlebody"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_UNQUOTED = re.compile(r"[^>\"']*")
 _NAMING = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # elements that some pages wrap around all they have
 WRAPPERS = {"form", "fieldset", "header"}
@@ -91,12 +92,31 @@ def _names(attributes: str) -> list[str]:
     return [w for _, *values in _NAMING.findall(attributes) for w in "".join(values).lower().split()]
 
 
+def _tag_end(html: str, at: int) -> tuple[int, int]:
+    """Where the attributes of a tag end, and the tag itself; a quote without a partner is a letter as others are.
+
+    Every step goes on where the last one ended, and a quote is missed twice at most, once of each kind.
+    """
+    missed = ""
+    while True:
+        at = _UNQUOTED.match(html, at).end()
+        if at == len(html):
+            return at, at
+        if html[at] == ">":
+            return at, at + 1
+        close = -1 if html[at] in missed else html.find(html[at], at + 1)
+        if close < 0:
+            missed += html[at]
+        at = max(at, close) + 1
+
+
 def text_lines(html: str | None) -> list[tuple[str, int]]:
     """The page's blocks of text in order, each with DECLARED, KEEP, DECIDE or DROP by its markup.
 
     What only a class, id or role calls template text, a form or a header isn't dropped if it holds the page's article
-    or main element.  Unclosed elements end with their parents, unclosed comments and tags with the page.  Character
-    references are decoded and white space becomes one space.
+    or main element.  Unclosed elements end with their parents, unclosed comments and tags with the page; a quote that
+    nothing closes doesn't keep its tag from ending.  Character references are decoded and white space becomes one space.
+    Time follows the length of the page, whatever is in it.
     """
     lines, around = _parsed(html, frozenset())
     return _parsed(html, frozenset(around))[0] if around else lines
@@ -106,8 +126,10 @@ def _parsed(html: str | None, spared: frozenset[int]) -> tuple[list[tuple[str, i
     """The lines, and the places of dropped elements around an article; those in ``spared`` say nothing."""
     out: list[tuple[str, int]] = []
     around: set[int] = set()
-    # name, how its lines go, what it says itself, if it goes in any case, its place
-    stack: list[tuple[str, int, int | None, bool, int]] = [("", DECIDE, None, False, -1)]
+    # name, how its lines go, what it says itself, if it goes in any case, its place, the depth of the block it is in
+    stack: list[tuple[str, int, int | None, bool, int, int]] = [("", DECIDE, None, False, -1, 0)]
+    held: Counter[str] = Counter()  # names on the stack
+    seen = 0  # how much of the stack was looked at for what is around an article
     pieces: list[str] = []
 
     def flush() -> None:
@@ -116,6 +138,12 @@ def _parsed(html: str | None, spared: frozenset[int]) -> tuple[list[tuple[str, i
         if line:
             out.append((line, stack[-1][1]))
 
+    def leave(depth: int) -> None:
+        nonlocal seen
+        held.subtract(entry[0] for entry in stack[depth:])
+        del stack[depth:]
+        seen = min(seen, depth)
+
     html = html or ""
     at, end = 0, len(html)
     while at < end:
@@ -127,6 +155,8 @@ def _parsed(html: str | None, spared: frozenset[int]) -> tuple[list[tuple[str, i
         name = (tag[2] or "").lower()
         if not name:  # comment or declaration: not even a space
             continue
+        stop, at = _tag_end(html, at)
+        attributes = html[tag.end() : stop]
         if name in INLINE:
             if name == "br":
                 pieces.append(" ")
@@ -135,43 +165,43 @@ def _parsed(html: str | None, spared: frozenset[int]) -> tuple[list[tuple[str, i
         else:
             flush()
         if tag[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    if name in INLINE and (stack[depth][1] != stack[depth - 1][1] or stack[depth][2] == DROP):
-                        flush()
-                    del stack[depth:]
-                    break
+            if held[name] > 0:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                if name in INLINE and (stack[depth][1] != stack[depth - 1][1] or stack[depth][2] == DROP):
+                    flush()
+                leave(depth)
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else end
             continue
-        if name in VOID or tag[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         above = stack[-1][1]
-        said, firm = _element(name, tag[3])
+        said, firm = _element(name, attributes)
         if name == "header" and above < KEEP and said != DECLARED:
-            said, firm = DROP, _says(tag[3])[1]
+            said, firm = DROP, _says(attributes)[1]
         if at in spared:
             said = None
         if said == DECLARED:
-            for _, _, own, stays, place in stack:
+            while seen < len(stack):
+                _, _, own, stays, place, _ = stack[seen]
                 if own == DECLARED or stays:
                     break
                 if own == DROP:
                     around.add(place)
+                seen += 1
         now = _below(above, said)
         if name == "p":  # a paragraph ends the one before it
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+            if stack[stack[-1][5]][0] == "p":
+                leave(stack[-1][5])
             now = _below(stack[-1][1], said)
         elif name in INLINE and (now != above or said == DROP):
             flush()
-        stack.append((name, now, said, firm, at))
+        stack.append((name, now, said, firm, at, stack[-1][5] if name in INLINE else len(stack)))
+        held[name] += 1
     flush()
     return out, around
 
@@ -182,43 +212,76 @@ def _below(above: int, said: int | None) -> int:
 
 
 def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which of ``own``'s lines are in the longest common subsequence with ``other``.
+    """Which of ``own``'s lines are in a longest common subsequence with ``other``.
 
-    Common beginnings and ends are matched first; for the rest, the longest increasing run of
-    matching positions (Hunt and Szymanski), so time follows the number of equal pairs.
+    Lines that only one page has are left out and common beginnings and ends matched.  The rest is cut in halves where
+    the lengths of both halves' subsequences add up to most (Hirschberg), and the lengths are had for 64 lines of the other
+    page at a time (bit vectors), so memory follows the lines and time their product over 64, however often lines repeat.
     """
     keep = np.zeros(len(own), bool)
-    a, b = 0, 0
-    most = min(len(own), len(other))
-    differ = np.flatnonzero(own[:most] != other[:most])
-    a = int(differ[0]) if len(differ) else most
-    keep[:a] = True
-    rest = min(len(own), len(other)) - a
-    differ = np.flatnonzero(own[::-1][:rest] != other[::-1][:rest])
-    b = int(differ[0]) if len(differ) else rest
-    if b:
-        keep[len(own) - b :] = True
-    places = defaultdict(list)
-    for j in range(len(other) - b - 1, a - 1, -1):
-        places[other[j]].append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(a, len(own) - b):
-        for j in places.get(own[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link:
-        keep[link[0]] = True
-        link = link[1]
+    numbers = {line: n for n, line in enumerate(np.intersect1d(own, other).tolist())}
+    mine = [(numbers[line], i) for i, line in enumerate(own.tolist()) if line in numbers]
+    theirs = [numbers[line] for line in other.tolist() if line in numbers]
+    places = np.array([i for _, i in mine], np.int64)
+    todo = [([n for n, _ in mine], theirs, 0)]
+    while todo:
+        a, b, at = todo.pop()
+        most = min(len(a), len(b))
+        begin = 0
+        while begin < most and a[begin] == b[begin]:
+            begin += 1
+        end = 0
+        while end < most - begin and a[-1 - end] == b[-1 - end]:
+            end += 1
+        keep[places[at : at + begin]] = True
+        keep[places[at + len(a) - end : at + len(a)]] = True
+        a, b, at = a[begin : len(a) - end], b[begin : len(b) - end], at + begin
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            keep[places[at]] |= a[0] in b
+            continue
+        half = len(a) // 2
+        first = common_lengths(a[:half], b)
+        second = common_lengths(a[half:][::-1], b[::-1])[::-1]
+        cut = int(np.argmax(first + second))
+        todo.append((a[:half], b[:cut], at))
+        todo.append((a[half:], b[cut:], at + half))
     return keep
 
 
+def common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and the first 0, 1, ... elements of ``b``.
+
+    Bit j of the vector is 0 where the length grows with element j (Crochemore and others, 2001).
+    """
+    wanted = set(a)
+    where = defaultdict(list)
+    for j, line in enumerate(b):
+        if line in wanted:
+            where[line].append(j)
+    # a mask of its own for lines that repeat; there are few of those
+    masks = {line: _mask(found, len(b)) for line, found in where.items() if len(found) > 16}
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        if line in masks:
+            both = row & masks[line]
+        elif line in where:
+            both = row & sum(1 << j for j in where[line])
+        else:
+            continue
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _mask(places: list[int], n: int) -> int:
+    bits = np.zeros(n, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def main_text(html: str | None, neighbour: np.ndarray | None) -> str:
     """The page's text without template lines; ``neighbour`` has the line hashes of the paired page."""
     lines = text_lines(html)
@@ -280,11 +343,9 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct((F.col("n") + 1).alias("at"), F.lit(0).alias("after")),
                           F.struct((F.col("n") - 1).alias("at"), F.lit(1).alias("after")))).alias("s"),
     ).select("h", "p", "other", "c", "s.at", "s.after")
-    same = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("path"), F.length("p")))),
-        F.lit(0),
-        lambda best, k: F.when((best == k - 1) & (F.substr("path", F.lit(1), k) == F.substr("p", F.lit(1), k)), k).otherwise(best),
-    )
+    # place of the first letter that differs; 0 if the paths are equal
+    differ = F.array_position(F.zip_with(F.split("path", ""), F.split("p", ""), lambda x, y: x.eqNullSafe(y)), False)
+    same = F.when(differ == 0, F.length("path")).otherwise(differ - 1)
     pairs = numbered.join(beside, (F.col("n") == F.col("at")) & (F.col("host") == F.col("h")) & (F.col("content") != F.col("c")))
     order = Window.partitionBy("n").orderBy(same.desc(), "after")  # two rows at most
     best = pairs.withColumn("rank", F.row_number().over(order)).where("rank = 1")
@@ -305,7 +366,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(rest, "^(?://[^/?#]*)?([^?#]*)", 1)
     located = keyed.where(host != "").select("key", "html", host.alias("host"), path.alias("path"))
     digests = located.mapInArrow(_digests, "key string, host string, path string, hashes array<bigint>")
-    digests = digests.withColumn("content", F.xxhash64("hashes")).dropDuplicates(["key"])
+    # read four times from here on, and html is parsed once for all of them
+    digests = cut_lineage(digests.withColumn("content", F.xxhash64("hashes")).dropDuplicates(["key"]))
     near = nearest_pages(digests.drop("hashes"))
     others = near.join(digests.select(F.col("key").alias("other"), "hashes"), "other").select(
         "key", F.col("hashes").alias("other")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -333,6 +334,46 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert html.shared_lines(a, b).sum() == best[-1][-1]
 
 
+def test_quotes_that_nothing_closes():
+    def lines(page):
+        return [line for line, _ in html.text_lines(page)]
+
+    assert lines('<p>own text</p><a href="x>link</a><p>more</p>') == ["own text", "link", "more"]
+    assert lines("<p title='a>b\">one</p><p>two") == ["b\">one", "two"]
+    assert lines('<p title="a>b">one</p><p>it\'s "two') == ["one", 'it\'s "two']
+    assert lines('<p>one</p><a href="x') == ["one"]
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000 + '"', "<p>x</p><a href=\"x>" * 60_000, "<a '>" * 200_000, "<div>" * 150_000 + "</x>" * 150_000,
+    "<p><div>" + "<span>" * 100_000 + "<p></p>" * 100_000, "<div class=ad>" * 60_000 + "<article></article>" * 60_000,
+    "<div>" * 100_000 + "<article></article>" * 60_000,
+])
+def test_time_follows_the_length_of_a_page(page):
+    began = time.process_time()
+    html.text_lines(page)
+    assert time.process_time() - began < 15  # hours, if it followed the square
+
+
+def test_lines_that_repeat_are_aligned_in_bounded_time():
+    a = np.array([1, 2] * 10_000 + [3], np.uint64)
+    b = np.array([2] + [1, 1, 2] * 7_000 + [4], np.uint64)
+    began = time.process_time()
+    kept = html.shared_lines(a, b)
+    assert time.process_time() - began < 15
+    # 2 and 1 in turn, from the first 2 of the other page on
+    assert kept.sum() == html.common_lengths(a.tolist(), b.tolist())[-1] >= 14_000
+
+
+def test_neighbours_by_long_paths(spark):
+    page = "<div>Shop top</div><p>{}</p>"
+    long = "/a" * 20_000
+    rows = [(1, f"http://h.org{long}/x1", page.format("one")), (2, f"http://h.org{long}/x2", page.format("two")),
+            (3, f"http://h.org{long}", "<div>Other</div><p>three</p>"), (4, "http://h.org", page.format("four"))]
+    texts = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert texts[1] == "one" and texts[2] == "two" and texts[3] == "Other\nthree"
+
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
