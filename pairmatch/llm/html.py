@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmatch.lineage import cut_lineage
-from pairmatch.llm.common import lists, small_batches
+from pairmatch.llm.common import lists, small_batches, stored
 from pairmatch.operators.ordering import number_rows
 
 # fixed values: elements of HTML by what they do to text
@@ -360,14 +359,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     null.  Other columns are ignored.  Nothing is cut: texts and pages are whole.
     """
     source = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    keyed = source.withColumn("key", F.md5(F.concat_ws("|", F.coalesce("url", F.lit("")), F.md5(F.coalesce("html", F.lit(""))))))
+    keyed = source.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce("url", F.lit("")), F.md5(F.coalesce("html", F.lit("")))))))
     rest = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*:", "")
     host = F.lower(F.regexp_extract(rest, "^//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(rest, "^(?://[^/?#]*)?([^?#]*)", 1)
     located = keyed.where(host != "").select("key", "html", host.alias("host"), path.alias("path"))
-    digests = located.mapInArrow(_digests, "key string, host string, path string, hashes array<bigint>")
+    digests = located.mapInArrow(_digests, "key binary, host string, path string, hashes array<bigint>")
     # read four times from here on, and html is parsed once for all of them
-    digests = cut_lineage(digests.withColumn("content", F.xxhash64("hashes")).dropDuplicates(["key"]))
+    digests = stored(digests.withColumn("content", F.xxhash64("hashes")).dropDuplicates(["key"]))
     near = nearest_pages(digests.drop("hashes"))
     others = near.join(digests.select(F.col("key").alias("other"), "hashes"), "other").select(
         "key", F.col("hashes").alias("other")
