@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmatch.functions.vectors import squared_l2
+from pairmatch.operators.bucketwise import Distance
 from pairmatch.operators.copies import set_matches
 from pairmatch.operators.lsh import near_matches, random_projection_lsh
 from pairmatch.plans.retrieve import Retrieval
 
 
-def _by_distance(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("score", -squared_l2(F.col("query_vec"), F.col("cand_vec")))
-
-
 def lsh_baseline(
     index: DataFrame,
     queries: DataFrame,
@@ -38,7 +34,7 @@ def lsh_baseline(
         model.layout(bits),
         index,
         queries,
-        scorer=_by_distance,
+        scorer=Distance(),
         search=near_matches if radius else set_matches,
     )
     return found.top(k).select("query_id", "cand_id", (-F.col("score")).alias("distance"), "rank")

@@ -413,3 +413,26 @@ def test_bucket_measures_of_vectors_with_nulls(spark):
     )
     got = {(r.query_gid, r.cand_gid): r.measure for r in bucket_measures(rows, rows, BandLayout(4, 2)).collect()}
     assert got == {(1, 1): None, (1, 2): None, (2, 1): None, (2, 2): 0.0}
+
+
+@pytest.mark.parametrize("radius", [0, 1])
+def test_lsh_baseline_makes_no_table_of_pairs(spark, radius, monkeypatch):
+    from pairmatch.plans import retrieve as rt
+
+    def refuse(*args):
+        raise AssertionError("all pairs were attached")
+
+    monkeypatch.setattr(rt, "attach_payload", refuse)
+    rng = np.random.default_rng(4)
+    df, vecs = vectors(spark, rng, 150)
+    qdf, qvecs = vectors(spark, rng, 120, first=500)
+    for bits in (3, 70):
+        model = ls.random_projection_lsh(bits, 8, seed=1)
+        index, queries = bits_of(model, vecs), bits_of(model, qvecs)
+        got = {(r.query_id, r["rank"]): r.cand_id for r in lsh_baseline(df, qdf, bits=bits, k=4, seed=1, radius=radius).collect()}
+        want = {}
+        for q, b in queries.items():
+            inside = [c for c, h in index.items() if (h != b).sum() <= radius]
+            dist = {c: ((np.array(vecs[c]) - np.array(qvecs[q])) ** 2).sum() for c in inside}
+            want |= {(q, i): c for i, c in enumerate(sorted(inside, key=lambda c: (dist[c], c))[:4], 1)}
+        assert got == want
