@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from pairmatch.functions.arrow import to_matrix
 from pairmatch.lineage import scratch_path
+from pairmatch.operators.bucketwise import BlockScorer
 
 PREDICT_BATCH = 400
 # Fixed value: how far predictions are kept from 0 and 1 in the logarithm
@@ -28,19 +29,24 @@ def pair_features(a: Column, b: Column) -> Column:
     return F.concat(apart, shared)
 
 
-def segment_distances(parts: int) -> Callable[[Column, Column], Column]:
-    """Features for long vectors: the sum of |a - b| over each of ``parts`` stretches of equal length."""
+@dataclass(frozen=True)
+class SegmentDistances:
+    """See ``segment_distances``."""
+
+    parts: int
 
-    def features(a: Column, b: Column) -> Column:
+    def __call__(self, a: Column, b: Column) -> Column:
         # one element that holds the differences, so that they are computed once and not for every stretch
         apart = F.array(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
         sums = F.flatten(
             F.transform(
                 apart,
                 lambda held: F.transform(
-                    F.sequence(F.lit(0), F.lit(parts - 1)),
+                    F.sequence(F.lit(0), F.lit(self.parts - 1)),
                     lambda i: F.aggregate(
-                        F.slice(held, (i * F.size(held) / parts).cast("int") + 1, (F.size(held) / parts).cast("int")),
+                        F.slice(
+                            held, (i * F.size(held) / self.parts).cast("int") + 1, (F.size(held) / self.parts).cast("int")
+                        ),
                         F.lit(0.0),
                         lambda total, v: total + v,
                     ),
@@ -49,12 +55,28 @@ def segment_distances(parts: int) -> Callable[[Column, Column], Column]:
         )
         return F.when(a.isNotNull() & b.isNotNull(), sums)
 
-    return features
+    def sums(self, a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+        """The same, stretch by stretch and added up in the same order, from the elements of many vectors."""
+        for i in range(self.parts):
+            begin, length = i * len(a) // self.parts, len(a) // self.parts
+            total = np.zeros(np.broadcast_shapes(a[0].shape, b[0].shape))
+            for x, y in zip(a[begin : begin + length], b[begin : begin + length], strict=True):
+                apart = x - y
+                total += np.abs(apart, out=apart)
+            yield total
+
+
+def segment_distances(parts: int) -> SegmentDistances:
+    """Features for long vectors: the sum of |a - b| over each of ``parts`` stretches of equal length."""
+    return SegmentDistances(parts)
 
 
 @dataclass(frozen=True)
-class PairScorer:
-    """A logistic model of pair features: the intercept and one weight per feature."""
+class PairScorer(BlockScorer):
+    """A logistic model of pair features: the intercept and one weight per feature.
+
+    With features that have ``sums``, it also scores block against block.
+    """
 
     weights: tuple[float, ...]
     features: Callable[[Column, Column], Column]
@@ -68,6 +90,31 @@ class PairScorer:
         )
         return pairs.withColumn("score", 1 / (1 + F.exp(-F.aggregate(terms, F.lit(0.0), lambda total, v: total + v))))
 
+    @property
+    def works_on_tiles(self) -> bool:
+        return hasattr(self.features, "sums")
+
+    def _probability(self, a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> np.ndarray:
+        shape = np.broadcast_shapes(a[0].shape, b[0].shape)
+        if len(self.weights) != self.features.parts + 1:
+            # as in the expression, features without a weight give no score
+            return np.full(shape, np.nan)
+        total = np.full(shape, self.weights[0])
+        for weight, feature in zip(self.weights[1:], self.features.sums(a, b), strict=True):
+            total += feature * weight
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-total))
+
+    def rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._probability(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T))
+
+    def tile(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+        # element by element as in ``rows``; a last digit may differ
+        return -self._probability(np.ascontiguousarray(a.T)[:, :, None], np.ascontiguousarray(b.T)[:, None, :]), 1e-15
+
+    def places(self, scores: np.ndarray) -> np.ndarray:
+        return -scores
+
 
 _FAN = 16
 MOST_FEATURES = 1_024

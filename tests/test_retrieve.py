@@ -190,6 +190,74 @@ def test_a_search_of_ones_own_has_no_split_buckets(case):
         Retrieval(found.model, found.layout, found.index, found.queries, search=lambda *a: None, target=2)
 
 
+def _by_model(pairs):
+    from pairmatch.operators.scoring import score_pairs
+
+    def closeness():
+        return lambda a, b: np.exp(-((a - b) ** 2).sum(axis=1))
+
+    return score_pairs(pairs, closeness, dim=6)
+
+
+def _scorers():
+    from pairmatch.operators.bucketwise import Closeness, Distance
+    from pairmatch.operators.scoring import PairScorer, segment_distances
+
+    return {
+        "closeness": Closeness(), "distance": Distance(), "learned": PairScorer((0.5, -1.0, -0.25), segment_distances(2)),
+        "model": _by_model,
+    }
+
+
+@pytest.mark.parametrize("scorer", ["closeness", "distance", "learned", "model"])
+def test_buckets_are_reduced_without_a_table_of_pairs(spark, scorer):
+    """Large and small buckets, copies, ties and far vectors: the same as from all scored pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 6))
+    # whole numbers give equal distances between different vectors
+    index = [np.round(base[0] + rng.integers(-2, 3, 6)) if i % 2 else base[rng.integers(12)] + 0.1 * rng.normal(size=6) for i in range(240)]
+    queries = [index[(7 * k) % 240] + (0 if k % 3 else 40.0 if k % 5 == 0 else 1.0) for k in range(120)]
+    truth = [(1000 + k, c) for k in range(120) for c in range(240) if c == (7 * k) % 240 or (c + k) % 40 == 0]
+
+    def frame(rows, first, kind):
+        data = [(first + i, v.tolist()) for i, v in enumerate(rows)]
+        return spark.createDataFrame(data, f"id long, vec array<{kind}>").repartition(3)
+
+    args = (frame(index, 0, "float"), frame(queries, 1000, "double"), spark.createDataFrame(truth, "query_id long, truth_id long"))
+    made = [retrieve(*args, p=24, t=6, b=8, r=2, seed=1, scorer=_scorers()[scorer]) for _ in range(2)]
+    blocks, table = made
+    assert table.scored.count() > 5_000
+    for k in (1, 7):
+        got, want = (
+            sorted((r.query_id, r["rank"], r.cand_id, r.label, round(r.score, 9)) for r in found.top(k).collect()) for found in made
+        )
+        assert got == want
+    got, want = ({r.query_id: (r.n_candidates, r.hits) for r in found.counts().collect()} for found in made)
+    assert got == want
+    if scorer != "model":
+        got, want = (
+            {r.query_id: (r.first_rank, round(r.mean_reciprocal or 0, 9), r.top_hits) for r in found.query_ranks().collect()}
+            for found in made
+        )
+        assert got == want
+    assert not {"scored", "matches"} & set(blocks.__dict__)
+
+
+def test_ids_that_repeat_and_vectors_without_some_elements(spark):
+    """A row for each time an id is there, as in a join by ids; no score comes last."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=4) if i < 50 else np.zeros(4)).tolist()) for i in range(60)]
+    rows += [(60, [0.5, None, 0.5, 0.5]), (61, [0.5, None, 0.5, 0.5]), *rows[3:9], rows[55]]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    truth = spark.createDataFrame([(i, i) for i in range(62)], "query_id long, truth_id long")
+    blocks, table = (retrieve(df, df, truth, p=16, t=4, b=4, r=2, seed=1) for _ in range(2))
+    assert table.scored.where("score is null").count()
+    got, want = (sorted((r.query_id, r["rank"], r.cand_id, round(r.score or 0, 9)) for r in f.top(5).collect()) for f in (blocks, table))
+    assert got == want
+    got, want = (sorted((r.query_id, r.first_rank or 0, r.top_hits) for r in f.query_ranks().collect()) for f in (blocks, table))
+    assert got == want
+
+
 def test_nothing_to_find(spark, case):
     found = case[0]
     far = Retrieval(found.model, found.layout, found.index, found.queries.limit(0))
