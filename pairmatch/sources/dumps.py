@@ -109,9 +109,9 @@ def read_records(spark: SparkSession, path: str, path_glob: str | None = None) -
         "file", "block", (F.col("before") % 2).alias("inside")
     )
     parts = (
-        lines.join(begins, ["file", "block"])
+        # a row for each block, so the lines stay in the tasks that read them, and in order
+        lines.join(F.broadcast(begins), ["file", "block"])
         .select("file", "block", "row", "value", "odd", "inside")
-        .sortWithinPartitions("file", "block", "row")
         .mapInArrow(_parts_of_blocks, _PARTS)
     )
     place = F.struct("file", "block", "row")

@@ -268,3 +268,20 @@ def test_rows_are_counted_by_the_job_that_writes_them(spark, tmp_path):
     assert counts == {"good": 90, "bad": 10}
     assert spark.read.parquet(str(tmp_path / "t")).count() == 90
     assert store.write_counted(df.limit(0), str(tmp_path / "e"), {"n": F.lit(True)}) == {"n": 0}
+
+
+def test_lines_of_split_files_are_neither_moved_nor_sorted(spark, tmp_path):
+    """A task that sorted its lines held whole blocks of a file."""
+    (tmp_path / "a.csv").write_text("".join(f'"{i}\n{i}","x"\n' for i in range(50)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = dumps.read_records(spark, str(tmp_path))
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        # what is left of sorting is between parts that go over a border, after they are made from lines
+        scans = [part for part in plan.split("MapInArrow _parts_of_blocks")[1:]]
+        assert scans and "Sort" not in scans[0].split("FileScan")[0]
+        assert sorted(r.record for r in records.collect()) == sorted(f'"{i}\n{i}","x"' for i in range(50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
