@@ -20,6 +20,7 @@ from pairmatch.operators.bucketwise import BlockScorer
 PREDICT_BATCH = 400
 # Fixed value: how far predictions are kept from 0 and 1 in the logarithm
 EPSILON = 1e-7
+CELLS_IN_CACHE = 1 << 14
 
 
 def pair_features(a: Column, b: Column) -> Column:
@@ -109,8 +110,13 @@ class PairScorer(BlockScorer):
         return self._probability(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T))
 
     def tile(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-        # element by element as in ``rows``; a last digit may differ
-        return -self._probability(np.ascontiguousarray(a.T)[:, :, None], np.ascontiguousarray(b.T)[:, None, :]), 1e-15
+        # element by element as in ``rows``; a last digit may differ.  A few rows at a time stay in the cache
+        columns, step = np.ascontiguousarray(b.T)[:, None, :], max(1, CELLS_IN_CACHE // len(b))
+        places = np.empty((len(a), len(b)))
+        for at in range(0, len(a), step):
+            few = np.ascontiguousarray(a[at : at + step].T)[:, :, None]
+            np.negative(self._probability(few, columns), out=places[at : at + step])
+        return places, 1e-15
 
     def places(self, scores: np.ndarray) -> np.ndarray:
         return -scores
