@@ -499,3 +499,25 @@ def test_pairs_in_blocks_are_shuffled_without_vectors(spark):
     pairs = spark.range(50).crossJoin(spark.range(50).withColumnRenamed("id", "cand_id")).withColumnRenamed("id", "query_id")
     cells = bl._in_cells(pairs, table, table, 1_000, 10_000)
     assert cells.where("vec is not null").count() == 100 and cells.where("_kind = 2 and vec is null").count() == 2_500
+
+
+def test_labels_and_numbers_in_one_sort(spark):
+    """Pairs that repeat over many Arrow batches, null ids and true pairs that were not found."""
+    rows = [(q, c, q + c / 8) for q in range(4) for c in range(9) for _ in range(1 + 5 * (c == 3))]
+    rows += [(None, 3, 0.5), (2, None, None)]
+    truth = [(0, 3), (1, 8), (3, 0), (3, 77), (9, 9), (None, 3), (2, None)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        packed = pr.pack_labelled(
+            spark.createDataFrame(rows, "query_id long, cand_id long, score double").repartition(5),
+            spark.createDataFrame(truth, "query_id long, truth_id long"), 7,
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    packed = sorted(packed, key=lambda r: r.n)
+    rows.sort(key=lambda r: tuple(-1 if v is None else v for v in r))
+    assert [(r.query_id, r.cand_id, r.score) for r in packed] == rows
+    assert [(r.n, r.batch, r.slot) for r in packed] == [(n, *divmod(n, 7)) for n in range(len(rows))]
+    true = {t for t in truth if None not in t}
+    assert [r.label for r in packed] == [float((q, c) in true) for q, c, _ in rows]

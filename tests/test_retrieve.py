@@ -141,6 +141,32 @@ def test_batches_of_a_retrieval(case, tmp_path):
     }
 
 
+def test_batches_are_written_without_tables_of_pairs_on_the_way(case, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from pairmatch.lineage import cut_lineage
+    from pairmatch.operators import ordering
+    from pairmatch.plans import retrieve as plan
+    from pairmatch.sources.store import read_pair_batches
+
+    kept = []
+
+    def counted(df):
+        out = cut_lineage(df)
+        kept.append(out.count())
+        return out
+
+    for module in (plan, ordering):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    found, plain, truth, distinct = case
+    replace(found).write_batches(str(tmp_path / "pairs"), size=64)
+    assert max(kept) < len(distinct)
+    stored = read_pair_batches(found.index.sparkSession, str(tmp_path / "pairs")).orderBy("n").collect()
+    assert [(r.query_id, r.cand_id, r.label) for r in stored] == sorted(
+        (q, c, float(truth[q] == c)) for q, cands in plain.items() for c in cands
+    )
+
+
 def _split_plain(found, index, queries, target):
     """Candidates by prefixes that grow bit by bit until at most ``target`` signatures of the index share them."""
     width = found.layout.width
