@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairmatch.functions.bands import BandLayout
+from pairmatch.lineage import SORTED_PARQUET
 from pairmatch.operators.candidates import band_rows
 from pairmatch.operators.hashing import HashModel
 from pairmatch.sources.store import BandIndex, check_band_index
@@ -52,7 +53,8 @@ def start_probe_sink(found: DataFrame, path: str, checkpoint: str, **trigger) ->
     A stream that stopped before the mark writes the same folder over when it comes back; one that stopped
     between the mark and its own commit finds the mark and leaves the batch alone.  The stream's id lives in its
     checkpoint, so a stream with a new checkpoint adds to the table and replaces nothing.  Only the first batch
-    of a run can have been written before, so marks are looked up once.
+    of a run can have been written before, so marks are looked up once.  Pairs are written as the join gives them: query
+    by query with candidates in the order of the stored index, so ids are kept as differences.
     """
     spark = found.sparkSession
     # a table without batches can be read too
@@ -72,7 +74,7 @@ def start_probe_sink(found: DataFrame, path: str, checkpoint: str, **trigger) ->
         if again:
             return
         folder = f"stream={stream}/batch={number}"
-        batch.write.mode("overwrite").parquet(f"{path}/rows/{folder}")
+        batch.write.mode("overwrite").options(**SORTED_PARQUET).parquet(f"{path}/rows/{folder}")
         session.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done/{folder}")
 
     return (

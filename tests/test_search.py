@@ -293,6 +293,29 @@ def test_probe_sink_has_every_batch_once(spark, tmp_path):
     assert run(tmp_path / "other").count() == 2 * len(expected)
 
 
+def test_pairs_of_the_sink_are_kept_as_differences(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    layout = BandLayout(bits=2, rows=2)
+    rng = np.random.default_rng(3)
+    model = ls.random_projection_lsh(2, 4, seed=1)
+    index, _ = vectors(spark, rng, 4_000, dim=4)
+    queries, _ = vectors(spark, rng, 150, dim=4)
+    store.write_band_index(model.signatures(index, layout), layout, str(tmp_path / "bands"), model, buckets=4)
+    for file in (tmp_path / "bands" / "rows").glob("*.parquet"):
+        places = pq.read_table(file, columns=["band", "key", "piece", "id"]).to_pylist()
+        assert [tuple(p.values()) for p in places] == sorted(tuple(p.values()) for p in places)
+    queries.write.parquet(str(tmp_path / "queries"))
+    arriving = spark.readStream.schema(queries.schema).parquet(str(tmp_path / "queries"))
+    band_index = store.load_band_index(spark, str(tmp_path / "bands"))
+    found = probe_index(model.signatures(arriving, layout), band_index, layout, model)
+    assert start_probe_sink(found, str(tmp_path / "found"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    files = list((tmp_path / "found" / "rows").glob("*/batch=0/*.parquet"))
+    n = read_probes(spark, str(tmp_path / "found")).count()
+    assert n > 100_000
+    assert sum(f.stat().st_size for f in files) < n
+
+
 def test_klsh_algebra():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, 5))
