@@ -3,12 +3,13 @@
 1. Documents with the same set are folded into one node, so copies never meet each other.
 2. Each set is dealt to its prefix keys: with a threshold of t, two sets that link share at least l of their
    first n - ceil(t n) + l n-grams in any common order.  Frequent n-grams come last in that order.
-3. Hubs: a set is compared with two of those that have the smallest id of one of its keys and share much of
-   its prefix, which joins large groups of near copies by a few links each instead of all pairs.
+3. Hubs: a set is compared with those ``HUBS`` that share most of its prefix, of the few sets that stand for one of its
+   keys, which joins large groups of near copies by a few links each instead of all pairs.
 4. Trees: sets of one key that aren't joined yet go into a tree.  A node holds the OR of the token bitmaps
    below it, their range of sizes and the most n-grams that share bits; pairs of nodes are traversed from the root,
    and a pair is dropped if its highest possible overlap is too small.
-5. Pairs that are left in l keys or more are verified on whole sets, and links become components.
+5. Pairs that are left in l keys or more are bounded by 16 bits of each n-gram, then verified on whole sets, and links
+   become components.
 
 Steps 2, 4 and 5 lose nothing, so the components are exact; step 3 only saves work.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmatch.lineage import cut_lineage
@@ -31,6 +32,7 @@ _LONGS = BITS // 64
 FANOUT, LEAF = 8, 16
 FREQUENT = 65_536
 PIECE = 20_000
+HUBS = 4
 _PAIRS_AT_ONCE = 100_000
 
 
@@ -188,25 +190,41 @@ def _second_pass(length: int, percent: int, frequent):
     return run
 
 
-def _whole_sets(length: int, wanted):
+def marks(members: np.ndarray) -> np.ndarray:
+    """16 bits of each n-gram, sorted: two sets have no more n-grams in common than marks, repeated ones counted."""
+    return np.sort((scramble(members) >> np.uint64(48)).astype(np.uint16))
+
+
+def _whole_sets(length: int, wanted, rough: bool):
+    shape = marks if rough else lambda members: members
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             batch = batch.filter(may_hold(wanted.value, batch.column("doc_id")))
             sets = shingle_sets(batch.column("text"), length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([shape(s).tobytes() for s in sets], pa.binary())],
                 ["sid", "members"],
             )
 
     return run
 
 
-def _verified(percent: int):
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Sorted marks as different numbers: the mark and how many equal ones come before."""
+    at = np.arange(len(values)) - np.searchsorted(values, values)
+    return (values.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
+
+
+def _verified(percent: int, rough: bool):
+    def read(value: pa.Scalar) -> np.ndarray:
+        return _numbered(np.frombuffer(value.as_buffer(), np.uint16)) if rough else np.frombuffer(value.as_buffer(), np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+                x, y = read(one), read(two)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int(np.count_nonzero(large[at] == small))
@@ -324,32 +342,43 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
     dealt = stored(dealt.join(several, "key").select("key", "sid", "n"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, rough: bool) -> DataFrame:
         pairs = cut_lineage(pairs)
         needed = pairs.select("a").union(pairs.select("b")).distinct().join(holders, F.col("a") == F.col("sid"))
         wanted = id_filter(needed, "doc_id")
-        whole = texts.mapInArrow(_whole_sets(length, wanted), "sid bigint, members binary").dropDuplicates(["sid"])
+        whole = texts.mapInArrow(_whole_sets(length, wanted, rough), "sid bigint, members binary").dropDuplicates(["sid"])
         return (
             pairs.join(whole.select(F.col("sid").alias("a"), F.col("members").alias("one")), "a")
             .join(whole.select(F.col("sid").alias("b"), F.col("members").alias("two")), "b")
             .select("a", "b", "one", "two")
-            .mapInArrow(_verified(percent), "a bigint, b bigint")
+            .mapInArrow(_verified(percent, rough), "a bigint, b bigint")
         )
 
-    # hubs: of the sets of similar size that share a quarter of the prefix, the smallest and the nearest
+    def verify(pairs: DataFrame) -> DataFrame:
+        # a set is shuffled for each of its pairs: as marks first, whole for what they leave
+        return compared(compared(pairs, rough=True), rough=False)
+
+    # hubs: of the sets that stand for a key and size, the nearest that share three quarters of the prefix
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9))
     banded = dealt.withColumn("band", band)
-    hubs = banded.groupBy("key", "band").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    picks = [F.min("sid"), F.max("sid"), *[F.min_by("sid", F.xxhash64(F.lit(k), "sid")) for k in range(HUBS - 2)]]
+    hubs = (
+        banded.groupBy("key", "band")
+        .agg(F.array_distinct(F.array(*picks)).alias("hubs"), F.count(F.lit(1)).alias("rows"))
+        .where("rows > 1")
+        .select("key", "band", F.explode("hubs").alias("hub"))
+    )
+    best = Window.partitionBy("sid").orderBy(F.desc("shared"), "hub")
     near = (
         banded.join(hubs, ["key", "band"])
         .where("sid <> hub")
         .groupBy("hub", "sid", "n")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .where(4 * F.col("shared") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + F.floor(F.col("n") / 64) + 1)
-        .groupBy("sid")
-        .agg(F.min("hub").alias("least"), F.max_by("hub", F.struct("shared", "hub")).alias("most"))
-        .select(F.col("sid").alias("b"), F.explode(F.array_distinct(F.array("least", "most"))).alias("a"))
-        .select("a", "b")
+        .where(4 * F.col("shared") >= 3 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.floor(F.col("n") / 64) + 1))
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= HUBS)
+        .select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
+        .distinct()
     )
     joined = cut_lineage(verify(near))
     known = components(joined)

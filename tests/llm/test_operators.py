@@ -472,3 +472,45 @@ def test_repeated_passages_against_brute_force(spark, texts, docs, none):
     assert passages.repeated_passages(none).count() == 0
     with pytest.raises(ValueError):
         passages.repeated_passages(docs, min_words=20)
+
+
+def test_only_pairs_that_marks_leave_are_compared_on_whole_sets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, 3_000, np.uint64)) for _ in range(3)]
+    sets += [np.unique(np.concatenate([sets[0][k:], sets[1][: 2 * k]])) for k in (1, 40, 900)]
+    for one in sets:
+        for two in sets:
+            numbers = [jaccard._numbered(jaccard.marks(s)) for s in (one, two)]
+            both = len(np.intersect1d(one, two))
+            assert both <= len(np.intersect1d(*numbers)) <= both + 350
+            assert [len(n) for n in numbers] == [len(one), len(two)]
+
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(40):
+        words = list(base)
+        for at in rng.integers(0, 400, 4 + k % 9):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    shingles = [{tuple(t.split()[i : i + 3]) for i in range(398)} for t in texts]
+    linked = {(i, j) for i in range(40) for j in range(i) if 100 * len(shingles[i] & shingles[j]) >= 90 * len(shingles[i] | shingles[j])}
+    tables = []
+    cut = jaccard.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", counted)
+    found = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 90, 3)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    label = list(range(40))
+    for _ in range(40):
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    assert got == dict(enumerate(label))
+    # hubs: met, left by marks, linked; trees: met, left by marks; all links
+    met, left, hubs, met_later, left_later, links = tables
+    assert left == hubs <= met and left_later == links - hubs <= met_later
