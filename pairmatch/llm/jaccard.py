@@ -3,6 +3,7 @@
 1. Documents with the same set are folded into one node, so copies never meet each other.
 2. Each set is dealt to its prefix keys: with a threshold of t, two sets that link share at least l of their
    first n - ceil(t n) + l n-grams in any common order.  Frequent n-grams come last in that order.
+   A key of a set counts only if a set of similar size has it too, and a set only if it has l such keys.
 3. Hubs: a set is compared with those ``HUBS`` that share most of its prefix, of the few sets that stand for one of its
    keys, which joins large groups of near copies by a few links each instead of all pairs.
 4. Trees: sets of one key that aren't joined yet go into a tree.  A node holds the OR of the token bitmaps
@@ -318,6 +319,31 @@ def _frequent_keys(sets: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
+def shared_keys(dealt: DataFrame, percent: int) -> DataFrame:
+    """Of rows (sid, n, key), those that may belong to a link; all that do are among them.
+
+    Sets that link have sizes in one band or in neighbouring ones.  A key has a mask of its bands modulo 64; with more
+    rows than bits, two sets are in one band.  What is left of a set must be as many keys as its smallest partner
+    shares with it.
+    """
+    # a little wider than the ratio of sizes, so that rounding puts no band between two sets that link
+    width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-9
+    banded = dealt.withColumn("band", F.pmod(F.floor(F.log("n") / F.lit(width)), F.lit(64)).cast("int"))
+    several = (
+        banded.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("rows"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("bands"))
+        .where("rows > 1")
+    )
+    beside = [F.getbit("bands", F.pmod(F.col("band") + step, F.lit(64))) == 1 for step in (1, 63)]
+    return (
+        banded.join(several, "key")
+        .where((F.col("rows") > F.bit_count("bands")) | beside[0] | beside[1])
+        .withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("sid")))
+        .where(F.col("left") > F.floor(F.col("n") * percent / 6400))
+        .select("key", "sid", "n")
+    )
+
+
 def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> tuple[DataFrame, DataFrame]:
     """(documents' sets, links between sets).
 
@@ -337,10 +363,8 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
         .dropDuplicates(["sid"])
     )
     holders = first.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    # most keys belong to one set only; from here on there are just the others
-    dealt = sets.select("sid", "n", F.explode("keys").alias("key"))
-    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    dealt = stored(dealt.join(several, "key").select("key", "sid", "n"))
+    # most keys belong to one set only, or to sets that meet by chance; from here on there are just the others
+    dealt = stored(shared_keys(sets.select("sid", "n", F.explode("keys").alias("key")), percent))
 
     def compared(pairs: DataFrame, rough: bool) -> DataFrame:
         pairs = cut_lineage(pairs)
@@ -384,7 +408,8 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     known = components(joined)
 
     # trees: keys whose sets aren't all joined
-    labelled = dealt.join(known, dealt.sid == known.id, "left").select(
+    # both uses have the same filter, so they share a shuffle
+    labelled = dealt.where("key is not null and sid is not null").join(known, dealt.sid == known.id, "left").select(
         "key", "sid", "n", F.coalesce("component", "sid").alias("component")
     )
     open_keys = (

@@ -514,3 +514,39 @@ def test_only_pairs_that_marks_leave_are_compared_on_whole_sets(spark, monkeypat
     # hubs: met, left by marks, linked; trees: met, left by marks; all links
     met, left, hubs, met_later, left_later, links = tables
     assert left == hubs <= met and left_later == links - hubs <= met_later
+
+
+def test_keys_that_no_set_of_similar_size_shares_go_no_further(spark, monkeypatch):
+    phrase = " ".join(f"p{i}" for i in range(40))
+    lengths = [int(60 * 1.5**k) - 40 for k in range(12)]
+    texts = [phrase + " " + " ".join(f"w{k}-{i}" for i in range(n)) for k, n in enumerate(lengths)]
+    # as large as each other, but with too few n-grams in common
+    texts += [" ".join(f"v{k}-{i}" for i in range(2_960)) + " " + phrase for k in range(2)]
+    texts += [" ".join(f"{'x' if i == at else 'c'}{i}" for i in range(302)) for at in (7, 290)]
+    tables = []
+    store = jaccard.stored
+
+    def kept(df):
+        tables.append(store(df))
+        return tables[-1]
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    found = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 90, 3)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert got == {i: min(i, len(texts) - 2) for i in range(len(texts))}
+    dealt = [t for t in tables if t.columns == ["key", "sid", "n"]]
+    assert len(dealt) == 1
+    assert {r.n for r in dealt[0].collect()} == {300}
+    assert dealt[0].select("sid").distinct().count() == 2
+
+
+@pytest.mark.parametrize("percent", [1, 50, 80, 90, 100])
+def test_keys_of_sets_that_link_stay(spark, percent):
+    # the smallest set that links with one of n n-grams, and as few keys as the two share at least
+    rows = []
+    for n in [*range(1, 300), *(2**k + d for k in range(9, 20) for d in (-1, 0, 1))]:
+        less = (percent * n + 99) // 100
+        rows += [(2 * n + side, size, n * 10**6 + j) for side, size in enumerate((n, less)) for j in range(jaccard.least_shared(less))]
+    dealt = spark.createDataFrame(rows, "sid long, n long, key long")
+    alone = spark.createDataFrame([(-1, 5, -1)], "sid long, n long, key long")
+    assert {tuple(r) for r in jaccard.shared_keys(dealt.union(alone), percent).select("sid", "n", "key").collect()} == set(rows)
