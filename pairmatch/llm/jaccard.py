@@ -320,7 +320,7 @@ def _frequent_keys(sets: DataFrame) -> np.ndarray:
 
 
 def shared_keys(dealt: DataFrame, percent: int) -> DataFrame:
-    """Of rows (sid, n, key), those that may belong to a link; all that do are among them.
+    """Of rows (sid, n, key), those that may belong to a link, with how many keys are left of the set; all that do are among them.
 
     Sets that link have sizes in one band or in neighbouring ones.  A key has a mask of its bands modulo 64; with more
     rows than bits, two sets are in one band.  What is left of a set must be as many keys as its smallest partner
@@ -340,7 +340,7 @@ def shared_keys(dealt: DataFrame, percent: int) -> DataFrame:
         .where((F.col("rows") > F.bit_count("bands")) | beside[0] | beside[1])
         .withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("sid")))
         .where(F.col("left") > F.floor(F.col("n") * percent / 6400))
-        .select("key", "sid", "n")
+        .select("key", "sid", "n", "left")
     )
 
 
@@ -385,7 +385,9 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     # hubs: of the sets that stand for a key and size, the nearest that share three quarters of the prefix
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9))
     banded = dealt.withColumn("band", band)
-    picks = [F.min("sid"), F.max("sid"), *[F.min_by("sid", F.xxhash64(F.lit(k), "sid")) for k in range(HUBS - 2)]]
+    # a set of which most keys are left has the fewest n-grams of its own, so it is nearest to a group's middle
+    middle = [F.shiftleft("left", 40) + F.shiftrightunsigned(F.xxhash64(F.lit(k), "sid"), 24) for k in range(HUBS - 2)]
+    picks = [F.min("sid"), F.max("sid"), *[F.max_by("sid", m) for m in middle]]
     hubs = (
         banded.groupBy("key", "band")
         .agg(F.array_distinct(F.array(*picks)).alias("hubs"), F.count(F.lit(1)).alias("rows"))

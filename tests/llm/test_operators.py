@@ -534,7 +534,7 @@ def test_keys_that_no_set_of_similar_size_shares_go_no_further(spark, monkeypatc
     found = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 90, 3)
     got = {r.doc_id: r.component_id for r in found.collect()}
     assert got == {i: min(i, len(texts) - 2) for i in range(len(texts))}
-    dealt = [t for t in tables if t.columns == ["key", "sid", "n"]]
+    dealt = [t for t in tables if t.columns == ["key", "sid", "n", "left"]]
     assert len(dealt) == 1
     assert {r.n for r in dealt[0].collect()} == {300}
     assert dealt[0].select("sid").distinct().count() == 2
