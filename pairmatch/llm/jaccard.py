@@ -9,10 +9,15 @@
 4. Trees: sets of one key that aren't joined yet go into a tree.  A node holds the OR of the token bitmaps
    below it, their range of sizes and the most n-grams that share bits; pairs of nodes are traversed from the root,
    and a pair is dropped if its highest possible overlap is too small.
-5. Pairs that are left in l keys or more are bounded by 16 bits of each n-gram, then verified on whole sets, and links
-   become components.
-
-Steps 2, 4 and 5 lose nothing, so the components are exact; step 3 only saves work.
+5. Keys of up to ``LEAF`` sets give pairs.  Pairs that are left in l such keys or more are bounded by 16 bits of each
+   n-gram, then verified on whole sets.
+6. Keys of more sets give the sets that are in any pair, not the pairs, which grow with the square of a group.  The key's
+   sets meet again as 16 bits of each n-gram, and those left once more as whole sets; then come out as many links as join
+   them.  A pair counts in the first such key it has, as far as the ``FIRST`` first keys of its sets tell.
+7. Links become components.
+
+A pair that links shares l keys, all of the kind of step 5 or at least one of the kind of step 6.  So only step 3 may miss
+links, to save work, and the components are exact.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ _LONGS = BITS // 64
 FANOUT, LEAF = 8, 16
 FREQUENT = 65_536
 PIECE = 20_000
+VOLUME = 1 << 21
+FIRST = 16
 HUBS = 4
 _PAIRS_AT_ONCE = 100_000
 
@@ -81,8 +88,8 @@ def bitmap(members: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Sets in order of size under nodes of ``FANOUT`` children, with leaves of ``LEAF`` sets."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, slots: np.ndarray):
-        one = self.leaves(sizes, bits, groups, slots)
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, slots: np.ndarray, firsts: np.ndarray | None = None):
+        one = self.leaves(sizes, bits, groups, slots, firsts)
         self.levels = [one]
         width = LEAF
         while len(one["low"]) > 1:
@@ -95,17 +102,19 @@ class SignatureTree:
                 "surplus": np.maximum.reduceat(one["surplus"], starts),
                 "group": _same(group, starts),
                 "slot": _same(slot, starts),
+                "first": _same(one["first"], starts),
             }
             self.levels.append(one)
             width = FANOUT
 
     @staticmethod
-    def leaves(sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, slots: np.ndarray) -> dict:
+    def leaves(sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray, slots: np.ndarray, firsts: np.ndarray | None = None) -> dict:
         surplus = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        return {"low": sizes, "high": sizes, "bits": bits, "surplus": surplus, "group": groups, "slot": slots}
+        firsts = np.full(len(sizes), -1) if firsts is None else firsts
+        return {"low": sizes, "high": sizes, "bits": bits, "surplus": surplus, "group": groups, "slot": slots, "first": firsts}
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of sets, by place, that may link, aren't in one group yet and have different slots or slot -2.
+        """Pairs of sets, by place, that may link, aren't in one group yet and have different slots and firsts or ones below 0.
 
         The traversal goes down first, with at most ``_PAIRS_AT_ONCE`` pairs of nodes at a time, so what is held
         follows the depth of the tree and not the number of pairs.
@@ -143,7 +152,7 @@ def able(level: dict, left: np.ndarray, right: np.ndarray, percent: int) -> np.n
     low = np.maximum(level["low"][left], level["low"][right])
     high = np.minimum(level["high"][left], level["high"][right])
     keep = 100 * high >= percent * low
-    for mark in (level["group"], level["slot"]):
+    for mark in (level["group"], level["slot"], level["first"]):
         keep &= (mark[left] != mark[right]) | (mark[left] < 0)
     at = np.flatnonzero(keep)
     a, b = left[at], right[at]
@@ -235,43 +244,16 @@ def _verified(percent: int, rough: bool):
     return run
 
 
-def _tree_join(percent: int):
-    """Task function: rows sorted by key and grid cell; yields candidate pairs of each cell."""
-
-    def found(sid: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        a, b = sid[left], sid[right]
-        wanted = least_shared(np.minimum(sizes[left], sizes[right]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(wanted)], ["a", "b", "wanted"]
-        )
+def _by_cell(work):
+    """Task function: ``work`` gets tables of whole cells, from rows sorted by key and grid cell."""
 
     def cells(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts).combine_chunks()
-        key, x, y, slot, sid, sizes, group = (rows.column(c).to_numpy() for c in _CELL[:-1])
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, _LONGS)
-        # marks: below 0 for what is mixed or doesn't matter
-        slot = np.where(x == y, -2, slot).astype(np.int64)
-        group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+        key, x, y = (rows.column(c).to_numpy() for c in ("key", "x", "y"))
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         start = np.flatnonzero(fresh)
-        count = np.diff(np.append(start, len(key)))
-        # cells of one leaf, all at once
-        small = np.repeat(count <= LEAF, count)
-        cell = np.repeat(np.arange(len(start)), count)
-        level = SignatureTree.leaves(sizes, bits, group, slot)
-        lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for apart in range(1, LEAF):
-            left = np.flatnonzero(small[:-apart] & (cell[:-apart] == cell[apart:])) if apart < len(cell) else cell[:0]
-            left = left[able(level, left, left + apart, percent)]
-            lefts.append(left)
-            rights.append(left + apart)
-        yield found(sid, sizes, np.concatenate(lefts), np.concatenate(rights))
-        for at in np.flatnonzero(count > LEAF):
-            own = np.arange(start[at], start[at] + count[at])
-            own = own[np.lexsort((sid[own], sizes[own]))]
-            for left, right in SignatureTree(sizes[own], bits[own], group[own], slot[own]).pairs(percent):
-                yield found(sid, sizes, own[left], own[right])
+        yield from work(rows, start, np.diff(np.append(start, len(key))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole cells, and the beginning of the last one
@@ -296,7 +278,160 @@ def _tree_join(percent: int):
     return run
 
 
-_CELL = ["key", "x", "y", "slot", "sid", "n", "component", "bits"]
+def _bits(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _LONGS)
+
+
+def _leaf_join(percent: int):
+    """Task function: candidate pairs of cells of one leaf each."""
+
+    def work(rows: pa.Table, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sid, sizes, group = (rows.column(c).to_numpy() for c in ("sid", "n", "component"))
+        group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+        cell = np.repeat(np.arange(len(start)), count)
+        level = SignatureTree.leaves(sizes, _bits(rows.column("held")), group, np.full(len(sid), -2))
+        lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for apart in range(1, min(LEAF, len(cell))):
+            left = np.flatnonzero(cell[:-apart] == cell[apart:])
+            left = left[able(level, left, left + apart, percent)]
+            lefts.append(left)
+            rights.append(left + apart)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        a, b = sid[left], sid[right]
+        wanted = least_shared(np.minimum(sizes[left], sizes[right]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(wanted)], ["a", "b", "wanted"])
+
+    return _by_cell(work)
+
+
+class Members:
+    """The sets of a cell as numbers from 0, to count what a set shares with many others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.edges = np.cumsum([0, *(len(s) for s in sets)])
+        values = np.concatenate(sets)
+        different = np.unique(values)
+        self.numbers = np.searchsorted(different, values).astype(np.int32)
+        self.mask = np.zeros(len(different), bool)
+
+    def __getitem__(self, at: int) -> np.ndarray:
+        return self.numbers[self.edges[at] : self.edges[at + 1]]
+
+    def linked(self, one: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the other sets are similar enough to one; no set is empty."""
+        self.mask[self[one]] = True
+        sizes = self.edges[others + 1] - self.edges[others]
+        both = np.add.reduceat(self.mask[np.concatenate([self[i] for i in others])], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.mask[self[one]] = False
+        return 100 * both >= percent * (len(self[one]) + sizes - both)
+
+
+def _padded_firsts(column: pa.ChunkedArray) -> np.ndarray:
+    """A row of ``FIRST`` ascending keys for each set, filled up with the highest number."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    counts = column.value_lengths().to_numpy()
+    out = np.full((len(column), FIRST), np.iinfo(np.int64).max)
+    out[np.arange(FIRST) < counts[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def met_before(firsts: np.ndarray, key: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs have a key below this one among the first keys of both sets."""
+    out = np.zeros(len(left), bool)
+    for at in range(0, len(left), 1 << 13):
+        part = slice(at, at + (1 << 13))
+        one, two = firsts[left[part]], firsts[right[part]]
+        out[part] = ((one[:, :, None] == two[:, None, :]) & (one < key)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
+def _runs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left place with its right places."""
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    edges = [0, *(np.flatnonzero(left[1:] != left[:-1]) + 1).tolist(), len(left)] if len(left) else []
+    for start, end in zip(edges, edges[1:], strict=False):
+        yield int(left[start]), right[start:end]
+
+
+def _tree_join(percent: int, shape: str):
+    """Task function: rows of cells that are in a candidate pair, by what is held of the sets: their bits, or their marks.
+
+    Of whole sets, pairs that link, as many as join what the links of a cell join.
+    """
+
+    def whole(tree: SignatureTree, members: Members, sid: np.ndarray, label: np.ndarray, before) -> Iterator[tuple[int, int]]:
+        label = label.copy()
+        for left, right in tree.pairs(percent):
+            keep = label[left] != label[right]
+            left, right = left[keep], right[keep]
+            keep = ~before(left, right)
+            for one, others in _runs(left[keep], right[keep]):
+                others = others[label[others] != label[one]]
+                others = others[members.linked(one, others, percent)] if len(others) else others
+                for other in others:
+                    if label[other] != label[one]:
+                        yield min(sid[one], sid[other]), max(sid[one], sid[other])
+                        label[label == label[other]] = label[one]
+            if (label == label[0]).all():
+                return
+
+    def in_pairs(tree: SignatureTree, members: Members | None, count: int, before) -> np.ndarray:
+        taken = np.zeros(count, bool)
+        for left, right in tree.pairs(percent):
+            keep = ~(taken[left] & taken[right])
+            left, right = left[keep], right[keep]
+            keep = ~before(left, right)
+            left, right = left[keep], right[keep]
+            if members is None:
+                taken[left] = taken[right] = True
+            else:
+                for one, others in _runs(left, right):
+                    others = others[~taken[others]] if taken[one] else others
+                    others = others[members.linked(one, others, percent)] if len(others) else others
+                    taken[others] = True
+                    taken[one] |= len(others) > 0
+            if taken.all():
+                break
+        return taken
+
+    def read(value: bytes) -> np.ndarray:
+        return _numbered(np.frombuffer(value, np.uint16)) if shape == "marks" else np.frombuffer(value, np.uint64)
+
+    def work(rows: pa.Table, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, x, y, slot, sid, sizes, group = (rows.column(c).to_numpy() for c in _CELL)
+        # marks: below 0 for what is mixed or doesn't matter
+        slot = np.where(x == y, -2, slot).astype(np.int64)
+        group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+        firsts = _padded_firsts(rows.column("first"))
+        first = np.where(firsts[:, 0] < key, np.unique(firsts[:, 0], return_inverse=True)[1], -1).astype(np.int64)
+        for at, many in zip(start.tolist(), count.tolist(), strict=True):
+            own = at + np.lexsort((sid[at : at + many], sizes[at : at + many]))
+            held, members = rows.column("held").slice(at, many), None
+            if shape == "bits":
+                bits = _bits(held)[own - at]
+            else:
+                sets = [read(v) for v in held.take(own - at).to_pylist()]
+                bits = np.array([bitmap(s) for s in sets])
+                members = Members(sets)
+            tree = SignatureTree(sizes[own], bits, group[own], slot[own], first[own])
+
+            def before(left: np.ndarray, right: np.ndarray, own=own, key=key[at]) -> np.ndarray:
+                return met_before(firsts, key, own[left], own[right])
+
+            if shape == "whole":
+                links = np.array(list(whole(tree, members, sid[own], group[own], before)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+            else:
+                kept = np.sort(own[in_pairs(tree, members, many, before)])
+                yield from rows.select([*_CELL, "first"]).take(kept).to_batches()
+
+    return _by_cell(work)
+
+
+_CELL = ["key", "x", "y", "slot", "sid", "n", "component"]
+_ROWS = "key bigint, x int, y int, slot int, sid bigint, n bigint, component bigint, first array<bigint>"
 
 
 def _frequent_keys(sets: DataFrame) -> np.ndarray:
@@ -366,11 +501,14 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     # most keys belong to one set only, or to sets that meet by chance; from here on there are just the others
     dealt = stored(shared_keys(sets.select("sid", "n", F.explode("keys").alias("key")), percent))
 
+    def held(sids: DataFrame, rough: bool) -> DataFrame:
+        """Rows (sid, members) of the sets asked for, and of some others."""
+        wanted = id_filter(sids.distinct().join(holders, "sid"), "doc_id")
+        return texts.mapInArrow(_whole_sets(length, wanted, rough), "sid bigint, members binary").dropDuplicates(["sid"])
+
     def compared(pairs: DataFrame, rough: bool) -> DataFrame:
         pairs = cut_lineage(pairs)
-        needed = pairs.select("a").union(pairs.select("b")).distinct().join(holders, F.col("a") == F.col("sid"))
-        wanted = id_filter(needed, "doc_id")
-        whole = texts.mapInArrow(_whole_sets(length, wanted, rough), "sid bigint, members binary").dropDuplicates(["sid"])
+        whole = held(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), rough)
         return (
             pairs.join(whole.select(F.col("sid").alias("a"), F.col("members").alias("one")), "a")
             .join(whole.select(F.col("sid").alias("b"), F.col("members").alias("two")), "b")
@@ -417,30 +555,45 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     open_keys = (
         labelled.groupBy("key")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"),
-             F.min("n").alias("least"), F.max("n").alias("most"))
+             F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("volume"))
         .where("low < high").where((F.col("rows") > 2) | (100 * F.col("least") >= percent * F.col("most")))
-        .select("key", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces"))
+        .select("key", "rows", F.ceil(F.greatest(F.col("rows") / PIECE, F.col("volume") / VOLUME)).cast("int").alias("pieces"))
     )
-    # a key with many sets becomes a grid: each cell holds two pieces, or one against itself
-    slot = F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int")
-    placed = (
-        labelled.join(open_keys, "key")
-        .withColumn("slot", slot)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("key", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "slot", "sid", "n", "component")
-        .join(sets.select("sid", "bits"), "sid")
-    )
+    open_rows = labelled.join(open_keys, "key")
+
+    def by_cell(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+        return (
+            rows.join(sketch.toDF("sid", "held"), "sid")
+            .repartition("key", "x", "y")
+            .sortWithinPartitions("key", "x", "y")
+            .select(*rows.columns, "held")
+        )
+
+    none = F.lit(0)
+    few = open_rows.where(F.col("rows") <= LEAF).select("key", none.alias("x"), none.alias("y"), none.alias("slot"), "sid", "n", "component")
     candidates = (
-        placed.repartition("key", "x", "y")
-        .sortWithinPartitions("key", "x", "y")
-        .select(*_CELL)
-        .mapInArrow(_tree_join(percent), "a bigint, b bigint, wanted bigint")
+        by_cell(few, sets.select("sid", "bits"))
+        .mapInArrow(_leaf_join(percent), "a bigint, b bigint, wanted bigint")
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("shared"), F.min("wanted").alias("wanted"))
         .where("shared >= wanted")
         .select("a", "b")
     )
-    return first.select("doc_id", "n", "sid"), joined.union(verify(candidates))
+    # a key with many sets becomes a grid: each cell holds two pieces, or one against itself
+    many = cut_lineage(open_rows.where(F.col("rows") > LEAF))
+    firsts = many.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first"))
+    slot = F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int")
+    rows = (
+        many.join(firsts, "sid")
+        .withColumn("slot", slot)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .withColumns({"x": F.least("slot", "other"), "y": F.greatest("slot", "other")})
+        .select(*_CELL, "first")
+    )
+    rows = cut_lineage(by_cell(rows, sets.select("sid", "bits")).mapInArrow(_tree_join(percent, "bits"), _ROWS))
+    rows = cut_lineage(by_cell(rows, held(rows.select("sid"), rough=True)).mapInArrow(_tree_join(percent, "marks"), _ROWS))
+    within = by_cell(rows, held(rows.select("sid"), rough=False)).mapInArrow(_tree_join(percent, "whole"), "a bigint, b bigint")
+    return first.select("doc_id", "n", "sid"), joined.union(verify(candidates)).union(within)
 
 
 def jaccard_components(documents: DataFrame, percent: int = 90, length: int = 3) -> DataFrame:

@@ -550,3 +550,86 @@ def test_keys_of_sets_that_link_stay(spark, percent):
     dealt = spark.createDataFrame(rows, "sid long, n long, key long")
     alone = spark.createDataFrame([(-1, 5, -1)], "sid long, n long, key long")
     assert {tuple(r) for r in jaccard.shared_keys(dealt.union(alone), percent).select("sid", "n", "key").collect()} == set(rows)
+
+
+def near_copies(many, seed):
+    """Texts, some of which link, made of one by other words here and there; and what brute force finds of 90 hundredths."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for k in range(many):
+        words = [f"w{i}" for i in range(400)]
+        for at in rng.choice(400, 3 + k % 4, replace=False):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(398)} for t in texts]
+    label = list(range(many))
+    for i in range(many):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if one == high else one for one in label]
+    return texts, dict(enumerate(label))
+
+
+def test_what_trees_give_grows_no_faster_than_a_group(spark, monkeypatch, tmp_path):
+    def counted(make, folder):
+        def wrapped(*args):
+            run = make(*args)
+
+            def count(batches):
+                import uuid
+
+                rows = 0
+                for batch in run(batches):
+                    rows += batch.num_rows
+                    yield batch
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                    out.write(str(rows))
+
+            return count
+
+        return wrapped
+
+    made = {}
+    steps = {name: getattr(jaccard, name) for name in ("_leaf_join", "_tree_join") if hasattr(jaccard, name)}
+    for many in (60, 240):
+        folder = tmp_path / str(many)
+        folder.mkdir()
+        for name, make in steps.items():
+            monkeypatch.setattr(jaccard, name, counted(make, str(folder)))
+        texts, wanted = near_copies(many, 3)
+        assert len(set(wanted.values())) > many // 4
+        found = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 90, 3)
+        assert {r.doc_id: r.component_id for r in found.collect()} == wanted
+        made[many] = sum(int(f.read_text()) for f in folder.iterdir())
+    # four times the sets, sixteen times the pairs
+    assert 0 < made[240] <= 6 * made[60]
+    assert made[240] <= 240 * 46
+
+
+@pytest.mark.parametrize("first", [1, 3, 16])
+def test_trees_alone_find_all_links_of_a_group(spark, monkeypatch, first):
+    texts, wanted = near_copies(70, 5)
+    texts += [f"{texts[0]} a b c d", "q r s", "q r s", ""]
+    texts.append(" ".join(f"w{i}" for i in range(400)))
+    # no hubs, and keys of a few sets are cut into grids already
+    for name, value in {"HUBS": 0, "LEAF": 3, "PIECE": 9, "VOLUME": 9_000, "FIRST": first}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    shingles = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := t.split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    for i, one in enumerate(shingles):
+        for j, two in enumerate(shingles[:i]):
+            if one and label[i] != label[j] and 100 * len(one & two) >= 90 * len(one | two):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    found = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 90, 3)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(label))
+    assert len(set(label)) < len(texts) - 3
+
+
+def test_runs_of_pairs():
+    left, right = np.array([3, 1, 3, 2]), np.array([4, 5, 6, 7])
+    for some in (0, 1, 4):
+        found = [(one, other) for one, others in jaccard._runs(left[:some], right[:some]) for other in others.tolist()]
+        assert sorted(found) == sorted(zip(left[:some].tolist(), right[:some].tolist(), strict=True))
+        assert len({one for one, _ in found}) == len(list(jaccard._runs(left[:some], right[:some])))
