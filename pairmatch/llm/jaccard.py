@@ -555,9 +555,9 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
     open_keys = (
         labelled.groupBy("key")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"),
-             F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("volume"))
+             F.min("n").alias("least"), F.max("n").alias("most"))
         .where("low < high").where((F.col("rows") > 2) | (100 * F.col("least") >= percent * F.col("most")))
-        .select("key", "rows", F.ceil(F.greatest(F.col("rows") / PIECE, F.col("volume") / VOLUME)).cast("int").alias("pieces"))
+        .select("key", "rows", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces"))
     )
     open_rows = labelled.join(open_keys, "key")
 
@@ -579,19 +579,24 @@ def jaccard_links(documents: DataFrame, percent: int = 90, length: int = 3) -> t
         .where("shared >= wanted")
         .select("a", "b")
     )
-    # a key with many sets becomes a grid: each cell holds two pieces, or one against itself
     many = cut_lineage(open_rows.where(F.col("rows") > LEAF))
     firsts = many.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first"))
-    slot = F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int")
-    rows = (
-        many.join(firsts, "sid")
-        .withColumn("slot", slot)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .withColumns({"x": F.least("slot", "other"), "y": F.greatest("slot", "other")})
-        .select(*_CELL, "first")
-    )
-    rows = cut_lineage(by_cell(rows, sets.select("sid", "bits")).mapInArrow(_tree_join(percent, "bits"), _ROWS))
-    rows = cut_lineage(by_cell(rows, held(rows.select("sid"), rough=True)).mapInArrow(_tree_join(percent, "marks"), _ROWS))
+
+    def gridded(rows: DataFrame) -> DataFrame:
+        """A key of several pieces becomes a grid: each cell holds two pieces, or one against itself."""
+        return (
+            rows.withColumn("slot", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+            .withColumns({"x": F.least("slot", "other"), "y": F.greatest("slot", "other")})
+            .select(*_CELL, "first")
+        )
+
+    rows = by_cell(gridded(many.join(firsts, "sid")), sets.select("sid", "bits"))
+    rows = cut_lineage(rows.mapInArrow(_tree_join(percent, "bits"), _ROWS)).dropDuplicates(["key", "sid"])
+    # sets are larger than bits, so what is left of a key is cut into pieces by its n-grams
+    pieces = rows.groupBy("key").agg(F.ceil(F.sum("n") / VOLUME).cast("int").alias("pieces"))
+    rows = by_cell(gridded(rows.join(pieces, "key")), held(rows.select("sid"), rough=True))
+    rows = cut_lineage(rows.mapInArrow(_tree_join(percent, "marks"), _ROWS))
     within = by_cell(rows, held(rows.select("sid"), rough=False)).mapInArrow(_tree_join(percent, "whole"), "a bigint, b bigint")
     return first.select("doc_id", "n", "sid"), joined.union(verify(candidates)).union(within)
 
