@@ -167,6 +167,69 @@ def test_batches_are_written_without_tables_of_pairs_on_the_way(case, tmp_path,
     )
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_get_their_places_without_being_sorted(spark, kind, tmp_path, monkeypatch):
+    """Repeated ids, several originals, large and small buckets, many tasks and ranges: as by sorting all pairs."""
+    from collections import Counter
+
+    from pairmatch.operators.pairs import pack_labelled
+    from pairmatch.operators.placed import placed_pairs
+    from pairmatch.plans import retrieve as plan
+    from pairmatch.sources.store import read_pair_batches
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(6, 4))
+    rows = [(i * i, (base[i % 6] + 0.1 * (i % 5) * rng.normal(size=4)).tolist()) for i in range(150)]
+    rows += [(90_000, [0.5, None, 0.5, 0.5]), *rows[3:6], (None, rows[0][1]), (95_000, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").withColumn("id", F.col("id").cast(kind)).repartition(3)
+    truth = spark.createDataFrame(
+        [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i % 7 :: 40]] + [(1, None), (None, 1)], "query_id long, truth_id long"
+    ).select(*[F.col(c).cast(kind).alias(c) for c in ("query_id", "truth_id")])
+    found = retrieve(df, df, truth, p=16, t=4, b=6, r=2, seed=1)
+    wanted = pack_labelled(found._id_pairs(), found.truth, 64).orderBy("n").collect()
+    assert len(wanted) > 10_000 and {r.label for r in wanted} == {0.0, 1.0} and any(r.score is None for r in wanted)
+
+    def listed(rows):
+        # equal ids stand in any order
+        return Counter((r.query_id, r.cand_id, r.label, -1 if r.score is None else float(np.float32(r.score))) for r in rows)
+
+    queries, index = found._with_ids()
+    pairs, per_task = placed_pairs(index, queries, found.truth, found.layout, found.scorer, 1_000, 1, range_bits=3)
+    got = pairs.withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    assert per_task < 1_000 or len({r["at"] >> 33 for r in got}) >= len(wanted) // 1_000
+    assert [r.n for r in got] == list(range(len(wanted)))
+    assert [(r.query_id, r.cand_id, r.label) for r in got] == [(r.query_id, r.cand_id, r.label) for r in wanted]
+    assert listed(got) == listed(wanted)
+
+    # pairs are neither sorted as rows nor by the writer, and the session is as before
+    monkeypatch.setattr(plan, "pack_labelled", None)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    ranges, _ = found.write_batches(str(tmp_path / "pairs"), size=7)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    stored = read_pair_batches(spark, str(tmp_path / "pairs")).orderBy("n").collect()
+    assert [(r.n, r.batch, r.slot) for r in stored] == [(n, n // 7, n % 7) for n in range(len(wanted))]
+    assert listed(stored) == listed(wanted)
+    assert sum(r.n_relevant for r in ranges.collect()) == sum(r.label for r in wanted)
+
+
+def test_squared_distances_of_tiles_and_rows():
+    from pairmatch.operators.blocks import squared_cells, squared_distances
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(300, 9)), rng.normal(size=(70, 9))
+    a[5, 2] = np.nan
+    cells = squared_cells(a, b)
+    left, right = (m.ravel() for m in np.indices(cells.shape))
+    plain = np.zeros(len(left))
+    for x, y in zip(a[left].T, b[right].T, strict=True):
+        plain += (x - y) * (x - y)
+    assert np.array_equal(cells.ravel(), plain, equal_nan=True)
+    assert np.array_equal(squared_distances(a[left], b[right]), plain, equal_nan=True)
+    with pytest.raises(ValueError):
+        squared_distances(a, b[:, :1])
+
+
 def _split_plain(found, index, queries, target):
     """Candidates by prefixes that grow bit by bit until at most ``target`` signatures of the index share them."""
     width = found.layout.width
