@@ -29,13 +29,26 @@ ROWS_PER_TASK, MOST_TASKS = 2_000, 2_000
 TARGETS_PER_ROW = 64
 
 
-class BlockScorer(ABC):
-    """A score of two vectors that can be had row by row and, near enough, for a whole tile."""
+class RowScorer(ABC):
+    """A score of two vectors that can be had row by row."""
 
     @abstractmethod
     def rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The score of every row of ``a`` with the same row of ``b``; NaN stands for none."""
 
+    @property
+    def rows_at_once(self) -> int:
+        """How many rows ``rows`` gets at most."""
+        return PAIRS_SCORED_AT_ONCE
+
+    @abstractmethod
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Adds ``score`` to pairs with query_vec and cand_vec."""
+
+
+class BlockScorer(RowScorer):
+    """A score of two vectors that can be had row by row and, near enough, for a whole tile."""
+
     @abstractmethod
     def tile(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
         """The ``places`` of all rows of ``a`` with all of ``b``, and how far off they may be."""
@@ -58,10 +71,6 @@ class BlockScorer(ABC):
         """Whether ``rows`` and ``tile`` can be had; otherwise the scorer is for tables of pairs only."""
         return True
 
-    @abstractmethod
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Adds ``score`` to pairs with query_vec and cand_vec."""
-
 
 def _squared_tile(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """All squared distances by one matrix product, and a bound of the rounding."""
@@ -195,11 +204,11 @@ class _Blocks:
         return fresh
 
 
-def _scores(scorer: BlockScorer, vectors: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _scores(scorer: RowScorer, vectors: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Scores of listed pairs, some at a time."""
     found = np.empty(len(left))
-    for at in range(0, len(left), PAIRS_SCORED_AT_ONCE):
-        to = at + PAIRS_SCORED_AT_ONCE
+    for at in range(0, len(left), scorer.rows_at_once):
+        to = at + scorer.rows_at_once
         found[at:to] = scorer.rows(vectors[left[at:to]], vectors[right[at:to]])
     return found
 
@@ -268,7 +277,7 @@ def best_in_blocks(
     lefts: DataFrame,
     rights: DataFrame,
     layout: BandLayout,
-    scorer: BlockScorer,
+    scorer: RowScorer,
     k: int,
     n_rows: int,
     rows_per_split: int = ROWS_PER_BLOCK,
@@ -276,7 +285,7 @@ def best_in_blocks(
     """(query_gid, cand_gid, copies, score): what may be among the ``k`` best candidates of a left row, at most ``k`` of each block.
 
     Both sides are rows of bands with sig and vec.  A tile is compared by places that are near enough to tell which pairs can't be
-    among the best; the others get their score row by row.  Best is the highest score, then the smallest cand_gid; no score comes last.
+    among the best; the others get their score row by row, as do all pairs if the scorer is for rows only.  Best is the highest score, then the smallest cand_gid; no score comes last.
     """
     lefts = lefts.select("band", "key", "sig", "query_gid", "vec")
     rights = rights.select("band", "key", "sig", "cand_gid", "vec", "copies")
@@ -287,8 +296,7 @@ def best_in_blocks(
             vectors = _vectors(batch.column("vec"))
             order = _order_of(batch.column("cand_gid"))
 
-            def best(left, right):
-                score = _scores(scorer, vectors, left, right)
+            def best(left, right, score):
                 kept = _first_of_each(left, score, order[right], k)
                 to_left, to_right = pa.array(left[kept]), pa.array(right[kept])
                 return pa.RecordBatch.from_arrays(
@@ -302,8 +310,21 @@ def best_in_blocks(
                 )
 
             for left, right in blocks.listed():
-                yield best(left, right)
+                yield best(left, right, _scores(scorer, vectors, left, right))
             for left, right in blocks.tiles():
+                if not isinstance(scorer, BlockScorer):
+                    fresh = blocks.fresh(left, right)
+                    shape = (left.stop - left.start, right.stop - right.start)
+                    rows, columns = np.nonzero(np.ones(shape, dtype=bool) if fresh is None else fresh)
+                    score = _scores(scorer, vectors, rows + left.start, columns + right.start)
+                    if shape[1] > k:
+                        apart = np.full(shape, np.inf)
+                        apart[rows, columns] = np.where(np.isnan(score), np.inf, -score)
+                        near = apart[rows, columns] <= np.partition(apart, k - 1, axis=1)[rows, k - 1]
+                        rows, columns, score = rows[near], columns[near], score[near]
+                    if len(rows):
+                        yield best(rows + left.start, columns + right.start, score)
+                    continue
                 apart, slack = scorer.tile(vectors[left], vectors[right])
                 np.copyto(apart, np.inf, where=np.isnan(apart))
                 fresh = blocks.fresh(left, right)
@@ -318,7 +339,8 @@ def best_in_blocks(
                     kept &= fresh
                 rows, columns = np.nonzero(kept)
                 if len(rows):
-                    yield best(rows + left.start, columns + right.start)
+                    rows, columns = rows + left.start, columns + right.start
+                    yield best(rows, columns, _scores(scorer, vectors, rows, columns))
 
     schema = T.StructType(
         [

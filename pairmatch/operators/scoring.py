@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pairmatch.functions.arrow import to_matrix
 from pairmatch.lineage import scratch_path
-from pairmatch.operators.bucketwise import BlockScorer
+from pairmatch.operators.bucketwise import BlockScorer, RowScorer
 
 PREDICT_BATCH = 400
 # Fixed value: how far predictions are kept from 0 and 1 in the logarithm
@@ -250,6 +252,43 @@ def score_pairs(
     return pairs.withColumn("score", predict("query_vec", "cand_vec"))
 
 
+@dataclass(frozen=True)
+class PairModel(RowScorer):
+    """``score_pairs`` as the scorer of a retrieval: the same model, also over pairs inside a bucket, without a table of them.
+
+    Every pair goes through the model, in batches of at most ``batch_size``, and the model is loaded once per Python worker.
+    """
+
+    make_predict: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+    dim: int
+    batch_size: int = PREDICT_BATCH
+    _name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    @property
+    def rows_at_once(self) -> int:
+        return self.batch_size
+
+    def rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if a.shape[1:] != (self.dim,) or b.shape[1:] != (self.dim,):
+            raise ValueError(f"every vector must have {self.dim} elements")
+        predict = ModelCache.get(self._name)
+        if predict is None:
+            predict = self.make_predict()
+            ModelCache.add(self._name, predict)
+        found = np.empty(len(a))
+        for at in range(0, len(a), self.batch_size):
+            few = slice(at, at + self.batch_size)
+            scores = np.asarray(predict(a[few], b[few]), dtype=np.float64)
+            if scores.size != len(a[few]):
+                raise ValueError("a model gives one score for each pair")
+            found[few] = scores.reshape(-1)
+        return found
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        doubles = pairs.withColumns({c: F.col(c).cast("array<double>") for c in ("query_vec", "cand_vec")})
+        return score_pairs(doubles, self.make_predict, self.dim, self.batch_size)
+
+
 def evaluate_pairs(scored: DataFrame, by: str | None = "batch", loss_scale: float = 1.0) -> DataFrame:
     """Loss, accuracy, mean absolute and scaled squared error, per batch or over all."""
     label = F.col("label")

@@ -16,6 +16,7 @@ from pairmatch.operators.bucketwise import (
     TARGETS_PER_ROW,
     BlockScorer,
     Closeness,
+    RowScorer,
     ahead_in_blocks,
     best_in_blocks,
     best_in_task,
@@ -68,8 +69,8 @@ class Retrieval:
     or a trained model.
 
     Counts, the best candidates and ranks are found bucket by bucket without a table of pairs: the search compares
-    block against block and only what is left of a block leaves its task.  A ``BlockScorer`` scores there, any
-    other scorer gets the pairs of a block as a stream of rows; only ranks by such a scorer, a search of one's own
+    block against block and only what is left of a block leaves its task.  A ``BlockScorer`` scores there, a ``RowScorer``
+    scores all pairs of a block there for the best candidates, any other scorer gets the pairs of a block as a stream of rows; only ranks by such a scorer, a search of one's own
     and ``target`` need all scored pairs as a table, like ``pairs``.
 
     With ``target``, the buckets of a band are split by further bits until at most that many different
@@ -301,7 +302,7 @@ class Retrieval:
         """Rows of ``scored`` that have the ``k`` best of every query among them."""
         if "scored" in self.__dict__ or not self._in_buckets:
             return self.scored
-        if self._in_blocks:
+        if self._in_blocks or (isinstance(self.scorer, RowScorer) and not isinstance(self.scorer, BlockScorer)):
             return best_in_blocks(*self._sides(), self.layout, self.scorer, k, self._rows_in_bands)
         pairs = listed_in_blocks(*self._sides(), self.layout, self._rows_in_bands)
         return best_in_task(self.scorer(pairs), k)

@@ -544,11 +544,7 @@ def _closeness():
 @query("qvec", _TOP, _SCORED_CTE)
 def retrieve_with_model(t):
     """The candidates scored in batches by a model of the two vectors."""
-    def scorer(pairs):
-        doubles = pairs.withColumn("cand_vec", F.col("cand_vec").cast("array<double>"))
-        return sc.score_pairs(doubles, _closeness, dim=64)
-
-    return _retrieval(t, scorer=scorer).top(10).withColumn("score", F.round("score", 6))
+    return _retrieval(t, scorer=sc.PairModel(_closeness, dim=64)).top(10).withColumn("score", F.round("score", 6))
 
 
 _SHARES = ", ".join(

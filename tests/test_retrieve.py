@@ -332,6 +332,33 @@ def test_buckets_are_reduced_without_a_table_of_pairs(spark, scorer):
     assert not {"scored", "matches"} & set(blocks.__dict__)
 
 
+def test_a_model_scores_in_blocks_without_a_stream_of_vectors(spark, monkeypatch):
+    """As with scores from a table, for pairs without one too; no pair leaves its task with its vectors."""
+    from pairmatch.operators.scoring import PairModel
+    from pairmatch.plans import retrieve as plan
+    from pairmatch.registry import vectors
+
+    rng = np.random.default_rng(21)
+    rows = [(i, (rng.normal(size=4) if i % 3 else np.zeros(4)).tolist()) for i in range(180)]
+    rows += [(180, [0.5, None, 0.5, 0.5]), (181, [0.5, None, 0.5, 0.5]), *rows[3:9]]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+
+    def scorer(pairs):
+        return PairModel(vectors._closeness, dim=4)(pairs)
+
+    blocks, table = (retrieve(df, df, p=16, t=4, b=4, r=2, seed=1, scorer=s) for s in (PairModel(vectors._closeness, dim=4), scorer))
+    assert table.scored.where("score is null").count()
+    monkeypatch.setattr(plan, "listed_in_blocks", None)
+    for k in (3, 150):
+        got, want = (
+            sorted((r.query_id, r["rank"], r.cand_id, round(r.score or 0, 9)) for r in f.top(k).collect()) for f in (blocks, table)
+        )
+        assert got == want
+    wrong = retrieve(df, df, p=16, t=4, b=4, r=2, seed=1, scorer=PairModel(lambda: lambda a, b: np.zeros(1 + len(a)), dim=4))
+    with pytest.raises(Exception, match="one score for each pair"):
+        wrong.top(1).collect()
+
+
 def test_ids_that_repeat_and_vectors_without_some_elements(spark):
     """A row for each time an id is there, as in a join by ids; no score comes last."""
     rng = np.random.default_rng(9)
